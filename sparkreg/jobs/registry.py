@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkreg.jobs import columns, datasets, models
+
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES: tuple = ()
+_MODULES = (datasets, columns, models)
 
 
 def queries() -> dict[str, Query]:
