@@ -28,7 +28,9 @@ def length_histogram(docs: DataFrame, vocabulary: str, text_col: str = "text") -
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, lengths = encoder(vocabulary), Counter()
         for batch in batches:
-            lengths.update(len(x) // tool.dtype.itemsize for x in tool.encode(batch.column(0).to_pylist()))
+            for low in range(0, batch.num_rows, 256):
+                lengths.update(tool.lengths(batch.column(0).slice(low, 256).to_pylist()))
+        tool.forget()
         yield pa.RecordBatch.from_pydict({"length": list(lengths), "n": list(lengths.values())}, schema=pa.schema([("length", pa.int64()), ("n", pa.int64())]))
 
     parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "length long, n long")

@@ -129,7 +129,7 @@ def write_records(
             ids, shards = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for lo in range(0, len(ids), 256):
                 texts = batch.column(1).slice(lo, 256).to_pylist()
-                packed = [x + end for x in tool.encode(texts)]
+                packed = [x.tobytes() + end for x in tool.encode(texts)]
                 framed = frame([(NULL_KEY if i is None else i).to_bytes(8, "little", signed=True) + x for i, x in zip(ids[lo:], packed, strict=False)])
                 for at, x, record in zip(shards[lo:], packed, framed, strict=False):
                     if data is not None and (at != shard or data.size >= roll_bytes):
@@ -144,6 +144,7 @@ def write_records(
                     data.write(record)
                     records += 1
                     tokens += len(x) // width
+        tool.forget()
         if data is not None:
             close()
         if done:

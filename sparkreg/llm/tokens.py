@@ -1,21 +1,39 @@
 """Exact byte-level BPE encoding with a cache of words, for use inside tasks.
 
 Byte-level BPE splits a text before it merges, and a single space or line feed between two other characters always
-starts a new piece. So a text whose white space is all of that kind is encoded word by word ("word" at a line's start,
-" word" elsewhere), each distinct word once by the library; any other text goes to the library whole. Both give the ids
-of ``Tokenizer.encode(text, add_special_tokens=False)``.
+starts a new piece. So a text whose white space is all of that kind is encoded word by word ("\\nword" at a line's start,
+" word" elsewhere), each distinct word once by the library, and put together from the cache by array operations; any
+other text goes to the library whole. Both give the ids of ``Tokenizer.encode(text, add_special_tokens=False)``.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
-MAX_WORDS = 400_000  # of the cache; about 80 MB a worker
+MAX_WORDS = 200_000  # of the cache; about 40 MB a worker while a task runs
 _OTHER = re.compile(r"[^\S \n]|\s\s|\A\s|\s\Z")  # white space that does not stand alone between two characters
-_encoders: dict[str, "Encoder"] = {}
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\\[-`{-~]?)")  # one piece of letters, and a mark
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE writes the bytes 33-126, 161-172 and 174-255 as they are, the others as 256, 257 ... in order."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in own)}
+
+
+_LETTERS = _byte_letters()
+
+
+class _Codes(dict):
+    """Words numbered as they are met."""
+
+    def __missing__(self, word: str) -> int:
+        code = self[word] = len(self)
+        return code
 
 
 class Encoder:
@@ -25,57 +43,109 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.words: dict[str, bytes] = {}
-        self.feed = self.library.encode("\n", add_special_tokens=False).ids
+        self.feed = self.ids("\n")
         # the word-wise way holds for byte-level pre-tokenisers; others are left to the library
         self.by_word = '"ByteLevel"' in self.library.to_str().split('"decoder"')[0] and len(self.feed) == 1 and self.ids("a b\nc") == self.ids("a") + self.ids(" b") + self.feed + self.ids("c")
-        self.feed_bytes = np.array(self.feed, self.dtype).tobytes()
+        self.model = self.library.model
+        self.direct = self.by_word and all(self._pieces(w) == self.ids(w) for w in (" the", " \u00e9l\u00e9ment,", "Stra\u00dfe."))
+        self.forget()
+
+    def _pieces(self, word: str) -> list[int] | None:
+        """The ids of one word of letters, with a space in front and a mark behind or without, from the BPE model itself,
+        as its split is known beforehand; None for any other word."""
+        m = _PLAIN.fullmatch(word, 1 if word[0] == " " else 0)
+        if m is None:
+            return None
+        letters = word[: m.end(1)]
+        written = letters.replace(" ", "\u0120") if letters.isascii() else letters.encode().decode("latin-1").translate(_LETTERS)
+        ids = [t.id for t in self.model.tokenize(written)]
+        if m[2]:
+            ids += [t.id for t in self.model.tokenize(m[2])]
+        return ids
 
     def ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, words: set[str]) -> None:
-        batch = list(words)
-        ids = np.array(self.library.encode_batch_fast(["\n".join(batch)], add_special_tokens=False)[0].ids, self.dtype)
-        ends = np.append(np.flatnonzero(ids == self.feed[0]), len(ids))
-        if len(ends) == len(batch):
-            data, at, size = ids.tobytes(), 0, self.dtype.itemsize
-            for word, end in zip(batch, ends.tolist(), strict=True):
-                self.words[word] = data[at * size : end * size]
-                at = end + 1
-        else:
-            for word in batch:
-                self.words[word] = np.array(self.ids(word), self.dtype).tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text, packed little-endian in self.dtype; null is empty."""
-        split: list[list[list[str]] | None] = []
-        known, unseen = self.words, set()
+    def forget(self) -> None:
+        """Empty the cache; the end of a task does so."""
+        self.codes = _Codes()
+        self.buffer, self.used = np.empty(1 << 16, self.dtype), 0
+        self.starts, self.sizes = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _store(self, parts: list[list[int]]) -> None:
+        """Append the ids of newly numbered words."""
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        need = self.used + int(sizes.sum())
+        if need > len(self.buffer):
+            self.buffer = np.concatenate([self.buffer[: self.used], np.empty(max(need, len(self.buffer)), self.dtype)])
+        self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.buffer[self.used : need] = np.fromiter(chain.from_iterable(parts), self.dtype, need - self.used)
+        self.used = need
+
+    def _joined(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, by one call with line feeds between; one by one should a text bring its own."""
+        if not texts:
+            return []
+        ids = np.array(self.library.encode_batch_fast(["\n".join(texts)], add_special_tokens=False)[0].ids, self.dtype)
+        ends = np.flatnonzero(ids == self.feed[0])
+        if len(ends) != len(texts) - 1:
+            return [np.array(self.ids(t), self.dtype) for t in texts]
+        return [part[1:] if k else part for k, part in enumerate(np.split(ids, ends))]
+
+    def _learn(self) -> None:
+        new = [w[1:] if w[:1] == "\n" else " " + w for w in list(self.codes)[len(self.starts) :]]
+        plain = [self._pieces(w) if self.direct and w else None for w in new]
+        other = [k for k, p in enumerate(plain) if p is None]
+        found = dict(zip(other, self._joined([new[k] for k in other]), strict=True))
+        feed = self.feed
+        # a word that stands at a line's start has its line feed in front
+        parts = (found[k].tolist() if p is None else p for k, p in enumerate(plain))
+        self._store([p if w[:1] == " " else feed + p for w, p in zip(new, parts, strict=True)])
+
+    def _coded(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """Word numbers of the texts that go word by word; a line feed stands before each text. None: the library's."""
+        if len(self.codes) > MAX_WORDS:
+            self.forget()
+        out: list[np.ndarray | None] = []
         for text in texts:
             if not text or not self.by_word or _OTHER.search(text):
-                split.append(None)
-                continue
-            lines = []
-            for line in text.split("\n"):
-                first, *rest = line.split(" ")
-                lines.append([first, *(" " + w for w in rest)])
-            split.append(lines)
-            for line in lines:
-                unseen.update(line)
-        unseen.difference_update(known)
-        if unseen:
-            if len(known) + len(unseen) > MAX_WORDS:  # the cache starts anew: all words of this batch are needed
-                known.clear()
-                unseen = {w for lines in split if lines for line in lines for w in line}
-            self._learn(unseen)
-        out = []
-        for text, lines in zip(texts, split, strict=True):
-            if lines is None:
-                out.append(np.array(self.ids(text), self.dtype).tobytes() if text else b"")
+                out.append(None)
             else:
-                out.append(self.feed_bytes.join(b"".join(map(known.__getitem__, line)) for line in lines))
+                words = f"\n{text}".replace("\n", " \n")[1:].split(" ")
+                out.append(np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words)))
+        if len(self.codes) > len(self.starts):
+            self._learn()
         return out
 
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text, in self.dtype; null is empty."""
+        coded = self._coded(texts)
+        some = [c for c in coded if c is not None]
+        flat, ends = np.empty(0, self.dtype), iter(())
+        if some:
+            codes = np.concatenate(some)
+            sizes = self.sizes[codes]
+            upto = np.cumsum(sizes)
+            flat = self.buffer[np.repeat(self.starts[codes] - upto + sizes, sizes) + np.arange(upto[-1])]
+            ends = iter(upto[np.cumsum(list(map(len, some))) - 1].tolist())
+        out, low = [], 0
+        for text, c in zip(texts, coded, strict=True):
+            if c is None:
+                out.append(np.array(self.ids(text) if text else [], self.dtype))
+            else:
+                high = next(ends)
+                out.append(flat[low + 1 : high])  # without the line feed in front
+                low = high
+        return out
+
+    def lengths(self, texts: list[str | None]) -> list[int]:
+        """The number of ids of each text."""
+        return [(len(self.ids(t)) if t else 0) if c is None else int(self.sizes[c].sum()) - 1 for t, c in zip(texts, self._coded(texts), strict=True)]
+
+
+_encoders: dict[str, Encoder] = {}
+
 
 def encoder(path: str) -> Encoder:
     """The encoder of a vocabulary file, kept for the life of the worker."""
