@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkreg.jobs import columns, datasets, models
+from sparkreg.jobs import columns, datasets, models, robust
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (datasets, columns, models)
+_MODULES = (datasets, columns, models, robust)
 
 
 def queries() -> dict[str, Query]:
