@@ -27,7 +27,7 @@ add = _R.add
 
 # ---- consensus
 
-SETTINGS = RS.Settings(threshold=19.5, sample=5, consensus=10, iterations=20)
+SETTINGS = RS.Settings(threshold=25.0, sample=5, consensus=10, iterations=20)
 
 
 def _by_supplier(spark, d):
@@ -44,7 +44,7 @@ def _fixed_draw(spark, d):
     return table(spark, d, "supplier").select((F.col("s_suppkey") % 20).cast("int").alias("iteration"), F.col("s_suppkey").alias("key"))
 
 
-_RANSAC = "c AS (SELECT CAST(s_suppkey % 20 AS INTEGER) AS iteration, s_suppkey AS key FROM supplier), f AS (SELECT iteration, regr_intercept(y, x) AS o, regr_slope(y, x) AS s FROM c JOIN li ON supp = key GROUP BY 1), m AS (SELECT iteration, supp AS key, sqrt(avg((y - o - s * x) ** 2)) AS metric FROM li, f GROUP BY 1, 2), j AS (SELECT m.iteration, m.key, CASE WHEN c.key IS NOT NULL THEN 'candidate' WHEN metric <= 19.5 THEN 'inlier' ELSE 'outlier' END AS role, metric FROM m LEFT JOIN c ON c.key = m.key AND c.iteration = m.iteration)"
+_RANSAC = "c AS (SELECT CAST(s_suppkey % 20 AS INTEGER) AS iteration, s_suppkey AS key FROM supplier), f AS (SELECT iteration, regr_intercept(y, x) AS o, regr_slope(y, x) AS s FROM c JOIN li ON supp = key GROUP BY 1), m AS (SELECT iteration, supp AS key, sqrt(avg((y - o - s * x) ** 2)) AS metric FROM li, f GROUP BY 1, 2), j AS (SELECT m.iteration, m.key, CASE WHEN c.key IS NOT NULL THEN 'candidate' WHEN metric <= 25.0 THEN 'inlier' ELSE 'outlier' END AS role, metric FROM m LEFT JOIN c ON c.key = m.key AND c.iteration = m.iteration)"
 
 
 @add("ransac_inliers", f"WITH {LI}, {_RANSAC} SELECT iteration, key, role, round(metric, 6) AS metric FROM j")
@@ -191,10 +191,10 @@ def _(spark, d):
 def _log(spark, d):
     """A sampler log made of the events: ten walkers an iteration."""
     e = events(spark, d)
-    return e.select(F.expr("int(row_id div 10)").alias("iteration"), (F.col("row_id") % 10).cast("int").alias("ensemble_index"), (-F.col("target")).alias("log_probability"), F.col("feature").alias("p"), F.col("target").alias("q"))
+    return e.select(F.expr("int(row_id div 10)").alias("iteration"), (F.col("row_id") % 10).cast("int").alias("ensemble_index"), (-F.col("target")).alias("log_probability"), F.round("feature", 4).alias("p"), F.col("target").alias("q"))
 
 
-_LOG = "lg AS (SELECT CAST(row_id // 10 AS INTEGER) AS iteration, CAST(row_id % 10 AS INTEGER) AS ensemble_index, -target AS log_probability, feature AS p, target AS q FROM ev)"
+_LOG = "lg AS (SELECT CAST(row_id // 10 AS INTEGER) AS iteration, CAST(row_id % 10 AS INTEGER) AS ensemble_index, -target AS log_probability, round(feature, 4) AS p, target AS q FROM ev)"
 
 
 @add("sampler_summary", f"WITH {EV}, {_LOG}, k AS (SELECT * FROM lg WHERE iteration >= 50 AND (iteration - 50) % 3 = 0), c AS (SELECT quantile_cont(log_probability, 0.1) AS c FROM k), t AS (SELECT unnest([{{'name': 'p', 'v': p}}, {{'name': 'q', 'v': q}}]) AS s FROM k, c WHERE log_probability >= c), l AS (SELECT s.name AS name, quantile_cont(s.v, 0.05) AS a, quantile_cont(s.v, 0.95) AS b FROM t GROUP BY 1) SELECT name, round(a - 0.05 * (b - a), 4) AS low, round(b + 0.05 * (b - a), 4) AS high FROM l")
@@ -329,16 +329,16 @@ def _csv(spark, d, name: str, rows):
     return spark.read.csv(path, header=True, schema=", ".join(f"`{c}` string" for c in rows.columns), emptyValue="")
 
 
-@add("write_dataset_csv", f"WITH {EV} SELECT printf('%.6f', feature) AS feature, printf('%.6f', target) AS target, printf('%.6f', target_variance) AS target_variance, CASE WHEN row_id % 2 = 0 THEN printf('%.6f', target + 1) END AS prediction, CASE WHEN row_id % 2 = 0 THEN '2.000000' END AS prediction_variance, CASE WHEN row_id % 2 = 0 THEN 'later' ELSE key END AS note FROM ev")
+@add("write_dataset_csv", f"WITH {EV} SELECT printf('%.6f', round(feature, 4)) AS feature, printf('%.6f', target) AS target, printf('%.6f', target_variance) AS target_variance, CASE WHEN row_id % 2 = 0 THEN printf('%.6f', target + 1) END AS prediction, CASE WHEN row_id % 2 = 0 THEN '2.000000' END AS prediction_variance, CASE WHEN row_id % 2 = 0 THEN 'later' ELSE key END AS note FROM ev")
 def _(spark, d):
-    e = events(spark, d).withColumnRenamed("key", "note").drop("user_id")
+    e = events(spark, d).withColumnRenamed("key", "note").drop("user_id").withColumn("feature", F.round("feature", 4))
     p = e.where("row_id % 2 = 0").select("row_id", (F.col("target") + 1).alias("mean"), F.lit(2.0).alias("variance"), F.lit("later").alias("note"))
     return _csv(spark, d, "dataset", S.csv_rows(e, p, ["note"]))
 
 
-@add("write_dataset_only_csv", f"WITH {EV} SELECT printf('%.6f', feature) AS feature, printf('%.6f', target) AS target, printf('%.6f', target_variance) AS target_variance, '0.000000' AS prediction, '0.000000' AS prediction_variance FROM ev")
+@add("write_dataset_only_csv", f"WITH {EV} SELECT printf('%.6f', round(feature, 4)) AS feature, printf('%.6f', target) AS target, printf('%.6f', target_variance) AS target_variance, '0.000000' AS prediction, '0.000000' AS prediction_variance FROM ev")
 def _(spark, d):
-    return _csv(spark, d, "dataset", S.csv_rows(events(spark, d).drop("key", "user_id"), None))
+    return _csv(spark, d, "dataset", S.csv_rows(events(spark, d).drop("key", "user_id").withColumn("feature", F.round("feature", 4)), None))
 
 
 @add("write_many_datasets_csv", "SELECT s_name AS note, printf('%.6f', s_acctbal) AS target FROM supplier UNION ALL SELECT NULL, printf('%.6f', c_acctbal) FROM customer")

@@ -72,7 +72,7 @@ def flatten(df: DataFrame, feature: str = "feature", custom: dict[str, Column] |
 
 def fixed(c: Column) -> Column:
     """A number with six decimals; null stays empty."""
-    return F.format_string("%.6f", c.cast("double"))
+    return F.when(c.isNotNull(), F.format_string("%.6f", c.cast("double")))
 
 
 def csv_rows(dataset: DataFrame, predictions: DataFrame | None, metadata: list[str] = (), row_id: str = "row_id") -> DataFrame:
