@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkreg.functions.storage import bounded_broadcast, materialise
-from sparkreg.llm.shingles import windows
+from sparkreg.llm.shingles import forget, windows
 
 WORD = re.compile(r"[^\W_]+")
 LEAST = 16  # shingles in a block of the smallest class
@@ -130,6 +130,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, threshold: float =
                         if n >= threshold * len(item) - 1e-9:
                             hits.append((ids[d], keys[d], index.ids[k], n, len(item), n / len(item)))
                     yield pa.RecordBatch.from_pylist([dict(zip(schema.names, h, strict=True)) for h in hits], schema=schema)
+            forget()
 
         found = rows.select("doc_id", "text", "key").mapInArrow(scan, "doc_id long, key string, item_id long, shared long, item_shingles long, containment double")
         out = found if out is None else out.union(found)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from sparkreg.functions.components import connected_components
 from sparkreg.functions.storage import bounded_broadcast, materialise
-from sparkreg.llm.shingles import windows
+from sparkreg.llm.shingles import forget, windows
 from sparkreg.llm.textstats import WORD
 
 BANDS, WIDTH, STEP = 20, 4, 16
@@ -161,6 +161,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 bands += own_bands
                 lo += len(sets)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "sig", "bands"])
+        forget()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(sign, f"doc_id {kind}, key binary, sig binary, bands array<bigint>")
@@ -250,6 +251,7 @@ def near_duplicates(
         for batch in batches:
             sets = pa.array([shingle_set(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("component", "size", "key", "copies")), sets], names=["component", "size", "key", "copies", "shingles"])
+        forget()
 
     rows = texts.select("component", "size", "key", "copies", "text").mapInArrow(cut, "component binary, size long, key binary, copies long, shingles binary")
     rows = _in_block_pairs(rows, F.ceil(F.col("size") / block_rows), F.col("key")).select("component", "__i", "__j", "key", "__own", "copies", "shingles")
