@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from sparkreg.functions.storage import bounded_broadcast, materialise
 
 WORDS = "[^\\x20\\x09-\\x0D]+"
+SEED = 20240607
 CELLS = 4096
 _BITS = 50  # of a rank
 
@@ -75,7 +76,7 @@ def _with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
 
 def mix_sources(
     docs: DataFrame, *, share: float = 1.5, weights: tuple[float, ...] = (3.0, 1.0, 2.0), max_copies: float = 2.0, size_power: float = 0.25,
-    reach: int = 64, seed: int = 20240607, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+    reach: int = 64, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
 ) -> DataFrame:
     """docs with the columns mix_size, mix_source_size, mix_target, mix_copies and mix_taken added (replaced if present)."""
     sized = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_taken")
@@ -88,7 +89,7 @@ def mix_sources(
     rank = F.when(can, _rank(F.col("id"), F.least("__p", F.lit(1 - 1e-12)), seed))
     ranked = _with_class(slim.withColumnsRenamed({"source": "__source", "size": "__size", "class": "__class"}), classes)
     ranked = ranked.select("__source", "__size", rank.alias("k")).where("k is not null")
-    ranked = materialise(ranked.withColumn("cell", F.shiftright("k", _BITS - 12)), "mix-ranks")
+    ranked = materialise(ranked.withColumn("cell", F.shiftright("k", _BITS - CELLS.bit_length() + 1)), "mix-ranks")
     missing = classes.groupBy("source").agg((F.max("target") - F.sum(F.col("whole") * F.col("words"))).alias("missing")).withColumnRenamed("source", "__r")
     up = Window.partitionBy("__source").orderBy("cell")
     cells = ranked.groupBy("__source", "cell").agg(F.sum("__size").alias("words"), F.count(F.lit(1)).alias("n"))

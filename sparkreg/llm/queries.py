@@ -68,8 +68,45 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in named}
 
 
+#: The mix in SQL: sources, size classes, ranks and the point up to which ranks are taken.
+MIX_SQL = """
+    WITH c AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+    d AS (SELECT doc_id, source, size, length(bin(size)) AS class FROM c),
+    cells AS (SELECT source, class, CAST(sum(size) AS BIGINT) AS words FROM d GROUP BY ALL),
+    s0 AS (SELECT source, CAST(sum(words) AS BIGINT) AS source_size FROM cells GROUP BY 1),
+    s1 AS (SELECT *, [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w, 2.0::DOUBLE * source_size AS cap FROM s0),
+    s2 AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()
+             - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+             / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s1),
+    lv AS (SELECT level FROM s2 WHERE level * w <= cap ORDER BY cap / w, source NULLS LAST LIMIT 1),
+    src AS (SELECT source, source_size, round(least(cap, coalesce((SELECT level FROM lv) * w, cap)), 6) AS target FROM s2),
+    k1 AS (SELECT cells.source, class, words, source_size, target, pow(2.0::DOUBLE, 0.25::DOUBLE * class) AS m
+           FROM cells JOIN src ON cells.source IS NOT DISTINCT FROM src.source),
+    k2 AS (SELECT *, (target - coalesce(sum(2.0::DOUBLE * words) OVER (PARTITION BY source ORDER BY class DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+             / nullif(sum(m * words) OVER (PARTITION BY source ORDER BY class DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS l FROM k1),
+    best AS (SELECT source, arg_max(l, class) AS l FROM k2 WHERE l * m <= 2 GROUP BY 1),
+    k3 AS (SELECT k2.source, class, words, source_size, target, greatest(0.0::DOUBLE, least(2.0::DOUBLE, coalesce(best.l * m, 2.0::DOUBLE))) AS e
+           FROM k2 LEFT JOIN best ON k2.source IS NOT DISTINCT FROM best.source),
+    r AS (SELECT doc_id, d.source, size, source_size, target, floor(e) AS whole, e - floor(e) AS p,
+            (('0x' || substr(md5('SEED:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+          FROM d JOIN k3 ON d.source IS NOT DISTINCT FROM k3.source AND d.class = k3.class),
+    o AS (SELECT *, CASE WHEN size > 0 AND p > 1e-12 THEN (u / (1 - u)) / (least(p, 1 - 1e-12) / (1 - least(p, 1 - 1e-12))) END AS odds FROM r),
+    q AS (SELECT *, CAST(floor(odds / (1 + odds) * 1125899906842624.0::DOUBLE) AS BIGINT) AS k FROM o),
+    g AS (SELECT source, max(target) - sum(floor(e) * words) AS missing FROM k3 GROUP BY 1),
+    t AS (SELECT source, k, sum(size) AS x FROM q WHERE k IS NOT NULL GROUP BY ALL),
+    v AS (SELECT t.source, k, x, missing, sum(x) OVER (PARTITION BY t.source ORDER BY k) AS upto FROM t JOIN g ON t.source IS NOT DISTINCT FROM g.source),
+    y AS (SELECT *, upto <= missing AS inside, sum(CASE WHEN upto > missing THEN 1 END) OVER (PARTITION BY source ORDER BY k) AS nth,
+            missing - coalesce(max(CASE WHEN upto <= missing THEN upto END) OVER (PARTITION BY source), 0) AS gap FROM v),
+    z AS (SELECT source, coalesce(max(CASE WHEN inside THEN k END), -1) AS cut,
+            arg_min(k, (abs(gap - x), k)) FILTER (WHERE NOT inside AND nth <= 64 AND abs(gap - x) < gap) AS pick FROM y GROUP BY 1)
+    SELECT doc_id, size, source_size, target, CAST(size * n AS BIGINT) AS taken, CAST(n AS BIGINT) AS copies
+    FROM (SELECT q.*, CASE WHEN size = 0 THEN 0 ELSE whole + CASE WHEN k <= cut OR k = pick THEN 1 ELSE 0 END END AS n
+          FROM q LEFT JOIN z ON q.source IS NOT DISTINCT FROM z.source)""".replace("SEED", str(mixing.SEED))
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_pareto_mix": MIX_SQL,
         "op6_warc": """
             WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
             s AS (SELECT d, n, max(page_id) AS m, count(*) AS c FROM p WHERE n >= 1000 GROUP BY d, n)
