@@ -27,7 +27,7 @@ add = _R.add
 
 # ---- consensus
 
-SETTINGS = RS.Settings(threshold=25.0, sample=5, consensus=10, iterations=20)
+SETTINGS = RS.Settings(threshold=30.0, sample=5, consensus=10, iterations=20)
 
 
 def _by_supplier(spark, d):
@@ -44,7 +44,7 @@ def _fixed_draw(spark, d):
     return table(spark, d, "supplier").select((F.col("s_suppkey") % 20).cast("int").alias("iteration"), F.col("s_suppkey").alias("key"))
 
 
-_RANSAC = "c AS (SELECT CAST(s_suppkey % 20 AS INTEGER) AS iteration, s_suppkey AS key FROM supplier), f AS (SELECT iteration, regr_intercept(y, x) AS o, regr_slope(y, x) AS s FROM c JOIN li ON supp = key GROUP BY 1), m AS (SELECT iteration, supp AS key, sqrt(avg((y - o - s * x) ** 2)) AS metric FROM li, f GROUP BY 1, 2), j AS (SELECT m.iteration, m.key, CASE WHEN c.key IS NOT NULL THEN 'candidate' WHEN metric <= 25.0 THEN 'inlier' ELSE 'outlier' END AS role, metric FROM m LEFT JOIN c ON c.key = m.key AND c.iteration = m.iteration)"
+_RANSAC = "c AS (SELECT CAST(s_suppkey % 20 AS INTEGER) AS iteration, s_suppkey AS key FROM supplier), f AS (SELECT iteration, regr_intercept(y, x) AS o, regr_slope(y, x) AS s FROM c JOIN li ON supp = key GROUP BY 1), m AS (SELECT iteration, supp AS key, sqrt(avg((y - o - s * x) ** 2)) AS metric FROM li, f GROUP BY 1, 2), j AS (SELECT m.iteration, m.key, CASE WHEN c.key IS NOT NULL THEN 'candidate' WHEN metric <= 30.0 THEN 'inlier' ELSE 'outlier' END AS role, metric FROM m LEFT JOIN c ON c.key = m.key AND c.iteration = m.iteration)"
 
 
 @add("ransac_inliers", f"WITH {LI}, {_RANSAC} SELECT iteration, key, role, round(metric, 6) AS metric FROM j")
