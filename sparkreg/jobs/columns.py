@@ -73,11 +73,11 @@ def _(spark, d):
     return _scored(spark, d).groupBy(cell.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_UNIT = "u AS (SELECT row_id, greatest(-1.0, least(1.0, (target - 50) / 60)) AS x FROM ev)"
+_UNIT = "u AS (SELECT row_id, greatest(-1.0, least(1.0, (target - 50) / 61)) AS x FROM ev)"
 
 
 def _unit(spark, d):
-    return events(spark, d).select("row_id", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("target") - 50) / 60)).alias("x"))
+    return events(spark, d).select("row_id", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("target") - 50) / 61)).alias("x"))
 
 
 @add("chebyshev_t", f"WITH {EV}, {_UNIT} SELECT row_id, round(cos(7 * acos(x)), 6) AS t FROM u")
