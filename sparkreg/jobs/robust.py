@@ -64,7 +64,7 @@ def _(spark, d):
     return row.select(F.lit(code).alias("code"), r6("offset").alias("offset"), r6("slope").alias("slope"))
 
 
-@add("ransac_return_code")
+@add("ransac_return_code", f"WITH {LI}, g AS (SELECT count(DISTINCT supp) AS n FROM li), a AS (SELECT * FROM (VALUES (1, 2, 20), (0, 2, 20), (3, 2, 20), (3, 1000000000, 20), (3, 5, 0)) t(sample, consensus, iterations)) SELECT sample, consensus, iterations, CASE WHEN iterations <= 0 OR sample <= 0 OR sample >= n OR consensus >= n OR consensus < sample THEN 'invalid_arguments' ELSE 'ok' END AS code FROM a, g")
 def _(spark, d):
     n = _by_supplier(spark, d).select("key").distinct()
     sizes = [(1, 2, 20), (0, 2, 20), (3, 2, 20), (3, 10**9, 20), (3, 5, 0)]
@@ -371,10 +371,21 @@ def _(spark, d):
     return state.select("iteration", "ensemble_index", r6("log_probability").alias("log_probability"), F.when(F.isnan("p"), -99.0).otherwise(r6("p")).alias("p"))
 
 
-@add("save_load_fit")
-def _(spark, d):
+def _saved(spark, d) -> str:
     path = new_folder(spark, "fit")
     S.save_fit(GP.fit_gp(_users(spark, d), KERNEL, mean=fifty), path)
+    return path
+
+
+@add("save_fit")
+def _(spark, d):
+    saved = spark.read.parquet(_saved(spark, d))
+    return saved.select("key", "n", F.size("x").alias("features"), F.size("chol").alias("factor"), F.size("information").alias("information"))
+
+
+@add("load_fit")
+def _(spark, d):
+    path = _saved(spark, d)
     return _shown(GP.predict_gp(S.load_fit(spark, path), _grid(spark, d), KERNEL, mean=fifty))
 
 
