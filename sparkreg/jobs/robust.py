@@ -59,8 +59,8 @@ def _(spark, d):
 
 @add("ransac_fit")
 def _(spark, d):
-    code, judged, fitted = RS.fit(_by_supplier(spark, d), SETTINGS)
-    row = fitted if fitted is not None else judged.limit(1).select(F.lit(math.nan).alias("offset"), F.lit(math.nan).alias("slope"))
+    code, _, fitted = RS.fit(_by_supplier(spark, d), SETTINGS)
+    row = fitted if fitted is not None else spark.range(1).select(F.lit(math.nan).alias("offset"), F.lit(math.nan).alias("slope"))
     return row.select(F.lit(code).alias("code"), r6("offset").alias("offset"), r6("slope").alias("slope"))
 
 
