@@ -33,11 +33,24 @@ def new_folder(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and return a DataFrame that reads it: cuts the lineage."""
-    path = new_folder(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialise(df: DataFrame, tag: str, batch_rows: int | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and return a DataFrame that reads it: cuts the lineage.
+
+    batch_rows: rows of the Arrow batches between Spark and Python while df is written; few where rows hold long texts.
+    """
+    spark, path = df.sparkSession, new_folder(df.sparkSession, tag)
+    before = spark.conf.get(_BATCH)
+    try:
+        if batch_rows:
+            spark.conf.set(_BATCH, batch_rows)
+            df = df.select("*")  # planned anew, with that size
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:

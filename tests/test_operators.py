@@ -126,3 +126,16 @@ def test_spanning_forest_has_least_cost(spark):
     assert most == -_kruskal([(a, b, -c, k) for a, b, c, k in edges if a != b])[0]
     tree = GR.spanning_tree(spark.createDataFrame([(0, 1, 5.0, 0), (1, 2, 4.0, 1), (7, 8, 1.0, 2)], "a int, b int, cost double, id int"))
     assert [(r.a, r.b) for r in tree.collect()] == [(7, 8)]
+
+
+def test_materialise_keeps_the_session_as_it_was(spark):
+    from sparkreg.functions.storage import bounded_broadcast, materialise
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    df = spark.range(50)
+    sizes = df.mapInPandas(lambda it: (p.assign(id=len(p)) for p in it), "id long")
+    assert max(r.id for r in materialise(sizes, "sizes", batch_rows=5).collect()) <= 5
+    assert spark.conf.get(key) == before
+    assert "broadcast" in bounded_broadcast(df, 50)._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" not in bounded_broadcast(df, 49)._jdf.queryExecution().logical().toString().lower()
