@@ -4,7 +4,7 @@ Features of the whole text are binned; cyclic boosting visits the features in tu
 of the current residual to that feature's lookup table, then does the same over the strongest pairs of features on coarser
 bins. A score is the sum of table entries, looked up for whole batches at once, through the logistic function.
 
-Training takes at most ``max_rows`` labelled rows (chosen by a hash of the id, so reruns agree); features are computed
+Training takes about ``max_rows`` labelled rows at most (those in a share of the range of a hash of the id, so reruns agree); features are computed
 for, and scores given to, all rows. The features see the text alone.
 
 Defined cases: null text counts as empty; of several labels of an id the largest holds; null labels are not used; a null
@@ -135,8 +135,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, folds: int = 5, thresh
     rest = F.coalesce(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds, F.lit(0))
     slim = materialise(measured_docs(docs, [F.col(id_col).alias("doc_id"), (rest == 0).alias("held_out")], text_col), "gam-features")
     known = labels.where("quality is not null").groupBy(F.col(id_col).alias("__id")).agg(F.max("quality").alias("__y"))
-    train = slim.where("not held_out").join(known, F.col("doc_id") == F.col("__id"))
-    train = train.select("doc_id", "__y", *COUNTS).orderBy(F.xxhash64("doc_id"), *COUNTS).limit(max_rows).toPandas()  # bounded by max_rows
+    train = materialise(slim.where("not held_out").join(known, F.col("doc_id") == F.col("__id")).select("doc_id", "__y", *COUNTS), "gam-labelled")
+    # a cut of the hash range keeps about max_rows rows before any leave their task; 1.1 leaves room for chance
+    share = min(1.0, max_rows / max(1, train.count()))
+    train = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(int(1.1 * max_rows)).toPandas()
+    train = train.sort_values(["doc_id", *COUNTS])
     model = fit(features({c: train[c].to_numpy(float) for c in COUNTS}), train["__y"].to_numpy(float))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
