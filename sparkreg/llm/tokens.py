@@ -9,14 +9,18 @@ other text goes to the library whole. Both give the ids of ``Tokenizer.encode(te
 from __future__ import annotations
 
 import os
-import re
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 MAX_WORDS = 200_000  # of the cache; about 40 MB a worker while a task runs
-_OTHER = re.compile(r"[^\S \n]|\s\s|\A\s|\s\Z")  # white space that does not stand alone between two characters
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\\[-`{-~]?)")  # one piece of letters, and a mark
+
+
+def _single(text: str) -> bool:
+    """Whether all white space is single spaces and line feeds between two other characters."""
+    words = text.split()
+    gaps = len(words) - 1
+    return sum(map(len, words)) + gaps == len(text) and text.count(" ") + text.count("\n") == gaps
 
 
 def _byte_letters() -> dict[int, str]:
@@ -25,7 +29,18 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in own)}
 
 
-_LETTERS = _byte_letters()
+_POINTS = np.array([_byte_letters().get(b, chr(b)) for b in range(256)]).view("<u4").astype("<u2")  # of the bytes as BPE writes them
+_LETTER = np.zeros(256, bool)  # bytes of the letters of ASCII and U+00C0 - U+023F in UTF-8
+_LETTER[[*range(65, 91), *range(97, 123), *range(0xC3, 0xC9), *range(0x80, 0xC0)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
+_LF = 10
+
+
+def _slots(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions start .. start + size - 1 of every run, one after the other."""
+    upto = np.cumsum(sizes)
+    return np.repeat(starts - upto + sizes, sizes) + np.arange(upto[-1] if len(upto) else 0)
 
 
 class _Codes(dict):
@@ -47,41 +62,63 @@ class Encoder:
         # the word-wise way holds for byte-level pre-tokenisers; others are left to the library
         self.by_word = '"ByteLevel"' in self.library.to_str().split('"decoder"')[0] and len(self.feed) == 1 and self.ids("a b\nc") == self.ids("a") + self.ids(" b") + self.feed + self.ids("c")
         self.model = self.library.model
-        self.direct = self.by_word and all(self._pieces(w) == self.ids(w) for w in (" the", " \u00e9l\u00e9ment,", "Stra\u00dfe."))
+        self.short: dict[str, list[int]] = {}  # ids of pieces of one or two letters: marks, above all
+        self.direct = False
+        self.forget()
+        if self.by_word:
+            self.direct = all(p.tolist() == self.ids(w) for w, p in ((w, self._plain([w])[1]) for w in (" the", " \u00e9l\u00e9ment,", "Stra\u00dfe.")))
         self.forget()
 
-    def _pieces(self, word: str) -> list[int] | None:
-        """The ids of one word of letters, with a space in front and a mark behind or without, from the BPE model itself,
-        as its split is known beforehand; None for any other word."""
-        m = _PLAIN.fullmatch(word, 1 if word[0] == " " else 0)
-        if m is None:
-            return None
-        letters = word[: m.end(1)]
-        written = letters.replace(" ", "\u0120") if letters.isascii() else letters.encode().decode("latin-1").translate(_LETTERS)
-        ids = [t.id for t in self.model.tokenize(written)]
-        if m[2]:
-            ids += [t.id for t in self.model.tokenize(m[2])]
-        return ids
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which, ids, sizes): the words of letters, with a space in front or without and marks behind or without, whose
+        split is known beforehand, and their ids from the BPE model itself, one word after the other."""
+        data = np.frombuffer(("\n".join(words) + "\n").encode("utf-8", "surrogatepass"), np.uint8)
+        ends = np.flatnonzero(data == _LF)
+        starts = np.append(0, ends[:-1] + 1)
+        odd = ~_LETTER[data]
+        odd[:-1] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))  # the signs for times and divided by
+        spaced = data[starts] == 32
+        odd[ends] = False
+        odd[starts[spaced]] = False
+        odds, marks = (np.add.reduceat(x, starts, dtype=np.int64) for x in (odd, odd & _MARK[data]))
+        first = np.minimum(np.minimum.reduceat(np.where(odd, np.arange(len(data)), len(data)), starts), ends)
+        which = np.flatnonzero((odds == marks) & (ends - first == odds) & (first - starts - spaced >= 1))
+        if not len(which):
+            return which, np.empty(0, self.dtype), np.empty(0, np.int64)
+        starts, ends, marked = starts[which], ends[which], odds[which] > 0
+        own = data[_slots(starts, ends - starts + 1)]
+        base = np.cumsum(ends - starts + 1) - (ends - starts + 1)
+        written = np.insert(own, (base + first[which] - starts)[marked], _LF)[:-1]  # marks are a piece of their own
+        tokenize, ids, sizes = self.model.tokenize, [], []
+        for piece in _POINTS[written].tobytes().decode("utf-16-le").split(chr(_POINTS[_LF])):
+            own_ids = self.short.get(piece)
+            if own_ids is None:
+                own_ids = [t.id for t in tokenize(piece)]
+                if len(piece) < 3:
+                    self.short[piece] = own_ids
+            ids += own_ids
+            sizes.append(len(own_ids))
+        word = np.repeat(np.arange(len(which)), 1 + marked)
+        return which, np.array(ids, self.dtype), np.bincount(word, sizes, len(which)).astype(np.int64)
 
     def ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
     def forget(self) -> None:
-        """Empty the cache; the end of a task does so."""
+        """Empty the cache and give freed memory back; the end of a task does so."""
+        pa.default_memory_pool().release_unused()
         self.codes = _Codes()
         self.buffer, self.used = np.empty(1 << 16, self.dtype), 0
         self.starts, self.sizes = np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def _store(self, parts: list[list[int]]) -> None:
-        """Append the ids of newly numbered words."""
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    def _store(self, sizes: np.ndarray) -> np.ndarray:
+        """Room for newly numbered words; returns where each begins."""
         need = self.used + int(sizes.sum())
         if need > len(self.buffer):
             self.buffer = np.concatenate([self.buffer[: self.used], np.empty(max(need, len(self.buffer)), self.dtype)])
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.buffer[self.used : need] = np.fromiter(chain.from_iterable(parts), self.dtype, need - self.used)
-        self.used = need
+        starts = self.used + np.cumsum(sizes) - sizes
+        self.starts, self.sizes, self.used = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes]), need
+        return starts
 
     def _joined(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, by one call with line feeds between; one by one should a text bring its own."""
@@ -94,14 +131,20 @@ class Encoder:
         return [part[1:] if k else part for k, part in enumerate(np.split(ids, ends))]
 
     def _learn(self) -> None:
-        new = [w[1:] if w[:1] == "\n" else " " + w for w in list(self.codes)[len(self.starts) :]]
-        plain = [self._pieces(w) if self.direct and w else None for w in new]
-        other = [k for k, p in enumerate(plain) if p is None]
-        found = dict(zip(other, self._joined([new[k] for k in other]), strict=True))
-        feed = self.feed
-        # a word that stands at a line's start has its line feed in front
-        parts = (found[k].tolist() if p is None else p for k, p in enumerate(plain))
-        self._store([p if w[:1] == " " else feed + p for w, p in zip(new, parts, strict=True)])
+        new = list(self.codes)[len(self.starts) :]
+        at_line = np.fromiter((w[:1] == "\n" for w in new), bool, len(new))  # these have the line feed in front
+        raw = [w[1:] if first else " " + w for w, first in zip(new, at_line.tolist(), strict=True)]
+        which, ids, sizes = self._plain(raw) if self.direct else (np.empty(0, np.int64), np.empty(0, self.dtype), np.empty(0, np.int64))
+        rest = np.setdiff1d(np.arange(len(new)), which)
+        found = self._joined([raw[k] for k in rest.tolist()])
+        all_sizes = at_line.astype(np.int64)
+        all_sizes[which] += sizes
+        all_sizes[rest] += np.fromiter(map(len, found), np.int64, len(found))
+        starts = self._store(all_sizes)
+        self.buffer[starts[at_line]] = self.feed[0]
+        self.buffer[_slots(starts[which] + at_line[which], sizes)] = ids
+        if len(rest):
+            self.buffer[_slots(starts[rest] + at_line[rest], all_sizes[rest] - at_line[rest])] = np.concatenate(found)
 
     def _coded(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Word numbers of the texts that go word by word; a line feed stands before each text. None: the library's."""
@@ -109,7 +152,7 @@ class Encoder:
             self.forget()
         out: list[np.ndarray | None] = []
         for text in texts:
-            if not text or not self.by_word or _OTHER.search(text):
+            if not text or not self.by_word or not _single(text):
                 out.append(None)
             else:
                 words = f"\n{text}".replace("\n", " \n")[1:].split(" ")
@@ -127,7 +170,7 @@ class Encoder:
             codes = np.concatenate(some)
             sizes = self.sizes[codes]
             upto = np.cumsum(sizes)
-            flat = self.buffer[np.repeat(self.starts[codes] - upto + sizes, sizes) + np.arange(upto[-1])]
+            flat = self.buffer[_slots(self.starts[codes], sizes)]
             ends = iter(upto[np.cumsum(list(map(len, some))) - 1].tolist())
         out, low = [], 0
         for text, c in zip(texts, coded, strict=True):
