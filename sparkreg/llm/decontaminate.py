@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkreg.functions.storage import bounded_broadcast, materialise
-from sparkreg.llm.shingles import forget, windows
+from sparkreg.llm.shingles import TEXTS, forget, windows
 
 WORD = re.compile(r"[^\W_]+")
 LEAST = 16  # shingles in a block of the smallest class
-_BITS = 20  # of the tables that sort out most windows
+_BITS = 20  # at most, of the tables that sort out most windows; 256 places an item suffice
 _NONE = np.uint32(0xFFFFFFFF)
 
 
@@ -56,15 +56,16 @@ class Index:
         self.classes = {}
         for level, members in by.items():
             m = np.array([[((self.sets[k] >> np.uint64(32)).astype(np.uint32) * a).min() for k in members] for a in self.a])
-            table = np.zeros((hashes, 1 << _BITS), bool)
-            table[np.arange(hashes)[:, None], m >> np.uint32(32 - _BITS)] = True
+            shift = np.uint32(32 - min(_BITS, 8 + len(members).bit_length()))
+            table = np.zeros((hashes, 1 << (32 - int(shift))), bool)
+            table[np.arange(hashes)[:, None], m >> shift] = True
             order = np.argsort(m, axis=1, kind="stable")
-            self.classes[level] = (table, np.take_along_axis(m, order, 1), np.array(members)[order])
+            self.classes[level] = (shift, table, np.take_along_axis(m, order, 1), np.array(members)[order])
 
     def candidates(self, docs: list[np.ndarray]) -> set[tuple[int, int]]:
         """(document, item) pairs of which a window and the item share a minimum hash."""
         found: set[tuple[int, int]] = set()
-        for level, (table, values, members) in self.classes.items():
+        for level, (shift, table, values, members) in self.classes.items():
             size = LEAST << level
             blocks = [-(-len(d) // size) for d in docs]
             total = sum(blocks)
@@ -86,7 +87,7 @@ class Index:
                 v[empty] = _NONE
                 low = v.min(axis=0)
                 w = np.where(joined, np.minimum(low, np.append(low[1:], _NONE)), low)
-                maybe = np.flatnonzero(table[k][w >> np.uint32(32 - _BITS)])
+                maybe = np.flatnonzero(table[k][w >> shift])
                 if len(maybe):
                     lo, hi = (np.searchsorted(values[k], w[maybe], side=s) for s in ("left", "right"))
                     for window, x, y in zip(maybe[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
@@ -140,6 +141,6 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, threshold: float =
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The rows of docs that hold no item. Rows are told apart by id and text."""
     found = find_contamination(docs, items, id_col=id_col, text_col=text_col, with_key=True, **settings)
-    found = materialise(found.select(F.col("doc_id").alias("__i"), F.col("key").alias("__k")).distinct(), "contaminated")
+    found = materialise(found.select(F.col("doc_id").alias("__i"), F.col("key").alias("__k")).distinct(), "contaminated", TEXTS)
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__i")) & (F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("__k"))
     return docs.join(bounded_broadcast(found), same, "left_anti")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from sparkreg.functions.components import connected_components
 from sparkreg.functions.storage import bounded_broadcast, materialise
-from sparkreg.llm.shingles import forget, windows
+from sparkreg.llm.shingles import TEXTS, forget, windows
 from sparkreg.llm.textstats import WORD
 
 BANDS, WIDTH, STEP = 20, 4, 16
@@ -235,7 +235,7 @@ def near_duplicates(
     included. With with_key, also key (of the text) and class_key (the text of the class's least id, and key).
     """
     least = least_matches(threshold, tolerance)
-    signed = materialise(signatures(docs, id_col, text_col), "signatures")
+    signed = materialise(signatures(docs, id_col, text_col), "signatures", TEXTS)
     classes = signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = materialise(classes, "text-classes")
     groups = materialise(_candidate_groups(classes.where("sig is not null"), least, bucket_rows), "groups")
@@ -275,7 +275,7 @@ def near_duplicates(
                 keys = pa.array([key[k] for k in new], pa.binary())
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), pa.array(links[at]), keys.take(pa.array(root[at]))], names=["key", "links", "root"])
 
-    found = materialise(rows.mapInArrow(verify, "key binary, links long, root binary"), "links")
+    found = materialise(rows.mapInArrow(verify, "key binary, links long, root binary"), "links", TEXTS)
     components = connected_components(found, "key", "root").withColumnRenamed("node", "n")
     links = found.groupBy(F.col("key").alias("lk")).agg(F.sum("links").alias("links"))
     members = classes.select("key", "rep", "copies").join(components, F.col("key") == F.col("n"), "left").join(links, F.col("key") == F.col("lk"), "left")

@@ -115,13 +115,13 @@ def measured_docs(docs: DataFrame, keep: list, text_col: str = "text") -> DataFr
 
 def quality_rules(docs: DataFrame, labels: DataFrame, *, alpha: float = 0.03, delta: float = 0.05, stratum_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, stratum, textstats, base_failed, kept) of every row."""
-    measured = materialise(measured_docs(docs, [F.col(id_col), F.col(stratum_col).alias("stratum")], text_col), "measured")
+    measured = materialise(measured_docs(docs, [F.col(id_col), F.col(stratum_col).alias("stratum")], text_col), "measured", 1000)
     return judge(measured, choose_cutoffs(measured, labels, alpha=alpha, delta=delta, id_col=id_col))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, alpha: float = 0.03, delta: float = 0.05, stratum_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that the rules keep. Texts are measured twice, which is cheaper than shuffling them."""
-    measured = materialise(measured_docs(docs, [F.col(id_col), F.col(stratum_col).alias("stratum")], text_col), "measured")
+    measured = materialise(measured_docs(docs, [F.col(id_col), F.col(stratum_col).alias("stratum")], text_col), "measured", 1000)
     cutoffs = choose_cutoffs(measured, labels, alpha=alpha, delta=delta, id_col=id_col)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
     return judge(measured_docs(docs, [whole, F.col(stratum_col).alias("stratum")], text_col), cutoffs).where("kept").select("__row.*")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 N = 5
+TEXTS = 1000  # rows of an Arrow batch of whole texts
 MAX_WORDS = 150_000  # of the cache of word hashes; about 30 MB a worker while a task runs
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -22,8 +24,9 @@ _hashes = _Hashes()
 
 
 def forget() -> None:
-    """Empty the cache; the end of a task does so."""
+    """Empty the cache and give freed memory back; the end of a task does so."""
     _hashes.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

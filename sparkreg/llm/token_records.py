@@ -150,7 +150,7 @@ def write_records(
         if done:
             yield pa.RecordBatch.from_pylist(done, schema=_ARROW)
 
-    return commit(folder, materialise(rows.select("id", "text", "__shard").mapInArrow(write, MANIFEST), "token-files"))
+    return commit(folder, materialise(rows.select("id", "text", "__shard").mapInArrow(write, MANIFEST), "token-files", 1000))
 
 
 def read_records(folder: str, manifest: DataFrame, step: int = 8 << 20) -> DataFrame:
