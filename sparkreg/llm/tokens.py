@@ -13,7 +13,8 @@ import os
 import numpy as np
 import pyarrow as pa
 
-MAX_WORDS = 200_000  # of the cache; about 40 MB a worker while a task runs
+MAX_WORDS = 300_000  # of the cache; about 60 MB a worker while a task runs
+KEPT_WORDS = 150_000  # those met most often, when the cache is full
 
 
 def _single(text: str) -> bool:
@@ -109,7 +110,17 @@ class Encoder:
         pa.default_memory_pool().release_unused()
         self.codes = _Codes()
         self.buffer, self.used = np.empty(1 << 16, self.dtype), 0
-        self.starts, self.sizes = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.starts, self.sizes, self.met = (np.empty(0, np.int64) for _ in range(3))
+
+    def _thin(self) -> None:
+        """Keep the words met most often, numbered anew in the order they had."""
+        keep = np.sort(np.argsort(-self.met, kind="stable")[:KEPT_WORDS])
+        words = list(self.codes)
+        self.codes = _Codes(zip(map(words.__getitem__, keep.tolist()), range(len(keep)), strict=True))
+        sizes = self.sizes[keep]
+        ids = self.buffer[_slots(self.starts[keep], sizes)]
+        self.buffer, self.used, self.sizes, self.met = ids, len(ids), sizes, self.met[keep]
+        self.starts = np.cumsum(sizes) - sizes
 
     def _store(self, sizes: np.ndarray) -> np.ndarray:
         """Room for newly numbered words; returns where each begins."""
@@ -149,7 +160,7 @@ class Encoder:
     def _coded(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Word numbers of the texts that go word by word; a line feed stands before each text. None: the library's."""
         if len(self.codes) > MAX_WORDS:
-            self.forget()
+            self._thin()
         out: list[np.ndarray | None] = []
         for text in texts:
             if not text or not self.by_word or not _single(text):
@@ -159,6 +170,10 @@ class Encoder:
                 out.append(np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words)))
         if len(self.codes) > len(self.starts):
             self._learn()
+        if some := [c for c in out if c is not None]:
+            met = np.bincount(np.concatenate(some), minlength=len(self.sizes))
+            met[: len(self.met)] += self.met
+            self.met = met
         return out
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
