@@ -9,33 +9,43 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkreg.functions.order import global_row_number
 from sparkreg.functions.storage import materialise
 
-MAX_SHARDS = 100_000  # bounds the boundary keys that are sent to tasks (one integer each)
+MAX_TASKS = 100_000  # of one pass over shards or files; a task takes several when there are more
 NULL_KEY = -(1 << 63)  # the place of null in key order: first
 
 
 def sorted_shards(df: DataFrame, key: str, then: list[str], rows_per_shard: int) -> DataFrame:
-    """df with a column __shard, one task a shard, each sorted by key and then; nulls first.
+    """df with a column __shard, a task a shard (or a few), each sorted by key and then; nulls first.
 
     Shards are cut at every rows_per_shard-th key, so they depend on the rows alone and not on how Spark split the
-    input; rows with one key stay in one shard.
+    input; rows with one key stay in one shard. One integer a shard goes by the driver to the tasks.
     """
     number = global_row_number(df.select(F.coalesce(F.col(key), F.lit(NULL_KEY)).cast("long").alias("k")), "k")
-    n = number.count()
-    step = max(rows_per_shard, -(-n // MAX_SHARDS))
-    bounds = np.array(sorted(r.k for r in number.where(F.col("row_number") % step == 0).select("k").collect()), dtype=np.int64)
+    bounds = np.array(sorted(r.k for r in number.where(F.col("row_number") % rows_per_shard == 0).select("k").collect()), dtype=np.int64)
 
     @F.pandas_udf("int")
     def shard(keys: pd.Series) -> pd.Series:
         return pd.Series(np.maximum(np.searchsorted(bounds, keys.to_numpy(), side="right") - 1, 0).astype(np.int32))
 
     placed = df.withColumn("__shard", shard(F.coalesce(F.col(key), F.lit(NULL_KEY)).cast("long")))
-    return placed.repartitionById(max(1, len(bounds)), F.col("__shard")).sortWithinPartitions("__shard", key, *then)
+    return in_tasks(placed, max(1, len(bounds)), F.col("__shard")).sortWithinPartitions("__shard", key, *then)
+
+
+def in_tasks(df: DataFrame, n: int, number: Column) -> DataFrame:
+    """df dealt out by a number 0 .. n - 1: a task for each, or for a few neighbours when there are over MAX_TASKS."""
+    tasks = max(1, min(n, MAX_TASKS))
+    return df.repartitionById(tasks, F.floor(number * tasks / max(1, n)).cast("int") if tasks < n else number.cast("int"))
+
+
+def file_tasks(files: DataFrame) -> DataFrame:
+    """The files of a materialised manifest, each in a task of its own."""
+    placed = files.withColumn("__at", F.row_number().over(Window.orderBy("name")) - 1)  # one row a file
+    return in_tasks(placed, files.count(), F.col("__at")).drop("__at")
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkreg.functions.storage import materialise, new_folder
-from sparkreg.llm.layout import NULL_KEY, NewFile, commit, rows_of, sorted_shards
+from sparkreg.llm.layout import NULL_KEY, NewFile, commit, file_tasks, rows_of, sorted_shards
 from sparkreg.llm.tokens import encoder
 
 MANIFEST = "name string, temp string, shard int, seq int, records long, tokens long, bytes long, width int"
@@ -178,7 +178,7 @@ def read_records(folder: str, manifest: DataFrame, step: int = 8 << 20) -> DataF
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
                     lo = hi
 
-    return files.repartition(F.col("name")).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return file_tasks(files).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, **settings) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkreg.functions.storage import bounded_broadcast, materialise, new_folder
-from sparkreg.llm.layout import NewFile, commit, rows_of, sorted_shards
+from sparkreg.llm.layout import NewFile, commit, file_tasks, rows_of, sorted_shards
 
 MANIFEST = "name string, temp string, shard int, seq int, records long, bytes long, sha256 string"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, file string"
@@ -65,7 +65,7 @@ def _member(data: bytes, level: int) -> bytes:
 
 
 def write_warc(
-    pages: DataFrame, folder: str, *, min_revisit: int = 1000, records_per_shard: int = 20_000, roll_bytes: int = 64 << 20,
+    pages: DataFrame, folder: str, *, min_revisit: int = 1000, records_per_shard: int = 4_000, roll_bytes: int = 64 << 20,
     level: int = 6, date: str = "1970-01-01T00:00:00Z", prefix: str = "part",
 ) -> DataFrame:
     """Write pages (page_id, url, html) as WARC files below folder; returns the manifest."""
@@ -158,8 +158,7 @@ def read_warc(folder: str, manifest: DataFrame) -> DataFrame:
                         out = []
             yield pa.RecordBatch.from_pylist([dict(zip(_ARROW.names, x, strict=True)) for x in out], schema=_ARROW)
 
-    files = manifest.select("name")
-    return files.repartition(F.col("name")).mapInArrow(read, RECORDS)
+    return file_tasks(manifest.select("name")).mapInArrow(read, RECORDS)
 
 
 def round_trip(pages: DataFrame, **settings) -> DataFrame:
