@@ -31,7 +31,7 @@ def op2_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_disclosure_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sanitise.sanitise(_table(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    return sanitise.sanitise(_table(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_secret", "n_terms", "n_spans")
 
 
 def op4_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,25 @@
 """Information-theoretic sanitisation of personal data.
 
-Protected entities are the e-mail addresses, IP addresses, card numbers and phone numbers of the texts. A term of an
-entity's context (the ``reach`` words on either side) discloses the entity c as far as their pointwise mutual information
-PMI(c; t) = log(N n(c,t) / (n(c) n(t))) comes near the entity's own information IC(c) = log(N / n(c)); n counts the
-documents of the whole corpus that hold a term, an entity, or both side by side. Where PMI / IC reaches ``generalise_at``
-the term is replaced by a general one, and from ``remove_at`` it is removed, in the documents that hold the entity. A
-pair needs ``support`` different texts, so copies of one text are no evidence.
-
-Positions are code points, end exclusive. Defined cases: null text is empty and has no spans; a match that fails its check
-(part above 255, digits, Luhn sum) is dropped and not tried again from within; rows that repeat an id and text get equal
-results; an empty table gives an empty result.
+Protected entities are the e-mail addresses, IP addresses, card numbers and phone numbers of the texts, and secrets: runs of
+20 letters and digits or more that mix both and carry at least 60 bits by the Shannon entropy of their characters. An entity
+stands for itself and for coarser classes: its kind, and a domain, a /16 network, the first six digits of a card or the first
+four of a phone number. A term t of a document discloses a class c as far as their pointwise mutual information over the
+whole corpus, PMI(c; t) = log(N n(c,t) / (n(c) n(t))), comes near the class's own information IC(c) = log(N / n(c)); each n
+counts documents (rows) that hold the term anywhere, an entity of the class, or both. Where PMI / IC reaches
+``generalise_at`` the term is generalised to its first letters, and from ``remove_at`` it is removed, wherever it stands, also
+in documents without the entity. A class, a term and a pair of them need ``support`` different texts, so copies of one text
+are no evidence.
+
+Passes: texts with entities give classes and terms; pairs are counted by partial aggregates after classes and terms without
+support have gone; pairs that stay below ``generalise_at`` even if the term stood in no other text go next; what is left is
+counted over all texts. Tasks know the terms sought while there are at most ``max_terms`` of them; beyond that, terms are
+joined by a shuffle instead, with equal results.
+
+Positions are code points, end exclusive. Defined cases: null text is empty and has no spans; texts of any length are read
+whole; a match that fails its check (part above 255, digits, Luhn sum) is dropped and not tried again from within; spans
+that begin together are written in the order email, ip, card, phone, secret, term; rows that repeat an id and text count as
+documents of their own and get equal results; other columns are ignored whatever their names, and kept by
+``sanitised_docs``; ids of any type are kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,14 +28,17 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from math import log2
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkreg.functions.storage import materialise
+from sparkreg.functions.storage import bounded_broadcast, materialise
+from sparkreg.llm.shingles import TEXTS
 
 KINDS = ("email", "ip", "card", "phone")
+ORDER = (*KINDS, "secret", "term")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
@@ -33,7 +46,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _TERM = re.compile(r"[^\W\d_]{3,}")
-_NEAR = 400  # characters on either side in which context words are looked for
+_OPAQUE = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{20,}")
 Span = tuple[int, int, str]
 
 
@@ -90,54 +103,86 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def secrets(text: str) -> Iterator[Span]:
+    """Runs of letters and digits that are too rich in information to be words or numbers."""
+    for m in _OPAQUE.finditer(text):
+        run = m.group()
+        if not run.isdigit() and not run.isalpha():
+            bits = sum(n * log2(len(run) / n) for n in Counter(run).values())
+            if bits >= 60:
+                yield m.start(), m.end(), "secret"
+
+
+def protected(text: str) -> tuple[list[Span], list[Span]]:
+    """(base spans, base spans and secrets); what lies within a base span is no secret of its own."""
+    base = base_spans(text)
+    more = [s for s in secrets(text) if not any(s[0] < e and a < s[1] for a, e, _ in base)]
+    return base, sorted([*base, *more], key=lambda s: (s[0], ORDER.index(s[2])))
+
+
 def written(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
-def context(text: str, spans: list[Span], reach: int) -> Iterator[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the terms beside every span; terms inside spans are left out."""
-    for start, end, kind in spans:
-        entity = f"{kind}:{text[start:end].lower()}"
-        before = [(m.start(), m.end()) for m in _TERM.finditer(text, max(0, start - _NEAR), start)][-reach:]
-        after = [m.span() for _, m in zip(range(reach), _TERM.finditer(text, end, min(len(text), end + _NEAR)), strict=False)]
-        for a, b in [*before, *after]:
-            if not any(a < e and s < b for s, e, _ in spans):
-                yield entity, text[a:b].lower(), a, b
+def classes(kind: str, value: str) -> Iterator[str]:
+    """The classes that an entity stands for, from coarse to fine."""
+    yield kind
+    digits = "".join(_DIGIT.findall(value))
+    coarse = {"email": value.rpartition("@")[2], "ip": ".".join(value.split(".")[:2]), "card": digits[:6], "phone": digits[:4]}
+    if kind in coarse:
+        yield f"{kind} of {coarse[kind].lower()}"
+    yield f"{kind} {value.lower()}"
 
 
-def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 5) -> DataFrame:
-    """Per row: id, text key, base spans as text and by kind, and the context terms of its entities."""
-    kind = dict(docs.dtypes)[id_col]
-    context_type = "array<struct<entity: string, term: string, s: int, e: int>>"
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.md5("text").alias("key"), "text")
-    arrow_context = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("s", pa.int32()), ("e", pa.int32())]))
+def terms_of(text: str, spans: list[Span]) -> Iterator[Span]:
+    """(start, end, term) of every term outside the spans, which are in order."""
+    at = 0
+    for m in _TERM.finditer(text):
+        start, end = m.span()
+        while at < len(spans) and spans[at][1] <= start:
+            at += 1
+        if not any(a < end and start < e for a, e, _ in spans[at : at + len(ORDER)]):
+            yield start, end, m.group().lower()
+
+
+def entity_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(key, classes, terms, copies) of every different text that holds a protected entity."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [base_spans(t) for t in batch.column(2).to_pylist()]
-            base = [written(s) for s in found]
-            counts = [Counter(kind for _, _, kind in s) for s in found]
-            near = [[dict(zip(("entity", "term", "s", "e"), x, strict=True)) for x in context(batch.column(2)[i].as_py(), s, reach)] if s else [] for i, s in enumerate(found)]
-            columns = [batch.column(0), batch.column(1), *(pa.array([c[k] for c in counts], pa.int64()) for k in KINDS), pa.array([hashlib.sha256(b.encode()).hexdigest() for b in base]), pa.array(base), pa.array(near, arrow_context)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "near"])
+            keys, own, words = [], [], []
+            for key, text in zip(batch.column(0), batch.column(1), strict=True):
+                text = text.as_py()
+                spans = protected(text)[1]
+                if spans:
+                    keys.append(key.as_py())
+                    own.append(sorted({c for a, e, kind in spans for c in classes(kind, text[a:e])}))
+                    words.append(sorted({t for _, _, t in terms_of(text, spans)}))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(own, pa.list_(pa.string())), pa.array(words, pa.list_(pa.string()))], names=["key", "classes", "terms"])
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    found = docs.select(F.unhex(F.md5(text)).alias("key"), text.alias("text")).mapInArrow(scan, "key binary, classes array<string>, terms array<string>")
+    found = materialise(found, "entity-rows", TEXTS)
+    return found.groupBy("key").agg(F.first("classes").alias("classes"), F.first("terms").alias("terms"), F.count(F.lit(1)).alias("copies"))
 
-    return rows.mapInArrow(scan, f"doc_id {kind}, key string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, near {context_type}")
 
+def _few(terms: DataFrame, max_terms: int) -> list | None:
+    """The rows of a materialised table of terms if they are at most max_terms."""
+    return terms.collect() if terms.limit(max_terms + 1).count() <= max_terms else None
 
-def _term_counts(docs: DataFrame, terms: DataFrame, text_col: str, max_terms: int) -> DataFrame:
-    """(term, n): documents that hold each of terms. Tasks send one count a term; they know the terms if these are few."""
-    few = None
-    if terms.limit(max_terms + 1).count() <= max_terms:
-        few = docs.sparkSession.sparkContext.broadcast(frozenset(r.term for r in terms.collect()))  # at most max_terms words
+
+def term_counts(docs: DataFrame, terms: DataFrame, text_col: str, max_terms: int) -> DataFrame:
+    """(term, n_t): documents that hold each of terms outside their spans. Tasks send one count a term."""
+    few = _few(terms, max_terms)
+    known = None if few is None else docs.sparkSession.sparkContext.broadcast(frozenset(r.term for r in few))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = few.value if few else None
+        wanted = known.value if known else None
         for batch in batches:
             n: Counter = Counter()
             for text in batch.column(0).to_pylist():
-                words = set(_TERM.findall((text or "").lower()))
-                n.update(words & wanted if wanted is not None else words)
+                text = text or ""
+                n.update({t for _, _, t in (terms_of(text, protected(text)[1]) if wanted is None or _may_hold(text, wanted) else ()) if wanted is None or t in wanted})
             yield pa.RecordBatch.from_pydict({"term": list(n), "n": list(n.values())}, schema=pa.schema([("term", pa.string()), ("n", pa.int64())]))
 
     parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "term string, n long")
@@ -146,66 +191,133 @@ def _term_counts(docs: DataFrame, terms: DataFrame, text_col: str, max_terms: in
     return parts.groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
-def disclosing_terms(docs: DataFrame, near: DataFrame, *, generalise_at: float = 0.85, remove_at: float = 0.98, support: int = 3, text_col: str = "text", max_terms: int = 300_000) -> DataFrame:
-    """(entity, term, disclosure, action) of the pairs that reach a threshold; near has doc_id, key, entity and term."""
-    seen = near.groupBy("doc_id", "key", "entity", "term").agg(F.count(F.lit(1)).alias("rows"))
-    pairs = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct"), F.countDistinct("key").alias("texts")).where(F.col("texts") >= support)
-    pairs = materialise(pairs, "pairs")
-    entities = near.groupBy("entity", "doc_id", "key").agg(F.count(F.lit(1)).alias("rows")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
-    counts = _term_counts(docs, materialise(pairs.select("term").distinct(), "terms"), text_col, max_terms)
-    n = docs.count()
-    rated = pairs.join(entities, "entity").join(counts, "term").where(F.col("n_c") < n)
-    pmi = F.log(F.lit(float(n)) * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
-    rated = rated.withColumn("disclosure", pmi / F.log(F.lit(float(n)) / F.col("n_c"))).where(F.col("disclosure") >= generalise_at)
-    return rated.select("entity", "term", "disclosure", F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise").alias("action"))
+def _may_hold(text: str, wanted: frozenset) -> bool:
+    """Whether any term of text is wanted; a quick look without places."""
+    low = text.lower()
+    return len(low) != len(text) or not wanted.isdisjoint(_TERM.findall(low))
+
 
+def _disclosure(n: int, n_t: str) -> Column:
+    """PMI of class and term over IC of the class."""
+    whole = F.lit(float(n))
+    return F.log(whole * F.col("n_ct") / (F.col("n_c") * F.col(n_t))) / F.log(whole / F.col("n_c"))
 
-def sanitise(docs: DataFrame, *, reach: int = 5, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
-    """(doc_id, key, n_email, n_ip, n_card, n_phone, base_sha256, spans, terms) of every row.
 
-    spans has the base spans and the disclosing terms (kind "term"), by start; terms is an array of
-    (start, end, action) for ``masked``. key is the text's MD5.
+def disclosing_pairs(docs: DataFrame, *, generalise_at: float = 0.9, remove_at: float = 0.98, support: int = 5, text_col: str = "text", max_terms: int = 300_000) -> DataFrame:
+    """(class, term, n_ct, n_c, n_t, disclosure, action) of the pairs that reach a threshold."""
+    n = docs.count()
+    texts = materialise(entity_texts(docs, text_col), "entity-texts")
+    enough = lambda rows, key, name: rows.groupBy(key).agg(F.sum("copies").alias(name), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support).drop("texts")
+    kinds = materialise(enough(texts.select(F.explode("classes").alias("class"), "copies"), "class", "n_c").where(F.col("n_c") < n), "classes")
+    terms = materialise(enough(texts.select(F.explode("terms").alias("term"), "copies"), "term", "e_t"), "terms")
+    own = texts.select("key", F.explode("classes").alias("class")).join(bounded_broadcast(kinds.select("class")), "class", "left_semi")
+    own = own.groupBy("key").agg(F.collect_list("class").alias("own")).withColumnRenamed("key", "k")  # a few a text
+    met = texts.join(own, F.col("key") == F.col("k")).select("copies", "own", F.explode("terms").alias("term"))
+    met = met.join(bounded_broadcast(terms.select("term")), "term", "left_semi").select("copies", "term", F.explode("own").alias("class"))
+    pairs = met.groupBy("class", "term").agg(F.sum("copies").alias("n_ct"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
+    pairs = pairs.join(bounded_broadcast(kinds), "class").join(bounded_broadcast(terms), "term").where(_disclosure(n, "e_t") >= generalise_at)
+    pairs = materialise(pairs.drop("texts", "e_t"), "pairs")
+    counts = term_counts(docs, materialise(pairs.select("term").distinct(), "pair-terms"), text_col, max_terms)
+    rated = pairs.join(counts, "term").withColumn("disclosure", _disclosure(n, "n_t")).where(F.col("disclosure") >= generalise_at)
+    return rated.withColumn("action", F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise"))
+
+
+_MARKS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("action", pa.string())]))
+_MARK_TYPE = "array<struct<s: int, e: int, action: string>>"
+
+
+def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_terms: int = 300_000, flagged: DataFrame | None = None, **thresholds) -> DataFrame:
+    """(doc_id, key, n_email, n_ip, n_card, n_phone, n_secret, n_terms, n_spans, base_sha256, spans, terms) of every row.
+
+    spans has the base spans, the secrets and the disclosing terms, by start; terms is an array of (s, e, action). key is
+    the text's MD5. flagged: (term, action) found before; else they are found here.
     """
-    rows = materialise(find_spans(docs, id_col, text_col, reach), "spans")
-    near = rows.select("doc_id", "key", F.explode("near").alias("x")).select("doc_id", "key", "x.*")
-    flagged = disclosing_terms(docs, near, text_col=text_col, **thresholds)
-    hits = near.join(flagged, ["entity", "term"]).groupBy("doc_id", "key", "s", "e").agg(F.max("action").alias("action"))
-    hits = hits.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("s", "e", "action"))).alias("terms"))
-    hits = hits.withColumnsRenamed({"doc_id": "h_id", "key": "h_key"})
-    rows = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("key") == F.col("h_key")), "left")
-    entry = lambda start, rank, kind, end: F.struct(start.cast("int").alias("s"), F.lit(rank).alias("r") if isinstance(rank, int) else rank.alias("r"), kind.alias("k"), end.cast("int").alias("e"))
-    base = F.filter(F.split("base", ","), lambda x: x != "")
-    kinds = F.array(*map(F.lit, KINDS))
-    base = F.transform(base, lambda x: entry(F.split(x, ":")[1], F.array_position(kinds, F.split(x, ":")[0]).cast("int"), F.split(x, ":")[0], F.split(x, ":")[2]))
-    terms = F.transform(F.coalesce("terms", F.array().cast("array<struct<s:int,e:int,action:string>>")), lambda x: entry(x["s"], len(KINDS) + 1, F.lit("term"), x["e"]))
-    spans = F.array_join(F.transform(F.array_sort(F.concat(base, terms)), lambda x: F.concat_ws(":", x["k"], x["s"], x["e"])), ",")
-    return rows.select("doc_id", "key", *(f"n_{k}" for k in KINDS), "base_sha256", F.coalesce(spans, F.lit("")).alias("spans"), "terms")
+    if flagged is None:
+        pairs = disclosing_pairs(docs, text_col=text_col, max_terms=max_terms, **thresholds)
+        flagged = materialise(pairs.groupBy("term").agg(F.max("action").alias("action")), "flagged")  # remove over generalise
+    few = _few(flagged, max_terms)
+    known = docs.sparkSession.sparkContext.broadcast({r.term: r.action for r in few or []})
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.md5(text).alias("key"), text.alias("text"))
+    kind = dict(rows.dtypes)["doc_id"]
+    if few is None:
+        rows = rows.join(_joined_marks(rows, flagged), F.col("key") == F.col("k"), "left").drop("k")
+    else:
+        rows = rows.withColumn("marks", F.lit(None).cast(_MARK_TYPE))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        actions = known.value
+        sought = frozenset(actions)
+        for batch in batches:
+            found, marks = [], []
+            for text, joined in zip(batch.column(2), batch.column(3), strict=True):
+                text = text.as_py()
+                base, spans = protected(text)
+                found.append((base, spans))
+                if joined.is_valid:
+                    marks.append(joined.as_py())
+                else:
+                    marks.append([{"s": a, "e": e, "action": actions[t]} for a, e, t in terms_of(text, spans) if t in actions] if actions and _may_hold(text, sought) else [])
+            counts = [Counter(k for _, _, k in spans) for _, spans in found]
+            bases = [written(base) for base, _ in found]
+            every = [written(sorted([*spans, *((m["s"], m["e"], "term") for m in ms)], key=lambda s: (s[0], ORDER.index(s[2])))) for (_, spans), ms in zip(found, marks, strict=True)]
+            numbers = [*([c[k] for c in counts] for k in (*KINDS, "secret")), list(map(len, marks)), [len(s) + len(m) for (_, s), m in zip(found, marks, strict=True)]]
+            columns = [batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in numbers), pa.array([hashlib.sha256(b.encode()).hexdigest() for b in bases], pa.string()), pa.array(every, pa.string()), pa.array(marks, _MARKS)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", *_NUMBERS, "base_sha256", "spans", "terms"])
+
+    return rows.mapInArrow(scan, f"doc_id {kind}, key string, {', '.join(f'{c} long' for c in _NUMBERS)}, base_sha256 string, spans string, terms {_MARK_TYPE}")
+
+
+_NUMBERS = (*(f"n_{k}" for k in KINDS), "n_secret", "n_terms", "n_spans")
+
+
+def _joined_marks(rows: DataFrame, flagged: DataFrame) -> DataFrame:
+    """(k, marks) of each different text, for more flagged terms than tasks should know: terms meet them by a shuffle."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column(0), batch.column(1), strict=True):
+                text = text.as_py()
+                at = list(terms_of(text, protected(text)[1]))
+                yield pa.RecordBatch.from_pydict({"k": [key.as_py()] * len(at), "s": [a for a, _, _ in at], "e": [e for _, e, _ in at], "term": [t for _, _, t in at]}, schema=pa.schema([("k", pa.string()), ("s", pa.int32()), ("e", pa.int32()), ("term", pa.string())]))
+
+    met = rows.select("key", "text").mapInArrow(cut, "k string, s int, e int, term string").join(flagged, "term")
+    return met.groupBy("k").agg(F.sort_array(F.collect_set(F.struct("s", "e", "action"))).alias("marks"))  # bounded by one text
+
+
+def coarser(term: str) -> str:
+    """A general form: the first third of the letters, one at least, which many words begin with."""
+    return term[: max(1, len(term) // 3)] + "*"
 
 
 def masked(text: str, spans: str, actions: dict[tuple[int, int], str] | None = None) -> str:
-    """text with base spans replaced by their kind, and terms by [TERM] or, where the action is "remove", by nothing."""
+    """text with entities replaced by their kind; terms are removed or, where the action says so, generalised."""
     out, at = [], 0
     for item in filter(None, spans.split(",")):
         kind, start, end = item.split(":")
         start, end = int(start), int(end)
         if start < at:
             continue
-        out += [text[at:start], "" if kind == "term" and (actions or {}).get((start, end)) == "remove" else f"[{kind.upper()}]"]
+        if kind != "term":
+            new = f"[{kind.upper()}]"
+        else:
+            new = coarser(text[start:end]) if (actions or {}).get((start, end)) == "generalise" else ""
+        out += [text[at:start], new]
         at = end
     return "".join([*out, text[at:]])
 
 
-def sanitised_docs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """docs with the text masked."""
-    marks = sanitise(docs, id_col=id_col, text_col=text_col, **settings).where("spans <> ''")
-    marks = marks.groupBy(F.col("doc_id").alias("__i"), F.col("key").alias("__k")).agg(F.first("spans").alias("__s"), F.first("terms").alias("__t"))
-    key = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    rows = docs.join(marks, F.col(id_col).eqNullSafe(F.col("__i")) & (key == F.col("__k")), "left")
+def sanitised_docs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_terms: int = 300_000, **settings) -> DataFrame:
+    """docs with the text masked; null stays null. All columns are kept."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    marked = sanitise(whole, id_col="row", text_col="text", max_terms=max_terms, **settings).select(F.col("doc_id").alias("row"), "spans", "terms")
 
     @F.pandas_udf("string")
     def mask(text, spans, terms):
         import pandas as pd
 
-        return pd.Series([t if s is None else masked(t or "", s, {(x["s"], x["e"]): x["action"] for x in (a if a is not None else [])}) for t, s, a in zip(text, spans, terms, strict=True)])
+        return pd.Series([t if t is None or not s else masked(t, s, {(x["s"], x["e"]): x["action"] for x in a}) for t, s, a in zip(text, spans, terms, strict=True)])
 
-    return rows.withColumn(text_col, F.when(F.col("__s").isNull(), F.col(text_col)).otherwise(mask(F.col(text_col), "__s", "__t"))).drop("__i", "__k", "__s", "__t")
+    kinds = docs.schema[text_col].dataType
+    new = F.when(F.col("spans") == "", F.col(f"row.`{text_col}`")).otherwise(mask(F.col(f"row.`{text_col}`").cast("string"), "spans", "terms").cast(kinds))
+    return marked.select(*[new.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
