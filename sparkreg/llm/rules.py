@@ -1,15 +1,20 @@
 """Quality rules with risk-controlled cutoffs.
 
-Two base rules are fixed: fewer than 50 words, or more than half of the words inside repeated three-word windows. Each
-further rule rejects a document whose metric lies above a cutoff, and the cutoff is chosen for each stratum from labelled
-holdout rows: walking a grid from lax to strict, a cutoff stands while the exact (Clopper-Pearson) upper bound on its rate
-of false rejections among good documents is at most alpha / rules. Because a walk stops at its first failure, the grid
-needs no correction; strata and rules share the error probability delta evenly (Bonferroni). So with probability
-1 - delta, no stratum loses more than the share alpha of its good documents to these rules. A stratum with too few labelled
-good documents for the bound gets no cutoff: its documents are judged by the base rules alone.
-
-Defined cases: null text has no words; a null stratum is a stratum of its own; labels that are null are not used, and of
-several labels of one id the largest holds; without labels only the base rules hold; an empty table gives an empty result.
+Two base rules are fixed: fewer than 50 words, or more than half of the words inside repeated three-word windows. Six further
+rules each reject a document whose metric lies above a cutoff. The cutoffs of a stratum move together along one fixed sequence
+of ``STEPS`` vectors, each from its lax to its strict value in equal ratios, and labelled holdout rows of the stratum say how
+far: a step stands while the exact (Clopper-Pearson) upper bound on the share of good documents that the rules reject
+together is at most alpha. As the walk along a fixed sequence stops at its first failure, neither steps nor rules need a
+correction; the strata share the error probability delta evenly (Bonferroni). So with probability 1 - delta, no stratum loses
+more than the share alpha of its good documents to these rules (the base rules are fixed beforehand and take what they take).
+A stratum with too few labelled good documents for the first step gets no cutoffs: about log(delta / strata) / log(1 - alpha)
+are needed, 151 for five strata. Its documents are judged by the base rules alone.
+
+Defined cases: null text has no words; texts of any length are measured whole; a metric equal to a cutoff passes; a null
+stratum is a stratum of its own; labels that are null are not used, and of several labels of one id the largest holds; ids of
+any type are kept; rows that repeat an id are judged alike and each counts as a holdout row; other columns are kept by
+``keep_good`` whatever their names and ignored elsewhere; without labels only the base rules hold; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -17,10 +22,11 @@ from __future__ import annotations
 from math import exp, lgamma, log
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkreg.functions.storage import bounded_broadcast, materialise
+from sparkreg.llm.shingles import TEXTS
 from sparkreg.llm.textstats import SCHEMA, measure_series
 
 
@@ -28,15 +34,21 @@ def _share(a: str, b: str) -> Column:
     return F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
 
 
-#: name, metric above whose cutoff a document is rejected, grid from lax to strict
-RULES: tuple[tuple[str, Column | None, tuple[float, ...]], ...] = (
-    ("symbols", None, (0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.04, 0.03, 0.02)),
-    ("marks", None, (0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.17, 0.15, 0.13, 0.11, 0.1, 0.09)),
-    ("upper", None, (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15)),
-    ("repeats", None, (0.48, 0.44, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1)),
-    ("dup_lines", None, (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2)),
-    ("top_word", None, (0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15)),
-)
+STEPS = 16
+#: rule: lax and strict cutoff
+RULES: dict[str, tuple[float, float]] = {
+    "symbols": (0.5, 0.01),
+    "marks": (0.6, 0.06),
+    "upper": (0.9, 0.1),
+    "repeats": (0.48, 0.1),
+    "dup_lines": (0.9, 0.2),
+    "top_word": (0.6, 0.1),
+}
+
+
+def cutoff(rule: str, step: int) -> float:
+    lax, strict = RULES[rule]
+    return lax * (strict / lax) ** (step / (STEPS - 1))
 
 
 def metrics() -> list[Column]:
@@ -63,48 +75,52 @@ def bound_holds(k: int, n: int, alpha: float, delta: float) -> bool:
     return n > 0 and k < alpha * n and binomial_cdf(k, n, alpha) <= delta
 
 
-def choose_cutoffs(measured: DataFrame, labels: DataFrame, *, alpha: float = 0.03, delta: float = 0.05, id_col: str = "doc_id", stratum: str = "stratum") -> DataFrame:
-    """(stratum, c0, c1, ...): the strictest cutoff that each rule may use, null for none.
+def first_rejected() -> Column:
+    """The first step at which any rule rejects the document; STEPS if none does."""
+    passed = [sum((m <= cutoff(rule, k)).cast("int") for k in range(STEPS)) for rule, m in zip(RULES, metrics(), strict=True)]
+    return F.least(*passed)
+
+
+def last_safe_step(rejected: list[int], n: int, alpha: float, delta: float) -> int | None:
+    """The last step of the walk; rejected: of n good documents, how many each step rejects."""
+    safe = None
+    for step, k in enumerate(rejected):
+        if not bound_holds(k, n, alpha, delta):
+            break
+        safe = step
+    return safe
 
-    measured has the id, the stratum and the columns of textstats; labels has the id and quality (1: good).
+
+def choose_cutoffs(measured: DataFrame, labels: DataFrame, *, alpha: float = 0.03, delta: float = 0.05, id_col: str = "doc_id", stratum: str = "stratum", label_id: str = "doc_id") -> DataFrame:
+    """(stratum, n_good, step, and a cutoff for each rule) of every stratum; step and cutoffs are null where no step stands.
+
+    measured has the id, the stratum and the columns of textstats; labels has label_id and quality (1: good).
     """
-    good = labels.where("quality is not null").groupBy(F.col(id_col).alias("__id")).agg(F.max("quality").alias("q")).where("q = 1").select("__id")
+    good = labels.where("quality is not null").groupBy(F.col(label_id).alias("__id")).agg(F.max("quality").alias("q")).where("q = 1").select("__id")
     rows = measured.where(~base_failed()).join(good, F.col(id_col) == F.col("__id"), "left_semi")
-    over = [sum((m > c).cast("int") for c in grid) for m, (_, _, grid) in zip(metrics(), RULES, strict=True)]
-    cells = rows.select(F.col(stratum).alias("stratum"), F.posexplode(F.array(*over)).alias("rule", "over")).groupBy("stratum", "rule", "over").agg(F.count(F.lit(1)).alias("n"))
+    cells = rows.groupBy(F.col(stratum).alias("stratum"), first_rejected().alias("first")).agg(F.count(F.lit(1)).alias("n"))
     strata = materialise(measured.select(F.col(stratum).alias("stratum")).distinct(), "strata")
-    share = delta / (max(1, strata.count()) * len(RULES))
-    grids = [grid for _, _, grid in RULES]
+    share = delta / max(1, strata.count())
 
     def walk(table: pd.DataFrame) -> pd.DataFrame:
-        """Cutoffs of one stratum: a document counts against the first ``over`` values of the grid."""
-        out = {"stratum": table["stratum"].iloc[0]}
-        for i, grid in enumerate(grids):
-            part = table[table["rule"] == i]
-            n, cutoff = int(part["n"].sum()), None
-            # a row of ``over`` o exceeds the o smallest values, which are the last o of the grid
-            for at, value in enumerate(grid):
-                k = int(part.loc[part["over"] >= len(grid) - at, "n"].sum())
-                if not bound_holds(k, n, alpha / len(grids), share):
-                    break
-                cutoff = value
-            out[f"c{i}"] = cutoff
-        return pd.DataFrame([out])
-
-    kind = dict(measured.select(F.col(stratum).alias("s")).dtypes)["s"]
-    schema = f"stratum {kind}, " + ", ".join(f"c{i} double" for i in range(len(RULES)))
-    return materialise(cells.groupBy("stratum").applyInPandas(walk, schema), "cutoffs")
+        """STEPS + 1 rows of a stratum at most."""
+        rejected = [int(table.loc[table["first"] <= step, "n"].sum()) for step in range(STEPS)]
+        step = last_safe_step(rejected, int(table["n"].sum()), alpha, share)
+        cutoffs = {f"c_{rule}": None if step is None else cutoff(rule, step) for rule in RULES}
+        return pd.DataFrame([{"stratum": table["stratum"].iloc[0], "n_good": int(table["n"].sum()), "step": step} | cutoffs])
+
+    kind = dict(strata.dtypes)["stratum"]
+    found = cells.groupBy("stratum").applyInPandas(walk, f"stratum {kind}, n_good long, step int, " + ", ".join(f"c_{rule} double" for rule in RULES))
+    found = found.withColumnRenamed("stratum", "s")
+    return materialise(strata.join(found, F.col("stratum").eqNullSafe(F.col("s")), "left").drop("s"), "cutoffs")
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str = "stratum") -> DataFrame:
     """measured with base_failed and kept."""
-    side = cutoffs.withColumnRenamed("stratum", "__stratum")
+    side = cutoffs.where("step is not null").select(F.col("stratum").alias("__stratum"), F.col("step").alias("__step"))
     rows = measured.join(bounded_broadcast(side), F.col(stratum).eqNullSafe(F.col("__stratum")), "left")
-    rejected = F.lit(False)
-    for i, metric in enumerate(metrics()):
-        rejected = rejected | F.coalesce(metric > F.col(f"c{i}"), F.lit(False))
-    rows = rows.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected)
-    return rows.drop("__stratum", *(f"c{i}" for i in range(len(RULES))))
+    rejected = F.coalesce(first_rejected() <= F.col("__step"), F.lit(False))
+    return rows.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected).drop("__stratum", "__step")
 
 
 def measured_docs(docs: DataFrame, keep: list, text_col: str = "text") -> DataFrame:
@@ -115,13 +131,14 @@ def measured_docs(docs: DataFrame, keep: list, text_col: str = "text") -> DataFr
 
 def quality_rules(docs: DataFrame, labels: DataFrame, *, alpha: float = 0.03, delta: float = 0.05, stratum_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, stratum, textstats, base_failed, kept) of every row."""
-    measured = materialise(measured_docs(docs, [F.col(id_col), F.col(stratum_col).alias("stratum")], text_col), "measured", 1000)
+    measured = materialise(measured_docs(docs, [F.col(id_col), F.col(stratum_col).alias("stratum")], text_col), "measured", TEXTS)
     return judge(measured, choose_cutoffs(measured, labels, alpha=alpha, delta=delta, id_col=id_col))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, alpha: float = 0.03, delta: float = 0.05, stratum_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that the rules keep. Texts are measured twice, which is cheaper than shuffling them."""
-    measured = materialise(measured_docs(docs, [F.col(id_col), F.col(stratum_col).alias("stratum")], text_col), "measured", 1000)
-    cutoffs = choose_cutoffs(measured, labels, alpha=alpha, delta=delta, id_col=id_col)
+    """The rows of docs that the rules keep. Rows are written once with their measures, so texts are measured once."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    return judge(measured_docs(docs, [whole, F.col(stratum_col).alias("stratum")], text_col), cutoffs).where("kept").select("__row.*")
+    rows = measured_docs(docs, [whole, F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("stratum")], text_col)
+    measured = materialise(rows, "measured", TEXTS)
+    cutoffs = choose_cutoffs(measured, labels, alpha=alpha, delta=delta)
+    return judge(measured, cutoffs).where("kept").select("__row.*")
