@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sparkreg.functions.storage import new_folder
 from sparkreg.llm import decontaminate, gam, mixing, ngram_join, rules, sanitise, sharding, textstats, token_lengths, token_records, tokens, warc
@@ -156,34 +157,106 @@ def test_base_spans_are_linear():
         sanitise.base_spans(text)
 
 
-def test_sanitise(spark):
+def entity_data():
+    """Entities beside a word that reveals them, beside common words, in copies, and such words alone."""
     rng = random.Random(7)
     data = list(rows())
-    for k in range(12):  # an entity beside a word that reveals it, and beside common words
-        data.append((200 + k, f"{sentence(rng, 30)} the zorblax wrote agent@hq.example.com for the {sentence(rng, 30)}", "en", "a", 0, 0, "", ""))
-        data.append((300 + k, f"the for wrote {sentence(rng, 40)}", "en", "a", 0, 0, "", ""))
-    data.append((400, "zorblax alone in a clean text", "en", "a", 0, 0, "", ""))
-    data += [(500 + k, "quine pays 4539 1488 0343 6467 quine", "en", "a", 0, 0, "", "") for k in range(9)]  # copies are no evidence
-    got = sanitise.sanitise(docs(spark, data)).toPandas()
-    texts = {r[0]: r[1] or "" for r in data}
-    assert len(got) == len(data)
-    for r in got.itertuples():
-        base = plain_spans(texts[None if np.isnan(r.doc_id) else r.doc_id])
-        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
-        own = [s for s in r.spans.split(",") if s and not s.startswith("term")]
-        assert ",".join(own) == base
-        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(base.count(f"{k}:") for k in PATTERNS)
-        said = {texts[r.doc_id][int(a) : int(b)] for k, a, b in (s.split(":") for s in r.spans.split(",") if s) if k == "term"}
-        assert said == ({"zorblax"} if 200 <= r.doc_id < 300 else set()), r
-    clean = sanitise.sanitised_docs(docs(spark, data)).where("doc_id = 200").first().text
-    assert "[EMAIL]" in clean and "zorblax" not in clean and "agent@" not in clean
-    assert sanitise.sanitise(empty(spark)).count() == 0
+    new = lambda k, text: (k, text, "en", "a", 0, 0, "", "")
+    for k in range(12):
+        data.append(new(200 + k, f"{sentence(rng, 30)} the zorblax wrote {chr(97 + k)}gent@hq.example.com for the {sentence(rng, 30)} far away comes Vexil"))
+        data.append(new(300 + k, f"the for wrote {sentence(rng, 40)}"))
+        data.append(new(600 + k, f"{sentence(rng, 20)} with passkey {hashlib.sha1(str(k).encode()).hexdigest()} in it"))
+    data.append(new(400, "zorblax alone in a clean text"))
+    data += [new(420 + k, f"vexil {sentence(rng, 9)}") for k in range(3)]
+    data += [new(500 + k, "quine pays 4539 1488 0343 6467 quine") for k in range(9)]  # copies are no evidence
+    data.append(new(None, "null ids may hold zorblax, İstanbul and x@hq.example.com too"))
+    return data
+
+
+SECRET = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{20,}")
+
+
+def plain_protected(text):
+    found = [(int(a), int(b), k) for k, a, b in (s.split(":") for s in plain_spans(text).split(",") if s)]
+    for m in SECRET.finditer(text):
+        run = m.group()
+        share = np.array(list(Counter(run).values())) / len(run)
+        mixed = any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
+        if mixed and -(share * np.log2(share)).sum() * len(run) >= 60 and not any(m.start() < b and a < m.end() for a, b, _ in found):
+            found.append((*m.span(), "secret"))
+    return found
+
+
+def plain_terms(text):
+    taken = plain_protected(text)
+    return [(*m.span(), m.group().lower()) for m in re.finditer(r"[^\W\d_]{3,}", text) if not any(a < m.end() and m.start() < b for a, b, _ in taken)]
+
+
+def plain_classes(text):
+    out = set()
+    for a, b, kind in plain_protected(text):
+        value = text[a:b].lower()
+        digits = re.sub(r"\D", "", value)
+        coarse = {"email": value.split("@")[-1], "ip": ".".join(value.split(".")[:2]), "card": digits[:6], "phone": digits[:4]}
+        out |= {kind, f"{kind} {value}"} | ({f"{kind} of {coarse[kind]}"} if kind in coarse else set())
+    return out
 
 
-def test_disclosure_is_the_same_without_a_broadcast(spark):
-    data = [(k, f"alpha{k} zorblax mails agent@hq.example.com", "en", "a", 0, 0, "", "") for k in range(5)] + [(k, f"words {k} of others", "en", "a", 0, 0, "", "") for k in range(50, 90)]
-    runs = [sorted(sanitise.sanitise(docs(spark, data), max_terms=m).select("doc_id", "spans").collect()) for m in (300_000, 0)]
-    assert runs[0] == runs[1] and any("term" in r.spans for r in runs[0])
+def plain_pairs(texts, generalise_at=0.9, remove_at=0.98, support=5):
+    """(class, term): (n_ct, n_c, n_t, action), by counting every class against every term."""
+    holds = [(t, plain_classes(t), {x for _, _, x in plain_terms(t)}) for t in texts]
+    out, n = {}, len(texts)
+    n_c, n_t = Counter(c for _, cs, _ in holds for c in cs), Counter(t for _, _, ts in holds for t in ts)
+    n_ct, where = Counter(), defaultdict(set)
+    for text, cs, ts in holds:
+        for c in cs:
+            for t in ts:
+                n_ct[c, t] += 1
+                where[c, t].add(text)
+    for (c, t), k in n_ct.items():
+        if len(where[c, t]) >= support and n_c[c] < n:
+            d = np.log(n * k / (n_c[c] * n_t[t])) / np.log(n / n_c[c])
+            if d >= generalise_at:
+                out[c, t] = (k, n_c[c], n_t[t], "remove" if d >= remove_at else "generalise")
+    return out
+
+
+def test_disclosing_pairs_equal_brute_force(spark):
+    texts = [r[1] or "" for r in entity_data()]
+    for settings in ({}, {"generalise_at": 0.6, "remove_at": 0.9, "support": 2}):
+        got = sanitise.disclosing_pairs(docs(spark, entity_data()), **settings).collect()
+        want = plain_pairs(texts, **settings)
+        assert {(r["class"], r.term): (r.n_ct, r.n_c, r.n_t, r.action) for r in got} == want and len(got) == len(want)
+        assert settings or {t for _, t in want} >= {"zorblax", "passkey"} and not {t for _, t in want} & {"the", "quine"}
+
+
+@pytest.mark.parametrize("max_terms", [300_000, 0])
+def test_sanitise(spark, max_terms):
+    data = entity_data()
+    got = sanitise.sanitise(docs(spark, data), max_terms=max_terms).collect()
+    flagged = {t for _, t in plain_pairs([r[1] or "" for r in data])}
+    want, rank = [], ("email", "ip", "card", "phone", "secret", "term")
+    for r in data:
+        text = r[1] or ""
+        terms = [(a, b, "term") for a, b, t in plain_terms(text) if t in flagged]
+        spans = sorted([*plain_protected(text), *terms], key=lambda s: (s[0], rank.index(s[2])))
+        base = plain_spans(text)
+        want.append((r[0], *(base.count(f"{k}:") for k in PATTERNS), len(terms), len(spans), hashlib.sha256(base.encode()).hexdigest(), ",".join(f"{k}:{a}:{b}" for a, b, k in spans)))
+    assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.n_terms, r.n_spans, r.base_sha256, r.spans)) for r in got)
+    assert next(w for w in want if w[0] == 400)[5] == 1  # a term is masked where its entity is absent, too
+
+
+def test_sanitised_docs(spark):
+    data = entity_data()
+    clean = sanitise.sanitised_docs(docs(spark, data))
+    assert clean.columns == docs(spark, data).columns and clean.count() == len(data)
+    text = {r.doc_id: r.text for r in clean.collect()}
+    assert "[EMAIL]" in text[200] and "zorblax" not in text[200] and "gent@" not in text[200]
+    assert text[400] == "zo* alone in a clean text" and text[130] is None and "[SECRET]" in text[600] and "passkey" not in text[600]
+    assert sanitise.masked("a vexil b", "term:2:7", {(2, 7): "generalise"}) == "a v* b"
+    assert sanitise.sanitise(empty(spark)).count() == 0 and sanitise.sanitised_docs(empty(spark)).count() == 0
+    odd = docs(spark, data).withColumnsRenamed({"n_chars": "spans", "size": "terms", "__shard": "row"}).withColumn("doc_id", F.col("doc_id").cast("string"))
+    assert sanitise.sanitise(odd).where("doc_id = '200'").first().n_email == 1 and sanitise.sanitised_docs(odd).count() == len(data)
 
 
 # ---- op4
@@ -284,6 +357,28 @@ def test_many_distinct_words():
     assert textstats.repeated_words(ids) == 6
 
 
+def plain_verdicts(rows, good, alpha, delta):
+    """kept by index: the walk of every stratum, recounted for each step from the measures of its rows."""
+    from math import comb
+
+    def rejected(r, k):
+        share = lambda a, b: a / b if b else 0.0
+        values = (share(r.n_symbols, r.word_chars), share(r.n_marks, r.word_chars), share(r.n_upper, r.word_chars), share(r.n_repeat_words, r.n_words), share(r.n_dup_lines, r.n_lines), share(r.n_top, r.n_words))
+        return any(v > lax * (strict / lax) ** (k / 15) for v, (lax, strict) in zip(values, ((0.5, 0.01), (0.6, 0.06), (0.9, 0.1), (0.48, 0.1), (0.9, 0.2), (0.6, 0.1)), strict=True))
+
+    strata = list(rows.stratum.fillna("none").unique())
+    safe = dict.fromkeys(strata, -1)
+    for stratum in strata:
+        part = list(good[good.stratum.fillna("none") == stratum].itertuples())
+        for k in range(16):
+            n, bad = len(part), sum(rejected(r, k) for r in part)
+            if not n or sum(comb(n, i) * alpha**i * (1 - alpha) ** (n - i) for i in range(bad + 1)) > delta / len(strata):
+                break
+            safe[stratum] = k
+    assert any(k >= 0 for k in safe.values()) or delta < 1e-9
+    return {r.Index: not r.base_failed and not (safe["none" if r.stratum != r.stratum or r.stratum is None else r.stratum] >= 0 and rejected(r, safe["none" if r.stratum is None else r.stratum])) for r in rows.itertuples()}
+
+
 def test_rules_hold_the_bound(spark):
     rng = random.Random(8)
     data, labels = list(rows()), []
@@ -291,7 +386,7 @@ def test_rules_hold_the_bound(spark):
         good = k % 5 != 0
         junk = not good and rng.random() < 0.9
         text = sentence(rng, 60) if not junk else " ".join(w + "%%%" for w in sentence(rng, 60).split())
-        data.append((1000 + k, text, "en" if k % 3 else "fr", "a", 0, 0, "", ""))
+        data.append((1000 + k, text, "en" if k % 3 else "fr" if k % 2 else "de", "a", 0, 0, "", ""))
         labels.append((1000 + k, int(good), 0))
     labels.append((1001, None, 0))
     table = spark.createDataFrame(labels, LABELS)
@@ -303,13 +398,19 @@ def test_rules_hold_the_bound(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == base
         assert r.base_failed == (base[0] < 50 or 100 * base[4] > 50 * base[0])
         assert not (r.base_failed and r.kept)
-    quality = {i: q for i, q, _ in labels}
+    quality = {i: q for i, q, _ in labels if q is not None}
     seen = got[got.doc_id.isin(quality) & ~got.base_failed]
     good = seen.doc_id.map(quality) == 1
-    for stratum in ("en", "fr"):
+    for alpha, delta in ((0.03, 0.05), (0.03, 1e-12)):
+        judged = rules.quality_rules(docs(spark, data), table, alpha=alpha, delta=delta).toPandas()
+        want = plain_verdicts(got, seen[good], alpha, delta)
+        assert dict(zip(judged.index, judged.kept, strict=True)).keys() == want.keys()
+        assert sorted(map(repr, zip(judged.doc_id, judged.n_words, judged.kept, strict=True))) == sorted(map(repr, zip(got.doc_id, got.n_words, want.values(), strict=True)))
+    for stratum in ("en", "fr", "de"):
         assert 1 - seen[good & (seen.stratum == stratum)].kept.mean() <= 0.03
-    assert seen[~good & (seen.stratum == "en")].kept.mean() < 0.3
-    assert seen[seen.stratum == "fr"].kept.all()  # too few labels for the bound
+        assert seen[~good & (seen.stratum == stratum)].kept.mean() < 0.3
+    odd = docs(spark, data).withColumnsRenamed({"n_chars": "__row", "key": "stratum", "size": "kept"}).withColumn("doc_id", F.col("doc_id").cast("string"))
+    assert rules.keep_good(odd, table).columns == odd.columns
     kept = rules.keep_good(docs(spark, data), table)
     assert kept.columns == docs(spark, data).columns and kept.count() == got.kept.sum()
 
