@@ -53,9 +53,21 @@ def materialise(df: DataFrame, tag: str, batch_rows: int | None = None) -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """df with a broadcast hint if it has at most max_rows rows, else df as it is (Spark then shuffles the join).
+MAX_ROWS, MAX_BYTES = 200_000, 64 << 20  # of a table that is broadcast
 
-    df should be a materialised or aggregated table of narrow rows: it is counted here.
+
+def is_small(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> bool:
+    """Whether df has at most max_rows rows and, as Spark sizes the rows it holds, about max_bytes.
+
+    df should be a materialised or aggregated table: it is counted here. Strings and arrays are measured, not guessed.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    named = [(F.col(f"`{c}`"), t) for c, t in df.dtypes]
+    wide = [F.coalesce(F.octet_length(c), F.lit(0)) if t in ("string", "binary") else 8 * F.coalesce(F.size(c), F.lit(0)) for c, t in named if t in ("string", "binary") or t.startswith("array")]
+    own = sum(wide, F.lit(16 * len(df.columns)))
+    found = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(own).alias("b")).first()
+    return found.n <= max_rows and (found.b or 0) <= max_bytes
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """df with a broadcast hint if it is small (``is_small``), else df as it is (Spark then shuffles the join)."""
+    return F.broadcast(df) if is_small(df, max_rows) else df
