@@ -7,15 +7,20 @@
    probability that its similarity reaches the threshold, given the matches so far and a uniform prior, is below
    ``tolerance``. A search from text to text, which compares each text it reaches with the texts not yet reached, yields
    the groups that the surviving pairs connect: a bucket of near copies costs about its size, not its square, and no
-   pair is written. Buckets of more than ``bucket_rows`` texts are dealt out as pairs of blocks.
-4. Texts of a group meet again, once each or in pairs of blocks of ``block_rows``, with their whole sets of shingles:
-   similarities are exact; links are counted and the links that hold a group together are passed on.
+   pair is written. A bucket of more than ``bucket_rows`` texts is one group without a search.
+4. The texts of a group meet again with their minimum hashes and whole sets of shingles, once each or in pairs of blocks of
+   ``block_rows`` texts and ``block_shingles`` shingles at most. Pairs are pruned in the same way, hash by hash, and those that
+   survive are verified exactly; links are counted and the links that hold a group together are passed on.
 5. Connected components of these links are the near-duplicate classes.
 
+Tables of one row a text or group are joined by broadcast while small; beyond that, keys with many rows are joined apart
+from the others (``join_hot``), and whole texts are shuffled only where a bitmap of keys says that they may be in a group.
+
 Words are runs of characters other than white space, as they stand. Defined cases: null text counts as empty; a text of one
-to four words has one shingle, all its words; texts without words equal only themselves; rows that repeat an id and text
-are copies; a null id has no number to give, so a class of null ids alone has a null class_id; an empty table gives an
-empty result.
+to four words has one shingle, all its words; texts without words equal only themselves; texts of any length are read whole;
+of ties for the least id, the text with the least key stands for the class; rows that repeat an id and text are copies; ids
+of any type are kept; a null id has no number to give, so a class of null ids alone has a null class_id; other columns are
+ignored, and kept by ``keep_one`` whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkreg.functions.components import connected_components
+from sparkreg.functions.joins import join_hot, with_keys, without_keys
 from sparkreg.functions.storage import bounded_broadcast, materialise
 from sparkreg.llm.shingles import TEXTS, forget, windows
 from sparkreg.llm.textstats import WORD
@@ -41,6 +47,11 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
 
 
+def row_key(doc_id: Column, key: Column) -> Column:
+    """One key of an id, null or not, and a text's key."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit("null")), F.lit(" "), F.hex(key))))
+
+
 def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(windows(WORD.findall(text or "")))
 
@@ -133,12 +144,12 @@ def _in_block_pairs(rows: DataFrame, blocks: Column, key: Column) -> DataFrame:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, key, sig, bands) of every row; sig is null for a text without words."""
+    """(doc_id, key, sig, bands, n) of every row; sig is null for a text without words; n: shingles."""
     kind = dict(docs.dtypes)[id_col]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig, bands, lo = [], [], 0
+            sig, bands, sizes, lo = [], [], [], 0
             while lo < batch.num_rows:
                 sets, held = [], 0
                 while lo + len(sets) < batch.num_rows and held < 200_000:  # shingles at work together
@@ -159,28 +170,27 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         own_sig[k], own_bands[k] = s.tobytes(), b.tolist()
                 sig += own_sig
                 bands += own_bands
+                sizes += map(len, sets)
                 lo += len(sets)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int32())], names=["doc_id", "key", "sig", "bands", "n"])
         forget()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(sign, f"doc_id {kind}, key binary, sig binary, bands array<bigint>")
+    return rows.mapInArrow(sign, f"doc_id {kind}, key binary, sig binary, bands array<bigint>, n int")
 
 
 def _candidate_groups(classes: DataFrame, least: tuple[int, ...], bucket_rows: int) -> DataFrame:
     """(node, component) of the classes that surviving pairs connect."""
     rows = classes.select("key", "sig", F.explode("bands").alias("bucket"))
-    large = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > bucket_rows)
-    large = materialise(large.withColumnRenamed("bucket", "large"), "large-buckets")
-    rows = rows.join(bounded_broadcast(large), F.col("bucket") == F.col("large"), "left")
-    blocks = F.coalesce(F.ceil(F.col("size") / bucket_rows), F.lit(1))
-    rows = _in_block_pairs(rows, blocks, F.col("key"))
-    together = Window.partitionBy("bucket", "__i", "__j")
-    rows = rows.withColumn("__rows", F.count(F.lit(1)).over(together)).where("__rows > 1").select("bucket", "__i", "__j", "key", "sig")
-    rows = rows.sortWithinPartitions("bucket", "__i", "__j")
+    large = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("first")).where(F.col("size") > bucket_rows)
+    large = materialise(large, "large-buckets")
+    whole = join_hot(rows.select("key", "bucket"), large, "bucket", "size").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    rows = rows.join(bounded_broadcast(large.select("bucket")), "bucket", "left_anti")
+    rows = rows.withColumn("__rows", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("__rows > 1").select("bucket", "key", "sig")
+    rows = rows.sortWithinPartitions("bucket")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, 3):
+        for group in _groups(batches, 1):
             group = group.combine_chunks()
             sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
             root = search(sig, least)
@@ -189,27 +199,60 @@ def _candidate_groups(classes: DataFrame, least: tuple[int, ...], bucket_rows: i
                 keys = group.column("key").combine_chunks()
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(root[at])), keys.take(pa.array(at))], names=["a", "b"])
 
-    return connected_components(rows.mapInArrow(link, "a binary, b binary").distinct())
+    return connected_components(rows.mapInArrow(link, "a binary, b binary").union(whole).distinct())
+
+
+def surviving_pairs(sig: np.ndarray, least: tuple[int, ...], one: np.ndarray | None = None) -> np.ndarray:
+    """Whether each two rows of hash bytes survive the comparison step by step; one: rows whose pairs are wanted with the
+    other rows only."""
+    out = np.zeros((len(sig), len(sig)), bool)
+    first, second = (None, None) if one is None else (np.flatnonzero(one), np.flatnonzero(~one))
+    for k in range(len(sig)) if one is None else first.tolist():
+        others = np.arange(k + 1, len(sig)) if one is None else second
+        if len(others):
+            out[k, others[survivors(sig[k], sig[others], least)]] = True
+    return out | out.T
 
 
 def exact_links(sets: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Whether each two sets reach the threshold: intersections from products of 0/1 matrices, a slice of shingles at a time."""
-    sizes = np.array(list(map(len, sets)))
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    values, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count > 1
-    number = np.cumsum(shared) - 1
-    owner, place = owner[shared[place]], number[place[shared[place]]]
-    order = np.argsort(place, kind="stable")
-    owner, place = owner[order], place[order]
-    both, width = np.zeros((len(sets), len(sets)), np.float32), max(1, 4_000_000 // max(1, len(sets)))
-    for low in range(0, int(shared.sum()), width):
-        a, b = np.searchsorted(place, [low, low + width])
-        m = np.zeros((len(sets), width), np.float32)
-        m[owner[a:b], place[a:b] - low] = 1
+    """Whether each two sets reach the threshold. Shingles of few sets are counted pair by pair, those of many by products
+    of 0/1 matrices, a slice of shingles at a time."""
+    n, sizes = len(sets), np.array(list(map(len, sets)), np.float64)
+    owner = np.repeat(np.arange(n), sizes.astype(np.int64))
+    values = np.concatenate(sets)
+    order = np.argsort(values, kind="stable")
+    owner, values = owner[order], values[order]
+    starts = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+    count = np.diff(np.append(starts, len(values)))
+    both = np.zeros((n, n), np.float32)
+    for c in range(2, _RARE + 1):
+        members = owner[starts[count == c][:, None] + np.arange(c)]
+        if len(members):
+            pairs = np.concatenate([members[:, a] * n + members[:, b] for a in range(c) for b in range(a + 1, c)])
+            cell, times = np.unique(pairs, return_counts=True)
+            both.reshape(-1)[cell] += times
+            both.reshape(-1)[cell % n * n + cell // n] += times
+    often, width = np.flatnonzero(count > _RARE), max(1, 2_000_000 // n)
+    for low in range(0, len(often), width):
+        part = often[low : low + width]
+        m = np.zeros((n, len(part)), np.float32)
+        column = np.repeat(np.arange(len(part)), count[part])
+        m[owner[_runs(starts[part], count[part])], column] = 1
         both += m @ m.T
-    union = sizes[:, None] + sizes[None, :] - both
-    return both >= threshold * union - 1e-6
+    linked = np.empty((n, n), bool)
+    for low in range(0, n, 256):
+        rows = both[low : low + 256].astype(np.float64)
+        linked[low : low + 256] = rows >= threshold * (sizes[low : low + 256, None] + sizes[None, :] - rows) - 1e-6
+    return linked
+
+
+_RARE = 8  # sets
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start .. start + size - 1 of every run, one after the other."""
+    upto = np.cumsum(sizes)
+    return np.repeat(starts - upto + sizes, sizes) + np.arange(upto[-1] if len(upto) else 0)
 
 
 def _forest(linked: np.ndarray) -> np.ndarray:
@@ -226,7 +269,7 @@ def _forest(linked: np.ndarray) -> np.ndarray:
 
 
 def near_duplicates(
-    docs: DataFrame, *, threshold: float = 0.8, tolerance: float = 1e-5, bucket_rows: int = 4096, block_rows: int = 256,
+    docs: DataFrame, *, threshold: float = 0.8, tolerance: float = 1e-5, bucket_rows: int = 4096, block_rows: int = 2048, block_shingles: int = 2_000_000,
     id_col: str = "doc_id", text_col: str = "text", with_key: bool = False,
 ) -> DataFrame:
     """(doc_id, class_id, n_links) of every row.
@@ -236,25 +279,28 @@ def near_duplicates(
     """
     least = least_matches(threshold, tolerance)
     signed = materialise(signatures(docs, id_col, text_col), "signatures", TEXTS)
-    classes = signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("n").alias("n"))
     classes = materialise(classes, "text-classes")
     groups = materialise(_candidate_groups(classes.where("sig is not null"), least, bucket_rows), "groups")
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")).withColumnRenamed("component", "c")
-    named = groups.join(sizes, F.col("component") == F.col("c")).join(classes.select(F.col("key").alias("k"), "rep", "copies"), F.col("node") == F.col("k"))
-    named = materialise(named.select(F.col("node").alias("k"), "component", "size", "rep", "copies"), "group-members")
+    named = materialise(groups.join(classes.select("key", "rep", "copies", "sig", "n"), F.col("node") == F.col("key")).drop("node"), "group-members")
+    sizes = materialise(named.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("n").cast("long")).alias("shingles")), "group-sizes")
+    blocks = F.ceil(F.greatest(F.col("size") / block_rows, F.col("shingles") / block_shingles))
+    named = join_hot(named, sizes, "component", "size").withColumn("blocks", blocks)
+    named = materialise(named.select(row_key(F.col("rep"), F.col("key")).alias("k"), "component", "blocks", "key", "copies", "sig"), "group-blocks")
 
     # one row of each text in a group, with its shingles
-    texts = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.join(bounded_broadcast(named), (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    key = text_key(F.col(text_col))
+    texts = with_keys(docs.select(F.col(id_col), F.col(text_col)), row_key(F.col(id_col), key), named)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = pa.array([shingle_set(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("component", "size", "key", "copies")), sets], names=["component", "size", "key", "copies", "shingles"])
+            sets = pa.array([shingle_set(t).tobytes() for t in batch.column(5).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], sets], names=["component", "blocks", "key", "copies", "sig", "shingles"])
         forget()
 
-    rows = texts.select("component", "size", "key", "copies", "text").mapInArrow(cut, "component binary, size long, key binary, copies long, shingles binary")
-    rows = _in_block_pairs(rows, F.ceil(F.col("size") / block_rows), F.col("key")).select("component", "__i", "__j", "key", "__own", "copies", "shingles")
+    rows = texts.select("component", "blocks", "key", "copies", "sig", F.col(f"row.`{text_col}`").cast("string").alias("text"))
+    rows = rows.mapInArrow(cut, "component binary, blocks long, key binary, copies long, sig binary, shingles binary")
+    rows = _in_block_pairs(rows, F.col("blocks"), F.col("key")).select("component", "__i", "__j", "key", "__own", "copies", "sig", "shingles")
     rows = rows.repartition("component", "__i", "__j").sortWithinPartitions("component", "__i", "__j", "key")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,10 +311,13 @@ def near_duplicates(
                 continue
             i, j = group.column("__i")[0].as_py(), group.column("__j")[0].as_py()
             own, copies = group.column("__own").to_numpy()[new], group.column("copies").to_numpy()[new]
-            linked = exact_links([np.frombuffer(group.column("shingles")[k].as_py(), np.uint64) for k in new], threshold)
-            np.fill_diagonal(linked, False)
-            if i != j:
-                linked &= own[:, None] != own[None, :]
+            sig = np.frombuffer(b"".join(group.column("sig")[k].as_py() for k in new), np.uint8).reshape(-1, HASHES)
+            linked = surviving_pairs(sig, least, None if i == j else own == i)
+            left = np.flatnonzero(linked.any(1))
+            if not len(left):
+                continue
+            exact = exact_links([np.frombuffer(group.column("shingles")[new[k]].as_py(), np.uint64) for k in left.tolist()], threshold)
+            linked[np.ix_(left, left)] &= exact
             links, root = linked @ copies, _forest(linked)
             at = np.flatnonzero(links > 0)
             if len(at):
@@ -280,23 +329,25 @@ def near_duplicates(
     links = found.groupBy(F.col("key").alias("lk")).agg(F.sum("links").alias("links"))
     members = classes.select("key", "rep", "copies").join(components, F.col("key") == F.col("n"), "left").join(links, F.col("key") == F.col("lk"), "left")
     members = materialise(members.select("key", "rep", "copies", "component", "links"), "members")
-    heads = members.where("component is not null").groupBy(F.col("component").alias("hc")).agg(F.min(F.when(F.col("rep").isNotNull(), F.struct("rep", "key"))).alias("head"), F.min("key").alias("any_key"))
-    members = members.join(heads, F.col("component") == F.col("hc"), "left").select(
-        F.col("key").alias("mk"), F.when(F.col("hc").isNull(), F.col("rep")).otherwise(F.col("head.rep")).alias("class_id"),
-        F.when(F.col("hc").isNull(), F.col("key")).otherwise(F.coalesce("head.key", "any_key")).alias("class_key"),
-        (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-    )
-    out = signed.select("doc_id", "key").join(members, F.col("key") == F.col("mk"))
+    heads = members.where("component is not null").groupBy("component").agg(F.min(F.when(F.col("rep").isNotNull(), F.struct("rep", "key"))).alias("head"), F.min("key").alias("any_key"), F.count(F.lit(1)).alias("size"))
+    heads = materialise(heads, "heads")
+    n_links = (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+    alone = members.where("component is null").select("key", F.col("rep").alias("class_id"), F.col("key").alias("class_key"), n_links, "copies")
+    grouped = join_hot(members.where("component is not null"), heads, "component", "size")
+    grouped = grouped.select("key", F.col("head.rep").alias("class_id"), F.coalesce("head.key", "any_key").alias("class_key"), n_links, "copies")
+    out = join_hot(signed.select("doc_id", "key"), materialise(alone.union(grouped), "classes-of-texts"), "key", "copies")
     return out.select("doc_id", "class_id", "n_links", *(["key", "class_key"] if with_key else []))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """docs with one row of each near-duplicate class: that of the least id."""
     rows = materialise(near_duplicates(docs, id_col=id_col, text_col=text_col, with_key=True, **settings), "classes")
+    rows = rows.withColumn("k", row_key(F.col("doc_id"), F.col("key")))
     stays = F.col("key").eqNullSafe(F.col("class_key")) & F.col("doc_id").eqNullSafe(F.col("class_id"))
-    gone = materialise(rows.where(~stays).select(F.col("doc_id").alias("__i"), F.col("key").alias("__k")).distinct(), "gone")
-    same = F.col(id_col).eqNullSafe(F.col("__i")) & (text_key(F.col(text_col)) == F.col("__k"))
-    kept = docs.join(bounded_broadcast(gone), same, "left_anti")
-    if rows.where(stays).groupBy("doc_id", "key").count().where("count > 1").limit(1).count():  # rows that repeat an id and text
-        kept = kept.withColumn("__k", text_key(F.col(text_col))).dropDuplicates([id_col, "__k"]).drop("__k")
+    gone = materialise(rows.where(~stays).select("k").distinct(), "gone")
+    key = row_key(F.col(id_col), text_key(F.col(text_col)))
+    kept = without_keys(docs, key, gone)
+    if rows.where(stays).groupBy("k").count().where("count > 1").limit(1).count():  # rows that repeat an id and text
+        packed = kept.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("k"))
+        kept = packed.dropDuplicates(["k"]).select("row.*")
     return kept
