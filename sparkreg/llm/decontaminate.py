@@ -7,16 +7,20 @@ each block shared by two windows: an item that occurs lies within one window, of
 A window is a candidate for an item where any of ``hashes`` minimum hashes agree (at an item share of a quarter, the
 chance to miss one is 0.75^48 = 1e-6). Candidates are verified by the exact containment in the whole document.
 
-Words are runs of letters and digits, lower-cased, so punctuation, symbols and case hide nothing. Items are the query set:
-tasks get the index of at most ``block`` items, and documents are passed once for each block of items.
-
-Defined cases: null text is empty; items and documents of fewer than five words have no shingle and match nothing; a null
-item id is kept as null; repeated rows give repeated results; empty tables give an empty result.
+Words are runs of letters and digits, lower-cased, so punctuation, symbols and case hide nothing. An item of one to four
+words is one shingle, all its words, and is found wherever they stand in that order. Items are the query set: tasks get the
+index of one block of items, at most ``block`` of them and about ``block_bytes`` of text, and documents are passed once for
+each block.
+
+Defined cases: null text is empty; items without words match nothing; texts of any length are read whole; ids of any type are
+kept, nulls too; repeated rows, of documents or items, give repeated results; other columns are ignored, and kept by
+``drop_contaminated`` whatever their names; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,8 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkreg.functions.storage import bounded_broadcast, materialise
-from sparkreg.llm.shingles import TEXTS, forget, windows
+from sparkreg.functions.joins import without_keys
+from sparkreg.functions.storage import materialise
+from sparkreg.llm.ngram_join import row_key, text_key
+from sparkreg.llm.shingles import N, TEXTS, forget, windows
 
 WORD = re.compile(r"[^\W_]+")
 LEAST = 16  # shingles in a block of the smallest class
@@ -34,8 +40,12 @@ _BITS = 20  # at most, of the tables that sort out most windows; 256 places an i
 _NONE = np.uint32(0xFFFFFFFF)
 
 
+def normal_words(text: str | None) -> list[str]:
+    return WORD.findall((text or "").lower())
+
+
 def shingled(text: str | None) -> np.ndarray:
-    return windows(WORD.findall((text or "").lower()), short=False)
+    return windows(normal_words(text), short=False)
 
 
 def _multipliers(hashes: int) -> np.ndarray:
@@ -45,13 +55,16 @@ def _multipliers(hashes: int) -> np.ndarray:
 class Index:
     """Minimum hashes of a block of items by size class."""
 
-    def __init__(self, items: list[tuple], hashes: int) -> None:
+    def __init__(self, texts: list[str | None], hashes: int) -> None:
         self.a = _multipliers(hashes)
-        self.sets = [np.unique(shingled(text)) for _, text in items]
-        self.ids = [i for i, _ in items]
+        words = [normal_words(text) for text in texts]
+        self.sets = [np.unique(windows(w)) for w in words]
+        self.short: dict[int, list[int]] = defaultdict(list)  # items of fewer words than a shingle, by their number
         by: dict[int, list[int]] = defaultdict(list)
         for k, s in enumerate(self.sets):
-            if len(s):
+            if 0 < len(words[k]) < N:
+                self.short[len(words[k])].append(k)
+            elif len(s):
                 by[max(0, (len(s) - 1) // LEAST).bit_length()].append(k)
         self.classes = {}
         for level, members in by.items():
@@ -95,45 +108,74 @@ class Index:
         return found
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, *, threshold: float = 0.8, hashes: int = 48, block: int = 20_000, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", with_key: bool = False) -> DataFrame:
-    """(doc_id, item_id, shared, item_shingles, containment) of every document and item at or above the threshold."""
+    def short_hits(self, words: list[str]) -> list[int]:
+        """The short items that the words hold."""
+        found: list[int] = []
+        for length, members in self.short.items():
+            if len(words) >= length:
+                own = windows(words, size=length)
+                found += [k for k in members if (own == self.sets[k][0]).any()]
+        return found
+
+
+_last: tuple[str, Index] | None = None
+
+
+def _index(name: str, texts: list[str | None], hashes: int) -> Index:
+    """The index of a block, kept by the worker until another block comes."""
+    global _last
+    if _last is None or _last[0] != name:
+        _last = (name, Index(texts, hashes))
+    return _last[1]
+
+
+def find_contamination(
+    docs: DataFrame, items: DataFrame, *, threshold: float = 0.8, hashes: int = 48, block: int = 20_000, block_bytes: int = 32 << 20,
+    id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", with_key: bool = False,
+) -> DataFrame:
+    """(doc_id, item_id, shared, item_shingles, containment) of every document and item at or above the threshold.
+
+    With with_key, also key (of the text).
+    """
     spark = docs.sparkSession
-    listed = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).withColumn("b", F.xxhash64("i", "t"))
-    blocks = max(1, -(-listed.count() // block))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("key")) if with_key else rows.withColumn("key", F.lit(None).cast("string"))
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.string()), ("item_id", pa.int64()), ("shared", pa.int64()), ("item_shingles", pa.int64()), ("containment", pa.float64())])
+    listed = items.select(F.col(item_id).alias("i"), F.col(item_text).cast("string").alias("t"))
+    listed = listed.withColumn("b", F.xxhash64(F.col("i").cast("string"), "t"))
+    held = listed.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("t")).alias("bytes")).first()
+    blocks = max(1, -(-held.n // block), -(-(held.bytes or 0) // block_bytes))
+    rows = docs.select(F.col(id_col).alias("doc_id"), (text_key(F.col(text_col)) if with_key else F.lit(None).cast("binary")).alias("key"), F.col(text_col).cast("string").alias("text"))
+    kinds = dict(rows.dtypes) | {"item": dict(listed.dtypes)["i"]}
     out = None
     for b in range(blocks):
-        # one block of items at a time (about ``block`` rows) is the query set that tasks get
-        part = [(r.i, r.t) for r in listed.where(F.pmod("b", F.lit(blocks)) == b).collect()]
-        sent = spark.sparkContext.broadcast(part)
+        # one block of items at a time is the query set that tasks get
+        sent = spark.sparkContext.broadcast((uuid.uuid4().hex, listed.where(F.pmod("b", F.lit(blocks)) == b).select("i", "t").toArrow()))
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = Index(sent.value, hashes)
+            name, table = sent.value
+            index, item_ids = _index(name, table.column("t").to_pylist(), hashes), table.column("i").combine_chunks()
             for batch in batches:
                 lo = 0
                 while lo < batch.num_rows:
-                    docs, ids, keys, held = [], [], [], 0
+                    docs, words, start, held = [], [], lo, 0
                     while lo < batch.num_rows and held < 400_000:  # shingles at work together
-                        docs.append(shingled(batch.column(1)[lo].as_py()))
-                        ids.append(batch.column(0)[lo].as_py())
-                        keys.append(batch.column(2)[lo].as_py())
+                        words.append(normal_words(batch.column(2)[lo].as_py()))
+                        docs.append(windows(words[-1], short=False))
                         held += len(docs[-1])
                         lo += 1
                     pairs = sorted(index.candidates(docs))
                     sets = {d: np.unique(docs[d]) for d, _ in pairs}
-                    hits = []
+                    hits = [(d, k, 1, 1) for d, w in enumerate(words) for k in index.short_hits(w)] if index.short else []
                     for d, k in pairs:
                         item, own = index.sets[k], sets[d]
                         at = np.minimum(np.searchsorted(own, item), len(own) - 1)
                         n = int((own[at] == item).sum())
                         if n >= threshold * len(item) - 1e-9:
-                            hits.append((ids[d], keys[d], index.ids[k], n, len(item), n / len(item)))
-                    yield pa.RecordBatch.from_pylist([dict(zip(schema.names, h, strict=True)) for h in hits], schema=schema)
+                            hits.append((d, k, n, len(item)))
+                    d, k, n, size = (np.array([h[c] for h in hits], np.int64) for c in range(4))
+                    columns = [batch.column(0).take(pa.array(d + start)), batch.column(1).take(pa.array(d + start)), item_ids.take(pa.array(k)), pa.array(n), pa.array(size), pa.array(n / np.maximum(size, 1))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "item_id", "shared", "item_shingles", "containment"])
             forget()
 
-        found = rows.select("doc_id", "text", "key").mapInArrow(scan, "doc_id long, key string, item_id long, shared long, item_shingles long, containment double")
+        found = rows.mapInArrow(scan, f"doc_id {kinds['doc_id']}, key binary, item_id {kinds['item']}, shared long, item_shingles long, containment double")
         out = found if out is None else out.union(found)
     return out if with_key else out.drop("key")
 
@@ -141,6 +183,5 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, threshold: float =
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The rows of docs that hold no item. Rows are told apart by id and text."""
     found = find_contamination(docs, items, id_col=id_col, text_col=text_col, with_key=True, **settings)
-    found = materialise(found.select(F.col("doc_id").alias("__i"), F.col("key").alias("__k")).distinct(), "contaminated", TEXTS)
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__i")) & (F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("__k"))
-    return docs.join(bounded_broadcast(found), same, "left_anti")
+    found = materialise(found.select(row_key(F.col("doc_id"), F.col("key")).alias("k")).distinct(), "contaminated", TEXTS)
+    return without_keys(docs, row_key(F.col(id_col), text_key(F.col(text_col))), found)

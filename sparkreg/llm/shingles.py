@@ -36,16 +36,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def windows(words: list[str], short: bool = True) -> np.ndarray:
-    """The hash of every five-word window, in order, with repeats. Fewer words are one window if short, else none."""
+def windows(words: list[str], short: bool = True, size: int = N) -> np.ndarray:
+    """The hash of every window of size words, in order, with repeats. Fewer words are one window if short, else none."""
     h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    n = len(h) - N + 1
+    n = len(h) - size + 1
     if n < 1:
         if not short or not len(h):
             return np.empty(0, np.uint64)
         n, take = 1, len(h)
     else:
-        take = N
+        take = size
     out = np.zeros(n, np.uint64)
     for k in range(take):
         out = out * _P + h[k : k + n]
