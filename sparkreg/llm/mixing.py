@@ -9,11 +9,13 @@
    until the words still missing are filled: the sample's size is fixed in words. One last document of the next
    ``reach`` ranks is added where that brings the source nearer to its target.
 
-The ranks are never sorted as a whole: a histogram of 4,096 rank cells a source tells in which cell the sample ends, and
-only that cell's documents are ordered. u comes from a hash of the document's id, so reruns agree.
+The ranks are never sorted as a whole: a histogram of 4,096 rank cells a source tells in which cell the sample ends, a second
+one of 4,096 parts of that cell tells in which part, and only that part's documents are ordered: about one in 17 million
+of a source. u comes from a hash of the document's id, so reruns agree.
 
-Defined cases: null text has size 0; a document of size 0 is never taken; a null source is a source of its own, last in
-order; rows that share an id share their rank and are taken together; an empty table gives an empty result.
+Defined cases: null text has size 0; texts of any length are counted whole; a document of size 0 is never taken; a null source
+is a source of its own, last in order; ids of any type will do; rows that share an id share their rank and are taken together;
+other columns are kept whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from sparkreg.functions.storage import bounded_broadcast, materialise
 
 WORDS = "[^\\x20\\x09-\\x0D]+"
 SEED = 20240607
-CELLS = 4096
 _BITS = 50  # of a rank
+_CELL_BITS = 12  # of a rank's place in either histogram
 
 
 def _size(text: Column) -> Column:
@@ -70,61 +72,81 @@ def _classes(slim: DataFrame, share: float, weights: tuple, max_copies: float, s
 
 
 def _with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    side = classes.select(F.col("source").alias("__s"), F.col("class").alias("__c"), *(F.col(c).alias(f"__{c}") for c in ("source_size", "target", "whole", "p")))
-    return rows.join(bounded_broadcast(side), F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__class") == F.col("__c")), "left").drop("__s", "__c")
-
-
-def mix_sources(
-    docs: DataFrame, *, share: float = 1.5, weights: tuple[float, ...] = (3.0, 1.0, 2.0), max_copies: float = 2.0, size_power: float = 0.25,
-    reach: int = 64, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
-) -> DataFrame:
-    """docs with the columns mix_size, mix_source_size, mix_target, mix_copies and mix_taken added (replaced if present)."""
-    sized = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_taken")
-    sized = sized.withColumn("__source", F.col(source_col)).withColumn("__size", _size(F.col(text_col))).withColumn("__class", F.length(F.bin("__size")))
-    slim = materialise(sized.select(F.col(id_col).alias("id"), F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__class").alias("class")), "mix-sizes")
-    classes = materialise(_classes(slim, share, weights, max_copies, size_power), "mix-classes")
-
-    can = F.col("__size") > 0
-    can &= F.col("__p") > 1e-12
-    rank = F.when(can, _rank(F.col("id"), F.least("__p", F.lit(1 - 1e-12)), seed))
-    ranked = _with_class(slim.withColumnsRenamed({"source": "__source", "size": "__size", "class": "__class"}), classes)
-    ranked = ranked.select("__source", "__size", rank.alias("k")).where("k is not null")
-    ranked = materialise(ranked.withColumn("cell", F.shiftright("k", _BITS - CELLS.bit_length() + 1)), "mix-ranks")
-    missing = classes.groupBy("source").agg((F.max("target") - F.sum(F.col("whole") * F.col("words"))).alias("missing")).withColumnRenamed("source", "__r")
-    up = Window.partitionBy("__source").orderBy("cell")
-    cells = ranked.groupBy("__source", "cell").agg(F.sum("__size").alias("words"), F.count(F.lit(1)).alias("n"))
-    cells = cells.withColumn("before", F.sum("words").over(up) - F.col("words")).withColumn("upto", F.sum("n").over(up))
-    cells = cells.join(bounded_broadcast(missing), F.col("__source").eqNullSafe(F.col("__r"))).drop("__r")
-    ends = F.when(F.col("before") + F.col("words") > F.col("missing"), F.struct("cell", "before", "upto", "n"))
-    first = F.min(ends).over(Window.partitionBy("__source"))
-    cells = cells.withColumn("first", first).where("cell >= first.cell and upto - n < first.upto + " + str(reach))
-    # the cell where the sample ends and the cells that hold the next ranks
-    cells = cells.select(F.col("__source").alias("__e"), F.col("cell").alias("__cell"), F.col("first.before").alias("before"), "missing")
-    last = ranked.join(bounded_broadcast(cells), F.col("__source").eqNullSafe(F.col("__e")) & (F.col("cell") == F.col("__cell")))
-    last = last.groupBy("__source", "k", "before", "missing").agg(F.sum("__size").alias("x"))
-    by_rank = Window.partitionBy("__source").orderBy("k")
+    side = classes.select(F.col("source").alias("s"), F.col("class").alias("c"), "source_size", "target", "whole", "p")
+    return rows.join(bounded_broadcast(side), F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c")), "left").drop("s", "c")
+
+
+def _end_parts(ranked: DataFrame, start: DataFrame, low_bits: int, reach: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ranked (source, size, k) in the cell where each source's sample ends and in those with the next ranks.
+
+    start has (source, before, missing): the words of ranks below ranked's, and those that the sample needs. Cells are
+    k >> low_bits. Returns the rows, and start for them.
+    """
+    cell = F.shiftright("k", low_bits)
+    up = Window.partitionBy("source").orderBy("cell")
+    cells = ranked.groupBy("source", cell.alias("cell")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
+    side = start.select(F.col("source").alias("r"), F.col("before").alias("below"), "missing")
+    cells = cells.join(bounded_broadcast(side), F.col("source").eqNullSafe(F.col("r"))).drop("r")
+    cells = cells.withColumn("before", F.col("below") + F.sum("words").over(up) - F.col("words")).withColumn("upto", F.sum("n").over(up))
+    ends = F.when(F.col("before") + F.col("words") > F.col("missing"), F.struct("cell", "before", "upto"))
+    cells = cells.withColumn("first", F.min(ends).over(Window.partitionBy("source")))
+    cells = materialise(cells.where(F.expr(f"cell >= first.cell and upto - n < first.upto + {reach}")), "mix-cells")
+    places = cells.select(F.col("source").alias("e"), F.col("cell").alias("at"))
+    rows = ranked.join(bounded_broadcast(places), F.col("source").eqNullSafe(F.col("e")) & (cell == F.col("at"))).drop("e", "at")
+    return rows, cells.groupBy("source").agg(F.min("first.before").alias("before"), F.max("missing").alias("missing"))
+
+
+def _ends(ranked: DataFrame, missing: DataFrame, reach: int) -> DataFrame:
+    """(source, cut, pick): ranks up to cut are taken, and the rank pick. A source without a row has every rank taken."""
+    start = missing.withColumn("before", F.lit(0).cast("long"))
+    for low_bits in (_BITS - _CELL_BITS, _BITS - 2 * _CELL_BITS):
+        ranked, start = _end_parts(ranked, start, low_bits, reach)
+    side = start.withColumnRenamed("source", "r")
+    last = ranked.join(bounded_broadcast(side), F.col("source").eqNullSafe(F.col("r")))
+    last = last.groupBy("source", "k", "before", "missing").agg(F.sum("size").alias("x"))
+    by_rank = Window.partitionBy("source").orderBy("k")
     last = last.withColumn("upto", F.col("before") + F.sum("x").over(by_rank)).withColumn("in", F.col("upto") <= F.col("missing"))
     out = F.sum(F.when(~F.col("in"), 1)).over(by_rank)
-    gap = F.col("missing") - F.coalesce(F.max(F.when(F.col("in"), F.col("upto"))).over(Window.partitionBy("__source")), F.col("before"))
+    gap = F.col("missing") - F.coalesce(F.max(F.when(F.col("in"), F.col("upto"))).over(Window.partitionBy("source")), F.col("before"))
     last = last.withColumn("out", out).withColumn("gap", gap).withColumn("miss", F.abs(F.col("gap") - F.col("x")))
     pick = F.min(F.when((~F.col("in")) & (F.col("out") <= reach) & (F.col("miss") < F.col("gap")), F.struct("miss", "k")))["k"]
     cut = F.max(F.when(F.col("in"), F.col("k")))
-    # without a row here, the source's sample has every rank; with no rank below the end cell taken, it stops before it
-    ends = last.groupBy("__source").agg(F.coalesce(cut, F.min("k") - 1).alias("__cut"), pick.alias("__pick")).withColumnRenamed("__source", "__e")
-    ends = materialise(ends, "mix-ends")
+    # with no rank of the end part taken, the sample stops before it
+    return last.groupBy("source").agg(F.coalesce(cut, F.min("k") - 1).alias("cut"), pick.alias("pick"))
+
+
+def _mixed(docs: DataFrame, share: float, weights: tuple, max_copies: float, size_power: float, reach: int, seed: int, id_col: str, source_col: str, text_col: str) -> DataFrame:
+    """(row, size, source_size, target, copies) of every row of docs, as a struct."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    sized = docs.select(whole.alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), _size(F.col(text_col)).alias("size"))
+    sized = sized.withColumn("class", F.length(F.bin("size")))
+    slim = materialise(sized.select("id", "source", "size", "class"), "mix-sizes")
+    classes = materialise(_classes(slim, share, weights, max_copies, size_power), "mix-classes")
+    rank = F.when((F.col("size") > 0) & (F.col("p") > 1e-12), _rank(F.col("id"), F.least("p", F.lit(1 - 1e-12)), seed))
+    ranked = materialise(_with_class(slim, classes).select("source", "size", rank.alias("k")).where("k is not null"), "mix-ranks")
+    missing = classes.groupBy("source").agg((F.max("target") - F.sum(F.col("whole") * F.col("words"))).alias("missing"))
+    ends = materialise(_ends(ranked, missing, reach).withColumnRenamed("source", "e"), "mix-ends")
+
+    rows = _with_class(sized, classes).join(bounded_broadcast(ends), F.col("source").eqNullSafe(F.col("e")), "left").withColumn("k", rank)
+    more = F.when((F.col("k") <= F.col("cut")) | F.col("cut").isNull() | (F.col("k") == F.col("pick")), 1).otherwise(0)
+    copies = F.when(F.col("size") > 0, F.col("whole") + F.when(F.col("k").isNull(), 0).otherwise(more)).otherwise(0).cast("long")
+    return rows.select("row", "size", "source_size", "target", copies.alias("copies"))
+
 
-    rows = _with_class(sized, classes).join(bounded_broadcast(ends), F.col("__source").eqNullSafe(F.col("__e")), "left")
-    k = F.when((F.col("__size") > 0) & (F.col("__p") > 1e-12), _rank(F.col(id_col), F.least("__p", F.lit(1 - 1e-12)), seed))
-    rows = rows.withColumn("__k", k)
-    more = F.when((F.col("__k") <= F.col("__cut")) | F.col("__cut").isNull() | (F.col("__k") == F.col("__pick")), 1).otherwise(0)
-    copies = F.when(F.col("__size") > 0, F.col("__whole") + F.when(F.col("__k").isNull(), 0).otherwise(more)).otherwise(0).cast("long")
-    rows = rows.withColumn("mix_size", F.col("__size")).withColumn("mix_source_size", F.col("__source_size")).withColumn("mix_target", F.col("__target"))
-    rows = rows.withColumn("mix_copies", copies).withColumn("mix_taken", F.col("mix_copies") * F.col("mix_size"))
-    return rows.drop("__source", "__size", "__class", "__source_size", "__target", "__whole", "__p", "__e", "__cut", "__pick", "__k")
+def mix_sources(
+    docs: DataFrame, *, share: float = 1.5, weights: tuple[float, ...] = (3.0, 1.0, 2.0), max_copies: float = 2.0, size_power: float = 0.25,
+    reach: int = 64, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+) -> DataFrame:
+    """docs with mix_size, mix_source_size, mix_target, mix_copies and mix_taken; columns of docs of these names give way."""
+    rows = _mixed(docs, share, weights, max_copies, size_power, reach, seed, id_col, source_col, text_col)
+    new = {"mix_size": F.col("size"), "mix_source_size": F.col("source_size"), "mix_target": F.col("target"), "mix_copies": F.col("copies"), "mix_taken": F.col("copies") * F.col("size")}
+    return rows.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in new], *(c.alias(name) for name, c in new.items()))
 
 
-def mixed_rows(docs: DataFrame, **settings) -> DataFrame:
+def mixed_rows(
+    docs: DataFrame, *, share: float = 1.5, weights: tuple[float, ...] = (3.0, 1.0, 2.0), max_copies: float = 2.0, size_power: float = 0.25,
+    reach: int = 64, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of docs."""
-    mixed = mix_sources(docs, **settings).where("mix_copies > 0")
-    times = F.explode(F.array_repeat(F.lit(1), F.col("mix_copies").cast("int"))).alias("__copy")
-    return mixed.select(*[F.col(f"`{c}`") for c in docs.columns], times).drop("__copy")
+    rows = _mixed(docs, share, weights, max_copies, size_power, reach, seed, id_col, source_col, text_col).where("copies > 0")
+    return rows.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")
