@@ -1,15 +1,17 @@
 """Token ids in length-delimited binary records with masked checksums, and an offset index for shuffled reads.
 
 A record is framed as  length (u64) | masked CRC-32C of the length (u32) | payload | masked CRC-32C of the payload (u32),
-all little-endian; the payload is the document's id (i64) and its token ids with the end id, in u16 where the vocabulary
-fits and u32 otherwise. A mask rotates a checksum right by 15 bits and adds a constant, so that a checksum of data that
+all little-endian; the payload is the document's id as text (its length as u32, 2^32 - 1 for null, then UTF-8) and its token
+ids with the end id, in u16 where the vocabulary fits and u32 otherwise. A mask rotates a checksum right by 15 bits and adds a constant, so that a checksum of data that
 holds checksums stays sound. Beside every data file lies an index file of (byte offset, first token) pairs, two u64 a
 record: any record can be read alone, in any order.
 
 Documents are range-sorted by id into shards; files are committed through temporary names and a manifest.
 
-Defined cases: null text is empty (the record then has the end id alone); a null id sorts first; rows that repeat an id
-are ordered by text; an empty table gives no file and an empty result.
+Defined cases: null text is empty (the record then has the end id alone); texts of any length are encoded whole; ids of any
+type come back in their type, ordered by number where they are integers and by code point otherwise; a null id sorts first;
+rows that repeat an id are ordered by text and stay in one shard; other columns are ignored; an empty table gives no file and
+an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkreg.functions.storage import materialise, new_folder
-from sparkreg.llm.layout import NULL_KEY, NewFile, commit, file_tasks, rows_of, sorted_shards
+from sparkreg.llm.layout import NewFile, commit, file_tasks, rows_of, sorted_shards
 from sparkreg.llm.tokens import encoder
 
 MANIFEST = "name string, temp string, shard int, seq int, records long, tokens long, bytes long, width int"
@@ -106,12 +108,27 @@ def unframe(data: bytes, offsets: list[int]) -> list[bytes]:
     return payloads
 
 
+_NULL = (1 << 32) - 1  # as the length of an id
+
+
+def _packed_id(doc_id: str | None) -> bytes:
+    own = b"" if doc_id is None else doc_id.encode("utf-8", "surrogatepass")
+    return (_NULL if doc_id is None else len(own)).to_bytes(4, "little") + own
+
+
+def _unpacked(payload: bytes, width: int) -> tuple[str | None, np.ndarray]:
+    """The id and the token ids of a payload."""
+    size = int.from_bytes(payload[:4], "little")
+    start = 4 if size == _NULL else 4 + size
+    return None if size == _NULL else payload[4:start].decode("utf-8", "surrogatepass"), np.frombuffer(payload, f"<u{width}", offset=start)
+
+
 def write_records(
     docs: DataFrame, folder: str, vocabulary: str, *, end_id: int = 0, docs_per_shard: int = 10_000, roll_bytes: int = 64 << 20,
     id_col: str = "doc_id", text_col: str = "text", prefix: str = "tokens",
 ) -> DataFrame:
     """Encode docs and write them in ascending id order below folder; returns the manifest."""
-    rows = sorted_shards(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")), "id", ["text"], docs_per_shard)
+    rows = sorted_shards(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")), "id", ["text"], docs_per_shard)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(vocabulary)
@@ -126,11 +143,11 @@ def write_records(
                 done.append({"name": f.name, "temp": f.temp, "shard": shard, "seq": seq, "records": records, "tokens": tokens, "bytes": f.size, "width": width})
 
         for batch in batches:
-            ids, shards = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            ids, shards = [_packed_id(i) for i in batch.column(0).to_pylist()], batch.column(2).to_pylist()
             for lo in range(0, len(ids), 256):
                 texts = batch.column(1).slice(lo, 256).to_pylist()
                 packed = [x.tobytes() + end for x in tool.encode(texts)]
-                framed = frame([(NULL_KEY if i is None else i).to_bytes(8, "little", signed=True) + x for i, x in zip(ids[lo:], packed, strict=False)])
+                framed = frame([i + x for i, x in zip(ids[lo:], packed, strict=False)])
                 for at, x, record in zip(shards[lo:], packed, framed, strict=False):
                     if data is not None and (at != shard or data.size >= roll_bytes):
                         close()
@@ -150,38 +167,65 @@ def write_records(
         if done:
             yield pa.RecordBatch.from_pylist(done, schema=_ARROW)
 
-    return commit(folder, materialise(rows.select("id", "text", "__shard").mapInArrow(write, MANIFEST), "token-files", 1000))
+    return commit(folder, materialise(rows.select(F.col("id").cast("string"), "text", "__shard").mapInArrow(write, MANIFEST), "token-files", 1000))
 
 
-def read_records(folder: str, manifest: DataFrame, step: int = 8 << 20) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every record, read through the index about ``step`` bytes at a time."""
+def _files(manifest: DataFrame) -> DataFrame:
     files = manifest.where(F.col("name").endswith(".rec")).select("name", "shard", "seq", "tokens", "bytes", "width")
     before = F.sum("tokens").over(Window.orderBy("shard", "seq")) - F.col("tokens")  # one row a file
-    files = files.select("name", before.alias("before"), "bytes", "width")
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+    return file_tasks(files.select("name", before.alias("before"), "bytes", "width"))
+
+
+def _opened(folder: str, name: str):
+    """(index, open data file) of a file of records; the index has a row (offset, first token) for each."""
+    system, root = fs.FileSystem.from_uri(folder)
+    with system.open_input_stream(f"{root}/{name.removesuffix('.rec')}.idx", compression=None) as f:
+        index = np.frombuffer(f.read(), "<u8").reshape(-1, 2).astype(np.int64)
+    return index, system.open_input_file(f"{root}/{name}")
+
+
+def read_records(folder: str, manifest: DataFrame, step: int = 8 << 20, id_type: str = "long") -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every record, read through the index about ``step`` bytes at a time."""
+    schema = pa.schema([("doc_id", pa.string()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = fs.FileSystem.from_uri(folder)
         for name, base, size, width in rows_of(batches):
-            with system.open_input_stream(f"{root}/{name.removesuffix('.rec')}.idx", compression=None) as f:
-                index = np.frombuffer(f.read(), "<u8").reshape(-1, 2).astype(np.int64)
-            ends = np.append(index[1:, 0], size)
-            with system.open_input_file(f"{root}/{name}") as f:
-                lo = 0
+            index, data = _opened(folder, name)
+            ends, lo = np.append(index[1:, 0], size), 0
+            with data:
                 while lo < len(index):
                     hi = max(lo + 1, int(np.searchsorted(ends, index[lo, 0] + step, side="right")))
-                    data = f.read_at(int(ends[hi - 1] - index[lo, 0]), int(index[lo, 0]))
-                    payloads = unframe(data, (index[lo:hi, 0] - index[lo, 0]).tolist())
-                    ids = [np.frombuffer(p, f"<u{width}", offset=8).astype("<u4") for p in payloads]
-                    keys = [int.from_bytes(p[:8], "little", signed=True) for p in payloads]
-                    columns = [[None if k == NULL_KEY else k for k in keys], (index[lo:hi, 1] + base).tolist(), list(map(len, ids)), [zlib.crc32(x.tobytes()) for x in ids]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
+                    part = data.read_at(int(ends[hi - 1] - index[lo, 0]), int(index[lo, 0]))
+                    found = [_unpacked(p, width) for p in unframe(part, (index[lo:hi, 0] - index[lo, 0]).tolist())]
+                    ids = [x.astype("<u4") for _, x in found]
+                    columns = [[i for i, _ in found], (index[lo:hi, 1] + base).tolist(), list(map(len, ids)), [zlib.crc32(x.tobytes()) for x in ids]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
                     lo = hi
 
-    return file_tasks(files).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = _files(manifest).mapInArrow(read, "doc_id string, start long, n_tokens long, ids_crc32 long")
+    return rows.withColumn("doc_id", F.col("doc_id").cast(id_type))
+
+
+def read_shuffled(folder: str, manifest: DataFrame, seed: int, id_type: str = "long") -> DataFrame:
+    """(doc_id, start, ids): records read one by one through the index, each file's in an order that the seed draws."""
+    schema = pa.schema([("doc_id", pa.string()), ("start", pa.int64()), ("ids", pa.list_(pa.int64()))])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, base, size, width in rows_of(batches):
+            index, data = _opened(folder, name)
+            ends = np.append(index[1:, 0], size)
+            order = np.random.default_rng([seed, zlib.crc32(name.encode())]).permutation(len(index))
+            with data:
+                for lo in range(0, len(order), 64):
+                    part = order[lo : lo + 64]
+                    found = [_unpacked(unframe(data.read_at(int(ends[k] - index[k, 0]), int(index[k, 0])), [0])[0], width) for k in part.tolist()]
+                    columns = [[i for i, _ in found], (index[part, 1] + base).tolist(), [x.astype(np.int64) for _, x in found]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+    return _files(manifest).mapInArrow(read, "doc_id string, start long, ids array<long>").withColumn("doc_id", F.col("doc_id").cast(id_type))
 
 
-def round_trip(docs: DataFrame, vocabulary: str, **settings) -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", **settings) -> DataFrame:
     """Write docs to a new folder and read the files back."""
     folder = new_folder(docs.sparkSession, "tokens")
-    return read_records(folder, write_records(docs, folder, vocabulary, **settings))
+    return read_records(folder, write_records(docs, folder, vocabulary, id_col=id_col, **settings), id_type=dict(docs.dtypes)[id_col])

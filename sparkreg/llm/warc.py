@@ -9,9 +9,10 @@ Payloads of at least ``min_revisit`` bytes that are equal (by SHA-1 and length)
 largest page id; the others become revisit records without a body, whose stored HTTP header still gives the length.
 Only one row a digest takes part in finding them, so a payload that a third of all rows share is no hot group.
 
-Defined cases: null html is an empty payload; a null url gives a record without a target; a null page id is written as
-"null" and sorts first; rows that repeat the largest page id of a payload are all responses; an empty table gives no
-file and an empty result. Other columns are ignored.
+Defined cases: null html is an empty payload; payloads of any size are written whole; a null url gives a record without a
+target; page ids of any type come back in their type (integers are ordered as numbers, others by code point); a null page id
+has a record id of its own and sorts first; rows that repeat the largest page id of a payload are all responses; an empty
+table gives no file and an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -32,12 +34,12 @@ from sparkreg.functions.storage import bounded_broadcast, materialise, new_folde
 from sparkreg.llm.layout import NewFile, commit, file_tasks, rows_of, sorted_shards
 
 MANIFEST = "name string, temp string, shard int, seq int, records long, bytes long, sha256 string"
-RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, file string"
-_ARROW = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("file", pa.string())])
+RECORDS = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string, file string"
+_ARROW = pa.schema([("page_id", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("url", pa.string()), ("file", pa.string())])
 
 
-def _urn(page_id: int | None) -> str:
-    return f"<urn:x-page:{'null' if page_id is None else page_id}>"
+def _urn(page_id: str | None) -> str:
+    return "<urn:x-no-page:0>" if page_id is None else f"<urn:x-page:{quote(page_id, safe='')}>"
 
 
 def _sha1(data: bytes) -> str:
@@ -69,7 +71,7 @@ def write_warc(
     level: int = 6, date: str = "1970-01-01T00:00:00Z", prefix: str = "part",
 ) -> DataFrame:
     """Write pages (page_id, url, html) as WARC files below folder; returns the manifest."""
-    base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8").alias("payload"))
+    base = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8").alias("payload"))
     base = base.withColumn("digest", F.sha1("payload")).withColumn("n", F.octet_length("payload").cast("long"))
     shared = base.where(F.col("n") >= min_revisit).groupBy("digest", "n")
     shared = shared.agg(F.max(F.struct("page_id", "url")).alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -77,7 +79,7 @@ def write_warc(
     rows = base.join(bounded_broadcast(shared), (F.col("digest") == F.col("d")) & (F.col("n") == F.col("dn")), "left")
     revisit = F.col("d").isNotNull() & ~F.col("to").eqNullSafe(F.col("page_id"))
     rows = rows.select("page_id", "url", "payload", F.when(revisit, F.col("to")).alias("to"), F.when(revisit, F.col("to_url")).alias("to_url"), revisit.alias("revisit"), "digest")
-    rows = sorted_shards(rows, "page_id", ["url", "digest"], records_per_shard).select("page_id", "url", "payload", "to", "to_url", "revisit", "__shard")
+    rows = sorted_shards(rows, "page_id", ["url", "digest"], records_per_shard).select(F.col("page_id").cast("string"), "url", "payload", F.col("to").cast("string"), "to_url", "revisit", "__shard")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, at = None, None
@@ -129,12 +131,11 @@ def _hex(digest: str) -> str:
     return base64.b32decode(digest.removeprefix("sha1:")).hex()
 
 
-def _number(urn: str) -> int | None:
-    value = urn.strip("<>").rpartition(":")[2]
-    return None if value == "null" else int(value)
+def _page(urn: str) -> str | None:
+    return unquote(urn.removeprefix("<urn:x-page:").removesuffix(">")) if urn.startswith("<urn:x-page:") else None
 
 
-def read_warc(folder: str, manifest: DataFrame) -> DataFrame:
+def read_warc(folder: str, manifest: DataFrame, id_type: str = "long") -> DataFrame:
     """One row a response or revisit record of the manifest's files; block and payload digests are verified."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,16 +153,17 @@ def read_warc(folder: str, manifest: DataFrame) -> DataFrame:
                     is_revisit = head["warc-type"] == "revisit"
                     if not is_revisit and (len(payload) != size or _sha1(payload) != head["warc-payload-digest"]):
                         raise ValueError(f"{name}: payload of {head['warc-record-id']} is damaged")
-                    out.append((_number(head["warc-record-id"]), size, _hex(head["warc-payload-digest"]), head["warc-type"], _number(head["warc-refers-to"]) if is_revisit else None, head.get("warc-target-uri"), name))
+                    out.append((_page(head["warc-record-id"]), size, _hex(head["warc-payload-digest"]), head["warc-type"], _page(head["warc-refers-to"]) if is_revisit else None, head.get("warc-target-uri"), name))
                     if len(out) >= 5000:
                         yield pa.RecordBatch.from_pylist([dict(zip(_ARROW.names, x, strict=True)) for x in out], schema=_ARROW)
                         out = []
             yield pa.RecordBatch.from_pylist([dict(zip(_ARROW.names, x, strict=True)) for x in out], schema=_ARROW)
 
-    return file_tasks(manifest.select("name")).mapInArrow(read, RECORDS)
+    rows = file_tasks(manifest.select("name")).mapInArrow(read, RECORDS)
+    return rows.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def round_trip(pages: DataFrame, **settings) -> DataFrame:
     """Write pages to a new folder and read the archives back."""
     folder = new_folder(pages.sparkSession, "warc")
-    return read_warc(folder, write_warc(pages, folder, **settings))
+    return read_warc(folder, write_warc(pages, folder, **settings), dict(pages.dtypes)["page_id"])
