@@ -50,6 +50,11 @@ class Kernel:
         """The right side is not looked at where the left is zero."""
         return Kernel(lambda x, y: F.when(self.column(x, y) == 0, 0.0).otherwise(self.column(x, y) * other.column(x, y)), lambda x, y: self.matrix(x, y) * other.matrix(x, y))
 
+    def diagonal(self, x: np.ndarray, measured: bool = False, step: int = 64) -> np.ndarray:
+        """k(x_i, x_i) of every feature, from small blocks of the matrix."""
+        f = self.measured if measured else self.matrix
+        return np.concatenate([np.diag(f(x[lo : lo + step], x[lo : lo + step])) for lo in range(0, len(x), step)]) if len(x) else np.empty(0)
+
     def measured(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """The matrix between measurements: with measurement-only terms."""
         return self.matrix(x, y) + (self.measurement_only(x, y) if self.measurement_only else 0.0)

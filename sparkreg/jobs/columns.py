@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from sparkreg.functions import columns as C
@@ -21,7 +22,7 @@ def erf_sql(z: str) -> str:
 
 
 def chi_sql(x: str, dof: str) -> str:
-    return f"least(1.0, list_sum(list_transform(range(0, 400), lambda kk: exp(-({x}) / 2 + ({dof} / 2.0 + kk) * ln(greatest({x}, 1e-300) / 2) - lgamma({dof} / 2.0 + kk + 1)))))"
+    return f"(CASE WHEN {x} >= 200 THEN 1.0 ELSE least(1.0, list_sum(list_transform(range(0, 400), lambda kk: exp(-({x}) / 2 + ({dof} / 2.0 + kk) * ln(greatest({x}, 1e-300) / 2) - lgamma({dof} / 2.0 + kk + 1))))) END)"  # of few degrees of freedom
 
 
 _DEV = "p AS (SELECT row_id, key, target, target_variance AS v, target - 50 AS e, (target - 50) / 20 AS z FROM ev)"
@@ -47,10 +48,10 @@ def _(spark, d):
     return _scored(spark, d).groupBy("key").agg(r6(F.sum(C.negative_log_likelihood(F.col("z"), F.col("v")))).alias("nll"))
 
 
-@add("chi_squared_cdf", f"WITH {EV}, {_DEV}, q AS (SELECT row_id, z * z / v AS x, 1 + row_id % 5 AS dof FROM p) SELECT row_id, round({chi_sql('x', 'dof')}, 6) AS cdf FROM q WHERE x < 200")
+@add("chi_squared_cdf", f"WITH {EV}, {_DEV}, q AS (SELECT row_id, z * z / v AS x, 1 + row_id % 5 AS dof FROM p) SELECT row_id, round({chi_sql('x', 'dof')}, 6) AS cdf FROM q")
 def _(spark, d):
     q = _scored(spark, d).select("row_id", (F.col("z") * F.col("z") / F.col("v")).alias("x"), (1 + F.col("row_id") % 5).cast("double").alias("dof"))
-    return q.where("x < 200").select("row_id", r6(C.chi_squared_cdf("x", "dof")).alias("cdf"))
+    return q.select("row_id", r6(C.chi_squared_cdf("x", "dof")).alias("cdf"))
 
 
 _CRPS = f"sqrt(v) * ((z / sqrt(v)) * {erf_sql('z / sqrt(v) / sqrt(2.0)')} + 2 * exp(-0.5 * z * z / v) / sqrt(2 * pi()) - 1 / sqrt(pi()))"
@@ -90,9 +91,9 @@ def _(spark, d):
     return _unit(spark, d).select("row_id", r6(C.chebyshev_u(F.col("x"), 5)).alias("u"))
 
 
-@add("chebyshev_t_basis", f"WITH {EV}, {_UNIT}, n AS (SELECT unnest(range(0, 5)) AS n) SELECT row_id, CAST(n AS INTEGER) AS n, round(cos(n * acos(x)), 6) AS value FROM u, n WHERE row_id < 2000")
+@add("chebyshev_t_basis", f"WITH {EV}, {_UNIT}, n AS (SELECT unnest(range(0, 5)) AS n) SELECT row_id, CAST(n AS INTEGER) AS n, round(cos(n * acos(x)), 6) AS value FROM u, n")
 def _(spark, d):
-    return _unit(spark, d).where("row_id < 2000").select("row_id", F.posexplode(C.chebyshev_basis(F.col("x"), 4)).alias("n", "v")).select("row_id", "n", r6("v").alias("value"))
+    return _unit(spark, d).select("row_id", F.posexplode(C.chebyshev_basis(F.col("x"), 4)).alias("n", "v")).select("row_id", "n", r6("v").alias("value"))
 
 
 @add("chebyshev_u_basis", f"WITH {EV}, {_UNIT} SELECT row_id, n, round(CASE n WHEN 0 THEN 1 WHEN 1 THEN 2 * x WHEN 2 THEN 4 * x * x - 1 ELSE 8 * x**3 - 4 * x END, 6) AS value FROM u, (SELECT CAST(unnest(range(0, 4)) AS INTEGER) AS n)")
@@ -170,16 +171,20 @@ def _(spark, d):
     return DI.approximately_equal(a, a.withColumn("mean", 1.0005 * F.col("mean")))
 
 
-_JOINT = "j AS (SELECT user_id AS g, row_number() OVER (PARTITION BY user_id ORDER BY row_id) AS n, feature AS x, target AS m FROM ev), k AS (SELECT a.g, a.n AS i, b.n AS j, exp(-abs(a.x - b.x) / 2) AS cov FROM j a JOIN j b ON a.g = b.g WHERE a.n <= 12 AND b.n <= 12)"
+#: Groups of a user's events of one day; n numbers them from 1.
+_DAY = "user_id * 100000 + CAST(floor(feature / 24) AS BIGINT)"
+_JOINT = f"j AS (SELECT {_DAY} AS g, row_number() OVER (PARTITION BY {_DAY} ORDER BY row_id) AS n, row_id AS r, feature AS x, target AS m FROM ev), k AS (SELECT a.g, a.n AS i, b.n AS j, a.r AS ra, b.r AS rb, exp(-abs(a.x - b.x) / 2) AS cov FROM j a JOIN j b ON a.g = b.g)"
 
 
-def _series(spark, d, most: int = 12):
-    """The first events of every user: (group, i, x, y, variance), i from 1."""
-    from pyspark.sql import Window
+def day_of_user() -> Column:
+    return F.col("user_id") * 100000 + F.floor(F.col("feature") / 24)
 
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("row_id")).cast("long")
-    rows = events(spark, d).select(F.col("user_id").alias("group"), n.alias("i"), F.col("feature").alias("x"), F.col("target").alias("y"), F.col("target_variance").alias("variance"))
-    return rows.where(F.col("i") <= most)
+
+def _series(spark, d):
+    """All events by user and day: (group, i, x, y, variance), i from 1."""
+    n = F.row_number().over(Window.partitionBy("group").orderBy("row_id")).cast("long")
+    rows = events(spark, d).select(day_of_user().alias("group"), "row_id", F.col("feature").alias("x"), F.col("target").alias("y"), F.col("target_variance").alias("variance"))
+    return rows.withColumn("i", n)
 
 
 def _kernel_table(spark, d):
@@ -198,10 +203,11 @@ def _(spark, d):
     return DI.joint_marginal(_kernel_table(spark, d)).select("group", "i", r6("variance").alias("variance"))
 
 
-@add("joint_subset", f'WITH {EV}, {_JOINT} SELECT g AS "group", (12 - i) // 3 AS i, (12 - j) // 3 AS j, round(cov, 6) AS cov FROM k WHERE i % 3 = 0 AND j % 3 = 0')
+@add("joint_subset", f'WITH {EV}, {_JOINT} SELECT g AS "group", -(i // 2) AS i, -(j // 2) AS j, round(cov, 6) AS cov FROM k WHERE i % 2 = 0 AND j % 2 = 0')
 def _(spark, d):
-    positions = spark.createDataFrame([(k, 12 - 3 * k) for k in range(4)], "pos long, i long")
-    return DI.joint_subset(_kernel_table(spark, d), F.broadcast(positions)).select("group", "i", "j", r6("cov").alias("cov"))
+    """Every second row of each group, in reverse order."""
+    positions = _series(spark, d).select("i").distinct().where("i % 2 = 0").select((-F.expr("i div 2")).alias("pos"), "i")
+    return DI.joint_subset(_kernel_table(spark, d), positions).select("group", "i", "j", r6("cov").alias("cov"))
 
 
 _MAT = "mat AS (SELECT row_id // 10 AS i, row_id AS k, 1.0 / (1 + row_id % 10) AS v FROM ev)"
@@ -218,9 +224,9 @@ def _(spark, d):
     return t.select("i", r6("mean").alias("mean"), r6("variance").alias("variance"))
 
 
-@add("transform_joint", f"WITH {EV}, {_JOINT}, s AS (SELECT g * 100 + i AS k, g * 100 + j AS l, cov FROM k), mm AS (SELECT DISTINCT k // 4 AS i, k, 0.25 AS v FROM s) SELECT a.i, b.i AS j, round(sum(a.v * cov * b.v), 6) AS cov FROM mm a JOIN s ON a.k = s.k JOIN mm b ON b.k = s.l GROUP BY 1, 2")
+@add("transform_joint", f"WITH {EV}, {_JOINT}, s AS (SELECT ra AS k, rb AS l, cov FROM k), mm AS (SELECT DISTINCT k // 4 AS i, k, 0.25 AS v FROM s) SELECT a.i, b.i AS j, round(sum(a.v * cov * b.v), 6) AS cov FROM mm a JOIN s ON a.k = s.k JOIN mm b ON b.k = s.l GROUP BY 1, 2")
 def _(spark, d):
-    s = _kernel_table(spark, d).select((F.col("group") * 100 + F.col("i")).alias("k"), (F.col("group") * 100 + F.col("j")).alias("l"), "cov")
+    s = P.within_groups(_series(spark, d), KF.exponential(2.0, 1.0).column, index="row_id").select(F.col("i").alias("k"), F.col("j").alias("l"), "cov")
     m = s.select(F.expr("k div 4").alias("i"), "k", F.lit(0.25).alias("v")).distinct()
     return DI.transform_joint(m, s).select("i", "j", r6("cov").alias("cov"))
 
@@ -261,7 +267,7 @@ def _(spark, d):
 
 # ---- kernels
 
-_PAIRS = "s AS (SELECT user_id AS g, row_number() OVER (PARTITION BY user_id ORDER BY row_id) AS i, feature AS x FROM ev), pr AS (SELECT a.g, a.i, b.i AS j, a.x, b.x AS y, abs(a.x - b.x) AS d FROM s a JOIN s b ON a.g = b.g WHERE a.i <= 12 AND b.i <= 12)"
+_PAIRS = f"s AS (SELECT {_DAY} AS g, row_number() OVER (PARTITION BY {_DAY} ORDER BY row_id) AS i, feature AS x FROM ev), pr AS (SELECT a.g, a.i, b.i AS j, a.x, b.x AS y, abs(a.x - b.x) AS d FROM s a JOIN s b ON a.g = b.g)"
 
 
 def _kernel_query(name: str, sql: str, kernel) -> None:

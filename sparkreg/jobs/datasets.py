@@ -99,10 +99,10 @@ def _(spark, d):
 
 
 def _matrix(spark, d):
-    return table(spark, d, "embeddings").where("vec_id < 300").select(F.col("vec_id").cast("int").alias("i"), F.posexplode("embedding").alias("j", "v"))
+    return table(spark, d, "embeddings").select(F.col("vec_id").cast("int").alias("i"), F.posexplode("embedding").alias("j", "v"))
 
 
-_M = "m AS (SELECT i, j - 1 AS j, CAST(embedding[j] AS DOUBLE) AS v FROM (SELECT CAST(vec_id AS INTEGER) AS i, embedding, unnest(range(1, len(embedding) + 1)) AS j FROM embeddings WHERE vec_id < 300))"
+_M = "m AS (SELECT i, j - 1 AS j, CAST(embedding[j] AS DOUBLE) AS v FROM (SELECT CAST(vec_id AS INTEGER) AS i, embedding, unnest(range(1, len(embedding) + 1)) AS j FROM embeddings))"
 
 
 @add("subset_matrix", f"WITH {_M} SELECT i // 3 AS i, j // 2 AS j, round(v, 6) AS v FROM m WHERE i % 3 = 0 AND j % 2 = 0")
@@ -223,10 +223,10 @@ def _(spark, d):
     return G.with_key(events(spark, d), F.floor(F.col("feature") / 24)).select("key", "row_id", "target")
 
 
-@add("group_indexers", f"WITH {EV} SELECT key, count(*) AS n, string_agg(CAST(row_id AS VARCHAR), ',' ORDER BY row_id) AS indices FROM ev WHERE row_id < 500 GROUP BY 1")
+@add("group_indexers", f"WITH {EV} SELECT user_id AS key, count(*) AS n, string_agg(CAST(row_id AS VARCHAR), ',' ORDER BY row_id) AS indices FROM ev GROUP BY 1")
 def _(spark, d):
-    some = G.indexers(events(spark, d).where("row_id < 500"))
-    return some.select("key", F.size("indices").cast("long").alias("n"), F.array_join(F.transform("indices", lambda x: x.cast("string")), ",").alias("indices"))
+    some = G.indexers(events(spark, d), "user_id")
+    return some.select(F.col("user_id").alias("key"), F.size("indices").cast("long").alias("n"), F.array_join(F.transform("indices", lambda x: x.cast("string")), ",").alias("indices"))
 
 
 @add("group_keys", f"WITH {EV} SELECT DISTINCT user_id AS key FROM ev")
@@ -316,9 +316,9 @@ def _(spark, d):
     return G.leave_one_out(events(spark, d).drop("key")).select("key", "target")
 
 
-@add("kfold_grouper", "SELECT o_orderkey AS row_id, (row_number() OVER (ORDER BY o_orderkey) - 1) % 5 AS key FROM orders WHERE o_orderkey % 3 <> 1")
+@add("kfold_grouper", "SELECT o_orderkey AS row_id, (row_number() OVER (ORDER BY o_orderkey) - 1) % 5 AS key FROM orders")
 def _(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 3 <> 1").select(F.col("o_orderkey").alias("row_id"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"))
     return G.kfold(o, 5).select("row_id", "key")
 
 
@@ -366,7 +366,7 @@ def _(spark, d):
     return D.running_max_before(w, "target", "iteration", "ensemble_index").where("before is null or target > before").select("iteration", "ensemble_index", "target")
 
 
-@add("sample_without_replacement")
+@add("sample_without_replacement", f"WITH {EV} SELECT row_id, target FROM ev ORDER BY md5('7:' || row_id), row_id LIMIT 500")
 def _(spark, d):
     return D.sample_without_replacement(events(spark, d), 500, 7).select("row_id", "target")
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkreg.functions import columns as C
 from sparkreg.functions import kernels as KF
-from sparkreg.jobs.columns import _AB, _CRPS, _DEV, _JOINT, _kernel_table, _marginals, _scored, _series, chi_sql, erf_sql, inducing_uniform
+from sparkreg.jobs.columns import _AB, _CRPS, _DEV, _JOINT, _kernel_table, _marginals, _scored, chi_sql, day_of_user, erf_sql, inducing_uniform
 from sparkreg.jobs.common import EV, LI, Registry, events, lines, r6
 from sparkreg.operators import crossval as CV
 from sparkreg.operators import gp as GP
@@ -69,17 +70,18 @@ def fifty(x: np.ndarray) -> np.ndarray:
     return np.full(len(x), 50.0)
 
 
-def _users(spark, d, most: int = 60):
-    """The first events of every user as (key, row_id, feature, target, target_variance)."""
-    s = _series(spark, d, most)
-    return s.select(F.col("group").alias("key"), F.col("i").alias("row_id"), F.col("x").alias("feature"), F.col("y").alias("target"), F.col("variance").alias("target_variance"))
+def _users(spark, d):
+    """All events of every user as (key, row_id, feature, target, target_variance); row_ids from 1 within a user."""
+    n = F.row_number().over(Window.partitionBy("key").orderBy("row_id")).cast("long")
+    rows = events(spark, d).select(F.col("user_id").alias("key"), "row_id", "feature", "target", "target_variance")
+    return rows.withColumn("row_id", n)
 
 
 def _grid(spark, d):
-    """Places to predict: the middle between each two events of a user."""
-    u = _users(spark, d)
-    after = u.select("key", (F.col("row_id") - 1).alias("row_id"), F.col("feature").alias("next"))
-    return u.join(after, ["key", "row_id"]).select("key", "row_id", ((F.col("feature") + F.col("next")) / 2).alias("feature"))
+    """Places to predict: the middle between each two events of a user, with the day they are in."""
+    after = F.lead("feature").over(Window.partitionBy("key").orderBy("row_id"))
+    rows = _users(spark, d).withColumn("feature", (F.col("feature") + after) / 2).where("feature is not null")
+    return rows.select("key", "row_id", "feature", F.floor(F.col("feature") / 24).alias("day"))
 
 
 def _shown(df):
@@ -107,28 +109,10 @@ def _(spark, d):
     return _shown(GP.predict_gp(GP.fit_gp(_users(spark, d), KERNEL, mean=fifty), _grid(spark, d), KERNEL, mean=fifty, measured=True))
 
 
-_JOINT_SCHEMA = "key long, i long, j long, mean double, cov double"
-
-
-def _joint_shown(df):
-    return df.select("key", "i", "j", r6("mean").alias("mean"), r6("cov").alias("cov"))
-
-
-def _fit(pdf: pd.DataFrame) -> GP.Fit:
-    return GP.Fit.of(KERNEL, pdf["feature"].to_numpy(float), pdf["target"].to_numpy(float), pdf["target_variance"].to_numpy(float), fifty)
-
-
 @add("predict_gp_joint")
 def _(spark, d):
-    def predict(train: pd.DataFrame, test: pd.DataFrame) -> pd.DataFrame:
-        if not len(train) or not len(test):
-            return pd.DataFrame(columns=["key", "i", "j", "mean", "cov"])
-        test = test.sort_values("row_id")
-        m, cov = _fit(train.sort_values("row_id")).joint(KERNEL, test["feature"].to_numpy(float), fifty)
-        return GP.joint_rows(test["key"].iloc[0], test, m, cov)
-
-    test = _grid(spark, d).where("row_id <= 8")
-    return _joint_shown(_users(spark, d).groupBy("key").cogroup(test.groupBy("key")).applyInPandas(predict, _JOINT_SCHEMA))
+    found = GP.predict_gp_joint(GP.fit_gp(_users(spark, d), KERNEL, mean=fifty), _grid(spark, d), KERNEL, "day", mean=fifty)
+    return found.select("key", "day", "i", "j", r6("mean").alias("mean"), r6("cov").alias("cov"))
 
 
 @add("gp_prior", f"WITH {EV}, {_JOINT} SELECT g AS \"group\", i, j, 0.0 AS mean, round(cov, 6) AS cov FROM k")
@@ -138,8 +122,7 @@ def _(spark, d):
 
 @add("gp_log_likelihood")
 def _(spark, d):
-    f = lambda pdf: pd.DataFrame({"key": [pdf["key"].iloc[0]], "log_likelihood": [GP.log_likelihood(KERNEL, pdf["feature"].to_numpy(float), pdf["target"].to_numpy(float), fifty)]})
-    return GP.per_group(_users(spark, d), f, "key long, log_likelihood double").select("key", r6("log_likelihood").alias("log_likelihood"))
+    return GP.log_likelihoods(_users(spark, d), KERNEL, mean=fifty).select("key", r6("log_likelihood").alias("log_likelihood"))
 
 
 @add("gp_nll")
@@ -158,33 +141,24 @@ def _(spark, d):
 def _(spark, d):
     """Events, and a constraint that each user's process is 50 at time zero."""
     rule = _users(spark, d).select("key").distinct().select("key", F.lit(0).cast("long").alias("row_id"), F.lit(0.0).alias("feature"), F.lit(50.0).alias("target"), F.lit(1e-6).alias("target_variance"))
-    fits = GP.fit_gp(_users(spark, d).unionByName(rule), KF.exponential(5.0, 20.0), mean=fifty)
-    return _shown(GP.predict_gp(fits, _grid(spark, d), KF.exponential(5.0, 20.0), mean=fifty))
+    fits = GP.fit_gp(_users(spark, d).unionByName(rule), PLAIN, mean=fifty)
+    return _shown(GP.predict_gp(fits, _grid(spark, d), PLAIN, mean=fifty))
+
+
+PLAIN = KF.exponential(5.0, 20.0)
 
 
 @add("gp_fit_from_prediction")
 def _(spark, d):
-    def refit(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = KF.exponential(5.0, 20.0)
-        x = pdf["feature"].to_numpy(float)
-        m, cov = _fit(pdf).joint(k, x[:10] + 0.5, fifty)
-        v, e = GP.fit_from_prediction(k, x[:10] + 0.5, m, cov, fifty)
-        cross = k.matrix(x[:10] + 0.5, x[:10] + 0.5)
-        return pd.DataFrame({"key": pdf["key"].iloc[0], "row_id": pdf["row_id"][:10], "mean": cross @ v + 50, "variance": np.diag(cross - cross @ e @ cross)})
-
-    return _shown(GP.per_group(_users(spark, d), refit, "key long, row_id long, mean double, variance double"))
+    """Fits kept as their joint predictions half an hour after each event, predicting there."""
+    u = _users(spark, d)
+    anchors = u.select("key", "row_id", (F.col("feature") + 0.5).alias("feature"))
+    return _shown(GP.predict_from_prediction(GP.fit_gp(u, KERNEL, mean=fifty), anchors, anchors, PLAIN, mean=fifty))
 
 
 @add("conditional_gaussian")
 def _(spark, d):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, n = pdf["feature"].to_numpy(float), len(pdf)
-        known, wanted = np.arange(0, n, 2), np.arange(1, n, 2)
-        cov = KF.exponential(5.0, 20.0).matrix(x, x)
-        m, c = GP.condition(np.full(n, 50.0), cov, known, pdf["target"].to_numpy(float)[known], pdf["target_variance"].to_numpy(float)[known], wanted)
-        return pd.DataFrame({"key": pdf["key"].iloc[0], "row_id": pdf["row_id"].to_numpy()[wanted], "mean": m, "variance": np.diag(c)})
-
-    return _shown(GP.per_group(_users(spark, d), run, "key long, row_id long, mean double, variance double"))
+    return _shown(GP.condition_gp(_users(spark, d).withColumn("known", F.col("row_id") % 2 == 1), PLAIN, "known", mean=fifty))
 
 
 # ---- sparse processes over all events
@@ -232,12 +206,9 @@ def _(spark, d):
 def _(spark, d):
     fit = SG.fit_sparse_gp(events(spark, d), SPARSE, _points(spark, d), mean=fifty)
 
-    def predict(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, cov = fit.joint(SPARSE, pdf["feature"].to_numpy(float), fifty)
-        return GP.joint_rows(pdf["key"].iloc[0], pdf, m, cov)
-
-    rows = _users(spark, d, 6).select("key", "row_id", "feature")
-    return GP.per_group(rows, predict, _JOINT_SCHEMA).select("key", "i", "j", F.round("mean", 4).alias("mean"), F.round("cov", 4).alias("cov"))
+    rows = events(spark, d).select(day_of_user().alias("day"), "row_id", "feature")
+    found = SG.predict_sparse_gp_joint(rows, SPARSE, fit, "day", fifty)
+    return found.select("day", "i", "j", F.round("mean", 4).alias("mean"), F.round("cov", 4).alias("cov"))
 
 
 @add("sparse_gp_update")
@@ -296,13 +267,30 @@ def _(spark, d):
     return _cv(spark, d).groupBy(F.col("flag").alias("fold")).agg(F.count(F.lit(1)).alias("n"), r6(CV.rmse(e)).alias("rmse"))
 
 
-@add("cv_predict_any_model")
+@add("cv_predict_any_model", f"WITH {EV}, k AS (SELECT DISTINCT key AS fold FROM ev), m AS (SELECT fold, median(target) AS mean FROM ev JOIN k ON key <> fold GROUP BY 1) SELECT key AS fold, row_id, round(mean, 6) AS mean FROM ev JOIN m ON key = fold")
 def _(spark, d):
     def predict(model, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"fold": pdf["fold"], "row_id": pdf["row_id"], "mean": model})
 
     rows = events(spark, d).select("key", "row_id", "target")
-    return CV.cv_predict(rows, lambda pdf: float(pdf["target"].median()), predict, "fold string, row_id long, mean double")
+    found = CV.cv_predict(rows, lambda pdf: float(pdf["target"].median()), predict, "fold string, row_id long, mean double")
+    return found.select("fold", "row_id", r6("mean").alias("mean"))
+
+
+@add("cv_predict_additive", f"WITH {EV}, k AS (SELECT DISTINCT key AS fold FROM ev), f AS (SELECT fold, regr_intercept(target, feature) AS o, regr_slope(target, feature) AS s FROM ev JOIN k ON key <> fold GROUP BY 1) SELECT key AS fold, row_id, round(o + s * feature, 6) AS mean FROM ev JOIN f ON key = fold")
+def _(spark, d):
+    """A line by its gram matrix, as any other model of additive sums."""
+
+    def sums(pdf: pd.DataFrame) -> np.ndarray:
+        a = np.column_stack([np.ones(len(pdf)), pdf["feature"] / 1000, pdf["target"]])
+        return a.T @ a
+
+    def predict(w, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"fold": pdf["fold"], "row_id": pdf["row_id"], "mean": w[0] + w[1] * pdf["feature"] / 1000})
+
+    rows = events(spark, d).select("key", "row_id", "feature", "target")
+    found = CV.cv_predict_additive(rows, sums, lambda g: np.linalg.solve(g[:2, :2], g[:2, 2]), predict, "fold string, row_id long, mean double")
+    return found.select("fold", "row_id", r6("mean").alias("mean"))
 
 
 @add("loo_predict", f"WITH {EV}, s AS (SELECT avg(feature) AS mx, avg(target) AS my, count(*) AS n, var_pop(feature) * count(*) AS sxx, regr_slope(target, feature) AS b FROM ev) SELECT row_id, round(target - ((target - my) - b * (feature - mx)) / (1 - 1.0 / n - (feature - mx) ** 2 / sxx), 6) AS prediction FROM ev, s")
@@ -312,25 +300,16 @@ def _(spark, d):
 
 @add("gp_loo")
 def _(spark, d):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, v = GP.leave_one_out(_fit(pdf), pdf["target"].to_numpy(float))
-        return pd.DataFrame({"key": pdf["key"], "row_id": pdf["row_id"], "mean": m, "variance": v})
-
-    return _shown(GP.per_group(_users(spark, d), run, "key long, row_id long, mean double, variance double"))
+    return _shown(GP.loo_gp(_users(spark, d), KERNEL, mean=fifty))
 
 
-def _logo(pdf: pd.DataFrame):
-    return GP.leave_group_out(_fit(pdf), pdf["target"].to_numpy(float), pdf["row_id"].to_numpy() % 5)
+def _folds(spark, d):
+    return _users(spark, d).withColumn("fold", (F.col("row_id") % 5).cast("int"))
 
 
 @add("gp_logo")
 def _(spark, d):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["row_id"].to_numpy()
-        parts = [pd.DataFrame({"key": pdf["key"].iloc[0], "row_id": ids[at], "mean": m, "variance": np.diag(c)}) for at, m, c in _logo(pdf)]
-        return pd.concat(parts)
-
-    return _shown(GP.per_group(_users(spark, d), run, "key long, row_id long, mean double, variance double"))
+    return _shown(GP.logo_gp(_folds(spark, d), KERNEL, "fold", mean=fifty))
 
 
 # ---- scores
@@ -356,11 +335,7 @@ def _joint_metric(name: str, f) -> None:
 
     @add(name)
     def _(spark, d):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            y, var = pdf["target"].to_numpy(float), pdf["target_variance"].to_numpy(float)
-            return pd.DataFrame([{"key": int(pdf["key"].iloc[0]), "fold": k, "value": f(m, c - np.diag(var[at]), y[at], var[at])} for k, (at, m, c) in enumerate(_logo(pdf))])
-
-        return GP.per_group(_users(spark, d), run, "key long, fold int, value double").select("key", "fold", F.round("value", 4).alias("value"))
+        return GP.logo_metrics(_folds(spark, d), KERNEL, "fold", {"value": f}, mean=fifty).select("key", "fold", F.round("value", 4).alias("value"))
 
 
 _joint_metric("nll_joint", CV.nll_joint)
@@ -373,19 +348,13 @@ _joint_metric("logo_likelihood_gp", CV.nll_joint)
 
 @add("sample_mvn")
 def _(spark, d):
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf["feature"].to_numpy(float)
-        rng = np.random.default_rng([7, int(pdf["key"].iloc[0])])
-        low = GP.cholesky(KF.exponential(5.0, 20.0).matrix(x, x))
-        return pd.DataFrame({"key": pdf["key"], "row_id": pdf["row_id"], "value": 50 + low @ rng.standard_normal(len(x))})
-
-    return GP.per_group(_users(spark, d), draw, "key long, row_id long, value double").select("key", "row_id", r6("value").alias("value"))
+    return GP.sample_gp(_users(spark, d), PLAIN, 7, mean=fifty).select("key", "row_id", r6("value").alias("value"))
 
 
-@add("chi_squared_diagonal", f"WITH {EV}, {_DEV}, q AS (SELECT row_id // 4 AS g, sum(z * z / v) AS x, count(*) AS n FROM p GROUP BY 1) SELECT g, round({chi_sql('x', 'n')}, 6) AS cdf FROM q WHERE x < 200")
+@add("chi_squared_diagonal", f"WITH {EV}, {_DEV}, q AS (SELECT row_id // 4 AS g, sum(z * z / v) AS x, count(*) AS n FROM p GROUP BY 1) SELECT g, round({chi_sql('x', 'n')}, 6) AS cdf FROM q")
 def _(spark, d):
     q = _scored(spark, d).groupBy(F.expr("row_id div 4").alias("g")).agg(F.sum(F.col("z") * F.col("z") / F.col("v")).alias("x"), F.count(F.lit(1)).cast("double").alias("n"))
-    return q.where("x < 200").select("g", r6(C.chi_squared_cdf("x", "n")).alias("cdf"))
+    return q.select("g", r6(C.chi_squared_cdf("x", "n")).alias("cdf"))
 
 
 @add("reliability_histogram", f"WITH {EV}, {_DEV}, q AS (SELECT 0.5 * (1 + {erf_sql('z / 1.4 / sqrt(2.0)')}) AS u FROM p), n AS (SELECT count(*) AS n FROM q) SELECT least(49, CAST(floor(u * 50) AS BIGINT)) AS bin, count(*) AS c, round(50.0 * count(*) / any_value(n), 6) AS density FROM q, n GROUP BY 1")

@@ -8,7 +8,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from sparkreg.functions import columns as C
 from sparkreg.functions import kernels as KF
 from sparkreg.functions.storage import materialise, new_folder
 from sparkreg.jobs.common import EV, LI, Registry, events, lines, r6, table
@@ -34,7 +33,10 @@ def _by_supplier(spark, d):
     return lines(spark, d).select(F.col("supp").alias("key"), "x", "y")
 
 
-@add("ransac_candidates")
+_DRAWN = "c AS (SELECT i AS iteration, key FROM (SELECT i, key, row_number() OVER (PARTITION BY i ORDER BY md5('17:' || i || ':' || key), key) AS k FROM (SELECT DISTINCT supp AS key FROM li), (SELECT CAST(unnest(range(0, 20)) AS INTEGER) AS i)) WHERE k <= 5)"
+
+
+@add("ransac_candidates", f"WITH {LI}, {_DRAWN} SELECT * FROM c")
 def _(spark, d):
     return RS.candidates(_by_supplier(spark, d).select("key").distinct(), SETTINGS)
 
@@ -44,7 +46,8 @@ def _fixed_draw(spark, d):
     return table(spark, d, "supplier").select((F.col("s_suppkey") % 20).cast("int").alias("iteration"), F.col("s_suppkey").alias("key"))
 
 
-_RANSAC = "c AS (SELECT CAST(s_suppkey % 20 AS INTEGER) AS iteration, s_suppkey AS key FROM supplier), f AS (SELECT iteration, regr_intercept(y, x) AS o, regr_slope(y, x) AS s FROM c JOIN li ON supp = key GROUP BY 1), m AS (SELECT iteration, supp AS key, sqrt(avg((y - o - s * x) ** 2)) AS metric FROM li, f GROUP BY 1, 2), j AS (SELECT m.iteration, m.key, CASE WHEN c.key IS NOT NULL THEN 'candidate' WHEN metric <= 30.0 THEN 'inlier' ELSE 'outlier' END AS role, metric FROM m LEFT JOIN c ON c.key = m.key AND c.iteration = m.iteration)"
+_JUDGED = "f AS (SELECT iteration, regr_intercept(y, x) AS o, regr_slope(y, x) AS s FROM c JOIN li ON supp = key GROUP BY 1), m AS (SELECT iteration, supp AS key, sqrt(avg((y - o - s * x) ** 2)) AS metric FROM li, f GROUP BY 1, 2), j AS (SELECT m.iteration, m.key, CASE WHEN c.key IS NOT NULL THEN 'candidate' WHEN metric <= 30.0 THEN 'inlier' ELSE 'outlier' END AS role, metric FROM m LEFT JOIN c ON c.key = m.key AND c.iteration = m.iteration)"
+_RANSAC = f"c AS (SELECT CAST(s_suppkey % 20 AS INTEGER) AS iteration, s_suppkey AS key FROM supplier), {_JUDGED}"
 
 
 @add("ransac_inliers", f"WITH {LI}, {_RANSAC} SELECT iteration, key, role, round(metric, 6) AS metric FROM j")
@@ -57,50 +60,44 @@ def _(spark, d):
     return RS.consensus(RS.inliers(_by_supplier(spark, d), _fixed_draw(spark, d), SETTINGS), SETTINGS).select("iteration", "size", r6("metric").alias("metric"))
 
 
-@add("ransac_fit")
+@add("ransac_fit", f"WITH {LI}, {_DRAWN}, {_JUDGED}, g AS (SELECT iteration, avg(metric) AS metric FROM j WHERE role <> 'outlier' GROUP BY 1 HAVING count(*) >= 10), b AS (SELECT iteration FROM g ORDER BY metric, iteration LIMIT 1) SELECT CASE WHEN (SELECT count(DISTINCT supp) FROM li) <= 10 THEN 'invalid_arguments' WHEN count(*) = 0 THEN 'no_consensus' ELSE 'success' END AS code, coalesce(round(regr_intercept(y, x), 6), 'nan'::DOUBLE) AS \"offset\", coalesce(round(regr_slope(y, x), 6), 'nan'::DOUBLE) AS slope FROM li WHERE supp IN (SELECT key FROM j JOIN b USING (iteration) WHERE role <> 'outlier') AND (SELECT count(DISTINCT supp) FROM li) > 10")
 def _(spark, d):
     code, _, fitted = RS.fit(_by_supplier(spark, d), SETTINGS)
     row = fitted if fitted is not None else spark.range(1).select(F.lit(math.nan).alias("offset"), F.lit(math.nan).alias("slope"))
     return row.select(F.lit(code).alias("code"), r6("offset").alias("offset"), r6("slope").alias("slope"))
 
 
-@add("ransac_return_code", f"WITH {LI}, g AS (SELECT count(DISTINCT supp) AS n FROM li), a AS (SELECT * FROM (VALUES (1, 2, 20), (0, 2, 20), (3, 2, 20), (3, 1000000000, 20), (3, 5, 0)) t(sample, consensus, iterations)) SELECT sample, consensus, iterations, CASE WHEN iterations <= 0 OR sample <= 0 OR sample >= n OR consensus >= n OR consensus < sample THEN 'invalid_arguments' ELSE 'ok' END AS code FROM a, g")
+_CODES = [(1, 2, 20, 0, 0, 4), (0, 2, 20, 0, 0, 4), (3, 2, 20, 0, 0, 4), (3, 10**9, 20, 0, 0, 4), (3, 5, 0, 0, 0, 4), (1, 2, 20, 0, 0, 0), (1, 2, 20, 1, 0, 4), (1, 2, 20, 3, 3, 4), (1, 2, 20, 2, 3, 4)]
+
+
+@add("ransac_return_code", f"WITH {LI}, g AS (SELECT count(DISTINCT supp) AS n FROM li), a AS (SELECT * FROM (VALUES {', '.join(map(str, _CODES))}) t(sample, consensus, iterations, failed, max_failed, agreed)) SELECT sample, consensus, iterations, failed, max_failed, agreed, CASE WHEN iterations <= 0 OR sample <= 0 OR sample >= n OR consensus >= n OR consensus < sample THEN 'invalid_arguments' WHEN failed > 0 AND failed >= max_failed THEN 'exceeded_max_failed_candidates' WHEN agreed = 0 THEN 'no_consensus' ELSE 'success' END AS code FROM a, g")
+def _(spark, d):
+    """Outcomes of searches among the suppliers, by settings and counts."""
+    columns = ("sample", "consensus", "iterations", "failed", "max_failed", "agreed")
+    asked = spark.createDataFrame(_CODES, "sample int, consensus long, iterations int, failed int, max_failed int, agreed int")
+    groups = F.broadcast(_by_supplier(spark, d).agg(F.count_distinct("key").alias("groups")))
+    code = RS.return_code(*(F.col(c) for c in ("groups", "sample", "consensus", "iterations", "failed", "max_failed", "agreed")))
+    return asked.crossJoin(groups).select(*columns, code.alias("code"))
+
+
+def _mean_line() -> RS.Model:
+    return RS.Model(lambda pdf: np.polyfit(pdf["x"], pdf["y"], 1), lambda w, pdf: float(np.sqrt(((pdf["y"] - np.polyval(w, pdf["x"])) ** 2).mean())))
+
+
+@add("ransac_model", f"WITH {LI}, {_DRAWN}, {_JUDGED} SELECT iteration, key, role, round(metric, 6) AS metric FROM j WHERE (SELECT count(DISTINCT supp) FROM li) > 10")
 def _(spark, d):
-    n = _by_supplier(spark, d).select("key").distinct()
-    sizes = [(1, 2, 20), (0, 2, 20), (3, 2, 20), (3, 10**9, 20), (3, 5, 0)]
-    asked = spark.createDataFrame([(s, c, i) for s, c, i in sizes], "sample int, consensus long, iterations int")
-    groups = F.broadcast(n.agg(F.count(F.lit(1)).alias("groups")))
-    bad = F.expr("iterations <= 0 or sample <= 0 or sample >= groups or consensus >= groups or consensus < sample")
-    return asked.crossJoin(groups).select("sample", "consensus", "iterations", F.when(bad, "invalid_arguments").otherwise("ok").alias("code"))
+    """The search with a model given as functions."""
+    rows = lines(spark, d).select(F.col("supp").alias("key"), "x", "y", (F.col("okey") * 10 + F.col("line")).alias("row_id"))
+    _, judged, _ = RS.fit_model(rows, SETTINGS, _mean_line())
+    return judged.select("iteration", "key", "role", r6("metric").alias("metric"))
 
 
 @add("ransac_gp")
 def _(spark, d):
     """Per user: groups of five events, consensus by held-out chi-squared on a joint prior; iterations inside the model."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, var = (pdf[c].to_numpy(float) for c in ("feature", "target", "target_variance"))
-        group, n = (pdf["row_id"].to_numpy() - 1) // 5, len(pdf)
-        keys = np.unique(group)
-        rng = np.random.default_rng([3, int(pdf["key"].iloc[0])])
-        k = KF.exponential(5.0, 20.0)
-        cov, best = k.matrix(x, x) + 25 * np.eye(n), (math.inf, -1, 0)
-        for it in range(10 if len(keys) > 4 else 0):
-            chosen = rng.choice(keys, 3, replace=False)
-            known = np.flatnonzero(np.isin(group, chosen))
-            agreed = list(chosen)
-            for g in np.setdiff1d(keys, chosen):
-                at = np.flatnonzero(group == g)
-                m, c = GP.condition(np.full(n, 50.0), cov, known, y[known], var[known], at)
-                r = y[at] - m
-                if C.chi_squared_cdf_values(float(r @ np.linalg.solve(c + np.diag(var[at]), r)), len(at)) <= 0.999:
-                    agreed.append(g)
-            size = int(np.isin(group, agreed).sum())
-            if len(agreed) >= 4 and -size < best[0]:
-                best = (-size, it, size)
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "iteration": [best[1]], "consensus_rows": [best[2]]})
-
-    return GP.per_group(_users(spark, d), run, "key long, iteration int, consensus_rows int")
+    rows = _users(spark, d).withColumn("group", F.expr("(row_id - 1) div 5"))
+    settings = RS.Settings(threshold=0.999, sample=3, consensus=4, iterations=10, seed=3, max_failed=10)
+    return RS.consensus_gp(rows, KF.exponential(5.0, 20.0) + KF.independent_noise(5.0), "group", settings, mean=fifty)
 
 
 # ---- tuning
@@ -348,9 +345,9 @@ def _(spark, d):
     return _csv(spark, d, "many", S.many_csv_rows([first, second]))
 
 
-@add("write_matrix_csv", "SELECT vec_id AS i, array_to_string(list_transform(embedding[1:8], lambda x: printf('%.6f', x::DOUBLE)), ',') AS line FROM embeddings")
+@add("write_matrix_csv", "SELECT vec_id AS i, array_to_string(list_transform(embedding, lambda x: printf('%.6f', x::DOUBLE)), ',') AS line FROM embeddings")
 def _(spark, d):
-    m = table(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.posexplode(F.slice("embedding", 1, 8)).alias("j", "v"))
+    m = table(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "v"))
     return S.matrix_lines(m)
 
 
@@ -380,7 +377,7 @@ def _saved(spark, d) -> str:
 @add("save_fit")
 def _(spark, d):
     saved = spark.read.parquet(_saved(spark, d))
-    return saved.select("key", "n", F.size("x").alias("features"), F.size("chol").alias("factor"), F.size("information").alias("information"))
+    return saved.select("key", "n", F.size("x").alias("features"), F.size("root").alias("factor"), F.size("information").alias("information"))
 
 
 @add("load_fit")
@@ -417,9 +414,9 @@ def _(spark, d):
 
 @add("stream_sparse_gp_update")
 def _(spark, d):
-    model = U.SparseStream(SPARSE, _points(spark, d), mean=fifty)
+    model = U.SparseStream(SPARSE, _points(spark, d), new_folder(spark, "sparse-state"), mean=fifty)
     _run(spark, _streamed(spark, d, "true").writeStream.foreachBatch(model.update))
-    return predict_sparse_gp(events(spark, d), SPARSE, model.fit, fifty).select("row_id", F.round("mean", 4).alias("mean"), F.round("variance", 4).alias("variance"))
+    return predict_sparse_gp(events(spark, d), SPARSE, model.fit(spark), fifty).select("row_id", F.round("mean", 4).alias("mean"), F.round("variance", 4).alias("variance"))
 
 
 def _decay(step: float) -> float:
@@ -439,14 +436,17 @@ def _(spark, d):
     return _shown(U.kalman_filter(_series_rows(spark, d), _decay, 25.0))
 
 
-@add("stream_kalman_filter")
+_STREAMED = _KALMAN.replace("CASE WHEN row_id % 4 = 0 THEN NULL ELSE target - 50 END AS y", "target - 50 AS y")
+
+
+@add("stream_kalman_filter", f"WITH RECURSIVE {EV}, {_STREAMED} SELECT key, row_id, round(m, 6) AS mean, round(p, 6) AS variance FROM k")
 def _(spark, d):
     out = new_folder(spark, "filtered")
     rows = _streamed(spark, d, "true").select(F.col("user_id").alias("key"), "row_id", "feature", (F.col("target") - 50).alias("target"))
     _run(spark, U.stream_kalman_filter(rows, _decay, 25.0).writeStream.outputMode("append").foreachBatch(lambda df, i: df.write.mode("append").parquet(out)))
-    return _shown(spark.read.parquet(out))
+    return _shown(spark.read.parquet(out).where("not late"))
 
 
 @add("iterative_gp")
 def _(spark, d):
-    return _shown(U.iterative_gp(_users(spark, d, 30), KERNEL, mean=fifty))
+    return _shown(U.iterative_gp(_users(spark, d), KERNEL, mean=fifty))

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkreg.functions.storage import bounded_broadcast
+from sparkreg.functions.storage import bounded_broadcast, materialise
 from sparkreg.operators.linear import SUMS, line, power_sums
 
 MAX_FOLDS = 50
+MAX_TRAIN = 500_000  # rows of a fold's training set, for models that need them together
 
 
 def create_folds(df: DataFrame, key: str = "key", max_folds: int = MAX_FOLDS) -> DataFrame:
@@ -20,11 +23,12 @@ def create_folds(df: DataFrame, key: str = "key", max_folds: int = MAX_FOLDS) ->
 
     Additive models and processes need no such table; see cv_predict_line and gp.leave_group_out.
     """
-    keys = df.select(F.col(key).alias("fold")).distinct()
+    keys = df.select(F.col(key).alias("__fold")).distinct()
     if (n := keys.limit(max_folds + 1).count()) > max_folds:
         raise ValueError(f"over {n - 1} folds: use a closed form instead of one copy of the rows a fold")
     rows = df.join(F.broadcast(keys))  # at most max_folds keys
-    return rows.withColumn("role", F.when(F.col(key).eqNullSafe(F.col("fold")), "test").otherwise("train"))
+    rows = rows.withColumn("role", F.when(F.col(key).eqNullSafe(F.col("__fold")), "test").otherwise("train"))
+    return (rows.drop("fold") if "fold" in df.columns else rows).withColumnRenamed("__fold", "fold")
 
 
 def fold_fits(df: DataFrame, x: str, y: str, key: str) -> DataFrame:
@@ -40,7 +44,7 @@ def fold_fits(df: DataFrame, x: str, y: str, key: str) -> DataFrame:
 
 def cv_predict_line(df: DataFrame, x: str, y: str, key: str, name: str = "prediction") -> DataFrame:
     """df with the prediction of the line fitted without the row's fold: two passes, no copy of a row."""
-    rows = df.join(bounded_broadcast(fold_fits(df, x, y, key)), F.col(key).eqNullSafe(F.col("fold")))
+    rows = df.join(bounded_broadcast(materialise(fold_fits(df, x, y, key), "fold-fits")), F.col(key).eqNullSafe(F.col("fold")))
     return rows.withColumn(name, F.col("offset") + F.col("slope") * F.col(x)).drop("fold", "offset", "slope")
 
 
@@ -56,11 +60,65 @@ def loo_predict_line(df: DataFrame, x: str, y: str, name: str = "prediction") ->
     return rows.withColumn(name, F.col(y) - error / (1 - leverage)).drop("__n", "__cx", "__cy", "__sxx", "__sxy")
 
 
-def cv_predict(df: DataFrame, fit: Callable[[pd.DataFrame], object], predict: Callable[[object, pd.DataFrame], pd.DataFrame], schema: str, key: str = "key", max_folds: int = MAX_FOLDS) -> DataFrame:
-    """Predictions of any model, fold by fold; schema is that of predict's rows. Rows are copied once a fold."""
-    folds = create_folds(df, key, max_folds)
-    run = lambda pdf: predict(fit(pdf[pdf["role"] == "train"].sort_values("row_id")), pdf[pdf["role"] == "test"].sort_values("row_id"))
-    return folds.groupBy("fold").applyInPandas(run, schema)
+def cv_predict(df: DataFrame, fit: Callable[[pd.DataFrame], object], predict: Callable[[object, pd.DataFrame], pd.DataFrame], schema: str, key: str = "key", max_folds: int = MAX_FOLDS, max_train: int = MAX_TRAIN) -> DataFrame:
+    """Predictions of any model, fold by fold; schema is that of predict's rows, (row_id and key among those of df).
+
+    A model that needs its rows together is trained in one task a fold, on rows that are copied once a fold: more than
+    max_train of them are an error before any row is moved (additive models: ``cv_predict_additive``; processes:
+    ``gp.logo_gp``). Test rows stay where they are: fold models are sent to the tasks that hold rows.
+    """
+    folds = create_folds(df, key, max_folds).where("role = 'train'")
+    sizes = df.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.agg((F.sum("n") - F.min("n")).alias("m")).first().m or 0
+    if most > max_train:
+        raise ValueError(f"{most} rows train a fold; at most {max_train} are fitted together")
+    kind = dict(df.dtypes)[key]
+    models = folds.groupBy("fold").applyInPandas(lambda pdf: pd.DataFrame({"fold": [pdf["fold"].iloc[0]], "model": [cloudpickle.dumps(fit(pdf.sort_values("row_id")))]}), f"fold {kind}, model binary")
+    known = df.sparkSession.sparkContext.broadcast({r.fold: bytes(r.model) for r in models.collect()})  # max_folds models
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own: dict = {}
+        for pdf in batches:
+            for fold, part in pdf.groupby(key, sort=False):
+                if fold not in own:
+                    own[fold] = pickle.loads(known.value[fold])
+                yield predict(own[fold], part.assign(fold=fold))
+
+    return df.mapInPandas(run, schema)
+
+
+def cv_predict_additive(df: DataFrame, sums: Callable[[pd.DataFrame], np.ndarray], solve: Callable[[np.ndarray], object], predict: Callable[[object, pd.DataFrame], pd.DataFrame], schema: str, key: str = "key", max_folds: int = 5000) -> DataFrame:
+    """Predictions of a model whose training data enter by sums (moments, gram matrices, counts): sums(pdf) of the rows of a
+    batch, which add up; solve(total) is a model. A fold is left out by subtraction, so no row is copied or shuffled, and
+    tasks send one array a fold."""
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict = {}
+        for pdf in batches:
+            for fold, own in pdf.groupby(key, sort=False):
+                total[fold] = total.get(fold, 0) + np.asarray(sums(own), float)
+        yield pd.DataFrame({key: list(total), "s": [t.reshape(-1) for t in total.values()], "shape": [list(t.shape) for t in total.values()]})
+
+    kind = dict(df.dtypes)[key]
+    parts = df.mapInPandas(part, f"{key} {kind}, s array<double>, shape array<int>")
+    added = parts.select(key, "shape", F.posexplode("s").alias("at", "v")).groupBy(key, "at").agg(F.sum("v").alias("v"), F.first("shape").alias("shape"))
+    added = added.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("s"), F.first("shape").alias("shape"))
+    found = added.limit(max_folds + 1).collect()  # one array a fold
+    if len(found) > max_folds:
+        raise ValueError(f"over {max_folds} folds")
+    folds = {r[key]: np.array(r.s).reshape(r["shape"]) for r in found}
+    total = sum(folds.values())
+    known = df.sparkSession.sparkContext.broadcast({k: cloudpickle.dumps(solve(total - v)) for k, v in folds.items()})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own: dict = {}
+        for pdf in batches:
+            for fold, rows in pdf.groupby(key, sort=False):
+                if fold not in own:
+                    own[fold] = pickle.loads(known.value[fold])
+                yield predict(own[fold], rows.assign(fold=fold))
+
+    return df.mapInPandas(run, schema)
 
 
 # ---- metrics: aggregates over rows with an error column

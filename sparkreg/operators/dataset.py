@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkreg.functions.storage import materialise
+
 
 def create_dataset(df: DataFrame, row_id: Column, feature: Column, target: Column, variance: Column | None = None, *more: Column) -> DataFrame:
     """row_id, feature, target, target_variance (0 where absent) and more columns."""
@@ -103,8 +105,8 @@ def extract_kind(df: DataFrame, kind: str, feature: str = "feature") -> DataFram
 
 
 def sample_without_replacement(df: DataFrame, n: int, seed: int, row_id: str = "row_id") -> DataFrame:
-    """n distinct rows, uniformly: the n least hashes of seed and row_id, so that partitioning has no say."""
-    picked = df.withColumn("__u", F.xxhash64(F.lit(seed), F.col(row_id))).orderBy("__u", row_id).limit(n)
+    """n distinct rows, uniformly: the n least MD5 sums of seed and row_id, so that partitioning has no say."""
+    picked = df.withColumn("__u", F.md5(F.concat(F.lit(f"{seed}:"), F.col(row_id).cast("string")))).orderBy("__u", row_id).limit(n)
     size = F.broadcast(df.select(row_id).limit(n).agg(F.count(F.lit(1)).alias("__have")))
     enough = F.when(F.col("__have") < n, F.raise_error(F.lit("more rows asked for than there are")).cast("long")).otherwise(F.col(row_id))
     return picked.crossJoin(size).withColumn(row_id, enough).drop("__u", "__have")
@@ -119,10 +121,15 @@ def first_by(df: DataFrame, keys: list[str], row_id: str = "row_id") -> DataFram
 def running_max_before(df: DataFrame, value: str, outer: str, inner: str) -> DataFrame:
     """df with before: the largest value of all earlier rows in the order (outer, inner); null for the first.
 
-    Two levels: the maxima of whole outer steps, and a window inside each step.
+    Three levels: the maxima of runs of outer steps (one row a partition of a range shuffle of the steps), of whole outer
+    steps within a run, and a window inside each step.
     """
     steps = df.groupBy(F.col(outer).alias("__o")).agg(F.max(value).alias("__m"))
-    steps = steps.withColumn("__before", F.max("__m").over(Window.orderBy("__o").rowsBetween(Window.unboundedPreceding, -1))).drop("__m")
+    steps = materialise(steps.repartitionByRange("__o").withColumn("__run", F.spark_partition_id()), "steps")
+    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    runs = steps.groupBy("__run").agg(F.max("__m").alias("__r")).select("__run", F.max("__r").over(earlier().orderBy("__run")).alias("__rest"))
+    steps = steps.join(F.broadcast(runs), "__run")  # one row a partition
+    steps = steps.select("__o", F.greatest("__rest", F.max("__m").over(earlier("__run").orderBy("__o"))).alias("__before"))
     inside = Window.partitionBy(outer).orderBy(inner).rowsBetween(Window.unboundedPreceding, -1)
     rows = df.join(steps, F.col(outer) == F.col("__o"))
     return rows.withColumn("before", F.greatest("__before", F.max(value).over(inside))).drop("__o", "__before")

@@ -1,19 +1,23 @@
 """Gaussian processes, one for each key: exact fits of groups whose rows fit a task.
 
-A fit is a row (key, n, x, packed inverse-free state): training features, the Cholesky factor of K + variances (packed) and
-the information vector K^-1 (y - mean). Rows of a group are measurements. Larger groups than max_rows are an error that names
-the key; the sparse form is for those.
+A fit is a row (key, n, d, x, root, information): training features (d numbers each, 0 for scalars), the inverse of the
+Cholesky factor of K + variances (its lower triangle, row by row) and the information vector K^-1 (y - mean). The factor is
+inverted once, so that every later solve is a product. Rows of a group are measurements. Larger groups than max_rows are an
+error that names the key; the sparse form is for those. Features are doubles, or arrays of doubles of one length.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from sparkreg.functions.joins import is_small
 from sparkreg.functions.kernels import Kernel
+from sparkreg.functions.storage import materialise
 
 Mean = Callable[[np.ndarray], np.ndarray]
 MAX_ROWS = 5000
@@ -34,66 +38,88 @@ def cholesky(k: np.ndarray) -> np.ndarray:
     raise np.linalg.LinAlgError("covariance is not positive definite")
 
 
-def solve_lower(low: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.linalg.solve(low, b)
+def inverse_lower(low: np.ndarray, block: int = 128) -> np.ndarray:
+    """The inverse of a lower triangle, by halves."""
+    n = len(low)
+    if n <= block:
+        return np.tril(np.linalg.inv(low)) if n else low.copy()
+    h = n // 2
+    out = np.zeros_like(low)
+    out[:h, :h], out[h:, h:] = inverse_lower(low[:h, :h], block), inverse_lower(low[h:, h:], block)
+    out[h:, :h] = -out[h:, h:] @ low[h:, :h] @ out[:h, :h]
+    return out
+
 
+def root_of(k: np.ndarray) -> np.ndarray:
+    """R with R' R = k^-1, lower triangular."""
+    return inverse_lower(cholesky(k))
 
-def solve(low: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.linalg.solve(low.T, np.linalg.solve(low, b))
+
+def features(column: pd.Series) -> np.ndarray:
+    """(n,) of a column of numbers, (n, d) of a column of arrays."""
+    if len(column) and isinstance(column.iloc[0], (list, tuple, np.ndarray)):
+        return np.stack([np.asarray(v, float) for v in column])
+    return column.to_numpy(float)
 
 
 class Fit:
-    """A fitted process: features, Cholesky factor of the training covariance, information vector."""
+    """A fitted process: features, inverse Cholesky factor of the training covariance, information vector."""
 
-    def __init__(self, x: np.ndarray, low: np.ndarray, v: np.ndarray) -> None:
-        self.x, self.low, self.v = x, low, v
+    def __init__(self, x: np.ndarray, root: np.ndarray, v: np.ndarray) -> None:
+        self.x, self.root, self.v = x, root, v
 
     @classmethod
     def of(cls, kernel: Kernel, x: np.ndarray, y: np.ndarray, variance: np.ndarray, mean: Mean = zero) -> Fit:
-        low = cholesky(kernel.measured(x, x) + np.diag(variance))
-        return cls(x, low, solve(low, y - mean(x)))
+        root = root_of(kernel.measured(x, x) + np.diag(variance))
+        return cls(x, root, root.T @ (root @ (y - mean(x))))
+
+    @property
+    def precision(self) -> np.ndarray:
+        """K^-1."""
+        return self.root.T @ self.root
 
     def mean(self, kernel: Kernel, xs: np.ndarray, mean: Mean = zero) -> np.ndarray:
         return kernel.matrix(xs, self.x) @ self.v + mean(xs)
 
     def joint(self, kernel: Kernel, xs: np.ndarray, mean: Mean = zero, measured: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        cross = kernel.measured(xs, self.x) if measured else kernel.matrix(xs, self.x)
-        half = solve_lower(self.low, cross.T)
-        prior = kernel.measured(xs, xs) if measured else kernel.matrix(xs, xs)
-        return cross @ self.v + mean(xs), prior - half.T @ half
+        k = kernel.measured if measured else kernel.matrix
+        cross = k(xs, self.x)
+        half = self.root @ cross.T
+        return cross @ self.v + mean(xs), k(xs, xs) - half.T @ half
 
     def marginal(self, kernel: Kernel, xs: np.ndarray, mean: Mean = zero, measured: bool = False, step: int = 2000) -> tuple[np.ndarray, np.ndarray]:
-        means, variances = [], []
+        means, variances = [np.empty(0)], [np.empty(0)]
         for lo in range(0, len(xs), step):  # bounds the cross covariance in memory
             part = xs[lo : lo + step]
             cross = kernel.measured(part, self.x) if measured else kernel.matrix(part, self.x)
-            half = solve_lower(self.low, cross.T)
-            own = np.array([(kernel.measured if measured else kernel.matrix)(part[i : i + 1], part[i : i + 1])[0, 0] for i in range(len(part))])
             means.append(cross @ self.v + mean(part))
-            variances.append(own - (half**2).sum(0))
-        return (np.concatenate(means), np.concatenate(variances)) if means else (np.empty(0), np.empty(0))
+            variances.append(kernel.diagonal(part, measured) - ((self.root @ cross.T) ** 2).sum(0))
+        return np.concatenate(means), np.concatenate(variances)
 
     def update(self, kernel: Kernel, x: np.ndarray, y: np.ndarray, variance: np.ndarray, mean: Mean = zero) -> Fit:
-        """Condition on new rows without factoring the old block again: the new rows of the Cholesky factor."""
-        b = solve_lower(self.low, kernel.measured(self.x, x))
-        corner = cholesky(kernel.measured(x, x) + np.diag(variance) - b.T @ b)
-        low = np.block([[self.low, np.zeros((len(self.x), len(x)))], [b.T, corner]])
-        old = self.low @ (self.low.T @ self.v)
-        return Fit(np.concatenate([self.x, x]), low, solve(low, np.concatenate([old, y - mean(x)])))
+        """Condition on new rows without factoring the old block again: the new rows of the inverse factor."""
+        b = self.root @ kernel.measured(self.x, x)
+        corner = root_of(kernel.measured(x, x) + np.diag(variance) - b.T @ b)
+        root = np.block([[self.root, np.zeros((len(self.x), len(x)))], [-corner @ b.T @ self.root, corner]])
+        old = np.linalg.solve(self.root.T, self.v)  # root (y - mean) of the old rows
+        w = np.concatenate([old, corner @ (y - mean(x) - b.T @ old)])
+        return Fit(np.concatenate([self.x, x]), root, root.T @ w)
 
     def pack(self, key: dict) -> pd.DataFrame:
-        return pd.DataFrame([{**key, "n": len(self.x), "x": self.x.astype(float).tolist(), "chol": self.low[np.tril_indices(len(self.low))].tolist(), "information": self.v.tolist()}])
+        x = np.asarray(self.x, float)
+        return pd.DataFrame([{**key, "n": len(x), "d": 0 if x.ndim == 1 else x.shape[1], "x": x.reshape(-1), "root": self.root[np.tril_indices(len(self.root))], "information": self.v}])
 
     @classmethod
     def unpack(cls, row) -> Fit:
-        n = int(row["n"])
-        low = np.zeros((n, n))
-        low[np.tril_indices(n)] = np.asarray(row["chol"], float)
-        return cls(np.asarray(row["x"], float), low, np.asarray(row["information"], float))
+        n, d = int(row["n"]), int(row["d"])
+        root = np.zeros((n, n))
+        root[np.tril_indices(n)] = np.asarray(row["root"], float)
+        x = np.asarray(row["x"], float)
+        return cls(x.reshape(n, d) if d else x, root, np.asarray(row["information"], float))
 
 
 def fit_schema(key: str, kind: str = "long") -> str:
-    return f"{key} {kind}, n long, x array<double>, chol array<double>, information array<double>"
+    return f"{key} {kind}, n long, d int, x array<double>, root array<double>, information array<double>"
 
 
 def _guard(pdf: pd.DataFrame, key: str, most: int) -> None:
@@ -101,9 +127,10 @@ def _guard(pdf: pd.DataFrame, key: str, most: int) -> None:
         raise ValueError(f"group {pdf[key].iloc[0]} has {len(pdf)} rows; at most {most} make an exact process")
 
 
-def _arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, targets and variances in the order of row_id."""
     pdf = pdf.sort_values("row_id")
-    return pdf["feature"].to_numpy(float), pdf["target"].to_numpy(float), pdf["target_variance"].to_numpy(float)
+    return features(pdf["feature"]), pdf["target"].to_numpy(float), pdf["target_variance"].to_numpy(float)
 
 
 def fit_gp(df: DataFrame, kernel: Kernel, key: str = "key", mean: Mean = zero, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -111,9 +138,10 @@ def fit_gp(df: DataFrame, kernel: Kernel, key: str = "key", mean: Mean = zero, m
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         _guard(pdf, key, max_rows)
-        return Fit.of(kernel, *_arrays(pdf), mean).pack({key: pdf[key].iloc[0]})
+        return Fit.of(kernel, *arrays(pdf), mean).pack({key: pdf[key].iloc[0]})
 
-    return df.groupBy(key).applyInPandas(fit, fit_schema(key, dict(df.dtypes)[key]))
+    rows = df.select(key, "row_id", "feature", "target", "target_variance")
+    return rows.groupBy(key).applyInPandas(fit, fit_schema(key, dict(df.dtypes)[key]))
 
 
 def update_gp(fits: DataFrame, df: DataFrame, kernel: Kernel, key: str = "key", mean: Mean = zero) -> DataFrame:
@@ -123,41 +151,60 @@ def update_gp(fits: DataFrame, df: DataFrame, kernel: Kernel, key: str = "key",
         if not len(new):
             return old
         if not len(old):
-            return Fit.of(kernel, *_arrays(new), mean).pack({key: new[key].iloc[0]})
-        return Fit.unpack(old.iloc[0]).update(kernel, *_arrays(new), mean).pack({key: new[key].iloc[0]})
+            return Fit.of(kernel, *arrays(new), mean).pack({key: new[key].iloc[0]})
+        return Fit.unpack(old.iloc[0]).update(kernel, *arrays(new), mean).pack({key: new[key].iloc[0]})
 
     return fits.groupBy(key).cogroup(df.groupBy(key)).applyInPandas(update, fit_schema(key, dict(df.dtypes)[key]))
 
 
-def predict_gp(fits: DataFrame, rows: DataFrame, kernel: Kernel, key: str = "key", mean: Mean = zero, measured: bool = False, max_fits: int = 2000) -> DataFrame:
-    """(key, row_id, mean, variance) of rows by the fit of their key; rows without a fit are left out.
+def _with_fits(fits: DataFrame, rows: DataFrame, f: Callable[[Fit, pd.DataFrame], pd.DataFrame], schema: str, key: str, part_rows: int, together: str | None = None) -> DataFrame:
+    """f(fit, rows) where fits and rows meet by key. Keys of over part_rows rows are dealt out in parts of about that many,
+    each of which gets the fit; rows that agree in the column ``together`` stay in one part. Rows without a fit are left out."""
+    large = materialise(rows.groupBy(F.col(key).alias("__k")).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > part_rows), "large-keys")
+    side = F.broadcast(large) if is_small(large) else large
+    parts = F.coalesce(F.ceil(F.col("__n") / part_rows), F.lit(1)).cast("int")
+    part = F.pmod(F.xxhash64(F.col(together or "row_id")), parts).cast("int")
+    rows = rows.join(side, F.col(key) == F.col("__k"), "left").withColumn("__part", part).drop("__k", "__n")
+    fits = fits.join(side, F.col(key) == F.col("__k"), "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__k", "__n")
+    names = [x.strip().split(" ")[0] for x in schema.split(", ")]
+
+    def run(fit: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(fit) or not len(own):
+            return pd.DataFrame({c: [] for c in names})
+        return f(Fit.unpack(fit.iloc[0]), own.sort_values("row_id"))
+
+    return fits.groupBy(key, "__part").cogroup(rows.groupBy(key, "__part")).applyInPandas(run, schema)
 
-    Up to max_fits fits are sent to every task and rows stay where they are; more are joined to the rows by key.
-    """
-    schema = f"{key} {dict(rows.dtypes)[key]}, row_id long, mean double, variance double"
-    rows = rows.select(key, "row_id", "feature")
+
+def predict_gp(fits: DataFrame, rows: DataFrame, kernel: Kernel, key: str = "key", mean: Mean = zero, measured: bool = False, part_rows: int = 100_000) -> DataFrame:
+    """(key, row_id, mean, variance) of rows by the fit of their key; rows without a fit are left out."""
 
     def marginal(fit: Fit, part: pd.DataFrame) -> pd.DataFrame:
-        m, v = fit.marginal(kernel, part["feature"].to_numpy(float), mean, measured)
+        m, v = fit.marginal(kernel, features(part["feature"]), mean, measured)
         return pd.DataFrame({key: part[key], "row_id": part["row_id"], "mean": m, "variance": v})
 
-    if fits.limit(max_fits + 1).count() <= max_fits:
-        known = rows.sparkSession.sparkContext.broadcast({r[key]: r.asDict() for r in fits.collect()})  # at most max_fits
+    return _with_fits(fits, rows.select(key, "row_id", "feature"), marginal, f"{key} {dict(rows.dtypes)[key]}, row_id long, mean double, variance double", key, part_rows)
+
+
+def joint_rows(key: dict, ids: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> pd.DataFrame:
+    """Long form of a joint distribution: (*key, i, j, mean of i, cov)."""
+    i, j = np.indices(cov.shape).reshape(2, -1)
+    return pd.DataFrame({**key, "i": ids[i], "j": ids[j], "mean": np.asarray(mean)[i], "cov": cov.reshape(-1)})
 
-        def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for k, part in pdf.groupby(key, sort=False):
-                    if k in known.value:
-                        yield marginal(Fit.unpack(known.value[k]), part)
 
-        return rows.mapInPandas(look_up, schema)
+def predict_gp_joint(fits: DataFrame, rows: DataFrame, kernel: Kernel, block: str, key: str = "key", mean: Mean = zero, measured: bool = False, max_block: int = MAX_ROWS, part_rows: int = 100_000) -> DataFrame:
+    """(key, block, i, j, mean, cov): joint predictions of the rows of each block of a key, i and j being row_ids."""
+    kind = dict(rows.dtypes)
 
-    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for _, part in pdf.groupby(key, sort=False):
-                yield marginal(Fit.unpack(part.iloc[0]), part)
+    def joint(fit: Fit, part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for b, own in part.groupby(block, sort=True):
+            _guard(own, block, max_block)
+            out.append(joint_rows({key: own[key].iloc[0], block: b}, own["row_id"].to_numpy(), *fit.joint(kernel, features(own["feature"]), mean, measured)))
+        return pd.concat(out)
 
-    return rows.join(fits, key).mapInPandas(joined, schema)
+    schema = f"{key} {kind[key]}, {block} {kind[block]}, i long, j long, mean double, cov double"
+    return _with_fits(fits, rows.select(key, "row_id", block, "feature"), joint, schema, key, part_rows, block)
 
 
 def per_group(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str = "key", max_rows: int = MAX_ROWS) -> DataFrame:
@@ -170,47 +217,142 @@ def per_group(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema:
     return df.groupBy(key).applyInPandas(run, schema)
 
 
-def joint_rows(key, rows: pd.DataFrame, mean: np.ndarray, cov: np.ndarray, name: str = "key") -> pd.DataFrame:
-    """Long form of a joint distribution: (key, i, j, mean of i, cov)."""
-    ids = rows["row_id"].to_numpy()
-    i, j = np.indices(cov.shape).reshape(2, -1)
-    return pd.DataFrame({name: key, "i": ids[i], "j": ids[j], "mean": np.asarray(mean)[i], "cov": cov.reshape(-1)})
+def _marginal_schema(df: DataFrame, key: str) -> str:
+    return f"{key} {dict(df.dtypes)[key]}, row_id long, mean double, variance double"
 
 
 def log_likelihood(kernel: Kernel, x: np.ndarray, y: np.ndarray, mean: Mean = zero, variance: np.ndarray | None = None) -> float:
     """log N(y - mean; K). The target variance is left out unless given."""
-    low = cholesky(kernel.measured(x, x) + (0 if variance is None else np.diag(variance)))
-    r = solve_lower(low, y - mean(x))
-    return float(-0.5 * (r @ r) - np.log(np.diag(low)).sum() - 0.5 * len(y) * np.log(2 * np.pi))
+    root = root_of(kernel.measured(x, x) + (0 if variance is None else np.diag(variance)))
+    r = root @ (y - mean(x))
+    return float(-0.5 * (r @ r) + np.log(np.diag(root)).sum() - 0.5 * len(y) * np.log(2 * np.pi))
+
+
+def log_likelihoods(df: DataFrame, kernel: Kernel, key: str = "key", mean: Mean = zero, with_variance: bool = False, max_rows: int = MAX_ROWS) -> DataFrame:
+    """(key, log_likelihood) of the rows of each key."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, v = arrays(pdf)
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "log_likelihood": [log_likelihood(kernel, x, y, mean, v if with_variance else None)]})
+
+    return per_group(df, run, f"{key} {dict(df.dtypes)[key]}, log_likelihood double", key, max_rows)
 
 
 def leave_one_out(fit: Fit, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Closed-form held-out means and variances."""
-    inverse = np.diag(solve(fit.low, np.eye(len(fit.low))))
+    inverse = (fit.root**2).sum(0)
     return y - fit.v / inverse, 1 / inverse
 
 
 def leave_group_out(fit: Fit, y: np.ndarray, groups: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Closed-form held-out (indices, means, covariance) of each group: with A the block of K^-1, y - A^-1 v and A^-1."""
-    inverse = solve(fit.low, np.eye(len(fit.low)))
     out = []
-    for g in np.unique(groups):
+    for g in pd.unique(pd.Series(groups).sort_values()):
         at = np.flatnonzero(groups == g)
-        cov = np.linalg.inv(inverse[np.ix_(at, at)])
+        cov = np.linalg.inv(fit.root[:, at].T @ fit.root[:, at])
         out.append((at, y[at] - cov @ fit.v[at], cov))
     return out
 
 
+def loo_gp(df: DataFrame, kernel: Kernel, key: str = "key", mean: Mean = zero, max_rows: int = MAX_ROWS) -> DataFrame:
+    """(key, row_id, mean, variance): each row as its key's other rows predict it."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, v = arrays(pdf)
+        m, var = leave_one_out(Fit.of(kernel, x, y, v, mean), y)
+        return pd.DataFrame({key: pdf[key], "row_id": pdf["row_id"], "mean": m, "variance": var})
+
+    return per_group(df, run, _marginal_schema(df, key), key, max_rows)
+
+
+def logo_gp(df: DataFrame, kernel: Kernel, fold: str, key: str = "key", mean: Mean = zero, max_rows: int = MAX_ROWS) -> DataFrame:
+    """(key, row_id, mean, variance): each fold of a key as the key's other folds predict it."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, v = arrays(pdf)
+        ids = pdf["row_id"].to_numpy()
+        held = leave_group_out(Fit.of(kernel, x, y, v, mean), y, pdf[fold].to_numpy())
+        return pd.concat([pd.DataFrame({key: pdf[key].iloc[0], "row_id": ids[at], "mean": m, "variance": np.diag(c)}) for at, m, c in held])
+
+    return per_group(df, run, _marginal_schema(df, key), key, max_rows)
+
+
+JointMetric = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], float]
+
+
+def logo_metrics(df: DataFrame, kernel: Kernel, fold: str, metrics: dict[str, JointMetric], key: str = "key", mean: Mean = zero, max_rows: int = MAX_ROWS) -> DataFrame:
+    """(key, fold, metrics): each metric(mean, covariance, targets, target variances) of the held-out joint predictions."""
+    kinds = dict(df.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, v = arrays(pdf)
+        folds = pdf[fold].to_numpy()
+        held = leave_group_out(Fit.of(kernel, x, y, v, mean), y, folds)
+        return pd.DataFrame([{key: pdf[key].iloc[0], fold: folds[at[0]], **{name: f(m, c - np.diag(v[at]), y[at], v[at]) for name, f in metrics.items()}} for at, m, c in held])
+
+    return per_group(df, run, f"{key} {kinds[key]}, {fold} {kinds[fold]}, " + ", ".join(f"{name} double" for name in metrics), key, max_rows)
+
+
 def fit_from_prediction(kernel: Kernel, x: np.ndarray, mean: np.ndarray, cov: np.ndarray, prior_mean: Mean = zero) -> tuple[np.ndarray, np.ndarray]:
     """(information, explained) of a fit that reproduces a joint prediction at x: information = K^-1 (mean - prior), and
     the matrix E = K^-1 - K^-1 cov K^-1 that takes the place of an inverse in the variance k - k' E k."""
-    low = cholesky(kernel.matrix(x, x))
-    inverse = solve(low, np.eye(len(x)))
+    root = root_of(kernel.matrix(x, x))
+    inverse = root.T @ root
     return inverse @ (mean - prior_mean(x)), inverse - inverse @ cov @ inverse
 
 
+def predict_from_prediction(fits: DataFrame, anchors: DataFrame, rows: DataFrame, kernel: Kernel, key: str = "key", mean: Mean = zero, fit_kernel: Kernel | None = None, part_rows: int = 100_000) -> DataFrame:
+    """(key, row_id, mean, variance) of rows by fits that keep only the joint prediction at anchors (key, row_id, feature).
+
+    fit_kernel: the kernel of fits where it is another; kernel is that of the new fits.
+    """
+    fits = _with_fits(fits, anchors.select(key, "row_id", "feature"), lambda fit, own: _summary(fit, own, kernel, fit_kernel or kernel, key, mean), fit_schema(key, dict(rows.dtypes)[key]).replace("root", "explained"), key, 10**9)
+
+    def predict(packed: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(packed) or not len(own):
+            return pd.DataFrame({key: [], "row_id": [], "mean": [], "variance": []})
+        row, own = packed.iloc[0], own.sort_values("row_id")
+        n, d = int(row["n"]), int(row["d"])
+        x = np.asarray(row["x"], float)
+        xs, x = features(own["feature"]), x.reshape(n, d) if d else x
+        cross, e = kernel.matrix(xs, x), np.asarray(row["explained"], float).reshape(n, n)
+        return pd.DataFrame({key: own[key], "row_id": own["row_id"], "mean": cross @ np.asarray(row["information"], float) + mean(xs), "variance": kernel.diagonal(xs) - ((cross @ e) * cross).sum(1)})
+
+    return fits.groupBy(key).cogroup(rows.select(key, "row_id", "feature").groupBy(key)).applyInPandas(predict, _marginal_schema(rows, key))
+
+
+def _summary(fit: Fit, own: pd.DataFrame, kernel: Kernel, fit_kernel: Kernel, key: str, mean: Mean) -> pd.DataFrame:
+    x = features(own["feature"])
+    v, e = fit_from_prediction(kernel, x, *fit.joint(fit_kernel, x, mean), mean)
+    return pd.DataFrame([{key: own[key].iloc[0], "n": len(x), "d": 0 if x.ndim == 1 else x.shape[1], "x": x.reshape(-1), "explained": e.reshape(-1), "information": v}])
+
+
 def condition(mean: np.ndarray, cov: np.ndarray, known: np.ndarray, y: np.ndarray, variance: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A joint prior conditioned on noisy values at known indices, at wanted indices."""
-    low = cholesky(cov[np.ix_(known, known)] + np.diag(variance))
-    half = solve_lower(low, cov[np.ix_(known, wanted)])
-    return mean[wanted] + half.T @ solve_lower(low, y - mean[known]), cov[np.ix_(wanted, wanted)] - half.T @ half
+    root = root_of(cov[np.ix_(known, known)] + np.diag(variance))
+    half = root @ cov[np.ix_(known, wanted)]
+    return mean[wanted] + half.T @ (root @ (y - mean[known])), cov[np.ix_(wanted, wanted)] - half.T @ half
+
+
+def condition_gp(df: DataFrame, kernel: Kernel, known: str, key: str = "key", mean: Mean = zero, max_rows: int = MAX_ROWS) -> DataFrame:
+    """(key, row_id, mean, variance) of the rows that are not known, given the targets of those that are."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, v = arrays(pdf)
+        given = pdf[known].to_numpy(bool)
+        a, b = np.flatnonzero(given), np.flatnonzero(~given)
+        m, c = condition(mean(x), kernel.matrix(x, x), a, y[a], v[a], b)
+        return pd.DataFrame({key: pdf[key].iloc[0], "row_id": pdf["row_id"].to_numpy()[b], "mean": m, "variance": np.diag(c)})
+
+    return per_group(df, run, _marginal_schema(df, key), key, max_rows)
+
+
+def sample_gp(df: DataFrame, kernel: Kernel, seed: int, key: str = "key", mean: Mean = zero, max_rows: int = MAX_ROWS) -> DataFrame:
+    """(key, row_id, value): a draw of the prior over the rows of each key, the same for the same seed and rows."""
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = features(pdf["feature"])
+        rng = np.random.default_rng([seed, *str(pdf[key].iloc[0]).encode()])
+        return pd.DataFrame({key: pdf[key], "row_id": pdf["row_id"], "value": mean(x) + cholesky(kernel.matrix(x, x)) @ rng.standard_normal(len(x))})
+
+    return per_group(df, draw, f"{key} {dict(df.dtypes)[key]}, row_id long, value double", key, max_rows)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkreg.functions.order import global_row_number
+from sparkreg.functions.storage import bounded_broadcast, materialise
 
 
 def with_key(df: DataFrame, key: Column, name: str = "key") -> DataFrame:
@@ -41,14 +43,14 @@ def extreme_group(df: DataFrame, key: str = "key", last: bool = False) -> DataFr
 
 def filter_groups(df: DataFrame, keep: Column, key: str = "key") -> DataFrame:
     """The rows of the groups for which the aggregate keep holds."""
-    kept = df.groupBy(key).agg(keep.alias("__keep")).where("__keep").select(F.col(key).alias("__key"))
-    return df.join(kept, F.col(key).eqNullSafe(F.col("__key")), "left_semi")
+    kept = materialise(df.groupBy(key).agg(keep.alias("__keep")).where("__keep").select(F.col(key).alias("__key")), "kept-groups")
+    return df.join(bounded_broadcast(kept), F.col(key).eqNullSafe(F.col("__key")), "left_semi")
 
 
 def with_group_value(df: DataFrame, value: Column, name: str, key: str = "key") -> DataFrame:
     """df with an aggregate of its group: aggregated first and joined back, so a hot group is no single task."""
-    sums = df.groupBy(F.col(key).alias("__key")).agg(value.alias(name))
-    return df.join(sums, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
+    sums = materialise(df.groupBy(F.col(key).alias("__key")).agg(value.alias(name)), "group-values")
+    return df.join(bounded_broadcast(sums), F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
 
 
 def apply_groups(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str | list[str] = "key", row_id: str = "row_id", max_rows: int = 50_000) -> DataFrame:
@@ -88,12 +90,14 @@ def all_same(df: DataFrame, value: Column) -> DataFrame:
 
 def uniform_ks(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """Largest distance of the empirical distribution of value from the uniform one on [0, 1], at least 0."""
-    if by:
-        w = Window.partitionBy(*by)
-        rows = df.withColumn("__i", F.row_number().over(w.orderBy(value)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
+    rows = global_row_number(df.select(*(by or []), value), *(by or []), value, name="__p")
+    if by:  # positions within a group are those within the table less the group's first: no group meets in one task
+        groups = materialise(rows.groupBy(*by).agg(F.min("__p").alias("__first"), F.count(F.lit(1)).alias("__n")), "group-starts")
+        groups = groups.select(*(F.col(c).alias(f"__{c}") for c in by), "__first", "__n")
+        same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by))
+        rows = rows.join(bounded_broadcast(groups), same).withColumn("__i", F.col("__p") - F.col("__first"))
     else:
-        n = df.agg(F.count(F.lit(1)).alias("__n"))
-        rows = global_row_number(df.select(value), value, name="__i").crossJoin(F.broadcast(n))
+        rows = rows.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("__n")))).withColumnRenamed("__p", "__i")
     gap = F.greatest((F.col("__i") + 1) / F.col("__n") - F.col(value), F.col(value) - F.col("__i") / F.col("__n"), F.lit(0.0))
     return rows.groupBy(*(by or [])).agg(F.max(gap).alias("ks"))
 

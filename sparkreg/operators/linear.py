@@ -45,7 +45,7 @@ def fit_line(df: DataFrame, x: str, y: str, by: list[str] | None = None, varianc
 
 def predict_line(rows: DataFrame, fits: DataFrame, x: str, by: list[str] | None = None, name: str = "prediction") -> DataFrame:
     """rows with offset + slope x; fits are one row, or one a group."""
-    joined = rows.join(bounded_broadcast(fits), by) if by else rows.crossJoin(F.broadcast(fits))
+    joined = rows.join(bounded_broadcast(materialise(fits, "fits")), by) if by else rows.crossJoin(F.broadcast(fits))
     return joined.withColumn(name, F.col("offset") + F.col("slope") * F.col(x)).drop("offset", "slope")
 
 

@@ -1,18 +1,27 @@
 """Random sample consensus: iterations are a grouping key and run together.
 
-Rows have a group key; an iteration draws candidate groups, fits a line to their rows, takes every other group whose metric
-is within the threshold as an inlier, and the consensus is candidates and inliers. Sums of each group stand for its rows, so
-no iteration copies a row.
+Rows have a group key; an iteration draws candidate groups, fits a model to their rows, takes every other group whose metric
+is within the threshold as an inlier, and the consensus is candidates and inliers. Draws whose candidates are not valid fail;
+``iterations`` counts those that are. Lines need only the sums of each group, so no iteration copies a row (``inliers``); for
+any other ``Model`` an iteration copies the rows of its candidates, and every group is judged once for all iterations.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkreg.functions.storage import materialise
+from sparkreg.functions.columns import chi_squared_cdf_values
+from sparkreg.functions.kernels import Kernel
+from sparkreg.functions.storage import bounded_broadcast, materialise
+from sparkreg.operators.gp import MAX_ROWS, Mean, arrays, condition, per_group, zero
 from sparkreg.operators.linear import SUMS, fit_line, line, power_sums
 
 
@@ -23,25 +32,58 @@ class Settings:
     consensus: int
     iterations: int
     seed: int = 17
+    max_failed: int = 0  # draws that may fail: as many end the search
 
 
-def return_code(groups: int, s: Settings) -> str:
-    """invalid_arguments, or ok."""
-    bad = s.iterations <= 0 or s.sample <= 0 or s.sample >= groups or s.consensus >= groups or s.consensus < s.sample
-    return "invalid_arguments" if bad else "ok"
+@dataclass(frozen=True)
+class Model:
+    """fit(rows) -> state; metric(state, rows of a group) -> number; is_valid(rows of the candidates) -> bool; the consensus
+    metric is an aggregate over the judged groups (columns metric and n, their rows)."""
+
+    fit: Callable[[pd.DataFrame], object]
+    metric: Callable[[object, pd.DataFrame], float]
+    is_valid: Callable[[pd.DataFrame], bool] | None = None
+    consensus_metric: Callable[[], Column] = lambda: F.avg("metric")
+
+
+INVALID, EXCEEDED, NO_CONSENSUS, SUCCESS = "invalid_arguments", "exceeded_max_failed_candidates", "no_consensus", "success"
+
+
+def bad_arguments(groups: Column, sample: Column, consensus: Column, iterations: Column) -> Column:
+    return (iterations <= 0) | (sample <= 0) | (sample >= groups) | (consensus >= groups) | (consensus < sample)
+
 
+def return_code(groups: Column, sample: Column, consensus: Column, iterations: Column, failed: Column, max_failed: Column, agreed: Column) -> Column:
+    """The outcome of a search: of how many groups, by its settings, with how many failed draws before the last iteration
+    that counts, and how many iterations whose consensus is large enough."""
+    code = F.when(bad_arguments(groups, sample, consensus, iterations), INVALID).when((failed > 0) & (failed >= max_failed), EXCEEDED)
+    return code.when(agreed == 0, NO_CONSENSUS).otherwise(SUCCESS)
 
-def candidates(keys: DataFrame, s: Settings) -> DataFrame:
-    """(iteration, key): s.sample keys of each iteration, without replacement, by a hash of seed, iteration and key.
 
-    Each partition first keeps its own least hashes of an iteration through the rank limit, so no task sees all keys.
+def candidates(keys: DataFrame, s: Settings, draws: int | None = None) -> DataFrame:
+    """(iteration, key): s.sample keys of each draw, without replacement, by the MD5 sum of seed, iteration and key.
+
+    Each partition first keeps its own least sums of an iteration through the rank limit, so no task sees all keys.
     """
-    every = keys.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(s.iterations - 1))))
-    every = every.withColumn("__u", F.xxhash64(F.lit(s.seed), "iteration", "key"))
+    every = keys.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit((draws or s.iterations) - 1))))
+    every = every.withColumn("__u", F.md5(F.concat(F.lit(f"{s.seed}:"), F.col("iteration").cast("string"), F.lit(":"), F.col("key").cast("string"))))
     rank = F.row_number().over(Window.partitionBy("iteration").orderBy("__u", "key"))
     return every.withColumn("__k", rank).where(F.col("__k") <= s.sample).select("iteration", "key")
 
 
+def counted(validity: DataFrame, s: Settings) -> tuple[list[int], int]:
+    """(iterations that count, draws that failed before the last of them) from (iteration, valid), one row a draw."""
+    used, failed = [], 0
+    for r in validity.orderBy("iteration").collect():  # iterations + max_failed rows
+        if len(used) == s.iterations or (failed and failed >= s.max_failed):
+            break
+        if r.valid:
+            used.append(r.iteration)
+        else:
+            failed += 1
+    return used, failed
+
+
 def inliers(df: DataFrame, drawn: DataFrame, s: Settings, x: str = "x", y: str = "y", key: str = "key") -> DataFrame:
     """(iteration, key, role, metric) with role candidate, inlier or outlier; the metric is the group's RMSE."""
     centre = F.broadcast(df.agg(F.avg(x).alias("__cx"), F.avg(y).alias("__cy")))
@@ -60,10 +102,11 @@ def inliers(df: DataFrame, drawn: DataFrame, s: Settings, x: str = "x", y: str =
     return rows.select(F.col("it").alias("iteration"), "key", role.alias("role"), "metric")
 
 
-def consensus(judged: DataFrame, s: Settings) -> DataFrame:
-    """(iteration, size, metric) of iterations whose consensus is large enough; the metric is the mean over the consensus."""
+def consensus(judged: DataFrame, s: Settings, metric: Column | None = None) -> DataFrame:
+    """(iteration, size, metric) of iterations whose consensus is large enough; the metric is the mean over the consensus
+    unless another aggregate is given."""
     inside = judged.where("role <> 'outlier'").groupBy("iteration")
-    return inside.agg(F.count(F.lit(1)).alias("size"), F.avg("metric").alias("metric")).where(F.col("size") >= s.consensus)
+    return inside.agg(F.count(F.lit(1)).alias("size"), (F.avg("metric") if metric is None else metric).alias("metric")).where(F.col("size") >= s.consensus)
 
 
 def best(agreed: DataFrame) -> DataFrame:
@@ -71,14 +114,116 @@ def best(agreed: DataFrame) -> DataFrame:
     return agreed.where(~F.isnan("metric")).agg(F.min(F.struct("metric", "iteration")).alias("b")).select("b.iteration", "b.metric").where("iteration is not null")
 
 
+def _code(spark: SparkSession, groups: int, s: Settings, failed: int = 0, agreed: int = 0) -> str:
+    row = spark.range(1).select(return_code(*(F.lit(v) for v in (groups, s.sample, s.consensus, s.iterations, failed, s.max_failed, agreed))).alias("c"))
+    return row.first().c
+
+
 def fit(df: DataFrame, s: Settings, x: str = "x", y: str = "y", key: str = "key") -> tuple[str, DataFrame, DataFrame | None]:
     """(code, judged, line): the line refitted to the rows of the best consensus, or None without one."""
     keys = df.select(F.col(key).alias("key")).distinct()
-    if (code := return_code(keys.count(), s)) != "ok":
-        return code, keys.limit(0), None
+    groups = keys.count()
+    if (code := _code(df.sparkSession, groups, s, agreed=1)) != SUCCESS:
+        return code, _none(df.sparkSession, dict(df.dtypes)[key]), None
     judged = materialise(inliers(df, candidates(keys, s), s, x, y, key), "ransac")
     top = best(consensus(judged, s)).first()
     if top is None:
-        return "no_consensus", judged, None
-    chosen = judged.where((F.col("iteration") == top.iteration) & (F.col("role") != "outlier")).select(F.col("key").alias("__key"))
-    return "success", judged, fit_line(df.join(chosen, F.col(key) == F.col("__key"), "left_semi"), x, y)
+        return NO_CONSENSUS, judged, None
+    return SUCCESS, judged, fit_line(consensus_rows(df, judged, top.iteration, key), x, y)
+
+
+def _none(spark: SparkSession, kind: str) -> DataFrame:
+    """Judged groups of a search that did not begin."""
+    return spark.createDataFrame([], f"iteration int, key {kind}, role string, metric double, n long")
+
+
+def consensus_rows(df: DataFrame, judged: DataFrame, iteration: int, key: str = "key") -> DataFrame:
+    chosen = judged.where((F.col("iteration") == iteration) & (F.col("role") != "outlier")).select(F.col("key").alias("__key"))
+    return df.join(bounded_broadcast(chosen), F.col(key) == F.col("__key"), "left_semi")
+
+
+def fit_model(df: DataFrame, s: Settings, model: Model, key: str = "key", max_rows: int = 200_000) -> tuple[str, DataFrame, DataFrame | None]:
+    """(code, judged, rows): judged is (iteration, key, role, metric, n); rows are those of the best consensus, to which the
+    caller fits the model, or None without one. max_rows bounds the rows of a group, and of an iteration's candidates."""
+    spark, kind = df.sparkSession, dict(df.dtypes)[key]
+    keys = materialise(df.select(F.col(key).alias("key")).distinct(), "ransac-keys")
+    groups = keys.count()
+    if (code := _code(spark, groups, s, agreed=1)) != SUCCESS:
+        return code, _none(spark, kind), None
+    drawn = materialise(candidates(keys, s, s.iterations + s.max_failed), "ransac-draws")
+    names = df.columns
+    rows = df.join(bounded_broadcast(drawn.withColumnRenamed("key", "__key")), F.col(key) == F.col("__key")).drop("__key")
+
+    def guard(pdf: pd.DataFrame) -> None:
+        if len(pdf) > max_rows:
+            raise ValueError(f"{len(pdf)} rows are modelled together; at most {max_rows}")
+
+    def train(pdf: pd.DataFrame) -> pd.DataFrame:
+        guard(pdf)
+        own = pdf[names].sort_values("row_id")
+        valid = model.is_valid is None or bool(model.is_valid(own))
+        return pd.DataFrame({"iteration": [pdf["iteration"].iloc[0]], "valid": [valid], "state": [cloudpickle.dumps(model.fit(own)) if valid else None]})
+
+    fits = materialise(rows.groupBy("iteration").applyInPandas(train, "iteration int, valid boolean, state binary"), "ransac-fits")
+    used, failed = counted(fits.select("iteration", "valid"), s)
+    states = {r.iteration: bytes(r.state) for r in fits.where(F.col("iteration").isin(used)).collect()}  # one an iteration
+    sent = spark.sparkContext.broadcast(states)
+
+    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+        guard(pdf)
+        own = pdf.sort_values("row_id")
+        found = [(i, own[key].iloc[0], float(model.metric(pickle.loads(state), own)), len(own)) for i, state in sent.value.items()]
+        return pd.DataFrame(found, columns=["iteration", "key", "metric", "n"])
+
+    metrics = df.groupBy(key).applyInPandas(judge, f"iteration int, key {kind}, metric double, n long")
+    mark = drawn.select(F.col("iteration").alias("di"), F.col("key").alias("dk"))
+    judged = metrics.join(bounded_broadcast(mark), (F.col("iteration") == F.col("di")) & (F.col("key") == F.col("dk")), "left")
+    role = F.when(F.col("dk").isNotNull(), "candidate").when(F.col("metric") <= s.threshold, "inlier").otherwise("outlier")
+    judged = materialise(judged.select("iteration", "key", role.alias("role"), "metric", "n"), "ransac")
+    agreed = materialise(consensus(judged, s, model.consensus_metric()), "ransac-agreed")
+    top = best(agreed).first()
+    code = _code(spark, groups, s, failed, 0 if top is None else 1)
+    return code, judged, consensus_rows(df, judged, top.iteration, key) if code == SUCCESS else None
+
+
+def consensus_gp(df: DataFrame, kernel: Kernel, group: str, s: Settings, key: str = "key", mean: Mean = zero, valid_at: float = 0.999, max_rows: int = MAX_ROWS) -> DataFrame:
+    """(key, code, iteration, groups, rows): for every key a search among its groups on one joint prior. Groups agree while
+    the chi-squared probability of their held-out joint prediction is at most s.threshold; candidates are valid while that
+    of their own prior is at most valid_at; the largest consensus in rows wins."""
+    kinds = dict(df.dtypes)
+
+    def probability(m: np.ndarray, c: np.ndarray, y: np.ndarray) -> float:
+        r = y - m
+        return float(chi_squared_cdf_values(r @ np.linalg.solve(c, r), len(y)))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, var = arrays(pdf)
+        groups = pdf.sort_values("row_id")[group].to_numpy()
+        prior, cov = mean(x), kernel.measured(x, x)
+        names = sorted(pd.unique(groups))
+        out = {key: pdf[key].iloc[0], "iteration": -1, "groups": 0, "rows": 0}
+        if s.iterations <= 0 or s.sample <= 0 or s.sample >= len(names) or s.consensus >= len(names) or s.consensus < s.sample:
+            return pd.DataFrame([out | {"code": INVALID}])
+        draw, failed, done, draws = np.random.default_rng([s.seed, *str(pdf[key].iloc[0]).encode()]), 0, 0, 0
+        while done < s.iterations:
+            chosen = [names[k] for k in draw.choice(len(names), s.sample, replace=False)]
+            known, draws = np.flatnonzero(np.isin(groups, chosen)), draws + 1
+            if probability(prior[known], cov[np.ix_(known, known)] + np.diag(var[known]), y[known]) > valid_at:
+                failed += 1
+                if failed >= s.max_failed:
+                    return pd.DataFrame([out | {"code": EXCEEDED}])
+                continue
+            agreed = list(chosen)
+            for g in names:
+                if g not in chosen:
+                    at = np.flatnonzero(groups == g)
+                    m, c = condition(prior, cov, known, y[known], var[known], at)
+                    if probability(m, c + np.diag(var[at]), y[at]) <= s.threshold:
+                        agreed.append(g)
+            size = int(np.isin(groups, agreed).sum())
+            if len(agreed) >= s.consensus and size > out["rows"]:
+                out |= {"iteration": draws - 1, "groups": len(agreed), "rows": size}
+            done += 1
+        return pd.DataFrame([out | {"code": SUCCESS if out["rows"] else NO_CONSENSUS}])
+
+    return per_group(df, run, f"{key} {kinds[key]}, code string, iteration int, groups int, rows int", key, max_rows)

@@ -9,15 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkreg.functions.kernels import Kernel
 from sparkreg.functions.storage import materialise
-from sparkreg.operators.gp import MAX_ROWS, Mean, cholesky, solve_lower, zero
+from sparkreg.operators.gp import MAX_ROWS, Mean, cholesky, features, inverse_lower, joint_rows, per_group, zero
 from sparkreg.operators.linear import reduce_triangles, triangle
 
 
@@ -36,7 +37,16 @@ class SparseFit:
     def root(self) -> np.ndarray:
         return self.r[:-1, :-1]
 
-    @property
+    @cached_property
+    def prior_root(self) -> np.ndarray:
+        return inverse_lower(self.low)
+
+    @cached_property
+    def post_root(self) -> np.ndarray:
+        """The inverse of the transposed root."""
+        return np.linalg.inv(self.root.T)
+
+    @cached_property
     def v(self) -> np.ndarray:
         return np.linalg.lstsq(self.root, self.r[:-1, -1], rcond=None)[0]
 
@@ -45,14 +55,13 @@ class SparseFit:
 
     def joint(self, kernel: Kernel, x: np.ndarray, mean: Mean = zero) -> tuple[np.ndarray, np.ndarray]:
         cross = kernel.matrix(x, self.u)
-        q, s = solve_lower(self.low, cross.T), np.linalg.solve(self.root.T, cross.T)
+        q, s = self.prior_root @ cross.T, self.post_root @ cross.T
         return cross @ self.v + mean(x), kernel.matrix(x, x) - q.T @ q + s.T @ s
 
     def marginal(self, kernel: Kernel, x: np.ndarray, mean: Mean = zero) -> tuple[np.ndarray, np.ndarray]:
         cross = kernel.matrix(x, self.u)
-        q, s = solve_lower(self.low, cross.T), np.linalg.solve(self.root.T, cross.T)
-        own = np.array([kernel.matrix(x[i : i + 1], x[i : i + 1])[0, 0] for i in range(len(x))])
-        return cross @ self.v + mean(x), own - (q**2).sum(0) + (s**2).sum(0)
+        q, s = self.prior_root @ cross.T, self.post_root @ cross.T
+        return cross @ self.v + mean(x), kernel.diagonal(x) - (q**2).sum(0) + (s**2).sum(0)
 
     def log_likelihood(self) -> float:
         """log|K| = log|A| + 2 log|R| - log|K_uu|; the quadratic form is b'b less what the triangle explains."""
@@ -60,11 +69,24 @@ class SparseFit:
         explained = float((self.r[:-1, -1] ** 2).sum())
         return float(-0.5 * (self.squares - explained) - 0.5 * log_det - 0.5 * self.rows * np.log(2 * np.pi))
 
+    def table(self, spark: SparkSession, batch: int = -1) -> DataFrame:
+        """The fit as one row, to be written; batch: the last micro-batch that it holds."""
+        u = np.asarray(self.u, float)
+        row = (batch, len(u), 0 if u.ndim == 1 else u.shape[1], u.tobytes(), self.low.tobytes(), self.r.tobytes(), float(self.log_det_a), float(self.squares), int(self.rows))
+        return spark.createDataFrame([row], "last long, m int, d int, u binary, low binary, r binary, log_det_a double, squares double, n long")
+
+    @classmethod
+    def from_row(cls, row) -> SparseFit:
+        u = np.frombuffer(row["u"])
+        values = (np.frombuffer(row[c]).reshape(-1, row["m"] + extra) for c, extra in (("low", 0), ("r", 1)))
+        return cls(u.reshape(row["m"], row["d"]) if row["d"] else u, *values, row["log_det_a"], row["squares"], row["n"])
+
     def rebase(self, kernel: Kernel, u: np.ndarray, nugget: float = 1e-8) -> SparseFit:
         """The fit on new inducing points: its joint prediction there, taken as a fit (lossy)."""
         mean, cov = self.joint(kernel, u)
         low = cholesky(kernel.matrix(u, u) + nugget * np.eye(len(u)))
-        inverse = np.linalg.solve(low.T, np.linalg.solve(low, np.eye(len(u))))
+        root = inverse_lower(low)
+        inverse = root.T @ root
         information = inverse @ mean
         # R'R with (R'R)^-1 = K^-1 cov K^-1, so that variances at u come out as cov
         precision = np.linalg.inv(inverse @ (cov + nugget * np.eye(len(u))) @ inverse)
@@ -74,20 +96,19 @@ class SparseFit:
         return SparseFit(u, low, r, self.log_det_a, self.squares, self.rows)
 
 
-def _block(kernel: Kernel, u: np.ndarray, low: np.ndarray, pdf: pd.DataFrame, mean: Mean, nugget: float, each_alone: bool) -> tuple[np.ndarray, float, float]:
-    x = pdf["feature"].to_numpy(float)
+def _block(kernel: Kernel, u: np.ndarray, prior_root: np.ndarray, pdf: pd.DataFrame, mean: Mean, nugget: float, each_alone: bool) -> tuple[np.ndarray, float, float]:
+    x = features(pdf["feature"])
     cross = kernel.matrix(x, u)
-    half = solve_lower(low, cross.T)
+    half = prior_root @ cross.T
     y = pdf["target"].to_numpy(float) - mean(x)
     noise = pdf["target_variance"].to_numpy(float) + nugget
     if each_alone:
-        own = np.array([kernel.measured(x[i : i + 1], x[i : i + 1])[0, 0] for i in range(len(x))])
-        root = np.sqrt(own + noise - (half**2).sum(0))
+        root = np.sqrt(kernel.diagonal(x, measured=True) + noise - (half**2).sum(0))
         b, c = cross / root[:, None], y / root
         log_det = 2 * np.log(root).sum()
     else:
         a = cholesky(kernel.measured(x, x) + np.diag(noise) - half.T @ half)
-        both = solve_lower(a, np.column_stack([cross, y]))
+        both = inverse_lower(a) @ np.column_stack([cross, y])
         b, c, log_det = both[:, :-1], both[:, -1], 2 * np.log(np.diag(a)).sum()
     return triangle(np.column_stack([b, c])), float(log_det), float(c @ c)
 
@@ -102,6 +123,7 @@ def fit_sparse_gp(
     u = np.asarray(u if start is None else start.u, float)
     m = len(u)
     low = cholesky(kernel.matrix(u, u) + inducing_nugget * np.eye(m)) if start is None else start.low
+    prior_root = inverse_lower(low)
     schema = "r binary, log_det double, squares double, n long"
 
     def pack(block: tuple[np.ndarray, float, float], n: int) -> pd.DataFrame:
@@ -112,7 +134,7 @@ def fit_sparse_gp(
         def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 if len(pdf):
-                    yield pack(_block(kernel, u, low, pdf, mean, nugget, True), len(pdf))
+                    yield pack(_block(kernel, u, prior_root, pdf, mean, nugget, True), len(pdf))
 
         blocks = df.select("feature", "target", "target_variance").mapInPandas(alone, schema)
     else:
@@ -120,7 +142,7 @@ def fit_sparse_gp(
         def together(pdf: pd.DataFrame) -> pd.DataFrame:
             if len(pdf) > max_rows:
                 raise ValueError(f"group {pdf[group].iloc[0]} has {len(pdf)} rows; at most {max_rows} depend on each other")
-            return pack(_block(kernel, u, low, pdf, mean, nugget, False), len(pdf))
+            return pack(_block(kernel, u, prior_root, pdf, mean, nugget, False), len(pdf))
 
         blocks = df.select(group, "feature", "target", "target_variance").groupBy(group).applyInPandas(together, schema)
     blocks = materialise(blocks, "sparse-blocks")
@@ -140,7 +162,16 @@ def predict_sparse_gp(rows: DataFrame, kernel: Kernel, fit: SparseFit, mean: Mea
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            m, v = fit.marginal(kernel, pdf["feature"].to_numpy(float), mean)
+            m, v = fit.marginal(kernel, features(pdf["feature"]), mean)
             yield pd.DataFrame({"row_id": pdf["row_id"], "mean": m, "variance": v})
 
     return rows.select("row_id", "feature").mapInPandas(predict, "row_id long, mean double, variance double")
+
+
+def predict_sparse_gp_joint(rows: DataFrame, kernel: Kernel, fit: SparseFit, block: str, mean: Mean = zero, max_rows: int = MAX_ROWS) -> DataFrame:
+    """(block, i, j, mean, cov): joint predictions of the rows of each block, i and j being row_ids."""
+
+    def predict(pdf: pd.DataFrame) -> pd.DataFrame:
+        return joint_rows({block: pdf[block].iloc[0]}, pdf["row_id"].to_numpy(), *fit.joint(kernel, features(pdf["feature"]), mean))
+
+    return per_group(rows.select(block, "row_id", "feature"), predict, f"{block} {dict(rows.dtypes)[block]}, i long, j long, mean double, cov double", block, max_rows)

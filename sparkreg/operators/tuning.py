@@ -10,6 +10,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkreg.functions.order import global_row_number
+from sparkreg.functions.storage import bounded_broadcast, materialise
+
 Objective = Callable[[DataFrame], DataFrame]  # (set_id, <params>) -> (set_id, value)
 
 
@@ -157,13 +160,22 @@ def sampler_summary(log: DataFrame, params: list[str], burn_in: int, thin: int,
     """(name, low, high): 5 % and 95 % limits widened by 5 %, of finite rows after burn_in, every thin-th iteration, and of
     these the top share by log probability."""
     kept = log.where((F.abs("log_probability") < float("inf")) & ~F.isnan("log_probability") & (F.col("iteration") >= burn_in))
-    order = kept.select("iteration").distinct()
-    from pyspark.sql import Window
-
-    order = order.withColumn("__k", F.row_number().over(Window.orderBy("iteration")) - 1).where(F.col("__k") % thin == 0)  # one row an iteration
-    kept = kept.join(F.broadcast(order.select("iteration")), "iteration", "left_semi")
-    cut = kept.agg(F.percentile("log_probability", 1 - share).alias("__cut"))
+    order = global_row_number(kept.select("iteration").distinct(), "iteration", name="__k").where(F.col("__k") % thin == 0)
+    kept = materialise(kept.join(bounded_broadcast(materialise(order.select("iteration"), "kept-iterations")), "iteration", "left_semi"), "kept-steps")
+    cut = quantiles(kept.select(F.lit("").alias("name"), F.col("log_probability").alias("v")), [1 - share]).select(F.col("q")[0].alias("__cut"))
     long = kept.crossJoin(F.broadcast(cut)).where("log_probability >= __cut").select(F.explode(F.array(*(F.struct(F.lit(p).alias("name"), F.col(p).alias("v")) for p in params))).alias("s")).select("s.*")
-    limits = long.groupBy("name").agg(F.percentile("v", 0.05).alias("a"), F.percentile("v", 0.95).alias("b"))
+    limits = quantiles(long, [0.05, 0.95]).select("name", F.col("q")[0].alias("a"), F.col("q")[1].alias("b"))
     wide = 0.05 * (F.col("b") - F.col("a"))
     return limits.select("name", (F.col("a") - wide).alias("low"), (F.col("b") + wide).alias("high"))
+
+
+def quantiles(rows: DataFrame, shares: list[float]) -> DataFrame:
+    """(name, q): interpolated quantiles of v for each name, in the order of shares. Ranks come from one range shuffle, so
+    no task gathers a name's values; what meets is the two neighbours of each quantile."""
+    ranked = global_row_number(rows.select("name", "v"), "name", "v", name="__p")
+    spans = ranked.groupBy(F.col("name").alias("__name")).agg(F.min("__p").alias("__first"), F.max("__p").alias("__last"))  # one row a name
+    wanted = F.array(*(F.col("__first") + F.lit(float(s)) * (F.col("__last") - F.col("__first")) for s in shares))
+    places = spans.select("__name", F.posexplode(wanted).alias("__k", "__at"))
+    near = ranked.join(F.broadcast(places), (F.col("name") == F.col("__name")) & (F.abs(F.col("__p") - F.col("__at")) < 1))
+    own = near.groupBy("name", "__k").agg(F.sum((1 - F.abs(F.col("__p") - F.col("__at"))) * F.col("v")).alias("q"))
+    return own.groupBy("name").agg(F.transform(F.sort_array(F.collect_list(F.struct("__k", "q"))), lambda x: x["q"]).alias("q"))  # one a share

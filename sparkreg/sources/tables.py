@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 from sparkreg.functions.columns import ecef
 from sparkreg.functions.order import global_row_number
 from sparkreg.operators.dataset import first_by
+from sparkreg.operators.sparse_gp import SparseFit
 
 
 def read_thinned(spark: SparkSession, path: str, schema: str, order: list[str], columns: list[str], thin: int = 5) -> DataFrame:
@@ -125,3 +126,12 @@ def save_fit(fits: DataFrame, path: str, codec: str = "zstd") -> None:
 
 def load_fit(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def save_sparse_fit(spark: SparkSession, fit: SparseFit, path: str) -> None:
+    """A sparse fit, as Parquet of one row."""
+    fit.table(spark).write.mode("overwrite").parquet(path)
+
+
+def load_sparse_fit(spark: SparkSession, path: str) -> SparseFit:
+    return SparseFit.from_row(spark.read.parquet(path).first())

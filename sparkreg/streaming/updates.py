@@ -1,7 +1,8 @@
 """Models that follow a stream: running regressions, sparse processes, filters.
 
 Late rows: sums and sparse factors do not depend on order, so they take late rows as they come; a filter needs event time
-and drops what arrives behind its last step.
+and gives what arrives behind its last step back marked as late. What a stream knows is written with each batch, so a restart
+goes on from there.
 """
 
 from __future__ import annotations
@@ -10,14 +11,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sparkreg.functions.kernels import Kernel
-from sparkreg.operators import sparse_gp
-from sparkreg.operators.gp import Fit, Mean, zero
+from sparkreg.operators.gp import Fit, Mean, features, zero
 from sparkreg.operators.linear import line, power_sums
+from sparkreg.operators.sparse_gp import SparseFit, fit_sparse_gp
 
 
 def running_regression(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
@@ -30,16 +31,36 @@ def running_regression(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFr
 class SparseStream:
     """A sparse fit that each micro-batch updates; use ``update`` with foreachBatch. A PITC group must come whole.
 
-    Batches that are run again after a failure are told by their id and not counted twice.
+    The fit is written below ``folder`` with the id of its last batch, one row a batch: a new object with the same folder goes
+    on where the last one ended, and a batch that is run again after a failure is not counted twice.
     """
 
-    def __init__(self, kernel: Kernel, u: np.ndarray, group: str | None = None, mean: Mean = zero) -> None:
-        self.kernel, self.u, self.group, self.mean, self.fit, self.last = kernel, u, group, mean, None, -1
+    def __init__(self, kernel: Kernel, u: np.ndarray, folder: str, group: str | None = None, mean: Mean = zero) -> None:
+        self.kernel, self.u, self.folder, self.group, self.mean = kernel, u, folder.rstrip("/"), group, mean
+
+    def _path(self, batch_id: int) -> str:
+        return f"{self.folder}/batch={batch_id:012d}"
+
+    def _last(self, spark: SparkSession) -> tuple[SparseFit | None, int]:
+        """The fit of the last batch whose write has ended."""
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found = files.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/batch=*/_SUCCESS")) or []
+        names = sorted(s.getPath().getParent().toString() for s in found)
+        if not names:
+            return None, -1
+        row = spark.read.parquet(names[-1]).first()
+        return SparseFit.from_row(row), row["last"]
+
+    def fit(self, spark: SparkSession) -> SparseFit | None:
+        return self._last(spark)[0]
 
     def update(self, batch: DataFrame, batch_id: int) -> None:
-        if batch_id > self.last:
-            self.fit = sparse_gp.fit_sparse_gp(batch, self.kernel, self.u, self.group, self.mean, start=self.fit)
-            self.last = batch_id
+        spark = batch.sparkSession
+        before, last = self._last(spark)
+        if batch_id > last:
+            fit = fit_sparse_gp(batch, self.kernel, self.u, self.group, self.mean, start=before)
+            fit.table(spark, batch_id).write.mode("overwrite").parquet(self._path(batch_id))
 
 
 def filter_steps(t: np.ndarray, y: np.ndarray, noise: float, k: Callable[[float], float], x: float = 0.0, p: float | None = None, last: float | None = None, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -62,10 +83,13 @@ def filter_steps(t: np.ndarray, y: np.ndarray, noise: float, k: Callable[[float]
     return means, variances
 
 
-def kalman_filter(rows: DataFrame, k: Callable[[float], float], noise: float, key: str = "key", exact: bool = False) -> DataFrame:
-    """(key, row_id, mean, variance) of every series, in the order of feature."""
+def kalman_filter(rows: DataFrame, k: Callable[[float], float], noise: float, key: str = "key", exact: bool = False, max_rows: int = 5_000_000) -> DataFrame:
+    """(key, row_id, mean, variance) of every series, in the order of feature. A series is filtered in one task, so a longer
+    one than max_rows is an error that names its key; the stream form takes series of any length."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > max_rows:
+            raise ValueError(f"series {pdf[key].iloc[0]} has {len(pdf)} rows; at most {max_rows} are filtered in one task")
         pdf = pdf.sort_values(["feature", "row_id"])
         m, v = filter_steps(pdf["feature"].to_numpy(float), pdf["target"].to_numpy(float), noise, k, exact=exact)
         return pd.DataFrame({key: pdf[key], "row_id": pdf["row_id"], "mean": m, "variance": v})
@@ -74,20 +98,26 @@ def kalman_filter(rows: DataFrame, k: Callable[[float], float], noise: float, ke
 
 
 def stream_kalman_filter(rows: DataFrame, k: Callable[[float], float], noise: float, key: str = "key", exact: bool = False) -> DataFrame:
-    """The same over a stream: the state of a key is (mean, variance, last time); rows behind the last time are dropped."""
+    """The same over a stream: the state of a key is (mean, variance, last time, late rows so far).
+
+    Rows behind the last time come back with ``late`` true and no estimate; n_late counts those of the key so far.
+    """
 
     def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        x, p, last = state.get if state.exists else (0.0, k(0.0), None)
+        x, p, last, n_late = state.get if state.exists else (0.0, k(0.0), None, 0)
         pdf = pd.concat(list(batches)).sort_values(["feature", "row_id"])
-        if last is not None:
-            pdf = pdf[pdf["feature"] >= last]
+        late = pdf[pdf["feature"] < last] if last is not None else pdf[:0]
+        pdf, n_late = pdf.drop(late.index) if len(late) else pdf, n_late + len(late)
+        m, v = filter_steps(pdf["feature"].to_numpy(float), pdf["target"].to_numpy(float), noise, k, x, p, last, exact)
         if len(pdf):
-            m, v = filter_steps(pdf["feature"].to_numpy(float), pdf["target"].to_numpy(float), noise, k, x, p, last, exact)
-            state.update((float(m[-1]), float(v[-1]), float(pdf["feature"].iloc[-1])))
-            yield pd.DataFrame({key: group[0], "row_id": pdf["row_id"], "mean": m, "variance": v})
+            x, p, last = float(m[-1]), float(v[-1]), float(pdf["feature"].iloc[-1])
+        state.update((x, p, last, n_late))
+        yield pd.DataFrame({key: group[0], "row_id": pdf["row_id"], "mean": m, "variance": v, "late": False, "n_late": n_late})
+        if len(late):
+            yield pd.DataFrame({key: group[0], "row_id": late["row_id"], "mean": np.nan, "variance": np.nan, "late": True, "n_late": n_late})
 
-    schema = f"{key} {dict(rows.dtypes)[key]}, row_id long, mean double, variance double"
-    return rows.select(key, "row_id", "feature", "target").groupBy(key).applyInPandasWithState(run, schema, "x double, p double, last double", "append", GroupStateTimeout.NoTimeout)
+    schema = f"{key} {dict(rows.dtypes)[key]}, row_id long, mean double, variance double, late boolean, n_late long"
+    return rows.select(key, "row_id", "feature", "target").groupBy(key).applyInPandasWithState(run, schema, "x double, p double, last double, late long", "append", GroupStateTimeout.NoTimeout)
 
 
 def iterative_gp(rows: DataFrame, kernel: Kernel, key: str = "key", mean: Mean = zero, max_rows: int = 2000) -> DataFrame:
@@ -97,7 +127,7 @@ def iterative_gp(rows: DataFrame, kernel: Kernel, key: str = "key", mean: Mean =
         if len(pdf) > max_rows:
             raise ValueError(f"group {pdf[key].iloc[0]} has {len(pdf)} rows; at most {max_rows}")
         pdf = pdf.sort_values("row_id")
-        x, y, var = (pdf[c].to_numpy(float) for c in ("feature", "target", "target_variance"))
+        x, y, var = features(pdf["feature"]), pdf["target"].to_numpy(float), pdf["target_variance"].to_numpy(float)
         fit, out = None, []
         for i in range(len(x)):
             now = slice(i, i + 1)

@@ -12,6 +12,8 @@ from sparkreg.operators import gp as GP
 from sparkreg.operators import linear as L
 from sparkreg.operators import ransac as RS
 from sparkreg.operators import sparse_gp as SG
+from sparkreg.operators import tuning as T
+from sparkreg.sources import tables as S
 from sparkreg.streaming import updates as U
 
 K = KF.squared_exponential(3.0, 2.0) + KF.measurement_noise(0.3)
@@ -56,10 +58,137 @@ def test_update_equals_refit(spark):
     m, var = GP.Fit.of(K, x, y, v).marginal(K, x)
     np.testing.assert_allclose(got["mean"], m, atol=1e-6)
     np.testing.assert_allclose(got["variance"], var, atol=1e-6)
-    joined = GP.predict_gp(fits, df, K, max_fits=0).orderBy("row_id").toPandas()  # the way for many fits
+    joined = GP.predict_gp(fits, df, K, part_rows=7).orderBy("row_id").toPandas()  # the way for a hot key
     np.testing.assert_allclose(joined["mean"], m, atol=1e-6)
 
 
+def test_vector_features(spark):
+    x, y, v = _toy()
+    wide = np.column_stack([x, np.cos(x)])
+    k = KF.exponential(3.0, 2.0, arrays=True)
+    df = spark.createDataFrame(pd.DataFrame({"key": "k", "row_id": np.arange(len(x)), "feature": wide.tolist(), "target": y, "target_variance": v}))
+    got = GP.predict_gp(GP.fit_gp(df, k), df, k).orderBy("row_id").toPandas()
+    m, var = GP.Fit.of(k, wide, y, v).marginal(k, wide)
+    np.testing.assert_allclose(got["mean"], m, atol=1e-8)
+    np.testing.assert_allclose(got["variance"], var, atol=1e-8)
+    fit = SG.fit_sparse_gp(df, k, wide[::4])
+    got = SG.predict_sparse_gp(df, k, fit).orderBy("row_id").toPandas()
+    np.testing.assert_allclose(got["mean"], fit.mean(k, wide), atol=1e-8)
+
+
+def _dense(k, x, y, v, xs, mean):
+    """Mean and covariance by plain solves."""
+    kk = k.measured(x, x) + np.diag(v)
+    cross = k.matrix(xs, x)
+    return mean(xs) + cross @ np.linalg.solve(kk, y - mean(x)), k.matrix(xs, xs) - cross @ np.linalg.solve(kk, cross.T)
+
+
+def two(x):
+    return np.full(len(x), 2.0)
+
+
+def test_table_forms_equal_dense_numpy(spark):
+    sets = {key: _toy(30 + key, key) for key in (1, 2, 3)}
+    df = _frame(spark, *sets[1], key=1).union(_frame(spark, *sets[2], key=2)).union(_frame(spark, *sets[3], key=3)).withColumn("fold", F.col("row_id") % 4).repartition(5)
+    fits = GP.fit_gp(df, K, mean=two)
+    joint = GP.predict_gp_joint(fits, df, K, "fold", mean=two, part_rows=9).toPandas()
+    loo, logo = (t.orderBy("key", "row_id").toPandas() for t in (GP.loo_gp(df, K, mean=two), GP.logo_gp(df, K, "fold", mean=two)))
+    like = GP.log_likelihoods(df, K, mean=two, with_variance=True).toPandas().set_index("key").log_likelihood
+    known = GP.condition_gp(df.withColumn("known", F.col("row_id") % 3 > 0), K, "known", mean=two).orderBy("key", "row_id").toPandas()
+    again = GP.predict_from_prediction(fits, df.where("row_id % 5 = 0"), df.where("row_id % 5 = 0"), K, mean=two).orderBy("key", "row_id").toPandas()
+    draws = [GP.sample_gp(d, K, 5, mean=two).orderBy("key", "row_id").toPandas() for d in (df, df.repartition(2))]
+    np.testing.assert_array_equal(draws[0]["value"], draws[1]["value"])
+    metric = GP.logo_metrics(df, K, "fold", {"nll": CV.nll_joint, "size": lambda m, c, y, v: float(len(y))}, mean=two).toPandas()
+    for key, (x, y, v) in sets.items():
+        ids = np.arange(len(x))
+        for fold in range(4):
+            at = np.flatnonzero(ids % 4 == fold)
+            m, c = _dense(K, x, y, v, x[at], two)
+            part = joint[(joint.key == key) & (joint.fold == fold)]
+            table = part.pivot(index="i", columns="j", values="cov")
+            assert table.index.tolist() == at.tolist()
+            np.testing.assert_allclose(table, c, atol=1e-7)
+            np.testing.assert_allclose(part.groupby("i")["mean"].first(), m, atol=1e-7)
+            rest = np.setdiff1d(ids, at)
+            m, c = _dense(K, x[rest], y[rest], v[rest], x[at], two)
+            own = logo[(logo.key == key) & logo.row_id.isin(at)]
+            np.testing.assert_allclose(own["mean"], m, atol=1e-6)
+            noise = np.diag(K.measured(x[at], x[at]) - K.matrix(x[at], x[at]))
+            np.testing.assert_allclose(own["variance"], np.diag(c) + noise + v[at], atol=1e-6)
+            found = metric[(metric.key == key) & (metric.fold == fold)].iloc[0]
+            assert found["size"] == len(at) and found.nll == pytest.approx(CV.nll_joint(m, c + np.diag(noise), y[at], v[at]), abs=1e-5)
+        i = 7
+        rest = np.setdiff1d(ids, [i])
+        m, _ = _dense(K, x[rest], y[rest], v[rest], x[[i]], two)
+        assert loo[(loo.key == key) & (loo.row_id == i)]["mean"].iloc[0] == pytest.approx(m[0], abs=1e-6)
+        kk = K.measured(x, x) + np.diag(v)
+        assert like[key] == pytest.approx(-0.5 * ((y - 2) @ np.linalg.solve(kk, y - 2) + np.linalg.slogdet(kk)[1] + len(x) * np.log(2 * np.pi)), abs=1e-6)
+        a, b = np.flatnonzero(ids % 3 > 0), np.flatnonzero(ids % 3 == 0)
+        cov = K.matrix(x, x)
+        want = 2 + cov[np.ix_(b, a)] @ np.linalg.solve(cov[np.ix_(a, a)] + np.diag(v[a]), y[a] - 2)
+        np.testing.assert_allclose(known[known.key == key]["mean"], want, atol=1e-5)
+        m, c = _dense(K, x, y, v, x[::5], two)
+        np.testing.assert_allclose(again[again.key == key]["mean"], m, atol=1e-4)
+        np.testing.assert_allclose(again[again.key == key]["variance"], np.diag(c), atol=1e-4)
+    rng = np.random.default_rng([5, *b"1"])
+    x = sets[1][0]
+    np.testing.assert_allclose(draws[0][draws[0].key == 1]["value"], 2 + GP.cholesky(K.matrix(x, x)) @ rng.standard_normal(len(x)), atol=1e-9)
+
+
+def test_iterative_process_equals_refits(spark):
+    x, y, v = _toy(15)
+    got = U.iterative_gp(_frame(spark, x, y, v), K, mean=two).orderBy("row_id").toPandas()
+    for i in range(15):
+        m, c = _dense(K, x[: i + 1], y[: i + 1], v[: i + 1], x[[i]], two)
+        assert got["mean"][i] == pytest.approx(m[0], abs=1e-6) and got["variance"][i] == pytest.approx(c[0, 0], abs=1e-6)
+
+
+def test_fits_are_saved_and_loaded(spark, tmp_path):
+    x, y, v = _toy()
+    df = _frame(spark, x, y, v)
+    fits = GP.fit_gp(df, K)
+    S.save_fit(fits, f"file://{tmp_path}/dense")
+    same = [GP.predict_gp(f, df, K).orderBy("row_id").toPandas() for f in (fits, S.load_fit(spark, f"file://{tmp_path}/dense"))]
+    pd.testing.assert_frame_equal(*same)
+    sparse = SG.fit_sparse_gp(df, K, np.linspace(0, 10, 9))
+    S.save_sparse_fit(spark, sparse, f"file://{tmp_path}/sparse")
+    back = S.load_sparse_fit(spark, f"file://{tmp_path}/sparse")
+    np.testing.assert_array_equal(back.marginal(K, x)[1], sparse.marginal(K, x)[1])
+    assert back.log_likelihood() == sparse.log_likelihood()
+
+
+def test_sparse_stream_goes_on_after_a_restart(spark, tmp_path):
+    x, y, v = _toy(60)
+    df, u = _frame(spark, x, y, v), np.linspace(0, 10, 9)
+    parts = [df.where(F.col("row_id") % 3 == k) for k in range(3)]
+    first = U.SparseStream(K, u, f"file://{tmp_path}/state")
+    assert first.fit(spark) is None
+    first.update(parts[0], 0)
+    first.update(parts[1], 1)
+    later = U.SparseStream(K, u, f"file://{tmp_path}/state")  # knows nothing but the folder
+    later.update(parts[1], 1)  # run again after a failure
+    later.update(parts[2], 2)
+    want = SG.fit_sparse_gp(df, K, u)
+    np.testing.assert_allclose(later.fit(spark).mean(K, x), want.mean(K, x), atol=1e-6)
+    assert later.fit(spark).rows == 60
+
+
+def test_late_rows_of_a_filter_are_marked(spark, tmp_path):
+    rows = [(1, k, float(k), float(k % 5)) for k in range(8)] + [(2, 20, 0.5, 1.0)]
+    late = [(1, 8, 3.5, 1.0), (1, 9, 9.0, 2.0)]
+    schema = "key long, row_id long, feature double, target double"
+    for k, part in enumerate((rows, late)):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+        out = U.stream_kalman_filter(stream, lambda d: 4 * np.exp(-abs(d) / 2), 0.5)
+        out.writeStream.outputMode("append").option("checkpointLocation", f"file://{tmp_path}/progress").trigger(availableNow=True).foreachBatch(lambda df, i: df.write.mode("append").parquet(f"file://{tmp_path}/out")).start().awaitTermination()
+    got = spark.read.parquet(f"file://{tmp_path}/out").toPandas().set_index("row_id")
+    assert got.late.sum() == 1 and got.late[8] and got.n_late[9] == 1 and np.isnan(got["mean"][8])
+    kept = [r for r in rows + late if r[0] == 1 and r[1] != 8]
+    m, _ = U.filter_steps(np.array([r[2] for r in kept]), np.array([r[3] for r in kept]), 0.5, lambda d: 4 * np.exp(-abs(d) / 2))
+    np.testing.assert_allclose(got["mean"][[r[1] for r in kept]], m)
+
+
 def test_large_group_is_named(spark):
     with pytest.raises(Exception, match="group 7 has 40 rows"):
         GP.fit_gp(_frame(spark, *_toy(), key=7), K, max_rows=10).collect()
@@ -128,6 +257,74 @@ def test_ransac_finds_the_line_without_outliers(spark):
     assert RS.fit(df, RS.Settings(1e-9, 3, 9, 2))[0] == "no_consensus"
 
 
+def _outliers(spark):
+    x = np.arange(12.0)
+    y = 5 + x
+    y[[3, 5]] = -400
+    return spark.createDataFrame(pd.DataFrame({"key": np.arange(12), "row_id": np.arange(12), "x": x, "y": y}))
+
+
+def test_ransac_with_a_model(spark):
+    fit, metric = lambda t: np.polyfit(t["x"], t["y"], 1), lambda w, t: float(np.abs(t["y"] - np.polyval(w, t["x"])).max())
+    df, s = _outliers(spark), RS.Settings(threshold=1.0, sample=3, consensus=6, iterations=12)
+    code, judged, rows = RS.fit_model(df, s, RS.Model(fit, metric))
+    assert code == "success" and sorted(r.key for r in rows.collect()) == [0, 1, 2, 4, 6, 7, 8, 9, 10, 11]
+    line_roles = sorted(RS.inliers(df, RS.candidates(df.select("key"), s), s).select("iteration", "key", "role").collect())
+    assert sorted(judged.select("iteration", "key", "role").collect()) == line_roles  # the closed form of lines agrees
+    valid = lambda t: bool((t["y"] > 0).all())
+    assert RS.fit_model(df, s, RS.Model(fit, metric, valid))[0] == "exceeded_max_failed_candidates"  # none may fail
+    patient = RS.Settings(threshold=1.0, sample=3, consensus=6, iterations=4, max_failed=40)
+    code, judged, _ = RS.fit_model(df, patient, RS.Model(fit, metric, valid, lambda: -F.sum("n")))
+    assert code == "success" and judged.select("iteration").distinct().count() == 4
+    assert judged.where("role = 'candidate' and key in (3, 5)").count() == 0
+    assert RS.fit_model(df, RS.Settings(1e-9, 3, 11, 2), RS.Model(fit, metric))[0] == "no_consensus"
+    assert RS.fit_model(df, RS.Settings(1.0, 12, 13, 2), RS.Model(fit, metric))[0] == "invalid_arguments"
+
+
+def test_counted_draws(spark):
+    def run(flags, iterations, max_failed):
+        table = spark.createDataFrame(list(enumerate(flags)), "iteration int, valid boolean")
+        return RS.counted(table, RS.Settings(1.0, 1, 2, iterations, max_failed=max_failed))
+
+    assert run([True, False, True, True], 3, 2) == ([0, 2, 3], 1)
+    assert run([True, False, False, True], 3, 2) == ([0], 2)
+    assert run([False, True], 1, 0) == ([], 1) and run([True, False], 1, 0) == ([0], 0)
+
+
+def test_consensus_of_processes_leaves_out_a_bad_group(spark):
+    x, y, v = _toy(40)
+    y = y.copy()
+    y[8:12] += 40
+    df = _frame(spark, x, y, v).withColumn("g", F.expr("row_id div 4"))
+    k = KF.squared_exponential(3.0, 5.0) + KF.independent_noise(0.3)
+    r = RS.consensus_gp(df, k, "g", RS.Settings(0.999, 4, 6, 12, max_failed=60)).first()
+    assert (r.code, r.groups, r.rows) == ("success", 9, 36)
+    assert RS.consensus_gp(df, k, "g", RS.Settings(0.999, 10, 6, 12)).first().code == "invalid_arguments"
+
+
+def test_cross_validation_of_any_model(spark):
+    df = _outliers(spark).withColumn("fold", (F.col("key") % 3).cast("int")).drop("key")
+    predict = lambda m, t: pd.DataFrame({"row_id": t["row_id"], "mean": m})
+    got = {r.row_id: r.mean for r in CV.cv_predict(df, lambda t: float(t["y"].max()), predict, "row_id long, mean double", "fold").collect()}
+    table = df.toPandas()
+    assert got == {int(r.row_id): table[table.fold != r.fold].y.max() for r in table.itertuples()}
+    with pytest.raises(ValueError, match="train a fold"):
+        CV.cv_predict(df, len, predict, "row_id long, mean double", "fold", max_train=5)
+    moments = CV.cv_predict_additive(df, lambda t: np.array([len(t), t["y"].sum()]), lambda s: s[1] / s[0], predict, "row_id long, mean double", "fold")
+    for r in moments.collect():
+        assert r.mean == pytest.approx(table[table.fold != table.fold[r.row_id]].y.mean())
+    with pytest.raises(ValueError, match="folds"):
+        CV.cv_predict_additive(df, lambda t: np.array([1.0]), float, predict, "row_id long, mean double", "fold", max_folds=2)
+
+
+def test_quantiles_without_a_gathered_group(spark):
+    rng = np.random.default_rng(2)
+    values = {"a": rng.normal(size=101), "b": rng.normal(size=7), "c": np.array([3.0])}
+    df = spark.createDataFrame([(k, float(x)) for k, xs in values.items() for x in xs], "name string, v double").repartition(6)
+    for r in T.quantiles(df, [0.05, 0.5, 0.93]).collect():
+        assert r.q == pytest.approx(np.quantile(values[r.name], [0.05, 0.5, 0.93]).tolist())
+
+
 def test_scores():
     assert C.chi_squared_cdf_values([3.841459, 5.991465, 11.070498], [1, 2, 5]) == pytest.approx([0.95] * 3, abs=1e-6)
     assert np.isnan(C.chi_squared_cdf_values(-1.0, 2)) and C.chi_squared_cdf_values(np.inf, 2) == 1 and C.chi_squared_cdf_values(1.0, 0) == 1
