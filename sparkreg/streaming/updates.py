@@ -112,7 +112,8 @@ def stream_kalman_filter(rows: DataFrame, k: Callable[[float], float], noise: fl
         if len(pdf):
             x, p, last = float(m[-1]), float(v[-1]), float(pdf["feature"].iloc[-1])
         state.update((x, p, last, n_late))
-        yield pd.DataFrame({key: group[0], "row_id": pdf["row_id"], "mean": m, "variance": v, "late": False, "n_late": n_late})
+        if len(pdf):
+            yield pd.DataFrame({key: group[0], "row_id": pdf["row_id"], "mean": m, "variance": v, "late": False, "n_late": n_late})
         if len(late):
             yield pd.DataFrame({key: group[0], "row_id": late["row_id"], "mean": np.nan, "variance": np.nan, "late": True, "n_late": n_late})
 
