@@ -30,12 +30,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkreg.functions.components import connected_components
 from sparkreg.functions.joins import join_hot, with_keys, without_keys
-from sparkreg.functions.storage import bounded_broadcast, materialise
+from sparkreg.functions.storage import materialise
 from sparkreg.llm.shingles import TEXTS, forget, windows
 from sparkreg.llm.textstats import WORD
 
@@ -181,13 +181,14 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _candidate_groups(classes: DataFrame, least: tuple[int, ...], bucket_rows: int) -> DataFrame:
     """(node, component) of the classes that surviving pairs connect."""
-    rows = classes.select("key", "sig", F.explode("bands").alias("bucket"))
-    large = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("first")).where(F.col("size") > bucket_rows)
-    large = materialise(large, "large-buckets")
-    whole = join_hot(rows.select("key", "bucket"), large, "bucket", "size").select(F.col("first").alias("a"), F.col("key").alias("b"))
-    rows = rows.join(bounded_broadcast(large.select("bucket")), "bucket", "left_anti")
-    rows = rows.withColumn("__rows", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("__rows > 1").select("bucket", "key", "sig")
-    rows = rows.sortWithinPartitions("bucket")
+    rows = classes.select("key", F.explode("bands").alias("bucket"))
+    sizes = materialise(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared-buckets")
+    met = materialise(join_hot(rows, sizes, "bucket", "size"), "bucket-members")
+    large = met.where(F.col("size") > bucket_rows).select("bucket", "key")
+    heads = materialise(large.groupBy("bucket").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("size")), "large-buckets")
+    whole = join_hot(large, heads, "bucket", "size").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    rows = met.where(F.col("size") <= bucket_rows).join(classes.select("key", "sig"), "key").select("bucket", "key", "sig")
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 1):
