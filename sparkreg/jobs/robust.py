@@ -142,6 +142,23 @@ def _(spark, d):
     return _objective(lines(spark, d).where("flag = 'R'"))(sets).select("set_id", r6("value").alias("value"))
 
 
+@add("evaluate_over_datasets", f"WITH {LI}, ps AS (SELECT user_id AS set_id, avg(value) / 10 AS a FROM events GROUP BY 1), m AS (SELECT set_id, flag, avg((y - a - 1.5 * x) ** 2) AS value FROM li, ps GROUP BY 1, 2) SELECT set_id, round(avg(value), 6) AS value FROM m GROUP BY 1")
+def _(spark, d):
+    """Each return flag a dataset of its own; the mean of their objectives."""
+    sets = events(spark, d).groupBy(F.col("user_id").alias("set_id")).agg((F.avg("target") / 10).alias("a")).withColumn("b", F.lit(1.5))
+    flags = [r.flag for r in lines(spark, d).select("flag").distinct().orderBy("flag").limit(100).collect()]  # one dataset a flag
+    return T.over_datasets([_objective(lines(spark, d).where(F.col("flag") == f)) for f in flags])(materialise(sets, "sets")).select("set_id", r6("value").alias("value"))
+
+
+@add("tune_gp")
+def _(spark, d):
+    """Length and noise of the users' processes by their leave-one-out likelihood."""
+    kernel = lambda p: KF.exponential(p["length"], 20.0) + KF.measurement_noise(p["noise"])
+    objective = T.gp_objective(materialise(_users(spark, d), "users"), kernel, mean=fifty)
+    params, best = T.greedy_tune(spark, {"length": T.Parameter(5.0, 0.1, 100.0), "noise": T.Parameter(5.0, 0.1, 50.0)}, objective, sweeps=1, n=2)
+    return spark.createDataFrame([(k, float(round(p.value, 6)), float(round(best, 4))) for k, p in params.items()], "name string, value double, best double")
+
+
 @add("greedy_tune")
 def _(spark, d):
     rows = materialise(lines(spark, d).groupBy("supp").agg(F.avg("x").alias("x"), F.avg("y").alias("y")), "means")

@@ -5,13 +5,17 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkreg.functions.kernels import Kernel
 from sparkreg.functions.order import global_row_number
 from sparkreg.functions.storage import bounded_broadcast, materialise
+from sparkreg.operators.gp import MAX_ROWS, Fit, Mean, arrays, leave_one_out, per_group, zero
 
 Objective = Callable[[DataFrame], DataFrame]  # (set_id, <params>) -> (set_id, value)
 
@@ -83,6 +87,42 @@ def evaluate(spark: SparkSession, sets: list[dict[str, float]], objective: Objec
     return [found.get(k, math.nan) for k in range(len(sets))]
 
 
+def over_datasets(objectives: list[Objective], aggregate: Callable[[str], Column] = F.avg) -> Objective:
+    """The objective of several datasets: an aggregate (the mean) of their own values, all in one job."""
+
+    def value(sets: DataFrame) -> DataFrame:
+        parts = [f(sets).select("set_id", "value") for f in objectives]
+        return reduce(DataFrame.union, parts).groupBy("set_id").agg(aggregate("value").alias("value"))
+
+    return value
+
+
+FitMetric = Callable[[Fit, np.ndarray, np.ndarray], float]
+
+
+def loo_nll(fit: Fit, y: np.ndarray, variance: np.ndarray) -> float:
+    """Negative log likelihood of each row as the others predict it, summed."""
+    m, v = leave_one_out(fit, y)
+    return float(0.5 * (np.log(2 * np.pi * v) + (y - m) ** 2 / v).sum())
+
+
+def gp_objective(df: DataFrame, kernel_of: Callable[[dict], Kernel], metric: FitMetric = loo_nll, key: str = "key", mean: Mean = zero, max_rows: int = MAX_ROWS) -> Objective:
+    """The sum over all keys of a metric of their exact fits (key, row_id, feature, target, target_variance), for kernels that
+    kernel_of makes of parameters. Rows are grouped once for all sets; the sets of one evaluation go to every task."""
+
+    def value(sets: DataFrame) -> DataFrame:
+        asked = [r.asDict() for r in sets.collect()]  # the proposals of one step
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            x, y, v = arrays(pdf)
+            return pd.DataFrame([(s["set_id"], metric(Fit.of(kernel_of(s), x, y, v, mean), y, v)) for s in asked], columns=["set_id", "value"])
+
+        rows = per_group(df.select(key, "row_id", "feature", "target", "target_variance"), run, "set_id int, value double", key, max_rows)
+        return rows.groupBy("set_id").agg(F.sum("value").alias("value"))
+
+    return value
+
+
 def greedy_tune(spark: SparkSession, params: dict[str, Parameter], objective: Objective, sweeps: int = 10, n: int = 4) -> tuple[dict[str, Parameter], float]:
     """Coordinate search: all proposals of one parameter at a time, the best stays."""
     best = math.inf

@@ -325,6 +325,49 @@ def test_quantiles_without_a_gathered_group(spark):
         assert r.q == pytest.approx(np.quantile(values[r.name], [0.05, 0.5, 0.93]).tolist())
 
 
+def test_tuning_by_a_process_metric(spark):
+    sets = {key: _toy(20 + key, key) for key in (1, 2)}
+    df = _frame(spark, *sets[1], key=1).union(_frame(spark, *sets[2], key=2))
+    kernel = lambda p: KF.squared_exponential(p["length"], 4.0) + KF.measurement_noise(0.2)
+    objective = T.gp_objective(df, kernel, mean=two)
+    asked = [0.5, 2.0, 9.0]
+    got = T.evaluate(spark, [{"length": a} for a in asked], objective)
+    for a, value in zip(asked, got, strict=True):
+        want, k = 0.0, kernel({"length": a})
+        for x, y, v in sets.values():
+            for i in range(len(x)):
+                rest = np.arange(len(x)) != i
+                m, c = _dense(k, x[rest], y[rest], v[rest], x[[i]], two)
+                var = c[0, 0] + 0.04 + v[i]
+                want += 0.5 * (np.log(2 * np.pi * var) + (y[i] - m[0]) ** 2 / var)
+        assert value == pytest.approx(want, rel=1e-5)
+    params, best = T.greedy_tune(spark, {"length": T.Parameter(9.0, 0.1, 20.0)}, objective, sweeps=1)
+    assert best <= got[2] and best == pytest.approx(T.evaluate(spark, [{"length": params["length"].value}], objective)[0])
+    both = T.over_datasets([T.gp_objective(df.where(f"key = {k}"), kernel, mean=two) for k in (1, 2)])
+    assert T.evaluate(spark, [{"length": a} for a in asked], both) == pytest.approx([g / 2 for g in got])
+
+
+def test_greedy_tuning_finds_a_minimum(spark):
+    bowl = lambda sets: sets.select("set_id", (F.pow(F.col("a") - 3, F.lit(2)) + F.pow(F.col("b") + 1, F.lit(2))).alias("value"))
+    params, best = T.greedy_tune(spark, {"a": T.Parameter(0.0, -10.0, 10.0), "b": T.Parameter(5.0, -10.0, 10.0), "c": T.Parameter(7.0, 0.0, 9.0, True)}, bowl, sweeps=10, n=12)
+    assert best < 0.1 and params["a"].value == pytest.approx(3, abs=0.3) and params["b"].value == pytest.approx(-1, abs=0.3)
+
+
+def test_ensemble_moves_sample_the_density():
+    rng = np.random.default_rng(1)
+    log_density = lambda w: -0.5 * ((w[:, 0] - 1) ** 2 + (w[:, 1] / 3) ** 2)
+    state = rng.normal(size=(40, 2))
+    log_p, seen = log_density(state), []
+    for step in range(1500):
+        state, log_p, accepted = T.ensemble_step(state, log_p, log_density, rng)
+        assert np.allclose(log_p, log_density(state)) and accepted.shape == (40,)
+        if step > 200:
+            seen.append(state)
+    draws = np.concatenate(seen)
+    np.testing.assert_allclose(draws.mean(0), [1, 0], atol=0.15)
+    np.testing.assert_allclose(draws.std(0), [1, 3], rtol=0.07)
+
+
 def test_scores():
     assert C.chi_squared_cdf_values([3.841459, 5.991465, 11.070498], [1, 2, 5]) == pytest.approx([0.95] * 3, abs=1e-6)
     assert np.isnan(C.chi_squared_cdf_values(-1.0, 2)) and C.chi_squared_cdf_values(np.inf, 2) == 1 and C.chi_squared_cdf_values(1.0, 0) == 1
