@@ -7,7 +7,8 @@ bins. A score is the sum of table entries, looked up for whole batches at once,
 Training takes about ``max_rows`` labelled rows at most (those in a share of the range of a hash of the id, so reruns agree); features are computed
 for, and scores given to, all rows. The features see the text alone.
 
-Defined cases: null text counts as empty; of several labels of an id the largest holds; null labels are not used; a null
+Defined cases: null text counts as empty; texts of any length are measured whole; a feature equal to a bin's edge lies in the
+upper bin; ids of any type are kept, and rows that repeat an id are scored each; other columns are ignored; of several labels of an id the largest holds; null labels are not used; a null
 id is held out (as the empty text's checksum is 0); without labels, or with one class alone, every score is the smoothed
 share of label 1; an empty table gives an empty result.
 """

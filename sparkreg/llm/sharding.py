@@ -6,8 +6,9 @@ which makes a permutation of 0 .. n-1. Position p belongs to shard p mod shards,
 differ by one at most, slots have no gaps, and both can be computed from a row number alone (``place``) and back
 (``row_at``). The law that holds is ``rows``.
 
-Defined cases: null text has the size 1 and the checksum 0; rows that repeat an id are numbered by text checksum and
-size, then in any order; an empty table gives an empty result.
+Defined cases: null text has the size 1 and the checksum 0; texts of any length are measured whole; null ids are numbered
+first; rows that repeat an id are numbered by text checksum and size, then in any order; other columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

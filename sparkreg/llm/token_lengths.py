@@ -4,7 +4,8 @@ Every whole text is encoded once; what leaves a task is one count for each lengt
 histogram then answer, for a limit L: the documents of at least L tokens, their tokens, and the tokens left when every
 document is cut at L. The sums run over blocks of lengths, so no task gathers the histogram.
 
-Defined cases: null and empty texts have length 0; an empty table gives an empty histogram.
+Defined cases: null and empty texts have length 0; texts of any length are encoded whole; equal lengths share a row, and rows
+that repeat count as often as they stand; other columns, ids among them, are ignored; an empty table gives an empty histogram.
 """
 
 from __future__ import annotations
@@ -58,10 +59,22 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
 
 
 def answer(sums: DataFrame, limits: DataFrame) -> DataFrame:
-    """(limit, docs_over, truncated_total) for a table of any limits: one ordered pass over lengths and limits together."""
-    both = sums.select("length", F.lit(None).cast("long").alias("limit"), "docs_at_least", "tokens_at_least", "total_tokens")
-    asked = limits.select((F.col("limit") + 1).cast("long").alias("length"), F.col("limit").cast("long").alias("limit"), *(F.lit(None).cast("long").alias(c) for c in ("docs_at_least", "tokens_at_least", "total_tokens")))
-    down = Window.orderBy(F.col("length").desc(), F.col("limit").isNotNull())
-    rows = both.union(asked).select("limit", *(F.last(c, True).over(down).alias(c) for c in ("docs_at_least", "tokens_at_least")), F.max("total_tokens").over(Window.partitionBy()).alias("t"))
-    over, tokens = F.coalesce("docs_at_least", F.lit(0)), F.coalesce("tokens_at_least", F.lit(0))
-    return rows.where("limit is not null").select("limit", over.alias("docs_over"), (F.coalesce("t", F.lit(0)) - tokens + F.col("limit") * over).alias("truncated_total"))
+    """(limit, docs_over, truncated_total) for a table of any limits.
+
+    A limit needs the row of the next larger length: the first in its own block of lengths or, failing that, the first of
+    the next block that has one. Blocks are ordered by themselves, so no window runs over all lengths or limits.
+    """
+    most = sums.agg(F.max("length").alias("most"), F.max("total_tokens").alias("t"))  # one row
+    asked = limits.select(F.col("limit").cast("long")).crossJoin(F.broadcast(most))
+    past = F.least(F.col("limit") + 1, F.coalesce("most", F.lit(0)) + 1)  # all beyond the longest text are alike
+    asked = asked.select(past.alias("length"), "limit", F.coalesce("t", F.lit(0)).alias("t"), F.lit(None).cast("struct<docs_at_least:bigint,tokens_at_least:bigint>").alias("own"))
+    both = sums.select("length", F.lit(None).cast("long").alias("limit"), F.lit(None).cast("long").alias("t"), F.struct("docs_at_least", "tokens_at_least").alias("own")).union(asked)
+    both = both.withColumn("block", F.expr(f"length div {BLOCK}"))
+    heads = both.groupBy("block").agg(F.min_by("own", F.when(F.col("own").isNotNull(), F.col("length"))).alias("head"))
+    later = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    heads = heads.select("block", F.last("head", True).over(later).alias("next"))
+    inside = Window.partitionBy("block").orderBy(F.col("length").desc(), F.col("limit").isNotNull())
+    rows = both.withColumn("own", F.last("own", True).over(inside)).where("limit is not null").join(heads, "block")
+    found = F.coalesce("own", "next")
+    over, tokens = F.coalesce(found["docs_at_least"], F.lit(0)), F.coalesce(found["tokens_at_least"], F.lit(0))
+    return rows.select("limit", over.alias("docs_over"), (F.col("t") - tokens + F.col("limit") * over).alias("truncated_total"))
