@@ -101,6 +101,41 @@ def test_quality_scores(spark):
     assert (out.predicted == out.doc_id.map(truth)).mean() > 0.97
 
 
+def plain_features(text):
+    """The classifier's features of a text, counted plainly."""
+    text = text or ""
+    w = words_of(text)
+    lines = [x for x in text.split("\n") if words_of(x)]
+    n, chars, n_lines = max(len(w), 1), max(sum(map(len, w)), 1), max(len(lines), 1)
+    share = lambda kinds: sum(c in kinds for c in text) / chars
+    return [
+        np.log1p(len(w)), sum(map(len, w)) / n, share("#*$%&|<>"), share("!\"'(),-./:;?@[\\]^_`{}~+="), share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share("0123456789"),
+        len(set(w)) / n, max(Counter(w).values(), default=0) / n, plain_repeats(w) / n, (len(lines) - len(set(lines))) / n_lines, len(w) / n_lines, (len(text) - sum(map(len, w))) / max(len(text), 1),
+    ]
+
+
+def test_quality_scores_equal_plain_lookups(spark):
+    from bisect import bisect_right
+
+    rng = random.Random(14)
+    data, labels = list(rows()), []
+    for k in range(300):
+        bad = rng.random() < 0.4
+        words = sentence(rng, rng.randint(20, 90)).split()
+        text = " ".join(w.upper() + "!" * (rng.random() < 0.5) if bad and rng.random() < 0.5 else w for w in words)
+        data.append((1000 + k, text.replace(" ", "\n", k % 4), "en", "a", 0, 0, "", ""))
+        labels.append((1000 + k, int(bad == (rng.random() < 0.1)), 0))
+    got = {r.doc_id: r.score for r in gam.quality_scores(docs(spark, data), spark.createDataFrame(labels, LABELS)).collect()}
+    x = {r[0]: plain_features(r[1]) for r in data}
+    known = sorted((i, q) for i, q, _ in labels if zlib.crc32(str(i).encode()) % 5)
+    model = gam.fit(np.array([x[i] for i, _ in known]), np.array([q for _, q in known], float))
+    assert len(model.pairs) == 6
+    for i, own in x.items():
+        z = model.base + sum(float(table[bisect_right(list(edges), v)]) for edges, table, v in zip(model.edges, model.main, own, strict=True))
+        z += sum(float(t[bisect_right(list(model.coarse[f]), own[f]), bisect_right(list(model.coarse[g]), own[g])]) for (f, g), t in zip(model.pairs, model.tables, strict=True))
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6), i
+
+
 def test_quality_scores_without_labels_or_rows(spark):
     none = spark.createDataFrame([], LABELS)
     assert set(gam.quality_scores(docs(spark), none).toPandas().score.round(6)) == {0.5}
