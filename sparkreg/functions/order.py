@@ -1,4 +1,4 @@
-"""Dense global row numbers without moving all rows to one task."""
+"""Row order and placement: dense global row numbers without moving all rows to one task, and groups spread over tasks."""
 
 from __future__ import annotations
 
@@ -25,3 +25,9 @@ def global_row_number(df: DataFrame, *keys, name: str = "row_number") -> DataFra
     offsets = counts.select("__pid", before.alias("__before"))
     number = F.col("__before") + F.col("__mid").bitwiseAND(F.lit(_LOW))
     return placed.join(F.broadcast(offsets), "__pid").withColumn(name, number).drop("__pid", "__mid", "__before")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt out by keys to spark.sql.shuffle.partitions tasks, for groups that cost more than their bytes tell: adaptive
+    execution would merge small partitions, and so run all groups of a narrow table in one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

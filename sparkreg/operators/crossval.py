@@ -11,6 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkreg.functions.order import spread
 from sparkreg.functions.storage import bounded_broadcast, materialise
 from sparkreg.operators.linear import SUMS, line, power_sums
 
@@ -73,7 +74,7 @@ def cv_predict(df: DataFrame, fit: Callable[[pd.DataFrame], object], predict: Ca
     if most > max_train:
         raise ValueError(f"{most} rows train a fold; at most {max_train} are fitted together")
     kind = dict(df.dtypes)[key]
-    models = folds.groupBy("fold").applyInPandas(lambda pdf: pd.DataFrame({"fold": [pdf["fold"].iloc[0]], "model": [cloudpickle.dumps(fit(pdf.sort_values("row_id")))]}), f"fold {kind}, model binary")
+    models = spread(folds, "fold").groupBy("fold").applyInPandas(lambda pdf: pd.DataFrame({"fold": [pdf["fold"].iloc[0]], "model": [cloudpickle.dumps(fit(pdf.sort_values("row_id")))]}), f"fold {kind}, model binary")
     known = df.sparkSession.sparkContext.broadcast({r.fold: bytes(r.model) for r in models.collect()})  # max_folds models
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

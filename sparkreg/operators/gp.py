@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from sparkreg.functions.joins import is_small
 from sparkreg.functions.kernels import Kernel
+from sparkreg.functions.order import spread
 from sparkreg.functions.storage import materialise
 
 Mean = Callable[[np.ndarray], np.ndarray]
@@ -141,7 +142,7 @@ def fit_gp(df: DataFrame, kernel: Kernel, key: str = "key", mean: Mean = zero, m
         return Fit.of(kernel, *arrays(pdf), mean).pack({key: pdf[key].iloc[0]})
 
     rows = df.select(key, "row_id", "feature", "target", "target_variance")
-    return rows.groupBy(key).applyInPandas(fit, fit_schema(key, dict(df.dtypes)[key]))
+    return spread(rows, key).groupBy(key).applyInPandas(fit, fit_schema(key, dict(df.dtypes)[key]))
 
 
 def update_gp(fits: DataFrame, df: DataFrame, kernel: Kernel, key: str = "key", mean: Mean = zero) -> DataFrame:
@@ -154,7 +155,7 @@ def update_gp(fits: DataFrame, df: DataFrame, kernel: Kernel, key: str = "key",
             return Fit.of(kernel, *arrays(new), mean).pack({key: new[key].iloc[0]})
         return Fit.unpack(old.iloc[0]).update(kernel, *arrays(new), mean).pack({key: new[key].iloc[0]})
 
-    return fits.groupBy(key).cogroup(df.groupBy(key)).applyInPandas(update, fit_schema(key, dict(df.dtypes)[key]))
+    return spread(fits, key).groupBy(key).cogroup(spread(df, key).groupBy(key)).applyInPandas(update, fit_schema(key, dict(df.dtypes)[key]))
 
 
 def _with_fits(fits: DataFrame, rows: DataFrame, f: Callable[[Fit, pd.DataFrame], pd.DataFrame], schema: str, key: str, part_rows: int, together: str | None = None) -> DataFrame:
@@ -173,7 +174,8 @@ def _with_fits(fits: DataFrame, rows: DataFrame, f: Callable[[Fit, pd.DataFrame]
             return pd.DataFrame({c: [] for c in names})
         return f(Fit.unpack(fit.iloc[0]), own.sort_values("row_id"))
 
-    return fits.groupBy(key, "__part").cogroup(rows.groupBy(key, "__part")).applyInPandas(run, schema)
+    fits, rows = (spread(t, key, "__part").groupBy(key, "__part") for t in (fits, rows))
+    return fits.cogroup(rows).applyInPandas(run, schema)
 
 
 def predict_gp(fits: DataFrame, rows: DataFrame, kernel: Kernel, key: str = "key", mean: Mean = zero, measured: bool = False, part_rows: int = 100_000) -> DataFrame:
@@ -214,7 +216,7 @@ def per_group(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema:
         _guard(pdf, key, max_rows)
         return f(pdf.sort_values("row_id"))
 
-    return df.groupBy(key).applyInPandas(run, schema)
+    return spread(df, key).groupBy(key).applyInPandas(run, schema)
 
 
 def _marginal_schema(df: DataFrame, key: str) -> str:
@@ -318,7 +320,7 @@ def predict_from_prediction(fits: DataFrame, anchors: DataFrame, rows: DataFrame
         cross, e = kernel.matrix(xs, x), np.asarray(row["explained"], float).reshape(n, n)
         return pd.DataFrame({key: own[key], "row_id": own["row_id"], "mean": cross @ np.asarray(row["information"], float) + mean(xs), "variance": kernel.diagonal(xs) - ((cross @ e) * cross).sum(1)})
 
-    return fits.groupBy(key).cogroup(rows.select(key, "row_id", "feature").groupBy(key)).applyInPandas(predict, _marginal_schema(rows, key))
+    return spread(fits, key).groupBy(key).cogroup(spread(rows.select(key, "row_id", "feature"), key).groupBy(key)).applyInPandas(predict, _marginal_schema(rows, key))
 
 
 def _summary(fit: Fit, own: pd.DataFrame, kernel: Kernel, fit_kernel: Kernel, key: str, mean: Mean) -> pd.DataFrame:

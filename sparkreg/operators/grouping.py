@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkreg.functions.order import global_row_number
+from sparkreg.functions.order import global_row_number, spread
 from sparkreg.functions.storage import bounded_broadcast, materialise
 
 
@@ -62,7 +62,7 @@ def apply_groups(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schem
             raise ValueError(f"group {pdf[keys].iloc[0].tolist()} has {len(pdf)} rows; at most {max_rows} are modelled together")
         return f(pdf.sort_values(row_id))
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    return spread(df, *keys).groupBy(*keys).applyInPandas(run, schema)
 
 
 def combine(df: DataFrame, key: str = "key", row_id: str = "row_id", name: str = "position") -> DataFrame:

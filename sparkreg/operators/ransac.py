@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from sparkreg.functions.columns import chi_squared_cdf_values
 from sparkreg.functions.kernels import Kernel
+from sparkreg.functions.order import spread
 from sparkreg.functions.storage import bounded_broadcast, materialise
 from sparkreg.operators.gp import MAX_ROWS, Mean, arrays, condition, per_group, zero
 from sparkreg.operators.linear import SUMS, fit_line, line, power_sums
@@ -164,7 +165,7 @@ def fit_model(df: DataFrame, s: Settings, model: Model, key: str = "key", max_ro
         valid = model.is_valid is None or bool(model.is_valid(own))
         return pd.DataFrame({"iteration": [pdf["iteration"].iloc[0]], "valid": [valid], "state": [cloudpickle.dumps(model.fit(own)) if valid else None]})
 
-    fits = materialise(rows.groupBy("iteration").applyInPandas(train, "iteration int, valid boolean, state binary"), "ransac-fits")
+    fits = materialise(spread(rows, "iteration").groupBy("iteration").applyInPandas(train, "iteration int, valid boolean, state binary"), "ransac-fits")
     used, failed = counted(fits.select("iteration", "valid"), s)
     states = {r.iteration: bytes(r.state) for r in fits.where(F.col("iteration").isin(used)).collect()}  # one an iteration
     sent = spark.sparkContext.broadcast(states)
@@ -175,7 +176,7 @@ def fit_model(df: DataFrame, s: Settings, model: Model, key: str = "key", max_ro
         found = [(i, own[key].iloc[0], float(model.metric(pickle.loads(state), own)), len(own)) for i, state in sent.value.items()]
         return pd.DataFrame(found, columns=["iteration", "key", "metric", "n"])
 
-    metrics = df.groupBy(key).applyInPandas(judge, f"iteration int, key {kind}, metric double, n long")
+    metrics = spread(df, key).groupBy(key).applyInPandas(judge, f"iteration int, key {kind}, metric double, n long")
     mark = drawn.select(F.col("iteration").alias("di"), F.col("key").alias("dk"))
     judged = metrics.join(bounded_broadcast(mark), (F.col("iteration") == F.col("di")) & (F.col("key") == F.col("dk")), "left")
     role = F.when(F.col("dk").isNotNull(), "candidate").when(F.col("metric") <= s.threshold, "inlier").otherwise("outlier")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkreg.functions.kernels import Kernel
+from sparkreg.functions.order import spread
 from sparkreg.functions.storage import materialise
 from sparkreg.operators.gp import MAX_ROWS, Mean, cholesky, features, inverse_lower, joint_rows, per_group, zero
 from sparkreg.operators.linear import reduce_triangles, triangle
@@ -144,7 +145,7 @@ def fit_sparse_gp(
                 raise ValueError(f"group {pdf[group].iloc[0]} has {len(pdf)} rows; at most {max_rows} depend on each other")
             return pack(_block(kernel, u, prior_root, pdf, mean, nugget, False), len(pdf))
 
-        blocks = df.select(group, "feature", "target", "target_variance").groupBy(group).applyInPandas(together, schema)
+        blocks = spread(df.select(group, "feature", "target", "target_variance"), group).groupBy(group).applyInPandas(together, schema)
     blocks = materialise(blocks, "sparse-blocks")
     sums = blocks.agg(F.sum("log_det").alias("d"), F.sum("squares").alias("s"), F.sum("n").alias("n")).first()
     first = np.zeros((m, m + 1))

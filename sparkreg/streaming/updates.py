@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sparkreg.functions.kernels import Kernel
+from sparkreg.functions.order import spread
 from sparkreg.operators.gp import Fit, Mean, features, zero
 from sparkreg.operators.linear import line, power_sums
 from sparkreg.operators.sparse_gp import SparseFit, fit_sparse_gp
@@ -94,7 +95,7 @@ def kalman_filter(rows: DataFrame, k: Callable[[float], float], noise: float, ke
         m, v = filter_steps(pdf["feature"].to_numpy(float), pdf["target"].to_numpy(float), noise, k, exact=exact)
         return pd.DataFrame({key: pdf[key], "row_id": pdf["row_id"], "mean": m, "variance": v})
 
-    return rows.select(key, "row_id", "feature", "target").groupBy(key).applyInPandas(run, f"{key} {dict(rows.dtypes)[key]}, row_id long, mean double, variance double")
+    return spread(rows.select(key, "row_id", "feature", "target"), key).groupBy(key).applyInPandas(run, f"{key} {dict(rows.dtypes)[key]}, row_id long, mean double, variance double")
 
 
 def stream_kalman_filter(rows: DataFrame, k: Callable[[float], float], noise: float, key: str = "key", exact: bool = False) -> DataFrame:
@@ -136,4 +137,4 @@ def iterative_gp(rows: DataFrame, kernel: Kernel, key: str = "key", mean: Mean =
             out.append(fit.marginal(kernel, x[now], mean))
         return pd.DataFrame({key: pdf[key], "row_id": pdf["row_id"], "mean": [m[0] for m, _ in out], "variance": [v[0] for _, v in out]})
 
-    return rows.groupBy(key).applyInPandas(run, f"{key} {dict(rows.dtypes)[key]}, row_id long, mean double, variance double")
+    return spread(rows, key).groupBy(key).applyInPandas(run, f"{key} {dict(rows.dtypes)[key]}, row_id long, mean double, variance double")
