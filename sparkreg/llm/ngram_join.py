@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from sparkreg.functions.components import connected_components
 from sparkreg.functions.joins import join_hot, with_keys, without_keys
+from sparkreg.functions.order import spread
 from sparkreg.functions.storage import materialise
 from sparkreg.llm.shingles import TEXTS, forget, windows
 from sparkreg.llm.textstats import WORD
@@ -188,7 +189,7 @@ def _candidate_groups(classes: DataFrame, least: tuple[int, ...], bucket_rows: i
     heads = materialise(large.groupBy("bucket").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("size")), "large-buckets")
     whole = join_hot(large, heads, "bucket", "size").select(F.col("first").alias("a"), F.col("key").alias("b"))
     rows = met.where(F.col("size") <= bucket_rows).join(classes.select("key", "sig"), "key").select("bucket", "key", "sig")
-    rows = rows.repartition("bucket").sortWithinPartitions("bucket")
+    rows = spread(rows, "bucket").sortWithinPartitions("bucket")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 1):
@@ -302,7 +303,7 @@ def near_duplicates(
     rows = texts.select("component", "blocks", "key", "copies", "sig", F.col(f"row.`{text_col}`").cast("string").alias("text"))
     rows = rows.mapInArrow(cut, "component binary, blocks long, key binary, copies long, sig binary, shingles binary")
     rows = _in_block_pairs(rows, F.col("blocks"), F.col("key")).select("component", "__i", "__j", "key", "__own", "copies", "sig", "shingles")
-    rows = rows.repartition("component", "__i", "__j").sortWithinPartitions("component", "__i", "__j", "key")
+    rows = spread(rows, "component", "__i", "__j").sortWithinPartitions("component", "__i", "__j", "key")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
