@@ -135,8 +135,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, folds: int = 5, thresh
     """(doc_id, held_out, score, predicted) of every row of docs."""
     rest = F.coalesce(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds, F.lit(0))
     slim = materialise(measured_docs(docs, [F.col(id_col).alias("doc_id"), (rest == 0).alias("held_out")], text_col), "gam-features")
-    known = labels.where("quality is not null").groupBy(F.col(id_col).alias("__id")).agg(F.max("quality").alias("__y"))
-    train = materialise(slim.where("not held_out").join(known, F.col("doc_id") == F.col("__id")).select("doc_id", "__y", *COUNTS), "gam-labelled")
+    known = labels.where("quality is not null").groupBy(F.col(id_col).cast("string").alias("__id")).agg(F.max("quality").alias("__y"))
+    train = materialise(slim.where("not held_out").join(known, F.col("doc_id").cast("string") == F.col("__id")).select("doc_id", "__y", *COUNTS), "gam-labelled")
     # a cut of the hash range keeps about max_rows rows before any leave their task; 1.1 leaves room for chance
     share = min(1.0, max_rows / max(1, train.count()))
     train = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(int(1.1 * max_rows)).toPandas()

@@ -96,8 +96,8 @@ def choose_cutoffs(measured: DataFrame, labels: DataFrame, *, alpha: float = 0.0
 
     measured has the id, the stratum and the columns of textstats; labels has label_id and quality (1: good).
     """
-    good = labels.where("quality is not null").groupBy(F.col(label_id).alias("__id")).agg(F.max("quality").alias("q")).where("q = 1").select("__id")
-    rows = measured.where(~base_failed()).join(good, F.col(id_col) == F.col("__id"), "left_semi")
+    good = labels.where("quality is not null").groupBy(F.col(label_id).cast("string").alias("__id")).agg(F.max("quality").alias("q")).where("q = 1").select("__id")
+    rows = measured.where(~base_failed()).join(good, F.col(id_col).cast("string") == F.col("__id"), "left_semi")
     cells = rows.groupBy(F.col(stratum).alias("stratum"), first_rejected().alias("first")).agg(F.count(F.lit(1)).alias("n"))
     strata = materialise(measured.select(F.col(stratum).alias("stratum")).distinct(), "strata")
     share = delta / max(1, strata.count())
