@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from sparkreg.functions import joins, storage
 from sparkreg.functions.storage import new_folder
-from sparkreg.llm import decontaminate, mixing, ngram_join, token_records, tokens, warc
+from sparkreg.llm import decontaminate, gam, mixing, ngram_join, rules, token_records, tokens, warc
 from sparkreg.llm.queries import vocabulary
 from tests.llm.fixtures import docs, rows, sentence
 from tests.llm.test_operators import near_data, plain_links
@@ -103,6 +103,13 @@ def test_string_ids(spark):
     assert {r.refers_to for r in found if r.record_type == "revisit"} == {max(r.page_id for r in found if r.page_id)} and None in {r.page_id for r in found}
 
 
+def test_string_ids_meet_labels_of_their_own_or_of_none(spark):
+    named = _named(spark, list(rows()))
+    for labels in (spark.createDataFrame([(k, 1, 0) for k in range(30)], "doc_id long, quality int, toxic int"), spark.createDataFrame([(f"d/é {k}", k % 2, 0) for k in range(30)], "doc_id string, quality int, toxic int")):
+        assert rules.keep_good(named, labels).count() == rules.quality_rules(named, labels).where("kept").count()
+        assert gam.quality_scores(named, labels).where("doc_id = 'd/é 7'").count() == 1
+
+
 def test_extreme_ids(spark):
     data = [(k, f"text {k}", "en", "a", 0, 0, "", "") for k in (-(1 << 63), (1 << 63) - 1, 0)] + [(None, "none", "en", "a", 0, 0, "", "")]
     got = token_records.round_trip(docs(spark, data), vocabulary(), docs_per_shard=1).orderBy("start").collect()
