@@ -9,9 +9,9 @@
    until the words still missing are filled: the sample's size is fixed in words. One last document of the next
    ``reach`` ranks is added where that brings the source nearer to its target.
 
-The ranks are never sorted as a whole: a histogram of 4,096 rank cells a source tells in which cell the sample ends, a second
-one of 4,096 parts of that cell tells in which part, and only that part's documents are ordered: about one in 17 million
-of a source. u comes from a hash of the document's id, so reruns agree.
+The ranks are never sorted as a whole: a histogram of 256 rank cells a source tells in which cell the sample ends, a second
+one of 256 parts of that cell in which part, a third one likewise, and only the last part's documents are ordered: about one
+in 17 million of a source. u comes from a hash of the document's id, so reruns agree.
 
 Defined cases: null text has size 0; texts of any length are counted whole; a document of size 0 is never taken; a null source
 is a source of its own, last in order; ids of any type will do; rows that share an id share their rank and are taken together;
@@ -28,7 +28,7 @@ from sparkreg.functions.storage import bounded_broadcast, materialise
 WORDS = "[^\\x20\\x09-\\x0D]+"
 SEED = 20240607
 _BITS = 50  # of a rank
-_CELL_BITS = 12  # of a rank's place in either histogram
+_CELL_BITS, _LEVELS = 8, 3  # of a rank's place in a histogram; histograms
 
 
 def _size(text: Column) -> Column:
@@ -99,8 +99,8 @@ def _end_parts(ranked: DataFrame, start: DataFrame, low_bits: int, reach: int) -
 def _ends(ranked: DataFrame, missing: DataFrame, reach: int) -> DataFrame:
     """(source, cut, pick): ranks up to cut are taken, and the rank pick. A source without a row has every rank taken."""
     start = missing.withColumn("before", F.lit(0).cast("long"))
-    for low_bits in (_BITS - _CELL_BITS, _BITS - 2 * _CELL_BITS):
-        ranked, start = _end_parts(ranked, start, low_bits, reach)
+    for level in range(1, _LEVELS + 1):
+        ranked, start = _end_parts(ranked, start, _BITS - level * _CELL_BITS, reach)
     side = start.withColumnRenamed("source", "r")
     last = ranked.join(bounded_broadcast(side), F.col("source").eqNullSafe(F.col("r")))
     last = last.groupBy("source", "k", "before", "missing").agg(F.sum("size").alias("x"))
