@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from sparkreg.functions.storage import materialise
 from sparkreg.llm.tokens import encoder
 
-BLOCK = 1024  # lengths whose sums are taken together
+BLOCK = 128  # lengths whose sums are taken together
 
 
 def length_histogram(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
