@@ -36,10 +36,11 @@ def new_folder(spark: SparkSession, tag: str) -> str:
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def materialise(df: DataFrame, tag: str, batch_rows: int | None = None) -> DataFrame:
+def materialise(df: DataFrame, tag: str, batch_rows: int | None = None, codec: str = "snappy") -> DataFrame:
     """Write df as Parquet to the shared folder and return a DataFrame that reads it: cuts the lineage.
 
     batch_rows: rows of the Arrow batches between Spark and Python while df is written; few where rows hold long texts.
+    codec: of the files; "zstd" takes less room for whole texts.
     """
     spark, path = df.sparkSession, new_folder(df.sparkSession, tag)
     before = spark.conf.get(_BATCH)
@@ -47,7 +48,7 @@ def materialise(df: DataFrame, tag: str, batch_rows: int | None = None) -> DataF
         if batch_rows:
             spark.conf.set(_BATCH, batch_rows)
             df = df.select("*")  # planned anew, with that size
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
