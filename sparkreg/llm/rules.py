@@ -139,6 +139,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, alpha: float = 0.03, delta:
     """The rows of docs that the rules keep. Rows are written once with their measures, so texts are measured once."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
     rows = measured_docs(docs, [whole, F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("stratum")], text_col)
-    measured = materialise(rows, "measured", TEXTS)
+    measured = materialise(rows, "measured", TEXTS, "zstd")
     cutoffs = choose_cutoffs(measured, labels, alpha=alpha, delta=delta)
     return judge(measured, cutoffs).where("kept").select("__row.*")
