@@ -7,6 +7,8 @@ import pytest
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 os.environ["PYTHONPATH"] = ":".join(filter(None, [REPO, os.environ.get("PYTHONPATH")]))
 sys.path.insert(0, REPO)
+for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):  # a task has one core
+    os.environ.setdefault(name, "1")
 DATA = "/root/testdata"
 
 
