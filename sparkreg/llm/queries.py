@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkreg.llm import decontaminate, gam, mixing, ngram_join, rules, sanitise, sharding, token_lengths, token_records, warc
+from sparkreg.llm import decontaminate, gam, middle, mixing, negatives, ngram_join, rules, sanitise, sharding, token_lengths, token_records, url_filter, warc
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -63,8 +63,29 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.round_trip(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = middle.fill_in_middle(_table(spark, sf_dir, "documents"))
+    back = middle.restored(F.col("fim_output"), F.col("fim_form"))
+    return cut.select("doc_id", F.col("fim_n").alias("n"), F.col("fim_form").alias("form"), F.col("fim_prefix_chars").alias("prefix_chars"), F.col("fim_middle_chars").alias("middle_chars"), F.sha2(F.col("fim_output"), 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+#: The rules of the query: text and verdict.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = url_filter.write_list(spark.createDataFrame(URL_RULES, "rule string, verdict string"))
+    judged = url_filter.judge_urls(_table(spark, sf_dir, "pages"), listed)
+    return judged.select("page_id", F.col("url_host").alias("host"), F.col("url_path").alias("path"), F.col("url_rule").alias("rule"), F.col("url_verdict").alias("verdict"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_pareto_mix, op2_gam_quality, op3_disclosure_sanitise, op4_bayes_jaccard, op5_risk_rules, op6_warc, op7_length_histogram, op8_containment, op9_feistel_shards, op10_token_records)
+    named = (op1_pareto_mix, op2_gam_quality, op3_disclosure_sanitise, op4_bayes_jaccard, op5_risk_rules, op6_warc, op7_length_histogram, op8_containment, op9_feistel_shards, op10_token_records, op11_hard_negatives, op12_fill_in_middle, op13_url_filter)
     return {f.__name__: f for f in named}
 
 
@@ -114,4 +135,32 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN s.c > 1 AND s.m <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                    CASE WHEN s.c > 1 AND s.m <> page_id THEN s.m END AS refers_to
             FROM p LEFT JOIN s ON p.d = s.d AND p.n = s.n""",
+        "op11_hard_negatives": """
+            WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+                       FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+            s AS (SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, CAST(list_inner_product(a.q, v.q) AS BIGINT) AS score
+                  FROM v a JOIN v ON a.vec_id % 100 = 0 AND a.vec_id <> v.vec_id),
+            p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+                  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+            n AS (SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+                  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+            SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
+        "op12_fill_in_middle": """
+            WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS tokens, sha256('42:' || doc_id) AS h FROM documents),
+            e AS (SELECT *, len(tokens) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+            f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+                    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM e),
+            g AS (SELECT *, array_to_string(tokens[1:lo], '') AS p, array_to_string(tokens[lo + 1:hi], '') AS m, array_to_string(tokens[hi + 1:], '') AS s FROM f)
+            SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+                   sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+                   sha256(text) AS restored_sha256 FROM g""",
+        "op13_url_filter": r"""
+            WITH u AS (SELECT page_id, coalesce(url, '') AS url, position('://' IN coalesce(url, '')) AS found FROM pages),
+            r AS (SELECT page_id, CASE WHEN found > 0 THEN substr(url, found + 3) ELSE '' END AS rest FROM u),
+            h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r)
+            SELECT page_id, host, path,
+                   CASE WHEN ('.' || host) LIKE '%.example.net' AND path LIKE '/en/%' THEN 'example.net/en/' WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/de/%' THEN 'example.com/de/'
+                        WHEN ('.' || host) LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/' WHEN ('.' || host) LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule,
+                   CASE WHEN ('.' || host) LIKE '%.example.net' AND path LIKE '/en/%' THEN 'allow' WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/de/%' THEN 'block'
+                        WHEN ('.' || host) LIKE '%.org' AND path LIKE '/fr/%' THEN 'allow' WHEN ('.' || host) LIKE '%.net' AND path LIKE '/%' THEN 'block' ELSE 'allow' END AS verdict FROM h""",
     }
