@@ -301,7 +301,7 @@ def hard_negatives(
         slots = F.sequence(F.lit(1), F.lit(positives))  # windows that are full or absent take no score
 
         def of(slot: Column, field: str) -> Column:
-            return F.coalesce(F.filter("ws", lambda x: x["w"] == slot)[0][field], F.lit(_MOST if field == "t" else -_MOST))
+            return F.coalesce(F.get(F.filter("ws", lambda x: x["w"] == slot), F.lit(0))[field], F.lit(_MOST if field == "t" else -_MOST))
 
         each = each.withColumn("w_t", F.transform(slots, lambda k: of(k, "t"))).withColumn("w_hi", F.transform(slots, lambda k: of(k, "hi")))
         each = materialise(each.select("a", "id", "label", "q", F.array_min("w_t").cast("double").alias("t"), "w_t", "w_hi"), "open-windows")
