@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -54,16 +54,25 @@ def materialise(df: DataFrame, tag: str, batch_rows: int | None = None, codec: s
     return spark.read.schema(df.schema).parquet(path)
 
 
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "date", "timestamp", "timestamp_ntz")
 MAX_ROWS, MAX_BYTES = 200_000, 64 << 20  # of a table that is broadcast
 
 
 def is_small(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> bool:
     """Whether df has at most max_rows rows and, as Spark sizes the rows it holds, about max_bytes.
 
-    df should be a materialised or aggregated table: it is counted here. Strings and arrays are measured, not guessed.
+    df should be a materialised or aggregated table: it is counted here. Strings, arrays, structs and maps are measured, not
+    guessed: arrays of numbers by their sizes, what nests by the bytes of its JSON.
     """
-    named = [(F.col(f"`{c}`"), t) for c, t in df.dtypes]
-    wide = [F.coalesce(F.octet_length(c), F.lit(0)) if t in ("string", "binary") else 8 * F.coalesce(F.size(c), F.lit(0)) for c, t in named if t in ("string", "binary") or t.startswith("array")]
+
+    def bytes_of(c: Column, kind: str) -> Column:
+        if kind in ("string", "binary"):
+            return F.octet_length(c)
+        if kind.startswith("array<") and kind[6:-1] in _NUMBERS:
+            return 8 * F.size(c)
+        return F.octet_length(F.to_json(F.struct(c.alias("c"))))
+
+    wide = [F.coalesce(bytes_of(F.col(f"`{c}`"), t), F.lit(0)) for c, t in df.dtypes if t not in _NUMBERS and "decimal" not in t[:7]]
     own = sum(wide, F.lit(16 * len(df.columns)))
     found = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(own).alias("b")).first()
     return found.n <= max_rows and (found.b or 0) <= max_bytes

@@ -276,7 +276,7 @@ def _kernel_query(name: str, sql: str, kernel) -> None:
         return P.within_groups(_series(spark, d), kernel.column).select("group", "i", "j", r6("cov").alias("cov"))
 
 
-_kernel_query("distance_matrix", "d", KF.Kernel(C.distance_euclidean, KF._pairwise))
+_kernel_query("distance_matrix", "d", KF.Kernel.of(C.distance_euclidean, KF._pairwise))
 _kernel_query("cov_squared_exponential", "4 * exp(-((d / 3) ** 2))", KF.squared_exponential(3.0, 2.0))
 _kernel_query("cov_exponential", "4 * exp(-d / 3)", KF.exponential(3.0, 2.0))
 _kernel_query("cov_matern_32", "4 * (1 + sqrt(3.0) * d / 3) * exp(-sqrt(3.0) * d / 3)", KF.matern_32(3.0, 2.0))

@@ -16,6 +16,7 @@ from sparkreg.functions.storage import bounded_broadcast, materialise
 from sparkreg.operators.linear import SUMS, line, power_sums
 
 MAX_FOLDS = 50
+MAX_MODEL_BYTES = 256 << 20  # of the models of all folds
 MAX_TRAIN = 500_000  # rows of a fold's training set, for models that need them together
 
 
@@ -61,8 +62,8 @@ def loo_predict_line(df: DataFrame, x: str, y: str, name: str = "prediction") ->
     return rows.withColumn(name, F.col(y) - error / (1 - leverage)).drop("__n", "__cx", "__cy", "__sxx", "__sxy")
 
 
-def cv_predict(df: DataFrame, fit: Callable[[pd.DataFrame], object], predict: Callable[[object, pd.DataFrame], pd.DataFrame], schema: str, key: str = "key", max_folds: int = MAX_FOLDS, max_train: int = MAX_TRAIN) -> DataFrame:
-    """Predictions of any model, fold by fold; schema is that of predict's rows, (row_id and key among those of df).
+def cv_predict(df: DataFrame, fit: Callable[[pd.DataFrame], object], predict: Callable[[object, pd.DataFrame], pd.DataFrame], schema: str, key: str = "key", max_folds: int = MAX_FOLDS, max_train: int = MAX_TRAIN, max_model_bytes: int = MAX_MODEL_BYTES) -> DataFrame:
+    """Predictions of any model, fold by fold, a null fold being one; schema is that of predict's rows, (row_id and key among those of df).
 
     A model that needs its rows together is trained in one task a fold, on rows that are copied once a fold: more than
     max_train of them are an error before any row is moved (additive models: ``cv_predict_additive``; processes:
@@ -74,18 +75,34 @@ def cv_predict(df: DataFrame, fit: Callable[[pd.DataFrame], object], predict: Ca
     if most > max_train:
         raise ValueError(f"{most} rows train a fold; at most {max_train} are fitted together")
     kind = dict(df.dtypes)[key]
-    models = spread(folds, "fold").groupBy("fold").applyInPandas(lambda pdf: pd.DataFrame({"fold": [pdf["fold"].iloc[0]], "model": [cloudpickle.dumps(fit(pdf.sort_values("row_id")))]}), f"fold {kind}, model binary")
+    models = spread(folds, "fold").groupBy("fold").applyInPandas(lambda pdf: pd.DataFrame({"fold": [fold_of(pdf["fold"].iloc[0])], "model": [cloudpickle.dumps(fit(pdf.sort_values("row_id")))]}), f"fold {kind}, model binary")
+    models = materialise(models, "fold-models")
+    held = models.agg(F.coalesce(F.sum(F.octet_length("model")), F.lit(0)).alias("b")).first().b
+    if held > max_model_bytes:
+        raise ValueError(f"the models of the folds have {held} bytes; at most {max_model_bytes} are sent to the tasks")
     known = df.sparkSession.sparkContext.broadcast({r.fold: bytes(r.model) for r in models.collect()})  # max_folds models
 
+    return df.mapInPandas(_by_fold(known, predict, key), schema)
+
+
+def _by_fold(known, predict: Callable[[object, pd.DataFrame], pd.DataFrame], key: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """predict(model, rows) of each fold of a batch; a null fold is a fold."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own: dict = {}
         for pdf in batches:
-            for fold, part in pdf.groupby(key, sort=False):
+            for fold, part in pdf.groupby(key, sort=False, dropna=False):
+                fold = fold_of(fold)
                 if fold not in own:
                     own[fold] = pickle.loads(known.value[fold])
-                yield predict(own[fold], part.assign(fold=fold))
+                yield predict(own[fold], part.assign(fold=part[key]))
 
-    return df.mapInPandas(run, schema)
+    return run
+
+
+def fold_of(value):
+    """A fold as pandas gives it, with None where it is null."""
+    return None if value is None or value is pd.NA or value is pd.NaT or value != value else value
 
 
 def cv_predict_additive(df: DataFrame, sums: Callable[[pd.DataFrame], np.ndarray], solve: Callable[[np.ndarray], object], predict: Callable[[object, pd.DataFrame], pd.DataFrame], schema: str, key: str = "key", max_folds: int = 5000) -> DataFrame:
@@ -96,7 +113,8 @@ def cv_predict_additive(df: DataFrame, sums: Callable[[pd.DataFrame], np.ndarray
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict = {}
         for pdf in batches:
-            for fold, own in pdf.groupby(key, sort=False):
+            for fold, own in pdf.groupby(key, sort=False, dropna=False):
+                fold = fold_of(fold)
                 total[fold] = total.get(fold, 0) + np.asarray(sums(own), float)
         yield pd.DataFrame({key: list(total), "s": [t.reshape(-1) for t in total.values()], "shape": [list(t.shape) for t in total.values()]})
 
@@ -110,16 +128,7 @@ def cv_predict_additive(df: DataFrame, sums: Callable[[pd.DataFrame], np.ndarray
     folds = {r[key]: np.array(r.s).reshape(r["shape"]) for r in found}
     total = sum(folds.values())
     known = df.sparkSession.sparkContext.broadcast({k: cloudpickle.dumps(solve(total - v)) for k, v in folds.items()})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own: dict = {}
-        for pdf in batches:
-            for fold, rows in pdf.groupby(key, sort=False):
-                if fold not in own:
-                    own[fold] = pickle.loads(known.value[fold])
-                yield predict(own[fold], rows.assign(fold=fold))
-
-    return df.mapInPandas(run, schema)
+    return df.mapInPandas(_by_fold(known, predict, key), schema)
 
 
 # ---- metrics: aggregates over rows with an error column

@@ -1,24 +1,31 @@
 """Gaussian processes, one for each key: exact fits of groups whose rows fit a task.
 
-A fit is a row (key, n, d, x, root, information): training features (d numbers each, 0 for scalars), the inverse of the
-Cholesky factor of K + variances (its lower triangle, row by row) and the information vector K^-1 (y - mean). The factor is
-inverted once, so that every later solve is a product. Rows of a group are measurements. Larger groups than max_rows are an
-error that names the key; the sparse form is for those. Features are doubles, or arrays of doubles of one length.
+A fit is a row (key, n, d, x, root, information, whitened, ...): training features (d numbers each, 0 for scalars), the inverse
+of the Cholesky factor of K + variances (its lower triangle, row by row), the information vector K^-1 (y - mean) and the factor
+times the residuals. The factor is inverted once, so that every later solve is a product. Larger groups than max_rows are an
+error that names the key; the sparse form is for those.
+
+Features are doubles, arrays of doubles of one length, or arrays of terms (``functions.typed``) where a process has features of
+several kinds or linear combinations of them as rows. Rows of a group are measurements unless a boolean column ``measured``
+says otherwise (null: true).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkreg.functions.joins import is_small
-from sparkreg.functions.kernels import Kernel
+from sparkreg.functions.kernels import Flags, Kernel
 from sparkreg.functions.order import spread
 from sparkreg.functions.storage import materialise
+from sparkreg.functions.typed import Terms, features, joined
 
 Mean = Callable[[np.ndarray], np.ndarray]
 MAX_ROWS = 5000
@@ -56,59 +63,78 @@ def root_of(k: np.ndarray) -> np.ndarray:
     return inverse_lower(cholesky(k))
 
 
-def features(column: pd.Series) -> np.ndarray:
-    """(n,) of a column of numbers, (n, d) of a column of arrays."""
-    if len(column) and isinstance(column.iloc[0], (list, tuple, np.ndarray)):
-        return np.stack([np.asarray(v, float) for v in column])
-    return column.to_numpy(float)
-
-
 class Fit:
-    """A fitted process: features, inverse Cholesky factor of the training covariance, information vector."""
+    """A fitted process: features, inverse Cholesky factor of the training covariance, information vector, the residuals times
+    that factor (whitened), and which rows are measurements."""
 
-    def __init__(self, x: np.ndarray, root: np.ndarray, v: np.ndarray) -> None:
-        self.x, self.root, self.v = x, root, v
+    def __init__(self, x, root: np.ndarray, v: np.ndarray, w: np.ndarray, measured: Flags = True) -> None:
+        self.x, self.root, self.v, self.w, self.measured = x, root, v, w, measured
 
     @classmethod
-    def of(cls, kernel: Kernel, x: np.ndarray, y: np.ndarray, variance: np.ndarray, mean: Mean = zero) -> Fit:
-        root = root_of(kernel.measured(x, x) + np.diag(variance))
-        return cls(x, root, root.T @ (root @ (y - mean(x))))
+    def of(cls, kernel: Kernel, x, y: np.ndarray, variance: np.ndarray, mean: Mean = zero, measured: Flags = True) -> Fit:
+        root = root_of(kernel.between(x, x, measured, measured) + np.diag(variance))
+        w = root @ (y - mean(x))
+        return cls(x, root, root.T @ w, w, measured)
 
     @property
     def precision(self) -> np.ndarray:
         """K^-1."""
         return self.root.T @ self.root
 
-    def mean(self, kernel: Kernel, xs: np.ndarray, mean: Mean = zero) -> np.ndarray:
-        return kernel.matrix(xs, self.x) @ self.v + mean(xs)
+    def cross(self, kernel: Kernel, xs, measured: bool) -> np.ndarray:
+        return kernel.between(xs, self.x, measured, self.measured)
+
+    def mean(self, kernel: Kernel, xs, mean: Mean = zero) -> np.ndarray:
+        return self.cross(kernel, xs, False) @ self.v + mean(xs)
 
-    def joint(self, kernel: Kernel, xs: np.ndarray, mean: Mean = zero, measured: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        k = kernel.measured if measured else kernel.matrix
-        cross = k(xs, self.x)
+    def joint(self, kernel: Kernel, xs, mean: Mean = zero, measured: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        cross = self.cross(kernel, xs, measured)
         half = self.root @ cross.T
-        return cross @ self.v + mean(xs), k(xs, xs) - half.T @ half
+        return cross @ self.v + mean(xs), kernel.between(xs, xs, measured, measured) - half.T @ half
 
-    def marginal(self, kernel: Kernel, xs: np.ndarray, mean: Mean = zero, measured: bool = False, step: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+    def marginal(self, kernel: Kernel, xs, mean: Mean = zero, measured: bool = False, step: int = 2000) -> tuple[np.ndarray, np.ndarray]:
         means, variances = [np.empty(0)], [np.empty(0)]
         for lo in range(0, len(xs), step):  # bounds the cross covariance in memory
             part = xs[lo : lo + step]
-            cross = kernel.measured(part, self.x) if measured else kernel.matrix(part, self.x)
+            cross = self.cross(kernel, part, measured)
             means.append(cross @ self.v + mean(part))
             variances.append(kernel.diagonal(part, measured) - ((self.root @ cross.T) ** 2).sum(0))
         return np.concatenate(means), np.concatenate(variances)
 
-    def update(self, kernel: Kernel, x: np.ndarray, y: np.ndarray, variance: np.ndarray, mean: Mean = zero) -> Fit:
+    def blocks(self, kernel: Kernel, xs, ends: np.ndarray, mean: Mean = zero, measured: bool = False, step: int = 2000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(begin, end, mean, covariance) of the blocks of xs that end before ends: one product with the factor for several."""
+        begins, k = np.append(0, ends[:-1]), 0
+        while k < len(ends):
+            last = max(k + 1, int(np.searchsorted(ends, begins[k] + step, side="right")))
+            base, part = int(begins[k]), xs[int(begins[k]) : int(ends[last - 1])]
+            cross = self.cross(kernel, part, measured)
+            means, half = cross @ self.v + mean(part), self.root @ cross.T
+            for lo, hi in zip(begins[k:last].tolist(), ends[k:last].tolist(), strict=True):
+                at, own = slice(lo - base, hi - base), xs[lo:hi]
+                yield lo, hi, means[at], kernel.between(own, own, measured, measured) - half[:, at].T @ half[:, at]
+            k = last
+
+    def update(self, kernel: Kernel, x, y: np.ndarray, variance: np.ndarray, mean: Mean = zero, measured: Flags = True) -> Fit:
         """Condition on new rows without factoring the old block again: the new rows of the inverse factor."""
-        b = self.root @ kernel.measured(self.x, x)
-        corner = root_of(kernel.measured(x, x) + np.diag(variance) - b.T @ b)
+        b = self.root @ kernel.between(self.x, x, self.measured, measured)
+        corner = root_of(kernel.between(x, x, measured, measured) + np.diag(variance) - b.T @ b)
         root = np.block([[self.root, np.zeros((len(self.x), len(x)))], [-corner @ b.T @ self.root, corner]])
-        old = np.linalg.solve(self.root.T, self.v)  # root (y - mean) of the old rows
-        w = np.concatenate([old, corner @ (y - mean(x) - b.T @ old)])
-        return Fit(np.concatenate([self.x, x]), root, root.T @ w)
+        new = corner @ (y - mean(x) - b.T @ self.w)
+        v = np.concatenate([self.v, np.zeros(len(x))]) + root[len(self.x) :].T @ new
+        flags = self.measured is True and measured is True
+        flags = flags or np.concatenate([np.broadcast_to(m, len(t)) for m, t in ((self.measured, self.x), (measured, x))])
+        return Fit(joined(self.x, x), root, v, np.concatenate([self.w, new]), flags)
 
     def pack(self, key: dict) -> pd.DataFrame:
-        x = np.asarray(self.x, float)
-        return pd.DataFrame([{**key, "n": len(x), "d": 0 if x.ndim == 1 else x.shape[1], "x": x.reshape(-1), "root": self.root[np.tril_indices(len(self.root))], "information": self.v}])
+        x = self.x
+        row = {**key, "n": len(x), "root": self.root[np.tril_indices(len(self.root))], "information": self.v, "whitened": self.w}
+        row["latent"] = np.flatnonzero(~np.broadcast_to(self.measured, len(x))).astype(np.int32) if self.measured is not True else None
+        if isinstance(x, Terms):
+            row |= {"d": x.value.shape[1], "x": x.value.reshape(-1), "kinds": x.kind, "widths": x.width.astype(np.int32), "coefs": x.coef, "starts": x.start.astype(np.int32)}
+        else:
+            x = np.asarray(x, float)
+            row |= {"d": 0 if x.ndim == 1 else x.shape[1], "x": x.reshape(-1), "kinds": None, "widths": None, "coefs": None, "starts": None}
+        return pd.DataFrame([row])
 
     @classmethod
     def unpack(cls, row) -> Fit:
@@ -116,11 +142,19 @@ class Fit:
         root = np.zeros((n, n))
         root[np.tril_indices(n)] = np.asarray(row["root"], float)
         x = np.asarray(row["x"], float)
-        return cls(x.reshape(n, d) if d else x, root, np.asarray(row["information"], float))
+        if row["kinds"] is not None:
+            x = Terms(np.asarray(row["kinds"], object), x.reshape(-1, d), np.asarray(row["widths"], np.int64), np.asarray(row["coefs"], float), np.asarray(row["starts"], np.int64))
+        elif d:
+            x = x.reshape(n, d)
+        measured: Flags = True
+        if row["latent"] is not None:
+            measured = np.ones(n, bool)
+            measured[np.asarray(row["latent"], np.int64)] = False
+        return cls(x, root, *(np.asarray(row[c], float) for c in ("information", "whitened")), measured)
 
 
 def fit_schema(key: str, kind: str = "long") -> str:
-    return f"{key} {kind}, n long, d int, x array<double>, root array<double>, information array<double>"
+    return f"{key} {kind}, n long, d int, x array<double>, root array<double>, information array<double>, whitened array<double>, latent array<int>, kinds array<string>, widths array<int>, coefs array<double>, starts array<int>"
 
 
 def _guard(pdf: pd.DataFrame, key: str, most: int) -> None:
@@ -128,34 +162,45 @@ def _guard(pdf: pd.DataFrame, key: str, most: int) -> None:
         raise ValueError(f"group {pdf[key].iloc[0]} has {len(pdf)} rows; at most {most} make an exact process")
 
 
-def arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def arrays(pdf: pd.DataFrame) -> tuple[np.ndarray | Terms, np.ndarray, np.ndarray]:
     """Features, targets and variances in the order of row_id."""
     pdf = pdf.sort_values("row_id")
     return features(pdf["feature"]), pdf["target"].to_numpy(float), pdf["target_variance"].to_numpy(float)
 
 
+def flags(pdf: pd.DataFrame) -> Flags:
+    """Which rows are measurements, in the order of row_id."""
+    if "measured" not in pdf:
+        return True
+    own = pdf.sort_values("row_id")["measured"].fillna(True).to_numpy(bool)
+    return True if own.all() else own
+
+
+def training(df: DataFrame, key: str) -> DataFrame:
+    return df.select(key, "row_id", "feature", "target", "target_variance", *(["measured"] if "measured" in df.columns else []))
+
+
 def fit_gp(df: DataFrame, kernel: Kernel, key: str = "key", mean: Mean = zero, max_rows: int = MAX_ROWS) -> DataFrame:
     """One fit a key from rows (key, row_id, feature, target, target_variance)."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         _guard(pdf, key, max_rows)
-        return Fit.of(kernel, *arrays(pdf), mean).pack({key: pdf[key].iloc[0]})
+        return Fit.of(kernel, *arrays(pdf), mean, flags(pdf)).pack({key: pdf[key].iloc[0]})
 
-    rows = df.select(key, "row_id", "feature", "target", "target_variance")
-    return spread(rows, key).groupBy(key).applyInPandas(fit, fit_schema(key, dict(df.dtypes)[key]))
+    return spread(training(df, key), key).groupBy(key).applyInPandas(fit, fit_schema(key, dict(df.dtypes)[key]))
 
 
 def update_gp(fits: DataFrame, df: DataFrame, kernel: Kernel, key: str = "key", mean: Mean = zero) -> DataFrame:
-    """Fits conditioned on new rows; keys without new rows keep their fit, keys without a fit get one."""
+    """Fits conditioned on new rows, of other kinds too; keys without new rows keep their fit, keys without a fit get one."""
 
     def update(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
         if not len(new):
             return old
         if not len(old):
-            return Fit.of(kernel, *arrays(new), mean).pack({key: new[key].iloc[0]})
-        return Fit.unpack(old.iloc[0]).update(kernel, *arrays(new), mean).pack({key: new[key].iloc[0]})
+            return Fit.of(kernel, *arrays(new), mean, flags(new)).pack({key: new[key].iloc[0]})
+        return Fit.unpack(old.iloc[0]).update(kernel, *arrays(new), mean, flags(new)).pack({key: new[key].iloc[0]})
 
-    return spread(fits, key).groupBy(key).cogroup(spread(df, key).groupBy(key)).applyInPandas(update, fit_schema(key, dict(df.dtypes)[key]))
+    return spread(fits, key).groupBy(key).cogroup(spread(training(df, key), key).groupBy(key)).applyInPandas(update, fit_schema(key, dict(df.dtypes)[key]))
 
 
 def _with_fits(fits: DataFrame, rows: DataFrame, f: Callable[[Fit, pd.DataFrame], pd.DataFrame], schema: str, key: str, part_rows: int, together: str | None = None) -> DataFrame:
@@ -178,14 +223,59 @@ def _with_fits(fits: DataFrame, rows: DataFrame, f: Callable[[Fit, pd.DataFrame]
     return fits.cogroup(rows).applyInPandas(run, schema)
 
 
+_HELD_BYTES = 64 << 20  # of unpacked fits that a worker keeps
+
+
+class _Held:
+    """Fits of a table that was sent, unpacked when they are asked for; those used last are kept."""
+
+    def __init__(self, table: pa.Table, key: str) -> None:
+        self.table, self.kept, self.bytes = table, OrderedDict(), 0
+        self.at = {k: i for i, k in enumerate(table.column(key).to_pylist())}
+
+    def get(self, key) -> Fit | None:
+        key = None if key is None or key != key else key
+        if key not in self.at:
+            return None
+        if key not in self.kept:
+            i = self.at[key]
+            self.kept[key] = Fit.unpack({c: self.table.column(c)[i].as_py() if c != "root" else self.table.column(c)[i].values.to_numpy() for c in self.table.column_names})
+            self.bytes += self.kept[key].root.nbytes
+        self.kept.move_to_end(key)
+        while self.bytes > _HELD_BYTES and len(self.kept) > 1:
+            self.bytes -= self.kept.popitem(last=False)[1].root.nbytes
+        return self.kept[key]
+
+
+def _mapped(fits: DataFrame, rows: DataFrame, f: Callable[[Fit, pd.DataFrame], pd.DataFrame], schema: str, key: str) -> DataFrame:
+    """f(fit, rows of its key in a batch) where the rows are: no row moves. fits are few enough to be sent."""
+    sent = rows.sparkSession.sparkContext.broadcast(fits.toArrow())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = _Held(sent.value, key)
+        for pdf in batches:
+            found = [f(fit, own) for k, own in pdf.groupby(key, sort=False, dropna=False) if (fit := held.get(k)) is not None]
+            if found:
+                yield pd.concat(found)
+
+    return rows.mapInPandas(run, schema)
+
+
 def predict_gp(fits: DataFrame, rows: DataFrame, kernel: Kernel, key: str = "key", mean: Mean = zero, measured: bool = False, part_rows: int = 100_000) -> DataFrame:
-    """(key, row_id, mean, variance) of rows by the fit of their key; rows without a fit are left out."""
+    """(key, row_id, mean, variance) of rows by the fit of their key; rows without a fit are left out.
+
+    Fits that are small together (``is_small``) go to the rows, which stay where they are; else fits and rows meet by key.
+    """
 
     def marginal(fit: Fit, part: pd.DataFrame) -> pd.DataFrame:
         m, v = fit.marginal(kernel, features(part["feature"]), mean, measured)
         return pd.DataFrame({key: part[key], "row_id": part["row_id"], "mean": m, "variance": v})
 
-    return _with_fits(fits, rows.select(key, "row_id", "feature"), marginal, f"{key} {dict(rows.dtypes)[key]}, row_id long, mean double, variance double", key, part_rows)
+    rows, schema = rows.select(key, "row_id", "feature"), f"{key} {dict(rows.dtypes)[key]}, row_id long, mean double, variance double"
+    fits = materialise(fits, "gp-fits")
+    if is_small(fits):
+        return _mapped(fits, rows, marginal, schema, key)
+    return _with_fits(fits, rows, marginal, schema, key, part_rows)
 
 
 def joint_rows(key: dict, ids: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> pd.DataFrame:
@@ -199,11 +289,23 @@ def predict_gp_joint(fits: DataFrame, rows: DataFrame, kernel: Kernel, block: st
     kind = dict(rows.dtypes)
 
     def joint(fit: Fit, part: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for b, own in part.groupby(block, sort=True):
-            _guard(own, block, max_block)
-            out.append(joint_rows({key: own[key].iloc[0], block: b}, own["row_id"].to_numpy(), *fit.joint(kernel, features(own["feature"]), mean, measured)))
-        return pd.concat(out)
+        code = pd.factorize(part[block], use_na_sentinel=False)[0]
+        order = np.lexsort((part["row_id"].to_numpy(), code))
+        part, code = part.iloc[order], code[order]
+        ends = np.append(np.flatnonzero(np.diff(code)) + 1, len(code))
+        if (sizes := np.diff(ends, prepend=0)).max() > max_block:
+            _guard(part.iloc[ends[sizes.argmax()] - sizes.max() : ends[sizes.argmax()]], block, max_block)
+        at, i, j, means, covs = [], [], [], [], []
+        for lo, hi, m, c in fit.blocks(kernel, features(part["feature"]), ends, mean, measured):
+            a, b = np.indices(c.shape).reshape(2, -1)
+            at.append(np.full(len(a), lo))
+            i.append(lo + a)
+            j.append(lo + b)
+            means.append(m[a])
+            covs.append(c.reshape(-1))
+        at, i, j = map(np.concatenate, (at, i, j))
+        ids, blocks = part["row_id"].to_numpy(), part[block].to_numpy()
+        return pd.DataFrame({key: part[key].iloc[0], block: blocks[at], "i": ids[i], "j": ids[j], "mean": np.concatenate(means), "cov": np.concatenate(covs)})
 
     schema = f"{key} {kind[key]}, {block} {kind[block]}, i long, j long, mean double, cov double"
     return _with_fits(fits, rows.select(key, "row_id", block, "feature"), joint, schema, key, part_rows, block)
@@ -230,12 +332,13 @@ def log_likelihood(kernel: Kernel, x: np.ndarray, y: np.ndarray, mean: Mean = ze
     return float(-0.5 * (r @ r) + np.log(np.diag(root)).sum() - 0.5 * len(y) * np.log(2 * np.pi))
 
 
-def log_likelihoods(df: DataFrame, kernel: Kernel, key: str = "key", mean: Mean = zero, with_variance: bool = False, max_rows: int = MAX_ROWS) -> DataFrame:
-    """(key, log_likelihood) of the rows of each key."""
+def log_likelihoods(df: DataFrame, kernel: Kernel, key: str = "key", mean: Mean = zero, with_variance: bool = False, max_rows: int = MAX_ROWS, prior: float = 0.0) -> DataFrame:
+    """(key, log_likelihood) of the rows of each key. prior: the log density of the parameters (``tuning.log_prior``), which is
+    added."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y, v = arrays(pdf)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "log_likelihood": [log_likelihood(kernel, x, y, mean, v if with_variance else None)]})
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "log_likelihood": [prior + log_likelihood(kernel, x, y, mean, v if with_variance else None)]})
 
     return per_group(df, run, f"{key} {dict(df.dtypes)[key]}, log_likelihood double", key, max_rows)
 
@@ -248,9 +351,9 @@ def leave_one_out(fit: Fit, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def leave_group_out(fit: Fit, y: np.ndarray, groups: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Closed-form held-out (indices, means, covariance) of each group: with A the block of K^-1, y - A^-1 v and A^-1."""
-    out = []
-    for g in pd.unique(pd.Series(groups).sort_values()):
-        at = np.flatnonzero(groups == g)
+    out, codes = [], pd.factorize(pd.Series(groups), sort=True, use_na_sentinel=False)[0]  # a null group is a group
+    for g in range(codes.max(initial=-1) + 1):
+        at = np.flatnonzero(codes == g)
         cov = np.linalg.inv(fit.root[:, at].T @ fit.root[:, at])
         out.append((at, y[at] - cov @ fit.v[at], cov))
     return out
@@ -261,7 +364,7 @@ def loo_gp(df: DataFrame, kernel: Kernel, key: str = "key", mean: Mean = zero, m
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y, v = arrays(pdf)
-        m, var = leave_one_out(Fit.of(kernel, x, y, v, mean), y)
+        m, var = leave_one_out(Fit.of(kernel, x, y, v, mean, flags(pdf)), y)
         return pd.DataFrame({key: pdf[key], "row_id": pdf["row_id"], "mean": m, "variance": var})
 
     return per_group(df, run, _marginal_schema(df, key), key, max_rows)
@@ -273,7 +376,7 @@ def logo_gp(df: DataFrame, kernel: Kernel, fold: str, key: str = "key", mean: Me
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y, v = arrays(pdf)
         ids = pdf["row_id"].to_numpy()
-        held = leave_group_out(Fit.of(kernel, x, y, v, mean), y, pdf[fold].to_numpy())
+        held = leave_group_out(Fit.of(kernel, x, y, v, mean, flags(pdf)), y, pdf[fold].to_numpy())
         return pd.concat([pd.DataFrame({key: pdf[key].iloc[0], "row_id": ids[at], "mean": m, "variance": np.diag(c)}) for at, m, c in held])
 
     return per_group(df, run, _marginal_schema(df, key), key, max_rows)
@@ -289,7 +392,7 @@ def logo_metrics(df: DataFrame, kernel: Kernel, fold: str, metrics: dict[str, Jo
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y, v = arrays(pdf)
         folds = pdf[fold].to_numpy()
-        held = leave_group_out(Fit.of(kernel, x, y, v, mean), y, folds)
+        held = leave_group_out(Fit.of(kernel, x, y, v, mean, flags(pdf)), y, folds)
         return pd.DataFrame([{key: pdf[key].iloc[0], fold: folds[at[0]], **{name: f(m, c - np.diag(v[at]), y[at], v[at]) for name, f in metrics.items()}} for at, m, c in held])
 
     return per_group(df, run, f"{key} {kinds[key]}, {fold} {kinds[fold]}, " + ", ".join(f"{name} double" for name in metrics), key, max_rows)
@@ -308,7 +411,7 @@ def predict_from_prediction(fits: DataFrame, anchors: DataFrame, rows: DataFrame
 
     fit_kernel: the kernel of fits where it is another; kernel is that of the new fits.
     """
-    fits = _with_fits(fits, anchors.select(key, "row_id", "feature"), lambda fit, own: _summary(fit, own, kernel, fit_kernel or kernel, key, mean), fit_schema(key, dict(rows.dtypes)[key]).replace("root", "explained"), key, 10**9)
+    fits = _with_fits(fits, anchors.select(key, "row_id", "feature"), lambda fit, own: _summary(fit, own, kernel, fit_kernel or kernel, key, mean), f"{key} {dict(rows.dtypes)[key]}, n long, d int, x array<double>, explained array<double>, information array<double>", key, 10**9)
 
     def predict(packed: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(packed) or not len(own):
