@@ -303,8 +303,9 @@ def _(spark, d):
 
 @add("cov_measurement_only", f'WITH {EV}, {_PAIRS} SELECT g AS "group", i, j, CASE WHEN i % 2 = 1 AND j % 2 = 1 THEN round(exp(-d), 6) ELSE 0.0 END AS cov FROM pr')
 def _(spark, d):
-    k = P.within_groups(_series(spark, d), KF.exponential(1.0, 1.0).column)
-    return k.select("group", "i", "j", r6(KF.measurement_only(F.col("cov"), F.col("i") % 2 == 1, F.col("j") % 2 == 1)).alias("cov"))
+    rows = _series(spark, d).select("group", "i", F.struct("x", (F.col("i") % 2 == 1).alias("m")).alias("f"))
+    k = KF.measurements_of(KF.exponential(1.0, 1.0))
+    return P.within_groups(rows, lambda a, b: k.form(a["x"], b["x"], a["m"], b["m"]), feature="f").select("group", "i", "j", r6("cov").alias("cov"))
 
 
 @add("cov_linear_combination", f'WITH {EV}, {_PAIRS} SELECT g AS "group", i // 4 AS c, j // 4 AS d, round(sum((1 + i % 4) * (1 + j % 4) * exp(-pr.d / 2)), 6) AS cov FROM pr GROUP BY 1, 2, 3')
@@ -315,11 +316,9 @@ def _(spark, d):
 
 @add("cov_tagged_union", f"WITH {EV}, {_PAIRS} SELECT g AS \"group\", i, j, round(CASE WHEN i % 3 = 0 AND j % 3 = 0 THEN exp(-d) WHEN i % 3 = 1 AND j % 3 = 1 THEN exp(-d * d) ELSE 0 END, 6) AS cov FROM pr")
 def _(spark, d):
-    rows = _series(spark, d).select("group", "i", F.struct((F.col("i") % 3).alias("kind"), "x").alias("f"))
-    a, b = KF.exponential(1.0, 1.0), KF.squared_exponential(1.0, 1.0)
-    both = lambda x, y, k: (x["kind"] == k) & (y["kind"] == k)
-    value = lambda x, y: F.when(both(x, y, 0), a.column(x["x"], y["x"])).when(both(x, y, 1), b.column(x["x"], y["x"])).otherwise(0.0)
-    return P.within_groups(rows, value, feature="f").select("group", "i", "j", r6("cov").alias("cov"))
+    rows = _series(spark, d).select("group", "i", F.struct((F.col("i") % 3).cast("string").alias("kind"), F.col("x").alias("value")).alias("f"))
+    k = KF.of_kind("0", KF.exponential(1.0, 1.0)) + KF.of_kind("1", KF.squared_exponential(1.0, 1.0))
+    return P.within_groups(rows, k.column, feature="f").select("group", "i", "j", r6("cov").alias("cov"))
 
 
 @add("cross_covariance", f"WITH {EV}, u AS (SELECT CAST(n AS INTEGER) AS j, (SELECT min(feature) FROM ev) + n * ((SELECT max(feature) FROM ev) - (SELECT min(feature) FROM ev)) / 9 AS y FROM (SELECT unnest(range(0, 10)) AS n)) SELECT row_id AS i, j, round(4 * exp(-(((feature - y) / 50) ** 2)), 6) AS cov FROM ev, u")

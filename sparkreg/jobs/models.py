@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkreg.functions import columns as C
 from sparkreg.functions import kernels as KF
+from sparkreg.functions import typed as TY
 from sparkreg.jobs.columns import _AB, _CRPS, _DEV, _JOINT, _kernel_table, _marginals, _scored, chi_sql, day_of_user, erf_sql, inducing_uniform
 from sparkreg.jobs.common import EV, LI, Registry, events, lines, r6
 from sparkreg.operators import crossval as CV
@@ -16,6 +17,7 @@ from sparkreg.operators import gp as GP
 from sparkreg.operators import grouping as G
 from sparkreg.operators import linear as L
 from sparkreg.operators import sparse_gp as SG
+from sparkreg.operators import tuning as T
 
 _R = Registry()
 QUERIES, SQL = _R.queries, _R.sql
@@ -120,9 +122,13 @@ def _(spark, d):
     return _kernel_table(spark, d).select("group", "i", "j", F.lit(0.0).alias("mean"), r6("cov").alias("cov"))
 
 
+#: Priors of the parameters of KERNEL: kind, value and the bounds.
+PRIORS = [("log_scale_uniform", 5.0, 0.1, 100.0), ("uniform", 20.0, 0.0, 100.0), ("uniform", 5.0, 0.0, 50.0)]
+
+
 @add("gp_log_likelihood")
 def _(spark, d):
-    return GP.log_likelihoods(_users(spark, d), KERNEL, mean=fifty).select("key", r6("log_likelihood").alias("log_likelihood"))
+    return GP.log_likelihoods(_users(spark, d), KERNEL, mean=fifty, prior=T.log_prior(PRIORS)).select("key", r6("log_likelihood").alias("log_likelihood"))
 
 
 @add("gp_nll")
@@ -137,12 +143,35 @@ def _(spark, d):
     return _shown(GP.predict_gp(fits, _grid(spark, d), KERNEL, mean=fifty))
 
 
+# An event is a sum of two terms: the user's process at its hour and the bias of its day.
+TYPED = KF.of_kind("time", KF.exponential(5.0, 20.0) + KF.measurement_noise(5.0)) + KF.of_kind("day", KF.independent_noise(3.0))
+TYPED_MEAN = TY.mean_by_kind({"time": fifty})
+
+
+def _typed(spark, d):
+    """(events of every user, a row a user that says that the biases of its days sum to zero, the days of every user)."""
+    rows = _users(spark, d).withColumn("day", F.floor(F.col("feature") / 24))
+    events_ = rows.withColumn("feature", TY.combination(TY.term("time", F.col("feature")), TY.term("day", F.col("day")))).drop("day")
+    days = rows.select("key", "day").distinct()
+    terms = F.transform(F.sort_array(F.collect_list("day")), lambda v: TY.term("day", v))  # one a day
+    rule = days.groupBy("key").agg(terms.alias("feature")).select("key", F.lit(0).cast("long").alias("row_id"), "feature", F.lit(0.0).alias("target"), F.lit(1e-5).alias("target_variance"))
+    return events_, rule, days.select("key", F.col("day").alias("row_id"), TY.typed("day", F.col("day")).alias("feature"))
+
+
 @add("fit_on_two_datasets")
 def _(spark, d):
-    """Events, and a constraint that each user's process is 50 at time zero."""
-    rule = _users(spark, d).select("key").distinct().select("key", F.lit(0).cast("long").alias("row_id"), F.lit(0.0).alias("feature"), F.lit(50.0).alias("target"), F.lit(1e-6).alias("target_variance"))
-    fits = GP.fit_gp(_users(spark, d).unionByName(rule), PLAIN, mean=fifty)
-    return _shown(GP.predict_gp(fits, _grid(spark, d), PLAIN, mean=fifty))
+    """The biases of a user's days, from its events and the constraint that they sum to zero."""
+    rows, rule, days = _typed(spark, d)
+    fits = GP.fit_gp(rows.unionByName(rule), TYPED, mean=TYPED_MEAN)
+    return _shown(GP.predict_gp(fits, days, TYPED, mean=TYPED_MEAN))
+
+
+@add("gp_update_other_kind")
+def _(spark, d):
+    """The same, with the constraint as an update of fits to the events."""
+    rows, rule, days = _typed(spark, d)
+    fits = GP.update_gp(GP.fit_gp(rows, TYPED, mean=TYPED_MEAN), rule, TYPED, mean=TYPED_MEAN)
+    return _shown(GP.predict_gp(fits, days, TYPED, mean=TYPED_MEAN))
 
 
 PLAIN = KF.exponential(5.0, 20.0)
@@ -244,9 +273,9 @@ def _(spark, d):
     return CV.create_folds(events(spark, d)).where("role = 'test'").select("fold", "row_id")
 
 
-@add("unique_indices", f"WITH {EV} SELECT DISTINCT row_id FROM ev WHERE key < 'purchase'")
+@add("unique_indices", f"WITH {EV} SELECT DISTINCT row_id FROM ev")
 def _(spark, d):
-    return CV.create_folds(events(spark, d)).where("role = 'test' and fold < 'purchase'").select("row_id").distinct()
+    return CV.create_folds(events(spark, d)).where("role = 'test'").select("row_id").distinct()
 
 
 _CV = "t AS (SELECT flag AS fold FROM li GROUP BY 1), f AS (SELECT fold, regr_intercept(y, x) AS o, regr_slope(y, x) AS s FROM li JOIN t ON flag <> fold GROUP BY 1), cv AS (SELECT okey, line, supp, flag AS fold, x, y, o + s * x AS prediction FROM li JOIN f ON flag = fold)"
@@ -343,7 +372,13 @@ _joint_metric("chi_squared_cdf_joint", lambda m, c, y, v: float(C.chi_squared_cd
 _joint_metric("wasserstein_2_joint", lambda m, c, y, v: CV.wasserstein_2(m, c + np.diag(v), y, np.diag(v)))
 _joint_metric("energy_score", lambda m, c, y, v: CV.energy_score(m, c, y, v))
 _joint_metric("differential_entropy_joint", lambda m, c, y, v: CV.differential_entropy(c + np.diag(v)))
-_joint_metric("logo_likelihood_gp", CV.nll_joint)
+
+
+@add("logo_likelihood_gp")
+def _(spark, d):
+    """Per user: the negative log likelihood of every held-out fold, summed, less the log density of the parameters."""
+    folds = GP.logo_metrics(_folds(spark, d), KERNEL, "fold", {"value": CV.nll_joint}, mean=fifty)
+    return folds.groupBy("key").agg(F.round(F.sum("value") - T.log_prior(PRIORS), 4).alias("value"))
 
 
 @add("sample_mvn")
@@ -398,16 +433,24 @@ def _(spark, d):
     return CV.variogram_score(_pairs_of_ten(spark, d), ["g"]).select("g", r6(F.col("score") / 1000).alias("score"))
 
 
-@add("loo_likelihood", f"WITH {LI}, {_CV} SELECT round(sum(0.5 * (ln(2 * pi()) + ln(400) + (y - prediction) ** 2 / 400)) / 1000, 6) AS nll FROM cv")
+# The standard deviation of the noise is 20, uniform on [0, 100] before the data.
+NOISE_PRIOR = [("uniform", 20.0, 0.0, 100.0)]
+_NLL = "0.5 * (ln(2 * pi()) + ln(400) + e * e / 400)"
+
+
+@add("loo_likelihood", f"WITH {LI}, s AS (SELECT count(*)::DOUBLE AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM li), o AS (SELECT x, y, n - 1 AS n, sx - x AS sx, sy - y AS sy, sxx - x * x AS sxx, sxy - x * y AS sxy FROM li, s), f AS (SELECT x, y, sx / n AS mx, sy / n AS my, (sxy - sx * sy / n) / (sxx - sx * sx / n) AS b FROM o), r AS (SELECT y - my - b * (x - mx) AS e FROM f) SELECT round((sum({_NLL}) + ln(100)) / 1000, 6) AS nll FROM r")
 def _(spark, d):
-    e = F.col("y") - F.col("prediction")
-    return _cv(spark, d).agg(r6(F.sum(C.negative_log_likelihood(e, F.lit(400.0))) / 1000).alias("nll"))
+    """Every row as the line through all others predicts it: summed, less the log density of the noise."""
+    rows = CV.loo_predict_line(lines(spark, d), "x", "y")
+    nll = F.sum(C.negative_log_likelihood(F.col("y") - F.col("prediction"), F.lit(400.0)))
+    return rows.agg(r6((nll - T.log_prior(NOISE_PRIOR)) / 1000).alias("nll"))
 
 
-@add("logo_likelihood", f"WITH {LI}, {_CV} SELECT fold, round(sum(0.5 * (ln(2 * pi()) + ln(400) + (y - prediction) ** 2 / 400)) / 1000, 6) AS nll FROM cv GROUP BY 1")
+@add("logo_likelihood", f"WITH {LI}, {_CV}, r AS (SELECT y - prediction AS e FROM cv) SELECT round((sum({_NLL}) + ln(100)) / 1000, 6) AS nll FROM r")
 def _(spark, d):
-    e = F.col("y") - F.col("prediction")
-    return _cv(spark, d).groupBy(F.col("flag").alias("fold")).agg(r6(F.sum(C.negative_log_likelihood(e, F.lit(400.0))) / 1000).alias("nll"))
+    """The same for held-out return flags."""
+    nll = F.sum(C.negative_log_likelihood(F.col("y") - F.col("prediction"), F.lit(400.0)))
+    return _cv(spark, d).agg(r6((nll - T.log_prior(NOISE_PRIOR)) / 1000).alias("nll"))
 
 
 @add("loo_rmse", f"WITH {EV}, s AS (SELECT avg(feature) AS mx, avg(target) AS my, count(*) AS n, var_pop(feature) * count(*) AS sxx, regr_slope(target, feature) AS b FROM ev) SELECT round(avg(abs(((target - my) - b * (feature - mx)) / (1 - 1.0 / n - (feature - mx) ** 2 / sxx))), 6) AS rmse FROM ev, s")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from sparkreg.functions import kernels as KF
-from sparkreg.functions.storage import materialise, new_folder
+from sparkreg.functions.storage import bounded_broadcast, materialise, new_folder
 from sparkreg.jobs.common import EV, LI, Registry, events, lines, r6, table
 from sparkreg.jobs.models import KERNEL, SPARSE, _grid, _points, _shown, _users, fifty
 from sparkreg.operators import gp as GP
@@ -124,30 +124,33 @@ def _(spark, d):
     return T.proposal_table(rows).select("name.user_id", "name.name", F.round("query", 4).alias("query"))
 
 
-def _objective(rows):
-    """Mean squared error of y against a + b x for every parameter set, from power sums."""
-    sums = F.broadcast(rows.agg(*U.power_sums(F.col("x"), F.col("y")), F.sum(F.col("y") * F.col("y")).alias("syy")))
+def _squares(rows, *by):
+    """Mean squared error of y against a + b x for every parameter set (and group of rows), from power sums."""
+    sums = materialise(rows.groupBy(*by).agg(*U.power_sums(F.col("x"), F.col("y")), F.sum(F.col("y") * F.col("y")).alias("syy")), "sums")
 
     def value(sets):
         a, b = F.col("a"), F.col("b")
         square = F.col("syy") + a * a * F.col("n") + b * b * F.col("sxx") - 2 * a * F.col("sy") - 2 * b * F.col("sxy") + 2 * a * b * F.col("sx")
-        return sets.crossJoin(sums).select("set_id", (square / F.col("n")).alias("value"))
+        return sets.join(bounded_broadcast(sums)).select("set_id", *by, (square / F.col("n")).alias("value"))
 
     return value
 
 
-@add("evaluate_param_sets", f"WITH {LI}, ps AS (SELECT user_id AS set_id, avg(value) / 10 AS a FROM events GROUP BY 1) SELECT set_id, round(avg((y - a - 1.5 * x) ** 2), 6) AS value FROM li, ps WHERE flag = 'R' GROUP BY 1")
+def _objective(rows):
+    return _squares(rows)
+
+
+@add("evaluate_param_sets", f"WITH {LI}, ps AS (SELECT user_id AS set_id, avg(value) / 10 AS a FROM events GROUP BY 1) SELECT set_id, round(avg((y - a - 1.5 * x) ** 2), 6) AS value FROM li, ps GROUP BY 1")
 def _(spark, d):
     sets = events(spark, d).groupBy(F.col("user_id").alias("set_id")).agg((F.avg("target") / 10).alias("a")).withColumn("b", F.lit(1.5))
-    return _objective(lines(spark, d).where("flag = 'R'"))(sets).select("set_id", r6("value").alias("value"))
+    return _objective(lines(spark, d))(sets).select("set_id", r6("value").alias("value"))
 
 
 @add("evaluate_over_datasets", f"WITH {LI}, ps AS (SELECT user_id AS set_id, avg(value) / 10 AS a FROM events GROUP BY 1), m AS (SELECT set_id, flag, avg((y - a - 1.5 * x) ** 2) AS value FROM li, ps GROUP BY 1, 2) SELECT set_id, round(avg(value), 6) AS value FROM m GROUP BY 1")
 def _(spark, d):
     """Each return flag a dataset of its own; the mean of their objectives."""
     sets = events(spark, d).groupBy(F.col("user_id").alias("set_id")).agg((F.avg("target") / 10).alias("a")).withColumn("b", F.lit(1.5))
-    flags = [r.flag for r in lines(spark, d).select("flag").distinct().orderBy("flag").limit(100).collect()]  # one dataset a flag
-    return T.over_datasets([_objective(lines(spark, d).where(F.col("flag") == f)) for f in flags])(materialise(sets, "sets")).select("set_id", r6("value").alias("value"))
+    return T.over_dataset_table(_squares(lines(spark, d), "flag"))(sets).select("set_id", r6("value").alias("value"))
 
 
 @add("tune_gp")

@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkreg.functions.joins import is_small
@@ -332,15 +332,15 @@ def log_likelihood(kernel: Kernel, x: np.ndarray, y: np.ndarray, mean: Mean = ze
     return float(-0.5 * (r @ r) + np.log(np.diag(root)).sum() - 0.5 * len(y) * np.log(2 * np.pi))
 
 
-def log_likelihoods(df: DataFrame, kernel: Kernel, key: str = "key", mean: Mean = zero, with_variance: bool = False, max_rows: int = MAX_ROWS, prior: float = 0.0) -> DataFrame:
-    """(key, log_likelihood) of the rows of each key. prior: the log density of the parameters (``tuning.log_prior``), which is
-    added."""
+def log_likelihoods(df: DataFrame, kernel: Kernel, key: str = "key", mean: Mean = zero, with_variance: bool = False, max_rows: int = MAX_ROWS, prior: Column | float = 0.0) -> DataFrame:
+    """(key, log_likelihood) of the rows of each key, with the log density of the parameters (``tuning.prior_log_pdf``) added."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y, v = arrays(pdf)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "log_likelihood": [prior + log_likelihood(kernel, x, y, mean, v if with_variance else None)]})
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "log_likelihood": [log_likelihood(kernel, x, y, mean, v if with_variance else None)]})
 
-    return per_group(df, run, f"{key} {dict(df.dtypes)[key]}, log_likelihood double", key, max_rows)
+    found = per_group(df, run, f"{key} {dict(df.dtypes)[key]}, log_likelihood double", key, max_rows)
+    return found.withColumn("log_likelihood", F.col("log_likelihood") + prior)
 
 
 def leave_one_out(fit: Fit, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -79,6 +79,11 @@ def prior_log_pdf(kind: Column, value: Column, a: Column, b: Column, corrected:
     return F.when(kind == "uniform", uniform).when(kind == "log_scale_uniform", log_uniform).when(kind == "gaussian", normal).when(kind == "log_normal", log_normal).otherwise(0.0)
 
 
+def log_prior(priors: list[tuple[str, float, float, float]]) -> Column:
+    """The log density of parameters given as (kind, value, a, b), as one Column."""
+    return reduce(lambda s, p: s + prior_log_pdf(*map(F.lit, p)), priors, F.lit(0.0))
+
+
 def evaluate(spark: SparkSession, sets: list[dict[str, float]], objective: Objective) -> list[float]:
     """The objective of each parameter set, by one job."""
     names = sorted(sets[0])
@@ -97,6 +102,11 @@ def over_datasets(objectives: list[Objective], aggregate: Callable[[str], Column
     return value
 
 
+def over_dataset_table(values: Objective, aggregate: Callable[[str], Column] = F.avg) -> Objective:
+    """The same for datasets that are a column of a table, however many: values gives (set_id, dataset, value)."""
+    return lambda sets: values(sets).groupBy("set_id").agg(aggregate("value").alias("value"))
+
+
 FitMetric = Callable[[Fit, np.ndarray, np.ndarray], float]
 
 

@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sparkreg.functions.kernels import Kernel
 from sparkreg.functions.order import spread
-from sparkreg.operators.gp import Fit, Mean, features, zero
+from sparkreg.operators.gp import Mean, arrays, zero
 from sparkreg.operators.linear import line, power_sums
 from sparkreg.operators.sparse_gp import SparseFit, fit_sparse_gp
 
@@ -122,6 +122,24 @@ def stream_kalman_filter(rows: DataFrame, k: Callable[[float], float], noise: fl
     return rows.select(key, "row_id", "feature", "target").groupBy(key).applyInPandasWithState(run, schema, "x double, p double, last double, late long", "append", GroupStateTimeout.NoTimeout)
 
 
+def grow(kernel: Kernel, x: np.ndarray, y: np.ndarray, variance: np.ndarray, mean: Mean = zero) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and variance at each row given the rows up to it. The inverse factor grows by a row in place: two products with it a step."""
+    n, residual = len(x), y - mean(x)
+    root, w, means, variances = np.zeros((n, n)), np.zeros(n), np.empty(n), np.empty(n)
+    prior = kernel.diagonal(x)
+    for i in range(n):
+        now, upto = slice(i, i + 1), slice(0, i + 1)
+        old = root[:i, :i]
+        b = old @ kernel.measured(x[:i], x[now])[:, 0]
+        own = kernel.measured(x[now], x[now])[0, 0] + variance[i]
+        corner = 1 / np.sqrt(max(own - b @ b, 1e-12 * own))
+        root[i, :i], root[i, i] = -corner * (b @ old), corner
+        w[i] = corner * (residual[i] - b @ w[:i])
+        half = root[upto, upto] @ kernel.matrix(x[upto], x[now])[:, 0]
+        means[i], variances[i] = half @ w[upto], prior[i] - half @ half
+    return means + mean(x), variances
+
+
 def iterative_gp(rows: DataFrame, kernel: Kernel, key: str = "key", mean: Mean = zero, max_rows: int = 2000) -> DataFrame:
     """(key, row_id, mean, variance): the estimate at each row from the rows up to it; the factor grows a row a step."""
 
@@ -129,12 +147,8 @@ def iterative_gp(rows: DataFrame, kernel: Kernel, key: str = "key", mean: Mean =
         if len(pdf) > max_rows:
             raise ValueError(f"group {pdf[key].iloc[0]} has {len(pdf)} rows; at most {max_rows}")
         pdf = pdf.sort_values("row_id")
-        x, y, var = features(pdf["feature"]), pdf["target"].to_numpy(float), pdf["target_variance"].to_numpy(float)
-        fit, out = None, []
-        for i in range(len(x)):
-            now = slice(i, i + 1)
-            fit = Fit.of(kernel, x[now], y[now], var[now], mean) if fit is None else fit.update(kernel, x[now], y[now], var[now], mean)
-            out.append(fit.marginal(kernel, x[now], mean))
-        return pd.DataFrame({key: pdf[key], "row_id": pdf["row_id"], "mean": [m[0] for m, _ in out], "variance": [v[0] for _, v in out]})
+        x, y, var = arrays(pdf)
+        m, v = grow(kernel, x, y, var, mean)
+        return pd.DataFrame({key: pdf[key], "row_id": pdf["row_id"], "mean": m, "variance": v})
 
     return spread(rows, key).groupBy(key).applyInPandas(run, f"{key} {dict(rows.dtypes)[key]}, row_id long, mean double, variance double")
