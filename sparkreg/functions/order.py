@@ -27,7 +27,7 @@ def global_row_number(df: DataFrame, *keys, name: str = "row_number") -> DataFra
     return placed.join(F.broadcast(offsets), "__pid").withColumn(name, number).drop("__pid", "__mid", "__before")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df dealt out by keys to spark.sql.shuffle.partitions tasks, for groups that cost more than their bytes tell: adaptive
-    execution would merge small partitions, and so run all groups of a narrow table in one task."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+def spread(df: DataFrame, *keys: str, tasks: int | None = None) -> DataFrame:
+    """df dealt out by keys to ``tasks`` (spark.sql.shuffle.partitions) tasks, for groups that cost more than their bytes tell:
+    adaptive execution would merge small partitions, and so run all groups of a narrow table in one task."""
+    return df.repartition(tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -260,6 +260,65 @@ def _(spark, d):
     return SG.predict_sparse_gp(events(spark, d), SPARSE, fit, fifty).select("row_id", F.round("mean", 2).alias("mean"))
 
 
+# ---- a sparse process a user
+
+
+def _user_points(spark, d, n: int = 12):
+    """Inducing points of every user: n places from its first event to its last."""
+    ends = _users(spark, d).groupBy("key").agg(F.min("feature").alias("a"), F.max("feature").alias("b"))
+    return ends.select("key", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.col("a") + j * (F.col("b") - F.col("a")) / (n - 1)).alias("u"))
+
+
+def _user_fits(spark, d, group: str | None = None):
+    rows = _users(spark, d).withColumn("day", F.floor(F.col("feature") / 24))
+    return SG.update_sparse_gps(SG.prior_fits(_user_points(spark, d), SPARSE), rows, SPARSE, group=group, mean=fifty)
+
+
+def _keyed_shown(df):
+    return df.select("key", "row_id", F.round("mean", 3).alias("mean"), F.round("variance", 3).alias("variance"))
+
+
+@add("fit_sparse_gp_by_key")
+def _(spark, d):
+    fits = _user_fits(spark, d, "day")
+    return fits.select("key", "m", "n", F.round("log_det_a", 3).alias("log_det"), F.round("squares", 2).alias("squares"))
+
+
+@add("predict_sparse_gp_by_key")
+def _(spark, d):
+    return _keyed_shown(SG.predict_sparse_gps(_user_fits(spark, d), _grid(spark, d), SPARSE, mean=fifty))
+
+
+@add("sparse_gp_update_by_key")
+def _(spark, d):
+    """Fits to the first forty events of every user, then the others."""
+    rows = _users(spark, d)
+    fits = SG.update_sparse_gps(SG.prior_fits(_user_points(spark, d), SPARSE), rows.where("row_id <= 40"), SPARSE, mean=fifty)
+    fits = SG.update_sparse_gps(fits, rows.where("row_id > 40"), SPARSE, mean=fifty)
+    return _keyed_shown(SG.predict_sparse_gps(fits, _grid(spark, d), SPARSE, mean=fifty))
+
+
+@add("rebase_inducing_points_by_key")
+def _(spark, d):
+    fits = SG.rebase_sparse_gps(_user_fits(spark, d), _user_points(spark, d, 16), SPARSE)
+    return SG.predict_sparse_gps(fits, _grid(spark, d), SPARSE, mean=fifty).select("key", "row_id", F.round("mean", 1).alias("mean"))
+
+
+@add("sparse_gp_logo")
+def _(spark, d):
+    """Every event as the events of all other types predict it."""
+    found = SG.logo_sparse_gp(events(spark, d), SPARSE, _points(spark, d), "key", mean=fifty)
+    return found.select("key", "row_id", F.round("mean", 3).alias("mean"), F.round("variance", 3).alias("variance"))
+
+
+@add("sparse_gp_logo_joint")
+def _(spark, d):
+    """The joint prediction of every day of a user's events by all other days of all users."""
+    rows = events(spark, d).select(day_of_user().alias("day"), "row_id", "feature", "target", "target_variance")
+    found = SG.logo_sparse_gp_joint(rows, SPARSE, _points(spark, d), "day", mean=fifty)
+    return found.select("day", "i", "j", F.round("mean", 3).alias("mean"), F.round("cov", 3).alias("cov"))
+
+
 # ---- folds
 
 

@@ -203,7 +203,7 @@ def update_gp(fits: DataFrame, df: DataFrame, kernel: Kernel, key: str = "key",
     return spread(fits, key).groupBy(key).cogroup(spread(training(df, key), key).groupBy(key)).applyInPandas(update, fit_schema(key, dict(df.dtypes)[key]))
 
 
-def _with_fits(fits: DataFrame, rows: DataFrame, f: Callable[[Fit, pd.DataFrame], pd.DataFrame], schema: str, key: str, part_rows: int, together: str | None = None) -> DataFrame:
+def with_fits(fits: DataFrame, rows: DataFrame, f: Callable[[Fit, pd.DataFrame], pd.DataFrame], schema: str, key: str, part_rows: int, together: str | None = None, unpack: Callable = Fit.unpack) -> DataFrame:
     """f(fit, rows) where fits and rows meet by key. Keys of over part_rows rows are dealt out in parts of about that many,
     each of which gets the fit; rows that agree in the column ``together`` stay in one part. Rows without a fit are left out."""
     large = materialise(rows.groupBy(F.col(key).alias("__k")).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > part_rows), "large-keys")
@@ -217,7 +217,7 @@ def _with_fits(fits: DataFrame, rows: DataFrame, f: Callable[[Fit, pd.DataFrame]
     def run(fit: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(fit) or not len(own):
             return pd.DataFrame({c: [] for c in names})
-        return f(Fit.unpack(fit.iloc[0]), own.sort_values("row_id"))
+        return f(unpack(fit.iloc[0]), own.sort_values("row_id"))
 
     fits, rows = (spread(t, key, "__part").groupBy(key, "__part") for t in (fits, rows))
     return fits.cogroup(rows).applyInPandas(run, schema)
@@ -229,8 +229,8 @@ _HELD_BYTES = 64 << 20  # of unpacked fits that a worker keeps
 class _Held:
     """Fits of a table that was sent, unpacked when they are asked for; those used last are kept."""
 
-    def __init__(self, table: pa.Table, key: str) -> None:
-        self.table, self.kept, self.bytes = table, OrderedDict(), 0
+    def __init__(self, table: pa.Table, key: str, unpack: Callable) -> None:
+        self.table, self.unpack, self.kept, self.bytes = table, unpack, OrderedDict(), 0
         self.at = {k: i for i, k in enumerate(table.column(key).to_pylist())}
 
     def get(self, key) -> Fit | None:
@@ -239,7 +239,8 @@ class _Held:
             return None
         if key not in self.kept:
             i = self.at[key]
-            self.kept[key] = Fit.unpack({c: self.table.column(c)[i].as_py() if c != "root" else self.table.column(c)[i].values.to_numpy() for c in self.table.column_names})
+            own = {c: self.table.column(c)[i] for c in self.table.column_names}
+            self.kept[key] = self.unpack({c: v.values.to_numpy() if c in ("root", "x") else v.as_py() for c, v in own.items()})
             self.bytes += self.kept[key].root.nbytes
         self.kept.move_to_end(key)
         while self.bytes > _HELD_BYTES and len(self.kept) > 1:
@@ -247,12 +248,12 @@ class _Held:
         return self.kept[key]
 
 
-def _mapped(fits: DataFrame, rows: DataFrame, f: Callable[[Fit, pd.DataFrame], pd.DataFrame], schema: str, key: str) -> DataFrame:
+def _mapped(fits: DataFrame, rows: DataFrame, f: Callable[[Fit, pd.DataFrame], pd.DataFrame], schema: str, key: str, unpack: Callable = Fit.unpack) -> DataFrame:
     """f(fit, rows of its key in a batch) where the rows are: no row moves. fits are few enough to be sent."""
     sent = rows.sparkSession.sparkContext.broadcast(fits.toArrow())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = _Held(sent.value, key)
+        held = _Held(sent.value, key, unpack)
         for pdf in batches:
             found = [f(fit, own) for k, own in pdf.groupby(key, sort=False, dropna=False) if (fit := held.get(k)) is not None]
             if found:
@@ -261,6 +262,12 @@ def _mapped(fits: DataFrame, rows: DataFrame, f: Callable[[Fit, pd.DataFrame], p
     return rows.mapInPandas(run, schema)
 
 
+def meet(fits: DataFrame, rows: DataFrame, f: Callable[[Fit, pd.DataFrame], pd.DataFrame], schema: str, key: str, part_rows: int, unpack: Callable = Fit.unpack) -> DataFrame:
+    """f(fit, rows): fits that are small together go to the rows; else both meet by key. Rows without a fit are left out."""
+    fits = materialise(fits, "fits")
+    return _mapped(fits, rows, f, schema, key, unpack) if is_small(fits) else with_fits(fits, rows, f, schema, key, part_rows, None, unpack)
+
+
 def predict_gp(fits: DataFrame, rows: DataFrame, kernel: Kernel, key: str = "key", mean: Mean = zero, measured: bool = False, part_rows: int = 100_000) -> DataFrame:
     """(key, row_id, mean, variance) of rows by the fit of their key; rows without a fit are left out.
 
@@ -272,10 +279,7 @@ def predict_gp(fits: DataFrame, rows: DataFrame, kernel: Kernel, key: str = "key
         return pd.DataFrame({key: part[key], "row_id": part["row_id"], "mean": m, "variance": v})
 
     rows, schema = rows.select(key, "row_id", "feature"), f"{key} {dict(rows.dtypes)[key]}, row_id long, mean double, variance double"
-    fits = materialise(fits, "gp-fits")
-    if is_small(fits):
-        return _mapped(fits, rows, marginal, schema, key)
-    return _with_fits(fits, rows, marginal, schema, key, part_rows)
+    return meet(fits, rows, marginal, schema, key, part_rows)
 
 
 def joint_rows(key: dict, ids: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> pd.DataFrame:
@@ -308,7 +312,7 @@ def predict_gp_joint(fits: DataFrame, rows: DataFrame, kernel: Kernel, block: st
         return pd.DataFrame({key: part[key].iloc[0], block: blocks[at], "i": ids[i], "j": ids[j], "mean": np.concatenate(means), "cov": np.concatenate(covs)})
 
     schema = f"{key} {kind[key]}, {block} {kind[block]}, i long, j long, mean double, cov double"
-    return _with_fits(fits, rows.select(key, "row_id", block, "feature"), joint, schema, key, part_rows, block)
+    return with_fits(fits, rows.select(key, "row_id", block, "feature"), joint, schema, key, part_rows, block)
 
 
 def per_group(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str = "key", max_rows: int = MAX_ROWS) -> DataFrame:
@@ -411,7 +415,7 @@ def predict_from_prediction(fits: DataFrame, anchors: DataFrame, rows: DataFrame
 
     fit_kernel: the kernel of fits where it is another; kernel is that of the new fits.
     """
-    fits = _with_fits(fits, anchors.select(key, "row_id", "feature"), lambda fit, own: _summary(fit, own, kernel, fit_kernel or kernel, key, mean), f"{key} {dict(rows.dtypes)[key]}, n long, d int, x array<double>, explained array<double>, information array<double>", key, 10**9)
+    fits = with_fits(fits, anchors.select(key, "row_id", "feature"), lambda fit, own: _summary(fit, own, kernel, fit_kernel or kernel, key, mean), f"{key} {dict(rows.dtypes)[key]}, n long, d int, x array<double>, explained array<double>, information array<double>", key, 10**9)
 
     def predict(packed: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(packed) or not len(own):

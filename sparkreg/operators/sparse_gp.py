@@ -3,23 +3,27 @@
 Given m inducing points u, groups of rows are independent. Each group contributes the triangle of [L^-1 K_fu | L^-1 (y - mean)]
 with L the Cholesky factor of its own block K_ff + D - Q_ff; triangles add up by QR, so only (m+1) x (m+1) matrices are
 shuffled, in any order. A fit is the reduced triangle that starts from the root of K_uu; an update starts from the fit's.
+
+A fit is an object of the driver (one process over a table), or a row of a table of fits (a process a key). A task folds all
+its rows into one triangle a key before anything is written.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkreg.functions.kernels import Kernel
 from sparkreg.functions.order import spread
-from sparkreg.functions.storage import materialise
-from sparkreg.operators.gp import MAX_ROWS, Mean, cholesky, features, inverse_lower, joint_rows, per_group, zero
+from sparkreg.functions.storage import is_small, materialise
+from sparkreg.functions.typed import features
+from sparkreg.operators.gp import MAX_ROWS, Mean, cholesky, inverse_lower, joint_rows, meet, per_group, with_fits, zero
 from sparkreg.operators.linear import reduce_triangles, triangle
 
 
@@ -34,6 +38,36 @@ class SparseFit:
     squares: float = 0.0
     rows: int = 0
 
+    @classmethod
+    def prior(cls, kernel: Kernel, u: np.ndarray, nugget: float = 1e-8) -> SparseFit:
+        """The fit to no rows."""
+        u = np.asarray(u, float)
+        low, m = cholesky(kernel.matrix(u, u) + nugget * np.eye(len(u))), len(u)
+        r = np.zeros((m + 1, m + 1))
+        r[:m, :m] = low.T
+        return cls(u, low, r)
+
+    def plus(self, r: np.ndarray, log_det: float, squares: float, n: int) -> SparseFit:
+        """With the triangle of more rows. What the points leave unexplained (the last row) is not carried on."""
+        return SparseFit(self.u, self.low, triangle(np.vstack([self.r[:-1], r])), self.log_det_a + log_det, self.squares + squares, int(self.rows + n))
+
+    def minus(self, r: np.ndarray, log_det: float, squares: float, n: int) -> SparseFit:
+        """Without the rows of that triangle: R'R - T'T = R' (I - S'S) R with S = T R^-1, whose middle has a root."""
+        root, z = self.root, self.r[:-1, -1]
+        s = np.linalg.solve(root.T, r[:, :-1].T).T
+        middle = np.eye(len(root)) - s.T @ s
+        values, vectors = np.linalg.eigh((middle + middle.T) / 2)
+        scale = np.sqrt(np.maximum(values, 1e-15))
+        out = np.zeros_like(self.r)
+        out[:-1, :-1] = (vectors * scale).T @ root
+        out[:-1, -1] = (vectors.T @ (z - s.T @ r[:, -1])) / scale
+        out[:-1] = np.linalg.qr(out[:-1], mode="r")
+        return SparseFit(self.u, self.low, out, self.log_det_a - log_det, self.squares - squares, int(self.rows - n))
+
+    def packed(self) -> dict:
+        u = np.asarray(self.u, float)
+        return {"m": len(u), "d": 0 if u.ndim == 1 else u.shape[1], "u": u.tobytes(), "low": self.low.tobytes(), "r": np.ascontiguousarray(self.r).tobytes(), "log_det_a": float(self.log_det_a), "squares": float(self.squares), "n": int(self.rows)}
+
     @property
     def root(self) -> np.ndarray:
         return self.r[:-1, :-1]
@@ -54,15 +88,15 @@ class SparseFit:
     def mean(self, kernel: Kernel, x: np.ndarray, mean: Mean = zero) -> np.ndarray:
         return kernel.matrix(x, self.u) @ self.v + mean(x)
 
-    def joint(self, kernel: Kernel, x: np.ndarray, mean: Mean = zero) -> tuple[np.ndarray, np.ndarray]:
+    def joint(self, kernel: Kernel, x: np.ndarray, mean: Mean = zero, measured: bool = False) -> tuple[np.ndarray, np.ndarray]:
         cross = kernel.matrix(x, self.u)
         q, s = self.prior_root @ cross.T, self.post_root @ cross.T
-        return cross @ self.v + mean(x), kernel.matrix(x, x) - q.T @ q + s.T @ s
+        return cross @ self.v + mean(x), kernel.between(x, x, measured, measured) - q.T @ q + s.T @ s
 
-    def marginal(self, kernel: Kernel, x: np.ndarray, mean: Mean = zero) -> tuple[np.ndarray, np.ndarray]:
+    def marginal(self, kernel: Kernel, x: np.ndarray, mean: Mean = zero, measured: bool = False) -> tuple[np.ndarray, np.ndarray]:
         cross = kernel.matrix(x, self.u)
         q, s = self.prior_root @ cross.T, self.post_root @ cross.T
-        return cross @ self.v + mean(x), kernel.diagonal(x) - (q**2).sum(0) + (s**2).sum(0)
+        return cross @ self.v + mean(x), kernel.diagonal(x, measured) - (q**2).sum(0) + (s**2).sum(0)
 
     def log_likelihood(self) -> float:
         """log|K| = log|A| + 2 log|R| - log|K_uu|; the quadratic form is b'b less what the triangle explains."""
@@ -72,9 +106,7 @@ class SparseFit:
 
     def table(self, spark: SparkSession, batch: int = -1) -> DataFrame:
         """The fit as one row, to be written; batch: the last micro-batch that it holds."""
-        u = np.asarray(self.u, float)
-        row = (batch, len(u), 0 if u.ndim == 1 else u.shape[1], u.tobytes(), self.low.tobytes(), self.r.tobytes(), float(self.log_det_a), float(self.squares), int(self.rows))
-        return spark.createDataFrame([row], "last long, m int, d int, u binary, low binary, r binary, log_det_a double, squares double, n long")
+        return spark.createDataFrame([(batch, *self.packed().values())], "last long, m int, d int, u binary, low binary, r binary, log_det_a double, squares double, n long")
 
     @classmethod
     def from_row(cls, row) -> SparseFit:
@@ -97,7 +129,12 @@ class SparseFit:
         return SparseFit(u, low, r, self.log_det_a, self.squares, self.rows)
 
 
+BLOCKS = "r binary, log_det double, squares double, n long"
+_FLUSH_BYTES = 64 << 20  # of triangles that a task holds
+
+
 def _block(kernel: Kernel, u: np.ndarray, prior_root: np.ndarray, pdf: pd.DataFrame, mean: Mean, nugget: float, each_alone: bool) -> tuple[np.ndarray, float, float]:
+    """(rows [L^-1 K_fu | L^-1 (y - mean)], log determinant, sum of squares) of rows that depend on each other, or of each alone."""
     x = features(pdf["feature"])
     cross = kernel.matrix(x, u)
     half = prior_root @ cross.T
@@ -111,7 +148,84 @@ def _block(kernel: Kernel, u: np.ndarray, prior_root: np.ndarray, pdf: pd.DataFr
         a = cholesky(kernel.measured(x, x) + np.diag(noise) - half.T @ half)
         both = inverse_lower(a) @ np.column_stack([cross, y])
         b, c, log_det = both[:, :-1], both[:, -1], 2 * np.log(np.diag(a)).sum()
-    return triangle(np.column_stack([b, c])), float(log_det), float(c @ c)
+    return np.column_stack([b, c]), float(log_det), float(c @ c)
+
+
+class _Total:
+    """The blocks of one key so far: rows wait until there are a few times as many as columns."""
+
+    def __init__(self) -> None:
+        self.waiting: list[np.ndarray] = []
+        self.held = self.n = 0
+        self.log_det = self.squares = 0.0
+
+    def add(self, block: tuple[np.ndarray, float, float], n: int) -> None:
+        self.waiting.append(block[0])
+        self.held += len(block[0])
+        self.log_det, self.squares, self.n = self.log_det + block[1], self.squares + block[2], self.n + n
+        if self.held > 4 * block[0].shape[1]:
+            self.reduce()
+
+    def reduce(self) -> np.ndarray:
+        self.waiting = [triangle(np.vstack(self.waiting))]
+        self.held = len(self.waiting[0])
+        return self.waiting[0]
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], names: list[str], max_rows: int) -> Iterator[pd.DataFrame]:
+    """The same rows, sorted by names, cut so that no group of equal names is divided: the last of a batch waits for the next."""
+    rest = None
+    for pdf in batches:
+        pdf = pdf if rest is None else pd.concat([rest, pdf])
+        codes = [pd.factorize(pdf[c], use_na_sentinel=False)[0] for c in names]
+        changes = np.flatnonzero(np.any([np.diff(c) != 0 for c in codes], axis=0)) if len(pdf) else np.empty(0, int)
+        lo = int(changes[-1]) + 1 if len(changes) else 0
+        if lo:
+            yield pdf.iloc[:lo]
+        rest = pdf.iloc[lo:]
+        if len(rest) > max_rows:
+            raise ValueError(f"group {rest[names[-1]].iloc[0]} has more than {max_rows} rows, which depend on each other")
+    if rest is not None and len(rest):
+        yield rest
+
+
+Points = Callable[[object], tuple[np.ndarray, np.ndarray] | None]  # a key's inducing points and the inverse root of their prior
+
+
+def _folder(kernel: Kernel, mean: Mean, nugget: float, keys: list[str], group: str | None, max_rows: int) -> Callable[[Points, Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Folds the rows of a task into one triangle for each of its keys (none: one in all)."""
+
+    def run(points: Points, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict = {}
+
+        def flush() -> pd.DataFrame:
+            out = pd.DataFrame({**{k: list(totals) for k in keys}, "r": [t.reduce().tobytes() for t in totals.values()], "log_det": [t.log_det for t in totals.values()], "squares": [t.squares for t in totals.values()], "n": [t.n for t in totals.values()]})
+            totals.clear()
+            return out
+
+        for pdf in whole_groups(batches, [*keys, group], max_rows) if group else batches:
+            by = [*keys, *([group] if group else [])]
+            for name, own in pdf.groupby(by, sort=False, dropna=False) if by else [((), pdf)]:
+                k = _plain(name[0]) if keys else None
+                if not len(own) or (at := points(k)) is None:
+                    continue
+                if group and len(own) > max_rows:
+                    raise ValueError(f"group {own[group].iloc[0]} has {len(own)} rows; at most {max_rows} depend on each other")
+                totals.setdefault(k, _Total()).add(_block(kernel, *at, own, mean, nugget, group is None), len(own))
+            if sum(t.held * t.waiting[0].shape[1] * 8 for t in totals.values()) > _FLUSH_BYTES:
+                yield flush()
+        if totals:
+            yield flush()
+
+    return run
+
+
+def _plain(value):
+    return None if value is None or value != value else value
+
+
+def _needed(df: DataFrame, *names: str | None) -> DataFrame:
+    return df.select(*dict.fromkeys(n for n in names if n), "feature", "target", "target_variance")
 
 
 def fit_sparse_gp(
@@ -119,43 +233,184 @@ def fit_sparse_gp(
 ) -> SparseFit:
     """Fit rows (feature, target, target_variance); group None: every row by itself (FITC), which needs no shuffle.
 
+    A task gives back one triangle, whatever its rows; groups are sorted together and folded as they stream by.
     start: a fit to update with these rows, on its own inducing points.
     """
-    u = np.asarray(u if start is None else start.u, float)
-    m = len(u)
-    low = cholesky(kernel.matrix(u, u) + inducing_nugget * np.eye(m)) if start is None else start.low
-    prior_root = inverse_lower(low)
-    schema = "r binary, log_det double, squares double, n long"
+    start = start or SparseFit.prior(kernel, u, inducing_nugget)
+    at, m = (start.u, start.prior_root), len(start.u)
+    run = _folder(kernel, mean, nugget, [], group, max_rows)
+    rows = _needed(df, group)
+    if group:
+        rows = spread(rows, group).sortWithinPartitions(group)
+    blocks = materialise(rows.mapInPandas(lambda batches: run(lambda _: at, batches), BLOCKS), "sparse-blocks")
+    sums = blocks.agg(F.sum("log_det").alias("d"), F.sum("squares").alias("s"), F.sum("n").alias("n")).first()
+    return start.plus(reduce_triangles(blocks, m + 1), sums.d or 0.0, sums.s or 0.0, sums.n or 0)
 
-    def pack(block: tuple[np.ndarray, float, float], n: int) -> pd.DataFrame:
-        return pd.DataFrame({"r": [block[0].tobytes()], "log_det": [block[1]], "squares": [block[2]], "n": [n]})
 
-    if group is None:
+# ---- one fit a key
 
-        def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if len(pdf):
-                    yield pack(_block(kernel, u, prior_root, pdf, mean, nugget, True), len(pdf))
 
-        blocks = df.select("feature", "target", "target_variance").mapInPandas(alone, schema)
-    else:
+def fits_schema(key: str, kind: str) -> str:
+    return f"{key} {kind}, m int, d int, u binary, low binary, r binary, log_det_a double, squares double, n long"
+
 
-        def together(pdf: pd.DataFrame) -> pd.DataFrame:
-            if len(pdf) > max_rows:
-                raise ValueError(f"group {pdf[group].iloc[0]} has {len(pdf)} rows; at most {max_rows} depend on each other")
-            return pack(_block(kernel, u, prior_root, pdf, mean, nugget, False), len(pdf))
+def prior_fits(points: DataFrame, kernel: Kernel, key: str = "key", inducing_nugget: float = 1e-8) -> DataFrame:
+    """Fits without rows, from inducing points (key, u): u an array of numbers, or of arrays of numbers."""
+
+    def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = [SparseFit.prior(kernel, _points_of(u), inducing_nugget).packed() for u in pdf["u"]]
+            if made:
+                yield pd.DataFrame(made).assign(**{key: pdf[key].to_numpy()})[[key, *made[0]]]
+
+    return points.select(key, "u").mapInPandas(start, fits_schema(key, dict(points.dtypes)[key]))
+
+
+def _points_of(u) -> np.ndarray:
+    return np.stack([np.asarray(v, float) for v in u]) if len(u) and not np.isscalar(u[0]) else np.asarray(u, float)
+
+
+def update_sparse_gps(fits: DataFrame, df: DataFrame, kernel: Kernel, key: str = "key", group: str | None = None, mean: Mean = zero, *, nugget: float = 1e-12, max_rows: int = MAX_ROWS, part_rows: int = 100_000) -> DataFrame:
+    """Fits of every key with the rows of df added; keys without rows keep theirs, rows of keys without a fit are left out.
+
+    Fits that are small together go to the rows: a task folds its rows into one triangle a key (FITC without a shuffle; groups
+    sorted by key and group). Else fits and rows meet by key, large keys in parts. A key's triangles are merged 16 to 1.
+    """
+    kind, fits = dict(df.dtypes)[key], materialise(fits, "sparse-fits")
+    blocks = materialise(_key_blocks(fits, df, kernel, key, group, mean, nugget, max_rows, part_rows), "sparse-blocks")
+    blocks = merged_by_key(blocks, key)
 
-        blocks = spread(df.select(group, "feature", "target", "target_variance"), group).groupBy(group).applyInPandas(together, schema)
-    blocks = materialise(blocks, "sparse-blocks")
+    def add(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        if not len(old) or not len(new):
+            return old
+        fit, row = SparseFit.from_row(old.iloc[0]), new.iloc[0]
+        width = len(fit.u) + 1
+        return pd.DataFrame([{key: old[key].iloc[0], **fit.plus(np.frombuffer(row["r"]).reshape(width, width), row["log_det"], row["squares"], row["n"]).packed()}])
+
+    return spread(fits, key).groupBy(key).cogroup(spread(blocks, key).groupBy(key)).applyInPandas(add, fits_schema(key, kind))
+
+
+def _key_blocks(fits: DataFrame, df: DataFrame, kernel: Kernel, key: str, group: str | None, mean: Mean, nugget: float, max_rows: int, part_rows: int) -> DataFrame:
+    run, kind = _folder(kernel, mean, nugget, [key], group, max_rows), dict(df.dtypes)[key]
+    schema = f"{key} {kind}, {BLOCKS}"
+    if is_small(fits):
+        rows = _needed(df, key, group)
+        if group:
+            rows = spread(rows, key, group).sortWithinPartitions(key, group)
+        sent = df.sparkSession.sparkContext.broadcast(fits.select(key, "m", "d", "u", "low").toArrow())
+
+        def folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = _HeldPoints(sent.value, key)
+            yield from run(held.get, batches)
+
+        return rows.mapInPandas(folded, schema)
+    single = _folder(kernel, mean, nugget, [], group, max_rows)
+
+    def own(fit: SparseFit, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(group) if group else part
+        return pd.concat(list(single(lambda _: (fit.u, fit.prior_root), iter([part])))).assign(**{key: part[key].iloc[0]})[[key, "r", "log_det", "squares", "n"]]
+
+    rows = df.select(*dict.fromkeys(n for n in (key, group, "row_id", "feature", "target", "target_variance") if n))
+    return with_fits(fits, rows, own, schema, key, part_rows, group, SparseFit.from_row)
+
+
+class _HeldPoints:
+    """Inducing points and inverse prior roots of the keys that a task has met."""
+
+    def __init__(self, table, key: str) -> None:
+        self.table, self.at, self.kept = table, {k: i for i, k in enumerate(table.column(key).to_pylist())}, {}
+
+    def get(self, key) -> tuple[np.ndarray, np.ndarray] | None:
+        if key not in self.at:
+            return None
+        if key not in self.kept:
+            row = {c: self.table.column(c)[self.at[key]].as_py() for c in ("m", "d", "u", "low")}
+            u = np.frombuffer(row["u"])
+            self.kept[key] = (u.reshape(row["m"], row["d"]) if row["d"] else u, inverse_lower(np.frombuffer(row["low"]).reshape(row["m"], -1)))
+        return self.kept[key]
+
+
+def merged_by_key(blocks: DataFrame, key: str, fan_in: int = 16) -> DataFrame:
+    """One block a key from a materialised table of blocks: fan_in to one, until every key has one."""
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        width = int(round((len(pdf["r"].iloc[0]) // 8) ** 0.5))
+        r = triangle(np.vstack([np.frombuffer(b).reshape(width, width) for b in pdf["r"]]))
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "r": [r.tobytes()], "log_det": [pdf["log_det"].sum()], "squares": [pdf["squares"].sum()], "n": [pdf["n"].sum()]})
+
+    schema = f"{key} {dict(blocks.dtypes)[key]}, {BLOCKS}"
+    while (blocks.groupBy(key).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c").alias("c")).first().c or 0) > 1:
+        numbered = blocks.withColumn("__k", F.row_number().over(Window.partitionBy(key).orderBy(F.monotonically_increasing_id())))  # a block a task and key
+        level = numbered.withColumn("__k", F.expr(f"(__k - 1) div {fan_in}"))
+        blocks = materialise(spread(level, key, "__k").groupBy(key, "__k").applyInPandas(merge, schema), "sparse-blocks")
+    return blocks
+
+
+def predict_sparse_gps(fits: DataFrame, rows: DataFrame, kernel: Kernel, key: str = "key", mean: Mean = zero, measured: bool = False, part_rows: int = 100_000) -> DataFrame:
+    """(key, row_id, mean, variance) of rows by the sparse fit of their key; rows without a fit are left out."""
+
+    def marginal(fit: SparseFit, part: pd.DataFrame) -> pd.DataFrame:
+        m, v = fit.marginal(kernel, features(part["feature"]), mean, measured)
+        return pd.DataFrame({key: part[key], "row_id": part["row_id"], "mean": m, "variance": v})
+
+    rows = rows.select(key, "row_id", "feature")
+    return meet(fits, rows, marginal, f"{key} {dict(rows.dtypes)[key]}, row_id long, mean double, variance double", key, part_rows, SparseFit.from_row)
+
+
+def rebase_sparse_gps(fits: DataFrame, points: DataFrame, kernel: Kernel, key: str = "key", nugget: float = 1e-8) -> DataFrame:
+    """Fits on new inducing points (key, u) of their keys; keys without new points keep their fit."""
+
+    def move(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        if not len(old) or not len(new):
+            return old
+        return pd.DataFrame([{key: old[key].iloc[0], **SparseFit.from_row(old.iloc[0]).rebase(kernel, _points_of(new["u"].iloc[0]), nugget).packed()}])
+
+    return spread(fits, key).groupBy(key).cogroup(spread(points.select(key, "u"), key).groupBy(key)).applyInPandas(move, fits_schema(key, dict(fits.dtypes)[key]))
+
+
+# ---- leave-one-group-out
+
+
+def fold_fits(df: DataFrame, kernel: Kernel, u: np.ndarray, fold: str, group: str | None = None, mean: Mean = zero, *, nugget: float = 1e-12, inducing_nugget: float = 1e-8, max_rows: int = MAX_ROWS) -> tuple[SparseFit, DataFrame]:
+    """(fit to all rows, fits without each fold by fold). Rows are read once: a fold is one triangle, by which the factor of all
+    rows is downdated. A group lies within one fold; a null fold is a fold."""
+    spark, kind = df.sparkSession, dict(df.dtypes)[fold]
+    start = SparseFit.prior(kernel, u, inducing_nugget)
+    run, at = _folder(kernel, mean, nugget, [fold], group, max_rows), (start.u, start.prior_root)
+    rows = _needed(df, fold, group)
+    if group:
+        rows = spread(rows, fold, group).sortWithinPartitions(fold, group)
+    blocks = merged_by_key(materialise(rows.mapInPandas(lambda batches: run(lambda _: at, batches), f"{fold} {kind}, {BLOCKS}"), "fold-blocks"), fold)
     sums = blocks.agg(F.sum("log_det").alias("d"), F.sum("squares").alias("s"), F.sum("n").alias("n")).first()
-    first = np.zeros((m, m + 1))
-    if start is None:
-        first[:, :m] = low.T
-    else:
-        first = start.r[:-1]  # its last row is what the points left unexplained
-    r = triangle(np.vstack([first, reduce_triangles(blocks, m + 1)]))
-    base = (start.log_det_a, start.squares, start.rows) if start else (0.0, 0.0, 0)
-    return SparseFit(u, low, r, base[0] + (sums.d or 0.0), base[1] + (sums.s or 0.0), base[2] + (sums.n or 0))
+    whole = start.plus(reduce_triangles(blocks, len(start.u) + 1), sums.d or 0.0, sums.s or 0.0, sums.n or 0)
+    sent = spark.sparkContext.broadcast(whole)
+
+    def leave_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        full = sent.value
+        width = len(full.u) + 1
+        for pdf in batches:
+            made = [full.minus(np.frombuffer(r["r"]).reshape(width, width), r["log_det"], r["squares"], r["n"]).packed() for r in pdf.to_dict("records")]
+            if made:
+                yield pd.DataFrame(made).assign(**{fold: pdf[fold].to_numpy()})[[fold, *made[0]]]
+
+    return whole, materialise(blocks.mapInPandas(leave_out, fits_schema(fold, kind)), "fold-fits")
+
+
+def logo_sparse_gp(df: DataFrame, kernel: Kernel, u: np.ndarray, fold: str, group: str | None = None, mean: Mean = zero, measured: bool = False, **settings) -> DataFrame:
+    """(fold, row_id, mean, variance): each fold as all others predict it."""
+    return predict_sparse_gps(fold_fits(df, kernel, u, fold, group, mean, **settings)[1], df, kernel, fold, mean, measured)
+
+
+def logo_sparse_gp_joint(df: DataFrame, kernel: Kernel, u: np.ndarray, fold: str, group: str | None = None, mean: Mean = zero, measured: bool = False, max_rows: int = MAX_ROWS, **settings) -> DataFrame:
+    """(fold, i, j, mean, cov): the joint prediction of each fold by all others, i and j being row_ids."""
+    fits, kind = fold_fits(df, kernel, u, fold, group, mean, max_rows=max_rows, **settings)[1], dict(df.dtypes)[fold]
+
+    def joint(fit: SparseFit, own: pd.DataFrame) -> pd.DataFrame:
+        if len(own) > max_rows:
+            raise ValueError(f"fold {own[fold].iloc[0]} has {len(own)} rows; at most {max_rows} are predicted together")
+        return joint_rows({fold: own[fold].iloc[0]}, own["row_id"].to_numpy(), *fit.joint(kernel, features(own["feature"]), mean, measured))
+
+    return with_fits(fits, df.select(fold, "row_id", "feature"), joint, f"{fold} {kind}, i long, j long, mean double, cov double", fold, 10**9, None, SparseFit.from_row)
 
 
 def predict_sparse_gp(rows: DataFrame, kernel: Kernel, fit: SparseFit, mean: Mean = zero) -> DataFrame:
