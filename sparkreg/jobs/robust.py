@@ -19,6 +19,7 @@ from sparkreg.operators import tuning as T
 from sparkreg.operators.sparse_gp import predict_sparse_gp
 from sparkreg.sources import tables as S
 from sparkreg.streaming import updates as U
+from sparkreg.streaming.event_time import event_time_filter
 
 _R = Registry()
 QUERIES, SQL = _R.queries, _R.sql
@@ -424,12 +425,9 @@ def _run(spark, writer) -> None:
 
 @add("stream_regression_update", f'WITH {EV} SELECT key, CAST(count(*) AS DOUBLE) AS n, round(regr_intercept(target, feature), 6) AS "offset", round(regr_slope(target, feature), 6) AS slope FROM ev GROUP BY 1')
 def _(spark, d):
-    out = new_folder(spark, "regression")
-    stream = U.running_regression(_streamed(spark, d, "true"), "feature", "target", ["key"])
-    _run(spark, stream.writeStream.outputMode("complete").foreachBatch(lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(out)))
-    rows = spark.read.parquet(out)
-    last = F.broadcast(rows.agg(F.max("batch").alias("__last")))
-    return rows.join(last, F.col("batch") == F.col("__last")).select("key", "n", r6("offset").alias("offset"), r6("slope").alias("slope"))
+    model = U.RegressionStream(new_folder(spark, "regression"), "feature", "target", ["key"], compact_every=3)
+    _run(spark, _streamed(spark, d, "true").writeStream.foreachBatch(model.update))
+    return model.fits(spark).select("key", "n", r6("offset").alias("offset"), r6("slope").alias("slope"))
 
 
 @add("stream_sparse_gp_update")
@@ -461,10 +459,28 @@ _STREAMED = _KALMAN.replace("CASE WHEN row_id % 4 = 0 THEN NULL ELSE target - 50
 
 @add("stream_kalman_filter", f"WITH RECURSIVE {EV}, {_STREAMED} SELECT key, row_id, round(m, 6) AS mean, round(p, 6) AS variance FROM k")
 def _(spark, d):
-    out = new_folder(spark, "filtered")
-    rows = _streamed(spark, d, "true").select(F.col("user_id").alias("key"), "row_id", "feature", (F.col("target") - 50).alias("target"))
-    _run(spark, U.stream_kalman_filter(rows, _decay, 25.0).writeStream.outputMode("append").foreachBatch(lambda df, i: df.write.mode("append").parquet(out)))
-    return _shown(spark.read.parquet(out).where("not late"))
+    """Events that arrive in disorder: in four waves, one after the other, each shuffled, under a watermark that is as late as a
+    wave is long; a heartbeat at the end lets the watermark pass the last of them."""
+    path, out = new_folder(spark, "stream"), new_folder(spark, "filtered")
+    rows = events(spark, d).select(F.col("user_id").alias("key"), "row_id", F.timestamp_micros(F.round(F.col("feature") * 3.6e9).cast("long")).alias("ts"), "feature", (F.col("target") - 50).alias("target"))
+    ends = rows.agg(F.min("feature").alias("a"), F.max("feature").alias("b")).first()
+    width = (ends.b - ends.a) / 4 + 1
+    wave = F.floor((F.col("feature") - ends.a) / width)
+    beat = rows.agg((F.max("feature") + 10 * width).alias("feature")).select(F.lit(None).cast(dict(rows.dtypes)["key"]).alias("key"), F.lit(None).cast("long").alias("row_id"), F.timestamp_micros((F.col("feature") * 3.6e9).cast("long")).alias("ts"), "feature", F.lit(0.0).alias("target"))
+    for w in range(4):
+        rows.where(wave == w).repartition(4, F.xxhash64("row_id")).sortWithinPartitions(F.xxhash64("row_id")).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    progress = new_folder(spark, "progress")
+
+    def run() -> None:
+        found = event_time_filter(stream, _decay, 25.0, delay=f"{math.ceil(width)} hours", unit_us=3.6e9, outage_us=10 * 86_400_000_000, expire_us=20 * 86_400_000_000)
+        sink = found.writeStream.outputMode("append").foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}"))
+        sink.option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    beat.write.mode("append").parquet(path)
+    run()
+    return _shown(spark.read.option("basePath", out).parquet(f"{out}/batch=*").where("not outage"))
 
 
 @add("iterative_gp")

@@ -1,8 +1,8 @@
 """Models that follow a stream: running regressions, sparse processes, filters.
 
-Late rows: sums and sparse factors do not depend on order, so they take late rows as they come; a filter needs event time
-and gives what arrives behind its last step back marked as late. What a stream knows is written with each batch, so a restart
-goes on from there.
+Late rows: sums and sparse factors do not depend on order, so they take late rows as they come; a filter needs event time:
+``event_time.event_time_filter`` waits for the watermark, ``stream_kalman_filter`` here answers at once and gives what arrives
+behind its last step back marked as late. What a stream knows is written with each batch, so a restart goes on from there.
 """
 
 from __future__ import annotations
@@ -17,40 +17,54 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sparkreg.functions.kernels import Kernel
 from sparkreg.functions.order import spread
+from sparkreg.functions.storage import bounded_broadcast, materialise
 from sparkreg.operators.gp import Mean, arrays, zero
-from sparkreg.operators.linear import line, power_sums
+from sparkreg.operators.linear import SUMS, line, power_sums
 from sparkreg.operators.sparse_gp import SparseFit, fit_sparse_gp
+from sparkreg.streaming.scan import scan_filter
+from sparkreg.streaming.versions import KeyedTotals, Versions
 
 
 def running_regression(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """offset and slope of each key so far, of a stream (update or complete mode) or a table. Keep x near zero."""
-    sums = rows.groupBy(*by).agg(*power_sums(F.col(x), F.col(y)))
+    return _solved(rows.groupBy(*by).agg(*power_sums(F.col(x), F.col(y))), by)
+
+
+def _solved(sums: DataFrame, by: list[str]) -> DataFrame:
     offset, slope = line()
     return sums.select(*by, "n", offset.alias("offset"), slope.alias("slope"))
 
 
+class RegressionStream(KeyedTotals):
+    """A regression for each key that each micro-batch updates; use ``update`` with foreachBatch. A batch writes the keys that
+    it changed only (``KeyedTotals``)."""
+
+    def __init__(self, folder: str, x: str, y: str, by: list[str], compact_every: int = 16) -> None:
+        super().__init__(folder, by, list(SUMS), lambda df: df.groupBy(*by).agg(*power_sums(F.col(x), F.col(y))), compact_every)
+
+    def fits(self, spark: SparkSession) -> DataFrame | None:
+        """offset and slope of every key so far."""
+        sums = self.table(spark)
+        return None if sums is None else _solved(sums, self.by)
+
+
 class SparseStream:
     """A sparse fit that each micro-batch updates; use ``update`` with foreachBatch. A PITC group must come whole.
 
     The fit is written below ``folder`` with the id of its last batch, one row a batch: a new object with the same folder goes
-    on where the last one ended, and a batch that is run again after a failure is not counted twice.
+    on where the last one ended, and a batch that is run again after a failure is not counted twice. The last ``keep`` fits stay.
     """
 
-    def __init__(self, kernel: Kernel, u: np.ndarray, folder: str, group: str | None = None, mean: Mean = zero) -> None:
-        self.kernel, self.u, self.folder, self.group, self.mean = kernel, u, folder.rstrip("/"), group, mean
-
-    def _path(self, batch_id: int) -> str:
-        return f"{self.folder}/batch={batch_id:012d}"
+    def __init__(self, kernel: Kernel, u: np.ndarray, folder: str, group: str | None = None, mean: Mean = zero, keep: int = 2) -> None:
+        self.kernel, self.u, self.group, self.mean, self.keep = kernel, u, group, mean, keep
+        self.versions = Versions(folder, "batch")
 
     def _last(self, spark: SparkSession) -> tuple[SparseFit | None, int]:
         """The fit of the last batch whose write has ended."""
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
-        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        found = files.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/batch=*/_SUCCESS")) or []
-        names = sorted(s.getPath().getParent().toString() for s in found)
-        if not names:
+        found = self.versions.numbers(spark)
+        if not found:
             return None, -1
-        row = spark.read.parquet(names[-1]).first()
+        row = spark.read.parquet(self.versions.path(found[-1])).first()
         return SparseFit.from_row(row), row["last"]
 
     def fit(self, spark: SparkSession) -> SparseFit | None:
@@ -61,7 +75,8 @@ class SparseStream:
         before, last = self._last(spark)
         if batch_id > last:
             fit = fit_sparse_gp(batch, self.kernel, self.u, self.group, self.mean, start=before)
-            fit.table(spark, batch_id).write.mode("overwrite").parquet(self._path(batch_id))
+            self.versions.write(fit.table(spark, batch_id), batch_id)
+            self.versions.drop(spark, self.versions.numbers(spark)[: -self.keep])
 
 
 def filter_steps(t: np.ndarray, y: np.ndarray, noise: float, k: Callable[[float], float], x: float = 0.0, p: float | None = None, last: float | None = None, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -84,18 +99,23 @@ def filter_steps(t: np.ndarray, y: np.ndarray, noise: float, k: Callable[[float]
     return means, variances
 
 
-def kalman_filter(rows: DataFrame, k: Callable[[float], float], noise: float, key: str = "key", exact: bool = False, max_rows: int = 5_000_000) -> DataFrame:
-    """(key, row_id, mean, variance) of every series, in the order of feature. A series is filtered in one task, so a longer
-    one than max_rows is an error that names its key; the stream form takes series of any length."""
+def kalman_filter(rows: DataFrame, k: Callable[[float], float], noise: float, key: str = "key", exact: bool = False, chunk_rows: int = 50_000) -> DataFrame:
+    """(key, row_id, mean, variance) of every series, in the order of feature. Series of at most chunk_rows rows are filtered in
+    a task each; longer ones by a scan over chunks (``scan.scan_filter``)."""
+    rows = rows.select(key, "row_id", "feature", "target")
+    long = materialise(rows.groupBy(F.col(key).alias("__k")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk_rows).select("__k"), "long-series")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > max_rows:
-            raise ValueError(f"series {pdf[key].iloc[0]} has {len(pdf)} rows; at most {max_rows} are filtered in one task")
         pdf = pdf.sort_values(["feature", "row_id"])
         m, v = filter_steps(pdf["feature"].to_numpy(float), pdf["target"].to_numpy(float), noise, k, exact=exact)
         return pd.DataFrame({key: pdf[key], "row_id": pdf["row_id"], "mean": m, "variance": v})
 
-    return spread(rows.select(key, "row_id", "feature", "target"), key).groupBy(key).applyInPandas(run, f"{key} {dict(rows.dtypes)[key]}, row_id long, mean double, variance double")
+    schema = f"{key} {dict(rows.dtypes)[key]}, row_id long, mean double, variance double"
+    if not long.limit(1).count():
+        return spread(rows, key).groupBy(key).applyInPandas(run, schema)
+    side, same = bounded_broadcast(long), F.col(key).eqNullSafe(F.col("__k"))
+    short = spread(rows.join(side, same, "left_anti"), key).groupBy(key).applyInPandas(run, schema)
+    return short.unionByName(scan_filter(rows.join(side, same, "left_semi"), k, noise, key, exact, chunk_rows))
 
 
 def stream_kalman_filter(rows: DataFrame, k: Callable[[float], float], noise: float, key: str = "key", exact: bool = False) -> DataFrame:
