@@ -55,11 +55,19 @@ def _tables() -> tuple[list[np.ndarray], list[np.ndarray]]:
     return by, over
 
 
-_BY, _OVER = _tables()
+def _halves(tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Tables of two bytes each for the lower and the upper half of a word, from those of its four bytes."""
+    low, high = np.arange(1 << 16) & 255, np.arange(1 << 16) >> 8
+    return tables[0][low] ^ tables[1][high], tables[2][low] ^ tables[3][high]
+
 
+def _step(c: np.ndarray, halves: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    both = c.view("<u2").reshape(-1, 2)
+    return halves[0][both[:, 0]] ^ halves[1][both[:, 1]]
 
-def _step(c: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
-    return tables[0][c & 255] ^ tables[1][(c >> 8) & 255] ^ tables[2][(c >> 16) & 255] ^ tables[3][c >> 24]
+
+_BY, _OVER = _tables()
+_WORD, _CARRY = _halves(_BY[::-1]), _halves(_OVER)
 
 
 def crc32c(parts: list[bytes]) -> np.ndarray:
@@ -74,12 +82,12 @@ def crc32c(parts: list[bytes]) -> np.ndarray:
     words = np.ascontiguousarray(block.view("<u4").reshape(-1, _CHUNK // 4).T)
     state = np.zeros(words.shape[1], np.uint32)
     for word in words:
-        state = _step(state ^ word, _BY[::-1])
+        state = _step(state ^ word, _WORD)
     out, order = np.zeros(len(parts), np.uint32), np.argsort(-chunks, kind="stable")
     first, counts = (ends - chunks)[order], chunks[order]
     for k in range(int(counts[0]) if len(parts) else 0):
         n = int(np.searchsorted(-counts, -k, side="left"))  # those with more than k chunks
-        out[:n] = _step(out[:n], _OVER) ^ state[first[:n] + k]
+        out[:n] = _step(out[:n], _CARRY) ^ state[first[:n] + k]
     back = np.empty_like(out)
     back[order] = out
     return back ^ np.uint32(0xFFFFFFFF)

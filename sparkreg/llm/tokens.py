@@ -19,9 +19,7 @@ KEPT_WORDS = 150_000  # those met most often, when the cache is full
 
 def _single(text: str) -> bool:
     """Whether all white space is single spaces and line feeds between two other characters."""
-    words = text.split()
-    gaps = len(words) - 1
-    return sum(map(len, words)) + gaps == len(text) and text.count(" ") + text.count("\n") == gaps
+    return " ".join(text.split()) == text.replace("\n", " ")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -146,7 +144,9 @@ class Encoder:
         at_line = np.fromiter((w[:1] == "\n" for w in new), bool, len(new))  # these have the line feed in front
         raw = [w[1:] if first else " " + w for w, first in zip(new, at_line.tolist(), strict=True)]
         which, ids, sizes = self._plain(raw) if self.direct else (np.empty(0, np.int64), np.empty(0, self.dtype), np.empty(0, np.int64))
-        rest = np.setdiff1d(np.arange(len(new)), which)
+        other = np.ones(len(new), bool)
+        other[which] = False
+        rest = np.flatnonzero(other)
         found = self._joined([raw[k] for k in rest.tolist()])
         all_sizes = at_line.astype(np.int64)
         all_sizes[which] += sizes
