@@ -31,7 +31,7 @@ def length_histogram(docs: DataFrame, vocabulary: str, text_col: str = "text") -
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 lengths.update(tool.lengths(batch.column(0).slice(low, 256).to_pylist()))
-        tool.forget()
+        tool.settle()
         yield pa.RecordBatch.from_pydict({"length": list(lengths), "n": list(lengths.values())}, schema=pa.schema([("length", pa.int64()), ("n", pa.int64())]))
 
     parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "length long, n long")

@@ -169,7 +169,7 @@ def write_records(
                     data.write(record)
                     records += 1
                     tokens += len(x) // width
-        tool.forget()
+        tool.settle()
         if data is not None:
             close()
         if done:

@@ -13,8 +13,8 @@ import os
 import numpy as np
 import pyarrow as pa
 
-MAX_WORDS = 300_000  # of the cache; about 60 MB a worker while a task runs
-KEPT_WORDS = 150_000  # those met most often, when the cache is full
+MAX_WORDS = 600_000  # of the cache; about 120 MB a worker while a task runs
+KEPT_WORDS = 300_000  # those met most often, when the cache is full or a task ends
 
 
 def _single(text: str) -> bool:
@@ -103,9 +103,14 @@ class Encoder:
     def ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def forget(self) -> None:
-        """Empty the cache and give freed memory back; the end of a task does so."""
+    def settle(self) -> None:
+        """Give freed memory back at the end of a task; the words met most often stay for the worker's next one."""
+        if len(self.codes) > KEPT_WORDS:
+            self._thin()
         pa.default_memory_pool().release_unused()
+
+    def forget(self) -> None:
+        """Empty the cache."""
         self.codes = _Codes()
         self.buffer, self.used = np.empty(1 << 16, self.dtype), 0
         self.starts, self.sizes, self.met = (np.empty(0, np.int64) for _ in range(3))
