@@ -5,7 +5,8 @@ similarity, which vanishes when a document is much longer than an item; so items
 16, 32, 64 ... shingles, and for each class the document is cut into windows of two blocks of that many shingles,
 each block shared by two windows: an item that occurs lies within one window, of which it is at least a quarter or so.
 A window is a candidate for an item where any of ``hashes`` minimum hashes agree (at an item share of a quarter, the
-chance to miss one is 0.75^48 = 1e-6). Candidates are verified by the exact containment in the whole document.
+chance to miss one is 0.75^48 = 1e-6). Items of fewer than eight shingles, which are less than a quarter of the smallest window,
+are looked up by each of their shingles instead. Candidates are verified by the exact containment in the whole document.
 
 Words are runs of letters and digits, lower-cased, so punctuation, symbols and case hide nothing. An item of one to four
 words is one shingle, all its words, and is found wherever they stand in that order. Items are the query set: tasks get the
@@ -36,6 +37,7 @@ from sparkreg.llm.shingles import N, TEXTS, forget, windows
 
 WORD = re.compile(r"[^\W_]+")
 LEAST = 16  # shingles in a block of the smallest class
+FEW = 8  # shingles of an item from which minimum hashes are used
 _BITS = 20  # at most, of the tables that sort out most windows; 256 places an item suffice
 _NONE = np.uint32(0xFFFFFFFF)
 
@@ -61,11 +63,20 @@ class Index:
         self.sets = [np.unique(windows(w)) for w in words]
         self.short: dict[int, list[int]] = defaultdict(list)  # items of fewer words than a shingle, by their number
         by: dict[int, list[int]] = defaultdict(list)
+        few = []
         for k, s in enumerate(self.sets):
             if 0 < len(words[k]) < N:
                 self.short[len(words[k])].append(k)
+            elif 0 < len(s) < FEW:
+                few.append(k)
             elif len(s):
                 by[max(0, (len(s) - 1) // LEAST).bit_length()].append(k)
+        keys = np.concatenate([np.empty(0, np.uint64), *(self.sets[k] for k in few)])
+        order = np.argsort(keys, kind="stable")
+        self.few_keys, self.few = keys[order], np.repeat(few, [len(self.sets[k]) for k in few]).astype(np.int64)[order]
+        self.few_shift = np.uint64(64 - min(_BITS, 8 + len(keys).bit_length()))
+        self.few_table = np.zeros(1 << (64 - int(self.few_shift)), bool)
+        self.few_table[keys >> self.few_shift] = True
         self.classes = {}
         for level, members in by.items():
             m = np.array([[((self.sets[k] >> np.uint64(32)).astype(np.uint32) * a).min() for k in members] for a in self.a])
@@ -77,7 +88,7 @@ class Index:
 
     def candidates(self, docs: list[np.ndarray]) -> set[tuple[int, int]]:
         """(document, item) pairs of which a window and the item share a minimum hash."""
-        found: set[tuple[int, int]] = set()
+        found = self._few_candidates(docs)
         for level, (shift, table, values, members) in self.classes.items():
             size = LEAST << level
             blocks = [-(-len(d) // size) for d in docs]
@@ -107,6 +118,18 @@ class Index:
                         found.update((int(owner[window]), int(m)) for m in members[k, x:y])
         return found
 
+    def _few_candidates(self, docs: list[np.ndarray]) -> set[tuple[int, int]]:
+        """(document, item) pairs that share a shingle, of the items with few."""
+        if not len(self.few_keys) or not len(docs):
+            return set()
+        flat, owner = np.concatenate(docs), np.repeat(np.arange(len(docs)), list(map(len, docs)))
+        at = np.flatnonzero(self.few_table[flat >> self.few_shift])
+        flat, owner = flat[at], owner[at]
+        lo, hi = (np.searchsorted(self.few_keys, flat, side=s) for s in ("left", "right"))
+        found: set[tuple[int, int]] = set()
+        for d, x, y in zip(owner[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
+            found.update((d, int(k)) for k in self.few[x:y])
+        return found
 
     def short_hits(self, words: list[str]) -> list[int]:
         """The short items that the words hold."""

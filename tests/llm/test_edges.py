@@ -143,3 +143,16 @@ def test_exact_links_count_shared_shingles():
         for j in range(60):
             both = len(np.intersect1d(sets[i], sets[j]))
             assert i == j or linked[i, j] == (10 * both >= 8 * (len(sets[i]) + len(sets[j]) - both))
+
+
+def test_items_of_every_length_are_found(spark):
+    """Items of one to ninety words, each planted in a text of some three hundred others; nothing else is found."""
+    items = [(n, sentence(random.Random(1000 + n), n)) for n in range(1, 91)]
+    items += [(100 + n, sentence(random.Random(3000 + n), 5 + n % 3)) for n in range(200)]
+    data = [(k, f"{sentence(random.Random(k), 150)} {text.upper()}, {sentence(random.Random(-k), 150)}", "en", "a", 0, 0, "", "") for k, text in items]
+    found = decontaminate.find_contamination(docs(spark, data), spark.createDataFrame(items, "item_id long, text string")).collect()
+    own = {(r.doc_id, r.item_id) for r in found}
+    assert own >= {(k, k) for k, _ in items}
+    words = {k: text.split() for k, text in items}
+    for d, i in own - {(k, k) for k, _ in items}:  # one-word items may stand in other texts
+        assert len(words[i]) < 5
