@@ -130,6 +130,15 @@ def _(spark, d):
     return D.align_within(a, b, "feature", 7.5).select("row_id", "r_row_id", r6(F.abs(F.col("feature") - F.col("r_feature"))).alias("gap"))
 
 
+@add("align_datasets_points", "WITH s AS (SELECT s_suppkey AS row_id, s_acctbal / 1000 AS x, s_suppkey % 7 AS y, s_nationkey % 5 AS z FROM supplier), c AS (SELECT c_custkey AS r_row_id, c_acctbal / 1000 AS u, c_custkey % 7 AS v, c_nationkey % 5 AS w FROM customer) SELECT row_id, r_row_id, round(sqrt((x - u) ** 2 + (y - v) ** 2 + (z - w) ** 2), 6) AS gap FROM s JOIN c ON sqrt((x - u) ** 2 + (y - v) ** 2 + (z - w) ** 2) <= 1.2345")
+def _(spark, d):
+    """Pairs of suppliers and customers that are near each other in three dimensions."""
+    a = table(spark, d, "supplier").select(F.col("s_suppkey").alias("row_id"), (F.col("s_acctbal") / 1000).alias("x"), (F.col("s_suppkey") % 7).alias("y"), (F.col("s_nationkey") % 5).alias("z"))
+    b = table(spark, d, "customer").select(F.col("c_custkey").alias("row_id"), (F.col("c_acctbal") / 1000).alias("x"), (F.col("c_custkey") % 7).alias("y"), (F.col("c_nationkey") % 5).alias("z"))
+    gap = F.sqrt(sum((F.pow(F.col(c) - F.col(f"r_{c}"), F.lit(2.0)) for c in "xyz"), F.lit(0.0)))
+    return D.align_points(a, b, ["x", "y", "z"], 1.2345).select("row_id", "r_row_id", r6(gap).alias("gap"))
+
+
 @add("group_with_rows", f"WITH {EV} SELECT ev.key, count(*) AS n, round(sum(ev.target * o_totalprice / 1000) / 1000, 6) AS s FROM ev JOIN orders ON o_orderkey = row_id GROUP BY 1")
 def _(spark, d):
     other = table(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_totalprice").alias("other"))
@@ -366,8 +375,10 @@ def _(spark, d):
     return D.running_max_before(w, "target", "iteration", "ensemble_index").where("before is null or target > before").select("iteration", "ensemble_index", "target")
 
 
-@add("sample_without_replacement", f"WITH {EV} SELECT row_id, target FROM ev ORDER BY md5('7:' || row_id), row_id LIMIT 500")
+@add("sample_without_replacement", f"WITH {EV} SELECT row_id, target FROM ev QUALIFY row_number() OVER (ORDER BY md5('7:' || row_id), row_id) <= (SELECT count(*) FROM ev) // 2")
 def _(spark, d):
-    return D.sample_without_replacement(events(spark, d), 500, 7).select("row_id", "target")
+    """Half of all events."""
+    e = events(spark, d)
+    return D.sample_without_replacement(e, e.count() // 2, 7).select("row_id", "target")
 
 

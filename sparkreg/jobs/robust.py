@@ -198,6 +198,7 @@ def _chain(spark, d, iterations: int = 12):
 
 @add("ensemble_step")
 def _(spark, d):
+    """The first step of the chain: which walkers moved, and where they are."""
     return _chain(spark, d, 1).select("ensemble_index", "accepted", r6("a").alias("a"), r6("b").alias("b"))
 
 
@@ -306,11 +307,13 @@ def _(spark, d):
 
 @add("gsod_observations", f"WITH {_ST} SELECT usaf, lat, lon, round(c_acctbal / 100, 1) AS temp FROM customer JOIN us ON usaf = printf('%06d', c_custkey % 700) WHERE c_custkey % 2 = 0")
 def _(spark, d):
-    """Fixed-width lines derived from the customers; the station is in the file's name, every other line is of another date."""
-    k = F.col("c_custkey")
+    """A file of fixed-width lines for each of 700 stations, derived from the customers, written and read back; the station is in
+    the file's name, every other line is of another date."""
+    k, folder = F.col("c_custkey"), new_folder(spark, "gsod")
     value = F.format_string("%-14s%s  %6.1f", F.lit("001 99999"), F.when(k % 2 == 0, "20180501").otherwise("20180502"), r6(F.round(F.col("c_acctbal") / 100, 1)))
-    text = table(spark, d, "customer").select(value.alias("value"), F.format_string("/gsod/%06d-99999-2018.op", k % 700).alias("path"))
-    found = S.station_observations(text, "20180501")
+    lines_ = table(spark, d, "customer").select(k.alias("row_id"), value.alias("value"), F.format_string("%06d-99999-2018.op", k % 700).alias("name"))
+    S.write_station_files(lines_, folder)
+    found = S.station_observations(S.read_station_files(spark, folder), "20180501")
     stations = S.usable_stations(_stations(spark, d)).select("usaf", "lat", "lon")
     return found.join(stations, "usaf").select("usaf", "lat", "lon", "temp")
 
@@ -380,13 +383,14 @@ def _(spark, d):
     return back.withColumns({c: F.col(c).cast("int") for c in ("iteration", "ensemble_index")})
 
 
-@add("read_sampler_last_state", f"WITH {EV}, {_LOG} SELECT iteration, ensemble_index, round(log_probability, 6) AS log_probability, CASE WHEN ensemble_index = 3 THEN -99.0 ELSE round(least(greatest(p, 1.0), 2.0), 6) END AS p FROM lg WHERE iteration = (SELECT max(iteration) FROM lg)")
+@add("read_sampler_last_state", f"WITH {EV}, {_LOG} SELECT iteration, ensemble_index, round(log_probability, 6) AS log_probability, CASE WHEN ensemble_index = 3 THEN -99.0 ELSE round(least(greatest(p, 1.0), 2.0), 6) END AS p, CASE WHEN ensemble_index = 3 THEN -99.0 ELSE round(ln(least(greatest(p, 1.0), 2.0)), 6) END AS tuned FROM lg WHERE iteration = (SELECT max(iteration) FROM lg)")
 def _(spark, d):
     log = _log(spark, d).select("iteration", "ensemble_index", "log_probability", F.when(F.col("ensemble_index") == 3, "bad").otherwise(F.col("p").cast("string")).alias("p"))
     path = new_folder(spark, "sampler")
     S.write_csv(log, path)
-    state = S.last_sampler_state(spark.read.csv(path, header=True), {"p": (1.0, 2.0)})
-    return state.select("iteration", "ensemble_index", r6("log_probability").alias("log_probability"), F.when(F.isnan("p"), -99.0).otherwise(r6("p")).alias("p"))
+    state = S.last_sampler_state(spark.read.csv(path, header=True), {"p": T.Parameter(1.5, 1.0, 2.0, log_scale=True)})
+    shown = lambda c: F.when(F.isnan(c), -99.0).otherwise(r6(c))
+    return state.select("iteration", "ensemble_index", r6("log_probability").alias("log_probability"), shown("p").alias("p"), shown("tuned_p").alias("tuned"))
 
 
 def _saved(spark, d) -> str:

@@ -6,12 +6,13 @@ no operator relies on the physical order of rows.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkreg.functions.storage import materialise
+from sparkreg.functions.storage import bounded_broadcast, materialise
 
 
 def create_dataset(df: DataFrame, row_id: Column, feature: Column, target: Column, variance: Column | None = None, *more: Column) -> DataFrame:
@@ -72,14 +73,51 @@ def align(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def align_within(left: DataFrame, right: DataFrame, value: str, tolerance: float) -> DataFrame:
-    """Every pair of rows whose values differ by at most tolerance: an equality join on cells of that width.
+    """Every pair of rows whose values differ by at most tolerance."""
+    return align_points(left, right, [value], tolerance)
 
-    The right side goes to its cell and both neighbours, so a pair meets in exactly the left row's cell.
+
+def align_points(left: DataFrame, right: DataFrame, columns: list[str], tolerance: float, hot_rows: int = 20_000) -> DataFrame:
+    """Every pair of rows whose points are at most tolerance apart (Euclidean): an equality join on cells of that width.
+
+    The right side goes to its cell and all neighbours (3^d for d columns), so a pair meets in exactly the left row's cell. The
+    left rows of a cell with more than hot_rows of them are dealt out to parts, to each of which the right side goes. Left columns as
+    they are, right columns with the prefix r_; rows with a null or infinite coordinate have no partner.
     """
-    cell = lambda c: F.floor(F.col(c) / tolerance).cast("long")
-    other = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns)).withColumn("__c", F.explode(F.array(*(cell(f"r_{value}") + k for k in (-1, 0, 1)))))
-    near = (cell(value) == F.col("__c")) & (F.abs(F.col(value) - F.col(f"r_{value}")) <= tolerance)
-    return left.join(other, near).drop("__c")
+    def sound(c: str) -> Column:
+        return F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf"))
+
+    def cell(c: str) -> Column:
+        return F.floor(F.col(c).cast("double") / tolerance).cast("long")
+
+    other = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns))
+    for c in columns:
+        left, other = left.where(sound(c)), other.where(sound(f"r_{c}"))
+    cells = [f"__c{k}" for k in range(len(columns))]
+    left = left.withColumns({name: cell(c) for name, c in zip(cells, columns, strict=True)})
+    for name, c in zip(cells, columns, strict=True):
+        other = other.withColumn(name, F.explode(F.array(*(cell(f"r_{c}") + k for k in (-1, 0, 1)))))
+    hot = materialise(left.groupBy(*cells).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows), "hot-cells")
+    parts = F.coalesce(F.ceil(F.col("__n") / hot_rows), F.lit(1)).cast("int")
+    side = bounded_broadcast(hot)
+    left = left.join(side, cells, "left").withColumn("__p", F.pmod(F.xxhash64(*left.columns), parts)).drop("__n")
+    other = other.join(side, cells, "left").withColumn("__p", F.explode(F.sequence(F.lit(0).cast("long"), (parts - 1).cast("long")))).drop("__n")
+    square = reduce(lambda a, b: a + b, [F.pow(F.col(c).cast("double") - F.col(f"r_{c}").cast("double"), F.lit(2.0)) for c in columns])
+    near = F.abs(F.col(columns[0]) - F.col(f"r_{columns[0]}")) <= tolerance if len(columns) == 1 else F.sqrt(square) <= tolerance
+    return left.join(other, [*cells, "__p"]).where(near).drop(*cells, "__p")
+
+
+def align_on_sphere(left: DataFrame, right: DataFrame, lat: str, lon: str, metres: float, radius: float = 6_371_000.0, hot_rows: int = 20_000) -> DataFrame:
+    """Every pair of rows whose places, in degrees, are at most that far apart on the sphere: by the chord, so that poles and
+    the date line are places like others."""
+    names = ["__x", "__y", "__z"]
+
+    def on_sphere(df: DataFrame) -> DataFrame:
+        a, b = F.radians(F.col(lat).cast("double")), F.radians(F.col(lon).cast("double"))
+        return df.withColumns({"__x": F.cos(a) * F.cos(b), "__y": F.cos(a) * F.sin(b), "__z": F.sin(a)})
+
+    chord = 2 * math.sin(min(metres / radius, math.pi) / 2)
+    return align_points(on_sphere(left), on_sphere(right), names, chord, hot_rows).drop(*names, *(f"r_{n}" for n in names))
 
 
 def concatenate(first: DataFrame, *others: DataFrame, row_id: str = "row_id") -> DataFrame:
@@ -104,12 +142,33 @@ def extract_kind(df: DataFrame, kind: str, feature: str = "feature") -> DataFram
     return df.where(F.col("kind") == kind).drop("kind", *drop).withColumnRenamed(f"{feature}_{kind}", feature)
 
 
-def sample_without_replacement(df: DataFrame, n: int, seed: int, row_id: str = "row_id") -> DataFrame:
-    """n distinct rows, uniformly: the n least MD5 sums of seed and row_id, so that partitioning has no say."""
-    picked = df.withColumn("__u", F.md5(F.concat(F.lit(f"{seed}:"), F.col(row_id).cast("string")))).orderBy("__u", row_id).limit(n)
-    size = F.broadcast(df.select(row_id).limit(n).agg(F.count(F.lit(1)).alias("__have")))
-    enough = F.when(F.col("__have") < n, F.raise_error(F.lit("more rows asked for than there are")).cast("long")).otherwise(F.col(row_id))
-    return picked.crossJoin(size).withColumn(row_id, enough).drop("__u", "__have")
+def sample_without_replacement(df: DataFrame, n: int, seed: int, row_id: str = "row_id", bits: int = 16, few: int = 10_000) -> DataFrame:
+    """n distinct rows, uniformly: the n least MD5 sums of seed and row_id, so that partitioning has no say.
+
+    Counts of 2^bits ranges of sums tell in which range the n-th lies, counts within it in which part, until ``few`` sums are
+    left; the n-th of all is then the limit of a filter, and no task gathers the sample. row_ids are distinct; more rows than
+    there are is an error.
+    """
+    rows = df.withColumn("__u", F.md5(F.concat(F.lit(f"{seed}:"), F.col(row_id).cast("string"))))
+    digits, prefix, missing = bits // 4, "", n
+    if n <= 0:
+        return df.limit(0)
+    while True:
+        at = F.substring("__u", len(prefix) + 1, digits)
+        inside = rows.where(F.col("__u").startswith(prefix)) if prefix else rows
+        counts = sorted((r.c, r.n) for r in inside.groupBy(at.alias("c")).agg(F.count(F.lit(1)).alias("n")).collect())  # 2^bits numbers
+        for c, own in counts:
+            if missing <= own:
+                break
+            missing -= own
+        else:
+            raise ValueError("more rows asked for than there are")
+        prefix += c
+        if own <= few or len(prefix) >= 32:
+            break
+    last = rows.where(F.col("__u").startswith(prefix)).select("__u", F.col(row_id).alias("__r")).orderBy("__u", "__r").limit(missing)
+    cut = F.broadcast(last.agg(F.max(F.struct("__u", "__r")).alias("__cut")))  # one row
+    return rows.join(cut, F.struct(F.col("__u"), F.col(row_id)) <= F.col("__cut")).drop("__u", "__cut")
 
 
 def first_by(df: DataFrame, keys: list[str], row_id: str = "row_id") -> DataFrame:

@@ -9,6 +9,7 @@ any other ``Model`` an iteration copies the rows of its candidates, and every gr
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -22,7 +23,8 @@ from sparkreg.functions.columns import chi_squared_cdf_values
 from sparkreg.functions.kernels import Kernel
 from sparkreg.functions.order import spread
 from sparkreg.functions.storage import bounded_broadcast, materialise
-from sparkreg.operators.gp import MAX_ROWS, Mean, arrays, condition, per_group, zero
+from sparkreg.operators.crossval import differential_entropy
+from sparkreg.operators.gp import MAX_ROWS, Mean, arrays, condition, zero
 from sparkreg.operators.linear import SUMS, fit_line, line, power_sums
 
 
@@ -143,6 +145,17 @@ def consensus_rows(df: DataFrame, judged: DataFrame, iteration: int, key: str =
     return df.join(bounded_broadcast(chosen), F.col(key) == F.col("__key"), "left_semi")
 
 
+_states: tuple[str, dict] = ("", {})
+
+
+def _unpickled(name: str, states: dict[int, bytes]) -> dict:
+    """The states of all iterations of the search of that name, unpickled once a worker."""
+    global _states
+    if _states[0] != name:
+        _states = (name, {i: pickle.loads(state) for i, state in states.items()})
+    return _states[1]
+
+
 def fit_model(df: DataFrame, s: Settings, model: Model, key: str = "key", max_rows: int = 200_000) -> tuple[str, DataFrame, DataFrame | None]:
     """(code, judged, rows): judged is (iteration, key, role, metric, n); rows are those of the best consensus, to which the
     caller fits the model, or None without one. max_rows bounds the rows of a group, and of an iteration's candidates."""
@@ -168,12 +181,12 @@ def fit_model(df: DataFrame, s: Settings, model: Model, key: str = "key", max_ro
     fits = materialise(spread(rows, "iteration").groupBy("iteration").applyInPandas(train, "iteration int, valid boolean, state binary"), "ransac-fits")
     used, failed = counted(fits.select("iteration", "valid"), s)
     states = {r.iteration: bytes(r.state) for r in fits.where(F.col("iteration").isin(used)).collect()}  # one an iteration
-    sent = spark.sparkContext.broadcast(states)
+    sent, name = spark.sparkContext.broadcast(states), uuid.uuid4().hex
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         guard(pdf)
         own = pdf.sort_values("row_id")
-        found = [(i, own[key].iloc[0], float(model.metric(pickle.loads(state), own)), len(own)) for i, state in sent.value.items()]
+        found = [(i, own[key].iloc[0], float(model.metric(state, own)), len(own)) for i, state in _unpickled(name, sent.value).items()]
         return pd.DataFrame(found, columns=["iteration", "key", "metric", "n"])
 
     metrics = spread(df, key).groupBy(key).applyInPandas(judge, f"iteration int, key {kind}, metric double, n long")
@@ -187,44 +200,110 @@ def fit_model(df: DataFrame, s: Settings, model: Model, key: str = "key", max_ro
     return code, judged, consensus_rows(df, judged, top.iteration, key) if code == SUCCESS else None
 
 
-def consensus_gp(df: DataFrame, kernel: Kernel, group: str, s: Settings, key: str = "key", mean: Mean = zero, valid_at: float = 0.999, max_rows: int = MAX_ROWS) -> DataFrame:
-    """(key, code, iteration, groups, rows): for every key a search among its groups on one joint prior. Groups agree while
-    the chi-squared probability of their held-out joint prediction is at most s.threshold; candidates are valid while that
-    of their own prior is at most valid_at; the largest consensus in rows wins."""
-    kinds = dict(df.dtypes)
+# ---- strategies of process searches: of (prior mean, prior covariance, targets, target variances)
+
+Strategy = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], float]
+
+
+def chi_squared(m: np.ndarray, c: np.ndarray, y: np.ndarray, v: np.ndarray) -> float:
+    """The chi-squared probability of the targets."""
+    r = y - m
+    return float(chi_squared_cdf_values(r @ np.linalg.solve(c + np.diag(v), r), len(y)))
+
+
+def feature_count(m: np.ndarray, c: np.ndarray, y: np.ndarray, v: np.ndarray) -> float:
+    """Least for the largest consensus."""
+    return -float(len(y))
+
+
+def entropy(m: np.ndarray, c: np.ndarray, y: np.ndarray, v: np.ndarray) -> float:
+    """The differential entropy of the prior."""
+    return differential_entropy(c)
 
-    def probability(m: np.ndarray, c: np.ndarray, y: np.ndarray) -> float:
-        r = y - m
-        return float(chi_squared_cdf_values(r @ np.linalg.solve(c, r), len(y)))
+
+def chi_squared_valid(threshold: float = 0.999) -> Callable[..., bool]:
+    return lambda m, c, y, v: chi_squared(m, c, y, v) <= threshold
+
+
+def always_valid(*_) -> bool:
+    return True
+
+
+def drawn_groups(names: list, s: Settings, key: object, draw: int) -> list:
+    """The candidates of a draw: they depend on the seed, the key and the draw alone."""
+    rng = np.random.default_rng([s.seed, draw, *str(key).encode()])
+    return [names[k] for k in rng.choice(len(names), s.sample, replace=False)]
+
+
+def consensus_gp(
+    df: DataFrame, kernel: Kernel, group: str, s: Settings, key: str = "key", mean: Mean = zero, *, inlier_metric: Strategy = chi_squared, consensus_metric: Strategy = feature_count,
+    is_valid: Callable[..., bool] = chi_squared_valid(), max_rows: int = MAX_ROWS,
+) -> DataFrame:
+    """(key, code, iteration, groups, rows, metric): for every key a search among its groups on one joint prior.
+
+    A group agrees while the inlier metric of its joint prediction by the candidates is at most s.threshold; candidates count
+    while is_valid of their prior holds; the consensus with the least metric of its prior wins, the first of equals. Draws are
+    dealt out beside the keys: with few keys, the draws of one are shared by all tasks, each of which builds the prior once.
+    A null group is a group.
+    """
+    kinds, spark = dict(df.dtypes), df.sparkSession
+    rows = df.select(key, "row_id", "feature", "target", "target_variance", F.col(group).alias("__g"))
+    draws, tasks = s.iterations + max(0, s.max_failed), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = rows.select(key).distinct().limit(tasks).count()  # as many as there are tasks need no parts
+    parts = max(1, min(draws, -(-tasks // max(1, keys))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > max_rows:
+            raise ValueError(f"group {pdf[key].iloc[0]} has {len(pdf)} rows; at most {max_rows} make an exact process")
+        pdf = pdf.sort_values("row_id")
         x, y, var = arrays(pdf)
-        groups = pdf.sort_values("row_id")[group].to_numpy()
-        prior, cov = mean(x), kernel.measured(x, x)
-        names = sorted(pd.unique(groups))
-        out = {key: pdf[key].iloc[0], "iteration": -1, "groups": 0, "rows": 0}
-        if s.iterations <= 0 or s.sample <= 0 or s.sample >= len(names) or s.consensus >= len(names) or s.consensus < s.sample:
-            return pd.DataFrame([out | {"code": INVALID}])
-        draw, failed, done, draws = np.random.default_rng([s.seed, *str(pdf[key].iloc[0]).encode()]), 0, 0, 0
-        while done < s.iterations:
-            chosen = [names[k] for k in draw.choice(len(names), s.sample, replace=False)]
-            known, draws = np.flatnonzero(np.isin(groups, chosen)), draws + 1
-            if probability(prior[known], cov[np.ix_(known, known)] + np.diag(var[known]), y[known]) > valid_at:
+        codes, names = pd.factorize(pdf["__g"], sort=True, use_na_sentinel=False)
+        names, own = list(range(len(names))), pdf[key].iloc[0]
+        out = []
+        if not (s.iterations <= 0 or s.sample <= 0 or s.sample >= len(names) or s.consensus >= len(names) or s.consensus < s.sample):
+            prior, cov = mean(x), kernel.measured(x, x)
+
+            def of(strategy: Callable, at: np.ndarray):
+                return strategy(prior[at], cov[np.ix_(at, at)], y[at], var[at])
+
+            for draw in range(int(pdf["__part"].iloc[0]), draws, parts):
+                chosen = drawn_groups(names, s, own, draw)
+                known = np.flatnonzero(np.isin(codes, chosen))
+                if not of(is_valid, known):
+                    out.append((draw, False, 0, 0, np.nan))
+                    continue
+                agreed = list(chosen)
+                for g in names:
+                    if g not in chosen:
+                        at = np.flatnonzero(codes == g)
+                        if inlier_metric(*condition(prior, cov, known, y[known], var[known], at), y[at], var[at]) <= s.threshold:
+                            agreed.append(g)
+                inside = np.flatnonzero(np.isin(codes, agreed))
+                out.append((draw, True, len(agreed), len(inside), of(consensus_metric, inside) if len(agreed) >= s.consensus else np.nan))
+        else:
+            out.append((-1, False, 0, 0, np.nan))
+        return pd.DataFrame(out, columns=["draw", "valid", "groups", "rows", "metric"]).assign(**{key: own})[[key, "draw", "valid", "groups", "rows", "metric"]]
+
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, code, iteration, groups, size, least = pdf.sort_values("draw"), NO_CONSENSUS, -1, 0, 0, np.nan
+        failed = done = 0
+        for r in pdf.itertuples():
+            if r.draw < 0:
+                code = INVALID
+                break
+            if done == s.iterations:
+                break
+            if not r.valid:
                 failed += 1
                 if failed >= s.max_failed:
-                    return pd.DataFrame([out | {"code": EXCEEDED}])
+                    code, iteration, groups, size, least = EXCEEDED, -1, 0, 0, np.nan
+                    break
                 continue
-            agreed = list(chosen)
-            for g in names:
-                if g not in chosen:
-                    at = np.flatnonzero(groups == g)
-                    m, c = condition(prior, cov, known, y[known], var[known], at)
-                    if probability(m, c + np.diag(var[at]), y[at]) <= s.threshold:
-                        agreed.append(g)
-            size = int(np.isin(groups, agreed).sum())
-            if len(agreed) >= s.consensus and size > out["rows"]:
-                out |= {"iteration": draws - 1, "groups": len(agreed), "rows": size}
             done += 1
-        return pd.DataFrame([out | {"code": SUCCESS if out["rows"] else NO_CONSENSUS}])
+            if r.metric == r.metric and not r.metric >= least:
+                code, iteration, groups, size, least = SUCCESS, r.draw, r.groups, r.rows, r.metric
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "code": [code], "iteration": [iteration], "groups": [groups], "rows": [size], "metric": [least]})
 
-    return per_group(df, run, f"{key} {kinds[key]}, code string, iteration int, groups int, rows int", key, max_rows)
+    copied = rows.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    judged = spread(copied, key, "__part").groupBy(key, "__part").applyInPandas(run, f"{key} {kinds[key]}, draw int, valid boolean, groups int, rows int, metric double")
+    return spread(judged, key).groupBy(key).applyInPandas(decide, f"{key} {kinds[key]}, code string, iteration int, groups int, rows int, metric double")

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from sparkreg.functions.kernels import Kernel
 from sparkreg.functions.order import global_row_number
-from sparkreg.functions.storage import bounded_broadcast, materialise
+from sparkreg.functions.storage import bounded_broadcast, materialise, new_folder
+from sparkreg.functions.versions import Versions
 from sparkreg.operators.gp import MAX_ROWS, Fit, Mean, arrays, leave_one_out, per_group, zero
 
 Objective = Callable[[DataFrame], DataFrame]  # (set_id, <params>) -> (set_id, value)
@@ -184,26 +185,71 @@ def ensemble_step(walkers: np.ndarray, log_p: np.ndarray, log_density: Callable[
     return walkers, log_p, accepted
 
 
-def sample_ensemble(spark: SparkSession, start: dict[str, float], objective: Objective, iterations: int, walkers: int | None = None, jitter: float = 0.1, seed: int = 5) -> DataFrame:
-    """(iteration, ensemble_index, log_probability, accepted, <params>) with the objective as log density, a job a half step."""
-    names = sorted(start)
+def into_tuning_space(p: Parameter, value: float) -> float:
+    """As ``to_tuning_space``, of a number."""
+    held = min(max(value, p.low), p.high)
+    return math.log(held) if p.log_scale else held
+
+
+def out_of_tuning_space(p: Parameter, value: float) -> float:
+    return min(max(math.exp(value) if p.log_scale else value, p.low), p.high)
+
+
+Callback = Callable[[DataFrame, int], None]  # (rows of the iterations just written, the last of them)
+
+
+def sample_ensemble(
+    spark: SparkSession, start: dict[str, Parameter | float], objective: Objective, iterations: int, walkers: int | None = None, jitter: float = 0.1, seed: int = 5, *,
+    folder: str | None = None, every: int = 10, callbacks: tuple[Callback, ...] = (),
+) -> DataFrame:
+    """(iteration, ensemble_index, log_probability, accepted, <params>) with the objective as log density, a job a half step.
+
+    Walkers move in tuning space. Every ``every`` iterations the steps go to ``folder`` and to the callbacks, and the driver keeps
+    the walkers alone. With a folder that holds steps, the chain goes on after the last of them: draws depend on the seed and the
+    number of the iteration, so it is the chain that was never interrupted; steps that had not been written are done again.
+    """
+    params = {k: v if isinstance(v, Parameter) else Parameter(float(v)) for k, v in start.items()}
+    names = sorted(k for k, p in params.items() if not p.fixed)
     n = max(2 * len(names) + 1, walkers or 0)
-    rng = np.random.default_rng(seed)
-    density = lambda x: np.array(evaluate(spark, [dict(zip(names, row, strict=True)) for row in x], objective))
-    state = np.array([start[k] for k in names]) + jitter * rng.standard_normal((n, len(names)))
-    log_p = density(state)
-    while (bad := ~np.isfinite(log_p)).any():  # replaced by random mixtures of two good walkers
-        good = np.flatnonzero(~bad)
-        if len(good) < 2:
-            raise ValueError("fewer than two walkers have a finite density")
-        w = rng.random((bad.sum(), 1))
-        state[bad] = w * state[rng.choice(good, bad.sum())] + (1 - w) * state[rng.choice(good, bad.sum())]
-        log_p[bad] = density(state[bad])
-    rows = []
-    for it in range(iterations):
-        state, log_p, accepted = ensemble_step(state, log_p, density, rng)
-        rows += [(it, k, float(log_p[k]), bool(accepted[k]), *map(float, state[k])) for k in range(n)]
-    return spark.createDataFrame(rows, "iteration int, ensemble_index int, log_probability double, accepted boolean, " + ", ".join(f"`{k}` double" for k in names))
+    steps = Versions(folder or new_folder(spark, "sampler"), "upto")
+    schema = "iteration int, ensemble_index int, log_probability double, accepted boolean, state array<double>, " + ", ".join(f"`{k}` double" for k in sorted(params))
+
+    def real(row: np.ndarray) -> dict[str, float]:
+        moved = {k: out_of_tuning_space(params[k], float(v)) for k, v in zip(names, row, strict=True)}
+        return {k: moved.get(k, p.value) for k, p in params.items()}
+
+    def density(x: np.ndarray) -> np.ndarray:
+        return np.array(evaluate(spark, [real(row) for row in x], objective))
+
+    done = steps.numbers(spark)
+    if done:
+        last = spark.read.parquet(steps.path(done[-1])).where(F.col("iteration") == done[-1]).orderBy("ensemble_index").collect()  # a row a walker
+        state, log_p, first = np.array([r.state for r in last]), np.array([r.log_probability for r in last]), done[-1] + 1
+    else:
+        rng, first = np.random.default_rng([seed, 0]), 0
+        state = np.array([into_tuning_space(params[k], params[k].value) for k in names]) + jitter * rng.standard_normal((n, len(names)))
+        log_p = density(state)
+        while (bad := ~np.isfinite(log_p)).any():  # replaced by random mixtures of two good walkers
+            good = np.flatnonzero(~bad)
+            if len(good) < 2:
+                raise ValueError("fewer than two walkers have a finite density")
+            w = rng.random((bad.sum(), 1))
+            state[bad] = w * state[rng.choice(good, bad.sum())] + (1 - w) * state[rng.choice(good, bad.sum())]
+            log_p[bad] = density(state[bad])
+    rows: list[tuple] = []  # of the iterations that have not been written
+    for it in range(first, iterations):
+        state, log_p, accepted = ensemble_step(state, log_p, density, np.random.default_rng([seed, 1, it]))
+        for k in range(n):
+            values = real(state[k])
+            rows.append((it, k, float(log_p[k]), bool(accepted[k]), [float(v) for v in state[k]], *(float(values[p]) for p in sorted(params))))
+        if (it + 1) % every == 0 or it == iterations - 1:
+            steps.write(spark.createDataFrame(rows, schema), it)
+            rows = []
+            for f in callbacks:
+                f(spark.read.parquet(steps.path(it)).drop("state"), it)
+    done = [steps.path(k) for k in steps.numbers(spark)]
+    found = spark.read.schema(schema).parquet(*done) if done else spark.createDataFrame([], schema)
+    return found.where(F.col("iteration") < iterations).drop("state")
 
 
 def sampler_summary(log: DataFrame, params: list[str], burn_in: int, thin: int, share: float = 0.9) -> DataFrame:

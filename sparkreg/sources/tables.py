@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from sparkreg.functions.columns import ecef
-from sparkreg.functions.order import global_row_number
+from sparkreg.functions.order import global_row_number, spread
+from sparkreg.functions.storage import materialise
 from sparkreg.operators.dataset import first_by
 from sparkreg.operators.sparse_gp import SparseFit
+from sparkreg.operators.tuning import Parameter, to_tuning_space
 
 
 def read_thinned(spark: SparkSession, path: str, schema: str, order: list[str], columns: list[str], thin: int = 5) -> DataFrame:
@@ -38,8 +42,36 @@ def usable_stations(stations: DataFrame, since: int = 20180101, row_id: str = "r
     return first.withColumns({"x": x, "y": y, "z": z})
 
 
+def read_station_files(spark: SparkSession, path: str) -> DataFrame:
+    """(value, path) of the lines of many small text files; a task reads as many files as fill its share of bytes."""
+    lines = spark.read.text(path, recursiveFileLookup=True)
+    return lines.select("value", F.col("_metadata.file_path").alias("path"))
+
+
+def write_station_files(lines: DataFrame, folder: str, name: str = "name", order: str = "row_id", max_lines: int = 1_000_000) -> DataFrame:
+    """Lines (name, row_id, value) as one text file for each name below folder; returns (name, lines).
+
+    A file is written under a temporary name and then given its own, so a task that is run again replaces it.
+    """
+    from pyarrow import fs
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > max_lines:
+            raise ValueError(f"file {pdf[name].iloc[0]} has {len(pdf)} lines; at most {max_lines}")
+        system, root = fs.FileSystem.from_uri(folder)
+        system.create_dir(root, recursive=True)
+        temp, own = f"{root}/.{pdf[name].iloc[0]}.{uuid.uuid4().hex}", f"{root}/{pdf[name].iloc[0]}"
+        with system.open_output_stream(temp, compression=None) as out:
+            out.write("".join(f"{v}\n" for v in pdf.sort_values(order)["value"]).encode())
+        system.move(temp, own)
+        return pd.DataFrame({"name": [pdf[name].iloc[0]], "lines": [len(pdf)]})
+
+    return materialise(spread(lines.select(name, order, "value"), name).groupBy(name).applyInPandas(write, "name string, lines long"), "station-files")
+
+
 def station_observations(lines: DataFrame, date: str) -> DataFrame:
-    """(usaf, date, temp) of fixed-width lines (value, path) of one date: station from the file's name."""
+    """(usaf, date, temp) of fixed-width lines (value, path) of one date: station from the file's name. Lines of other forms,
+    headers above all, have no date or temperature and are left out."""
     usaf = F.regexp_extract("path", r"([^/-]+)-[^/]*$", 1)
     rows = lines.select(usaf.alias("usaf"), F.substring("value", 15, 8).alias("date"), F.trim(F.substring("value", 25, 6)).try_cast("double").alias("temp"))
     return rows.where((F.col("date") == date) & F.col("temp").isNotNull())
@@ -109,14 +141,17 @@ def matrix_lines(matrix: DataFrame) -> DataFrame:
     return cells.select("i", F.array_join(F.transform("c", lambda x: x["t"]), ",").alias("line"))
 
 
-def last_sampler_state(log: DataFrame, params: dict[str, tuple[float, float]]) -> DataFrame:
-    """Rows of the last iteration of a sampler log of text columns: what is no number is NaN, values are held in bounds."""
+def last_sampler_state(log: DataFrame, params: dict[str, Parameter]) -> DataFrame:
+    """Rows of the last iteration of a sampler log of text columns: what is no number is NaN, values are held in bounds; for each
+    parameter also tuned_<name>, its value in tuning space."""
     number = lambda c: F.coalesce(F.expr(f"try_cast(`{c}` as double)"), F.lit(float("nan")))
     rows = log.select(F.expr("try_cast(iteration as int)").alias("iteration"), F.expr("try_cast(ensemble_index as int)").alias("ensemble_index"), number("log_probability").alias("log_probability"), *(number(p).alias(p) for p in params))
     last = F.broadcast(rows.agg(F.max("iteration").alias("__last")))
     rows = rows.join(last, F.col("iteration") == F.col("__last")).drop("__last")
-    held = {p: F.when(F.isnan(p), F.col(p)).otherwise(F.least(F.greatest(F.col(p), F.lit(low)), F.lit(high))) for p, (low, high) in params.items()}
-    return rows.withColumns(held)
+    bounds = {k: (F.lit(p.low), F.lit(p.high)) for k, p in params.items()}
+    held = {k: F.when(F.isnan(k), F.col(k)).otherwise(F.least(F.greatest(F.col(k), low), high)) for k, (low, high) in bounds.items()}
+    tuned = {f"tuned_{k}": F.when(F.isnan(k), F.col(k)).otherwise(to_tuning_space(F.col(k), *bounds[k], F.lit(p.log_scale))) for k, p in params.items()}
+    return rows.withColumns(held).withColumns(tuned)
 
 
 def save_fit(fits: DataFrame, path: str, codec: str = "zstd") -> None:

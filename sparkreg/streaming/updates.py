@@ -18,11 +18,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from sparkreg.functions.kernels import Kernel
 from sparkreg.functions.order import spread
 from sparkreg.functions.storage import bounded_broadcast, materialise
+from sparkreg.functions.versions import Versions
 from sparkreg.operators.gp import Mean, arrays, zero
 from sparkreg.operators.linear import SUMS, line, power_sums
 from sparkreg.operators.sparse_gp import SparseFit, fit_sparse_gp
 from sparkreg.streaming.scan import scan_filter
-from sparkreg.streaming.versions import KeyedTotals, Versions
+from sparkreg.streaming.totals import KeyedTotals
 
 
 def running_regression(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sparkreg.streaming import scan
 from sparkreg.streaming import updates as U
 from sparkreg.streaming.event_time import event_time_filter
-from sparkreg.streaming.versions import KeyedTotals
+from sparkreg.streaming.totals import KeyedTotals
 
 
 def decay(d):
