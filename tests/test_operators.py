@@ -139,3 +139,11 @@ def test_materialise_keeps_the_session_as_it_was(spark):
     assert spark.conf.get(key) == before
     assert "broadcast" in bounded_broadcast(df, 50)._jdf.queryExecution().logical().toString().lower()
     assert "broadcast" not in bounded_broadcast(df, 49)._jdf.queryExecution().logical().toString().lower()
+
+
+@pytest.mark.parametrize("hot_rows", [3, 20_000])
+def test_components_with_hubs(spark, hot_rows):
+    edges = [(0, k) for k in range(1, 40)] + [(100 + k, 101 + k) for k in range(17)] + [(200, 200), (None, 5), (300, 301), (39, 90)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), hot_rows=hot_rows).collect()}
+    want = {**dict.fromkeys([*range(40), 90], 0), **dict.fromkeys(range(100, 118), 100), 300: 300, 301: 300}
+    assert got == want
