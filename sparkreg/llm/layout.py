@@ -28,21 +28,21 @@ def sorted_shards(df: DataFrame, key: str, then: list[str], rows_per_shard: int)
     """df with a column __shard, a task a shard (or a few), each sorted by key and then; nulls first.
 
     Shards are cut at every rows_per_shard-th key, so they depend on the rows alone and not on how Spark split the
-    input; rows with one key stay in one shard. One key a shard goes by the driver to the tasks. Keys that are no integers
+    input; rows with one key stay in one shard. One key a shard is broadcast. Keys that are no integers
     are ordered as strings, by code point.
     """
     kind = id_kind(df, key)
     place = F.coalesce(F.col(key).cast(kind), F.lit(LEAST[kind]))
     number = global_row_number(df.select(place.alias("k")), "k")
     found = sorted(r.k for r in number.where(F.col("row_number") % rows_per_shard == 0).select("k").collect())
-    bounds = np.array(found, dtype=np.int64 if kind == "long" else object)
+    bounds = df.sparkSession.sparkContext.broadcast(np.array(found, dtype=np.int64 if kind == "long" else object))
 
     @F.pandas_udf("int")
     def shard(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.maximum(np.searchsorted(bounds, keys.to_numpy(), side="right") - 1, 0).astype(np.int32))
+        return pd.Series(np.maximum(np.searchsorted(bounds.value, keys.to_numpy(), side="right") - 1, 0).astype(np.int32))
 
     placed = df.withColumn("__shard", shard(place))
-    return in_tasks(placed, max(1, len(bounds)), F.col("__shard")).sortWithinPartitions("__shard", F.col(key).cast(kind), *then)
+    return in_tasks(placed, max(1, len(found)), F.col("__shard")).sortWithinPartitions("__shard", F.col(key).cast(kind), *then)
 
 
 def in_tasks(df: DataFrame, n: int, number: Column) -> DataFrame:

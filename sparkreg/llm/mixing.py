@@ -11,10 +11,10 @@
 
 The ranks are never sorted as a whole: a histogram of 256 rank cells a source tells in which cell the sample ends, a second
 one of 256 parts of that cell in which part, a third one likewise, and only the last part's documents are ordered: about one
-in 17 million of a source. u comes from a hash of the document's id, so reruns agree.
+in 17 million of a source. u comes from a hash of the document's id and text, so reruns agree.
 
 Defined cases: null text has size 0; texts of any length are counted whole; a document of size 0 is never taken; a null source
-is a source of its own, last in order; ids of any type will do; rows that share an id share their rank and are taken together;
+is a source of its own, last in order; ids of any type will do; rows that share an id and text share their rank and are taken together;
 other columns are kept whatever their names; an empty table gives an empty result.
 """
 
@@ -35,8 +35,13 @@ def _size(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
-def _rank(doc_id: Column, p: Column, seed: int) -> Column:
-    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, 13)
+def _mark(doc_id: Column, text: Column) -> Column:
+    """What a document's rank is drawn from: its id and text, so that rows of one id (null above all) have ranks of their own."""
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(text.cast("string"), F.lit("")))))
+
+
+def _rank(mark: Column, p: Column, seed: int) -> Column:
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), mark)), 1, 13)
     u = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
     odds = (u / (1 - u)) / (p / (1 - p))
     return F.floor(odds / (1 + odds) * float(1 << _BITS)).cast("long")
@@ -118,11 +123,11 @@ def _ends(ranked: DataFrame, missing: DataFrame, reach: int) -> DataFrame:
 def _mixed(docs: DataFrame, share: float, weights: tuple, max_copies: float, size_power: float, reach: int, seed: int, id_col: str, source_col: str, text_col: str) -> DataFrame:
     """(row, size, source_size, target, copies) of every row of docs, as a struct."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    sized = docs.select(whole.alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), _size(F.col(text_col)).alias("size"))
+    sized = docs.select(whole.alias("row"), _mark(F.col(id_col), F.col(text_col)).alias("mark"), F.col(source_col).alias("source"), _size(F.col(text_col)).alias("size"))
     sized = sized.withColumn("class", F.length(F.bin("size")))
-    slim = materialise(sized.select("id", "source", "size", "class"), "mix-sizes")
+    slim = materialise(sized.select("mark", "source", "size", "class"), "mix-sizes")
     classes = materialise(_classes(slim, share, weights, max_copies, size_power), "mix-classes")
-    rank = F.when((F.col("size") > 0) & (F.col("p") > 1e-12), _rank(F.col("id"), F.least("p", F.lit(1 - 1e-12)), seed))
+    rank = F.when((F.col("size") > 0) & (F.col("p") > 1e-12), _rank(F.col("mark"), F.least("p", F.lit(1 - 1e-12)), seed))
     ranked = materialise(_with_class(slim, classes).select("source", "size", rank.alias("k")).where("k is not null"), "mix-ranks")
     missing = classes.groupBy("source").agg((F.max("target") - F.sum(F.col("whole") * F.col("words"))).alias("missing"))
     ends = materialise(_ends(ranked, missing, reach).withColumnRenamed("source", "e"), "mix-ends")

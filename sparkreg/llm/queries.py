@@ -91,8 +91,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 #: The mix in SQL: sources, size classes, ranks and the point up to which ranks are taken.
 MIX_SQL = """
-    WITH c AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
-    d AS (SELECT doc_id, source, size, length(bin(size)) AS class FROM c),
+    WITH c AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS mark, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+    d AS (SELECT doc_id, mark, source, size, length(bin(size)) AS class FROM c),
     cells AS (SELECT source, class, CAST(sum(size) AS BIGINT) AS words FROM d GROUP BY ALL),
     s0 AS (SELECT source, CAST(sum(words) AS BIGINT) AS source_size FROM cells GROUP BY 1),
     s1 AS (SELECT *, [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w, 2.0::DOUBLE * source_size AS cap FROM s0),
@@ -109,7 +109,7 @@ MIX_SQL = """
     k3 AS (SELECT k2.source, class, words, source_size, target, greatest(0.0::DOUBLE, least(2.0::DOUBLE, coalesce(best.l * m, 2.0::DOUBLE))) AS e
            FROM k2 LEFT JOIN best ON k2.source IS NOT DISTINCT FROM best.source),
     r AS (SELECT doc_id, d.source, size, source_size, target, floor(e) AS whole, e - floor(e) AS p,
-            (('0x' || substr(md5('SEED:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+            (('0x' || substr(md5('SEED:' || mark), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
           FROM d JOIN k3 ON d.source IS NOT DISTINCT FROM k3.source AND d.class = k3.class),
     o AS (SELECT *, CASE WHEN size > 0 AND p > 1e-12 THEN (u / (1 - u)) / (least(p, 1 - 1e-12) / (1 - least(p, 1 - 1e-12))) END AS odds FROM r),
     q AS (SELECT *, CAST(floor(odds / (1 + odds) * 1125899906842624.0::DOUBLE) AS BIGINT) AS k FROM o),

@@ -156,3 +156,11 @@ def test_items_of_every_length_are_found(spark):
     words = {k: text.split() for k, text in items}
     for d, i in own - {(k, k) for k, _ in items}:  # one-word items may stand in other texts
         assert len(words[i]) < 5
+
+
+def test_mix_comes_near_its_target_where_ids_repeat(spark):
+    """Rows of one id, or of none, are drawn one by one."""
+    data = [(None if k % 2 else 7, sentence(random.Random(k), 12), "en", s, 0, 0, "", "") for s in ("a", "b", "c") for k in range(40)]
+    out = mixing.mix_sources(docs(spark, data)).toPandas()
+    for _, own in out.groupby("source"):
+        assert abs(own.mix_taken.sum() - own.mix_target.iloc[0]) <= 6  # half of a document
