@@ -46,8 +46,8 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it.
 
-    Documents without words are never taken. A null source is a source of its own, last in order. Rows of one id share
-    their rank and are taken together.
+    Documents without words are never taken. A null source is a source of its own, last in order. Rows of one id and
+    text share their rank and are taken together.
     """
     return mixing.mixed_rows(docs)
 
