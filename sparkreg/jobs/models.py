@@ -300,7 +300,7 @@ def _(spark, d):
 
 @add("rebase_inducing_points_by_key")
 def _(spark, d):
-    fits = SG.rebase_sparse_gps(_user_fits(spark, d), _user_points(spark, d, 16), SPARSE)
+    fits = SG.rebase_sparse_gps(_user_fits(spark, d), _user_points(spark, d, 23), SPARSE)
     return SG.predict_sparse_gps(fits, _grid(spark, d), SPARSE, mean=fifty).select("key", "row_id", F.round("mean", 1).alias("mean"))
 
 

@@ -95,10 +95,11 @@ def _(spark, d):
 
 @add("ransac_gp")
 def _(spark, d):
-    """Per user: groups of five events, consensus by held-out chi-squared on a joint prior; iterations inside the model."""
+    """Per user: groups of five events, consensus by held-out chi-squared on a joint prior as wide as the events are; draws are
+    shared by the tasks."""
     rows = _users(spark, d).withColumn("group", F.expr("(row_id - 1) div 5"))
     settings = RS.Settings(threshold=0.999, sample=3, consensus=4, iterations=10, seed=3, max_failed=10)
-    return RS.consensus_gp(rows, KF.exponential(5.0, 20.0) + KF.independent_noise(5.0), "group", settings, mean=fifty)
+    return RS.consensus_gp(rows, KF.exponential(5.0, 20.0) + KF.independent_noise(50.0), "group", settings, mean=fifty)
 
 
 # ---- tuning
