@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkreg.functions import columns as C
 from sparkreg.functions import kernels as KF
+from sparkreg.functions.storage import bounded_broadcast, materialise
 from sparkreg.jobs.common import EV, LI, Registry, events, lines, r6, table
 from sparkreg.operators import distribution as DI
 from sparkreg.operators import pairs as P
@@ -242,9 +243,11 @@ def _(spark, d):
 
 @add("linear_combination_mean", f"WITH {EV} SELECT user_id, count(*) AS terms, round(1.0 / count(*), 6) AS coef FROM ev GROUP BY 1")
 def _(spark, d):
-    c = events(spark, d).groupBy("user_id").agg(F.collect_list("feature").alias("values"))
-    c = c.withColumn("combo", F.transform("values", lambda v: F.struct(v.alias("value"), (1.0 / F.size("values")).alias("coef"))))
-    return c.select("user_id", F.size("combo").cast("long").alias("terms"), r6(F.col("combo")[0]["coef"]).alias("coef"))
+    """In long form, a row a term, so that a user may have any number of them."""
+    e = events(spark, d).select("user_id", "feature")
+    sizes = materialise(e.groupBy(F.col("user_id").alias("u")).agg(F.count(F.lit(1)).alias("n")), "sizes")
+    terms = e.join(bounded_broadcast(sizes), F.col("user_id").eqNullSafe(F.col("u"))).select("user_id", "feature", (1.0 / F.col("n")).alias("coef"))
+    return terms.groupBy("user_id").agg(F.count(F.lit(1)).alias("terms"), r6(F.max("coef")).alias("coef"))
 
 
 @add("linear_combination_difference", f"WITH {EV} SELECT a.row_id, round(a.feature, 6) AS x, round(b.feature, 6) AS y, -1.0 AS second_coef FROM ev a JOIN ev b ON b.row_id = a.row_id + 1")
@@ -295,6 +298,13 @@ def _(spark, d):
     return P.noise(p, 0.5)
 
 
+@add("cov_noise_blocks", "SELECT l_orderkey * 10 + l_linenumber AS i, min(l_orderkey * 10 + l_linenumber) OVER (PARTITION BY l_discount) AS block, 0.25 AS cov FROM lineitem")
+def _(spark, d):
+    """Line items share eleven discounts: a block each, where pairs would be a square."""
+    li = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("i"), F.col("l_discount").alias("x"))
+    return P.noise_blocks(li, 0.5)
+
+
 @add("cov_nugget", "SELECT a.s_suppkey AS i, b.s_suppkey AS j, 1e16 * 1e-16 AS scaled FROM supplier a JOIN supplier b ON a.s_acctbal = b.s_acctbal")
 def _(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("i"), F.col("s_acctbal").alias("x"))

@@ -11,7 +11,7 @@ from sparkreg.functions import columns as C
 from sparkreg.functions import kernels as KF
 from sparkreg.functions import typed as TY
 from sparkreg.jobs.columns import _AB, _CRPS, _DEV, _JOINT, _kernel_table, _marginals, _scored, chi_sql, day_of_user, erf_sql, inducing_uniform
-from sparkreg.jobs.common import EV, LI, Registry, events, lines, r6
+from sparkreg.jobs.common import EV, LI, Registry, events, lines, r6, table
 from sparkreg.operators import crossval as CV
 from sparkreg.operators import gp as GP
 from sparkreg.operators import grouping as G
@@ -365,6 +365,23 @@ def _(spark, d):
     return found.select("fold", "row_id", r6("mean").alias("mean"))
 
 
+_SUPPLIERS = "su AS (SELECT s_suppkey AS row_id, s_nationkey AS fold, s_acctbal / 1000 AS y FROM supplier), h AS (SELECT o.fold, count(*) AS n, avg(s.y) AS m, var_samp(s.y) AS v FROM (SELECT DISTINCT fold FROM su) o JOIN su s ON s.fold <> o.fold GROUP BY 1)"
+
+
+@add("cv_predict_joint", f"WITH {_SUPPLIERS} SELECT a.fold, a.row_id AS i, b.row_id AS j, round(m, 6) AS mean, round(v / n + CASE WHEN a.row_id = b.row_id THEN v ELSE 0 END, 6) AS cov FROM su a JOIN su b ON a.fold = b.fold JOIN h ON h.fold = a.fold")
+def _(spark, d):
+    """Suppliers of a nation by those of all others: a common mean, whose error they share, and a spread of their own."""
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("row_id"), F.col("s_nationkey").alias("key"), (F.col("s_acctbal") / 1000).alias("y"))
+
+    def predict(model, pdf: pd.DataFrame) -> pd.DataFrame:
+        n, m, v = model
+        cov = np.full((len(pdf), len(pdf)), v / n) + v * np.eye(len(pdf))
+        return GP.joint_rows({"fold": pdf["fold"].iloc[0]}, pdf["row_id"].to_numpy(), np.full(len(pdf), m), cov)
+
+    found = CV.cv_predict(rows, lambda pdf: (len(pdf), float(pdf["y"].mean()), float(pdf["y"].var())), predict, "fold int, i long, j long, mean double, cov double", together=True)
+    return found.select("fold", "i", "j", r6("mean").alias("mean"), r6("cov").alias("cov"))
+
+
 @add("cv_predict_additive", f"WITH {EV}, k AS (SELECT DISTINCT key AS fold FROM ev), f AS (SELECT fold, regr_intercept(target, feature) AS o, regr_slope(target, feature) AS s FROM ev JOIN k ON key <> fold GROUP BY 1) SELECT key AS fold, row_id, round(o + s * feature, 6) AS mean FROM ev JOIN f ON key = fold")
 def _(spark, d):
     """A line by its gram matrix, as any other model of additive sums."""
@@ -400,6 +417,12 @@ def _(spark, d):
     return _shown(GP.logo_gp(_folds(spark, d), KERNEL, "fold", mean=fifty))
 
 
+@add("gp_logo_joint")
+def _(spark, d):
+    found = GP.logo_gp_joint(_folds(spark, d), KERNEL, "fold", mean=fifty)
+    return found.select("key", "fold", "i", "j", r6("mean").alias("mean"), r6("cov").alias("cov"))
+
+
 # ---- scores
 
 

@@ -17,6 +17,7 @@ from sparkreg.operators.linear import SUMS, line, power_sums
 
 MAX_FOLDS = 50
 MAX_MODEL_BYTES = 256 << 20  # of the models of all folds
+MAX_TEST = 5_000  # rows of a fold that are predicted together
 MAX_TRAIN = 500_000  # rows of a fold's training set, for models that need them together
 
 
@@ -62,12 +63,13 @@ def loo_predict_line(df: DataFrame, x: str, y: str, name: str = "prediction") ->
     return rows.withColumn(name, F.col(y) - error / (1 - leverage)).drop("__n", "__cx", "__cy", "__sxx", "__sxy")
 
 
-def cv_predict(df: DataFrame, fit: Callable[[pd.DataFrame], object], predict: Callable[[object, pd.DataFrame], pd.DataFrame], schema: str, key: str = "key", max_folds: int = MAX_FOLDS, max_train: int = MAX_TRAIN, max_model_bytes: int = MAX_MODEL_BYTES) -> DataFrame:
+def cv_predict(df: DataFrame, fit: Callable[[pd.DataFrame], object], predict: Callable[[object, pd.DataFrame], pd.DataFrame], schema: str, key: str = "key", max_folds: int = MAX_FOLDS, max_train: int = MAX_TRAIN, max_model_bytes: int = MAX_MODEL_BYTES, together: bool = False, max_test: int = MAX_TEST) -> DataFrame:
     """Predictions of any model, fold by fold, a null fold being one; schema is that of predict's rows, (row_id and key among those of df).
 
     A model that needs its rows together is trained in one task a fold, on rows that are copied once a fold: more than
     max_train of them are an error before any row is moved (additive models: ``cv_predict_additive``; processes:
-    ``gp.logo_gp``). Test rows stay where they are: fold models are sent to the tasks that hold rows.
+    ``gp.logo_gp``). Test rows stay where they are: fold models are sent to the tasks that hold rows. With ``together`` predict
+    gets all rows of a fold at once, for joint predictions; folds of more than max_test rows are an error then.
     """
     folds = create_folds(df, key, max_folds).where("role = 'train'")
     sizes = df.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
@@ -82,6 +84,11 @@ def cv_predict(df: DataFrame, fit: Callable[[pd.DataFrame], object], predict: Ca
         raise ValueError(f"the models of the folds have {held} bytes; at most {max_model_bytes} are sent to the tasks")
     known = df.sparkSession.sparkContext.broadcast({r.fold: bytes(r.model) for r in models.collect()})  # max_folds models
 
+    if together:
+        if (sizes.agg(F.max("n").alias("m")).first().m or 0) > max_test:
+            raise ValueError(f"a fold has more than {max_test} rows, which are predicted together")
+        whole = _by_fold(known, predict, key)
+        return spread(df, key).groupBy(key).applyInPandas(lambda pdf: pd.concat(list(whole(iter([pdf.sort_values("row_id")])))), schema)
     return df.mapInPandas(_by_fold(known, predict, key), schema)
 
 

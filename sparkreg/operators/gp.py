@@ -386,6 +386,20 @@ def logo_gp(df: DataFrame, kernel: Kernel, fold: str, key: str = "key", mean: Me
     return per_group(df, run, _marginal_schema(df, key), key, max_rows)
 
 
+def logo_gp_joint(df: DataFrame, kernel: Kernel, fold: str, key: str = "key", mean: Mean = zero, max_rows: int = MAX_ROWS) -> DataFrame:
+    """(key, fold, i, j, mean, cov): the joint prediction of each fold of a key by the key's other folds, as measurements with
+    their target variances; i and j are row_ids."""
+    kinds = dict(df.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, v = arrays(pdf)
+        ids, folds = pdf["row_id"].to_numpy(), pdf[fold].to_numpy()
+        held = leave_group_out(Fit.of(kernel, x, y, v, mean, flags(pdf)), y, folds)
+        return pd.concat([joint_rows({key: pdf[key].iloc[0], fold: folds[at[0]]}, ids[at], m, c) for at, m, c in held])
+
+    return per_group(df, run, f"{key} {kinds[key]}, {fold} {kinds[fold]}, i long, j long, mean double, cov double", key, max_rows)
+
+
 JointMetric = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], float]
 
 

@@ -30,8 +30,12 @@ def kfold(df: DataFrame, k: int = 2, row_id: str = "row_id", name: str = "key",
     return df.join(places, row_id).withColumn(name, F.col("__pos") % k).drop("__pos")
 
 
-def indexers(df: DataFrame, key: str = "key", row_id: str = "row_id") -> DataFrame:
-    """(key, indices): ascending row_ids of each group. For groups that fit a row; the long form is df itself."""
+def indexers(df: DataFrame, key: str = "key", row_id: str = "row_id", max_rows: int = 10_000_000) -> DataFrame:
+    """(key, indices): ascending row_ids of each group, in one row a group; a group of more than max_rows rows is an error before
+    any is gathered. The long form, for groups of any size, is df itself."""
+    largest = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max_by(key, "n").alias("k"), F.max("n").alias("n")).first()
+    if (largest.n or 0) > max_rows:
+        raise ValueError(f"group {largest.k} has {largest.n} rows; at most {max_rows} are put into one")
     return df.groupBy(key).agg(F.sort_array(F.collect_list(row_id)).alias("indices"))
 
 

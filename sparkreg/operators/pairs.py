@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkreg.functions.storage import bounded_broadcast
+from sparkreg.functions.joins import join_hot
+from sparkreg.functions.storage import bounded_broadcast, materialise
 
 Pair = Callable[[Column, Column], Column]
 
@@ -29,12 +30,25 @@ def against(df: DataFrame, queries: DataFrame, value: Pair, index: str = "i", fe
     return df.join(bounded_broadcast(queries.select("j", F.col("y").alias("__y")), max_queries)).select(F.col(index).alias("i"), "j", value(F.col(feature), F.col("__y")).alias(name))
 
 
-def noise(df: DataFrame, sigma: float, index: str = "i", feature: str = "x") -> DataFrame:
-    """(i, j, cov) of independent noise: pairs of equal features, by an equality join."""
+def noise(df: DataFrame, sigma: float, index: str = "i", feature: str = "x", max_equal: int = 20_000) -> DataFrame:
+    """(i, j, cov) of independent noise: pairs of equal features, by an equality join. Pairs grow with the square of the rows that
+    share a feature, so more than max_equal of those are an error; ``noise_blocks`` has the same matrix in linear size."""
+    largest = df.where(F.col(feature).isNotNull()).groupBy(feature).agg(F.count(F.lit(1)).alias("n")).agg(F.max_by(feature, "n").alias("x"), F.max("n").alias("n")).first()
+    if (largest.n or 0) > max_equal:
+        raise ValueError(f"{largest.n} rows share the feature {largest.x}; at most {max_equal} are paired")
     other = df.select(F.col(index).alias("j"), F.col(feature).alias("__y"))
     return df.join(other, F.col(feature) == F.col("__y")).select(F.col(index).alias("i"), "j", F.lit(float(sigma**2)).alias("cov"))
 
 
+def noise_blocks(df: DataFrame, sigma: float, index: str = "i", feature: str = "x") -> DataFrame:
+    """(i, block, cov): the matrix of independent noise is cov between rows of one block and 0 elsewhere; a block is named by its
+    least index. One row a row, however many share a feature; a null feature equals none."""
+    blocks = df.where(F.col(feature).isNotNull()).groupBy(F.col(feature).alias("__x")).agg(F.min(index).alias("block"), F.count(F.lit(1)).alias("__n"))
+    named = join_hot(df.where(F.col(feature).isNotNull()).withColumnRenamed(feature, "__x"), materialise(blocks, "noise-blocks"), "__x", "__n")
+    alone = df.where(F.col(feature).isNull()).select(F.col(index).alias("i"), F.col(index).alias("block"))
+    return named.select(F.col(index).alias("i"), "block").union(alone).withColumn("cov", F.lit(float(sigma**2)))
+
+
 def of_combinations(combos: DataFrame, value: Pair) -> DataFrame:
     """(c, d, cov) between linear combinations, long rows (group, c, x, coef) within a group: sums of coef coef' k(x, x')."""
     other = combos.select(F.col("group").alias("__g"), F.col("c").alias("d"), F.col("x").alias("__y"), F.col("coef").alias("__f"))

@@ -156,6 +156,18 @@ def test_leave_group_out(spark):
     by_key(spark, "gp_logo", lambda k: {int(users()[k][0][i]): (m[j], c[j, j] + users()[k][3][i]) for _, at, m, c in folds(k) for j, i in enumerate(at)})
 
 
+def test_leave_group_out_joints(spark):
+    got, seen = rows(spark, "gp_logo_joint"), 0
+    for k in users():
+        ids, _, _, v = users()[k]
+        for f, at, m, c in folds(k):
+            own = got[(got.key == k) & (got.fold == f)].sort_values(["i", "j"])
+            np.testing.assert_allclose(own["cov"], (c + np.diag(v[at])).reshape(-1), atol=2e-5)
+            np.testing.assert_allclose(own["mean"], np.repeat(m, len(at)), atol=2e-5)
+            seen += len(own)
+    assert seen == len(got)
+
+
 @pytest.mark.parametrize(
     "name, metric, tolerance",
     [

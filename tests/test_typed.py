@@ -255,3 +255,29 @@ def test_models_of_folds_are_bounded_by_bytes(spark):
     df = spark.createDataFrame(rows_of(keys=1), ROWS)
     with pytest.raises(ValueError, match="bytes"):
         CV.cv_predict(df, lambda pdf: np.zeros(1000), lambda m, pdf: pdf, "row_id long", "fold", max_model_bytes=5000)
+
+
+def test_joint_predictions_of_folds_by_any_model(spark):
+    df = spark.createDataFrame(rows_of(keys=1), ROWS)
+
+    def predict(model, pdf):
+        return GP.joint_rows({"fold": pdf["fold"].iloc[0]}, pdf["row_id"].to_numpy(), np.full(len(pdf), model), np.eye(len(pdf)))
+
+    got = CV.cv_predict(df, lambda pdf: float(len(pdf)), predict, "fold int, i long, j long, mean double, cov double", "fold", together=True).toPandas()
+    assert len(got) == 300 and set(got["mean"]) == {20.0} and got.fold.isna().sum() == 100
+    with pytest.raises(ValueError, match="predicted together"):
+        CV.cv_predict(df, lambda pdf: 0.0, predict, "fold int, i long, j long, mean double, cov double", "fold", together=True, max_test=9)
+
+
+def test_noise_in_blocks_and_bounds(spark):
+    from sparkreg.operators import grouping as G
+
+    df = spark.createDataFrame([(i, None if i == 9 else i % 3) for i in range(10)], "i long, x int")
+    blocks = {r.i: r.block for r in P.noise_blocks(df, 2.0).collect()}
+    assert blocks == {**{i: i % 3 for i in range(9)}, 9: 9}
+    pairs = {(r.i, r.j) for r in P.noise(df, 2.0).collect()}
+    assert pairs == {(i, j) for i in range(9) for j in range(9) if blocks[i] == blocks[j]}
+    with pytest.raises(ValueError, match="share"):
+        P.noise(df, 2.0, max_equal=2)
+    with pytest.raises(ValueError, match="put into one"):
+        G.indexers(df, "x", "i", max_rows=2)
