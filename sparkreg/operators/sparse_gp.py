@@ -133,22 +133,33 @@ BLOCKS = "r binary, log_det double, squares double, n long"
 _FLUSH_BYTES = 64 << 20  # of triangles that a task holds
 
 
-def _block(kernel: Kernel, u: np.ndarray, prior_root: np.ndarray, pdf: pd.DataFrame, mean: Mean, nugget: float, each_alone: bool) -> tuple[np.ndarray, float, float]:
-    """(rows [L^-1 K_fu | L^-1 (y - mean)], log determinant, sum of squares) of rows that depend on each other, or of each alone."""
+def _block(kernel: Kernel, u: np.ndarray, prior_root: np.ndarray, pdf: pd.DataFrame, mean: Mean, nugget: float, group: str | None = None, max_rows: int = MAX_ROWS) -> tuple[np.ndarray, float, float]:
+    """(rows [L^-1 K_fu | L^-1 (y - mean)], log determinant, sum of squares); the rows of a group depend on each other (None:
+    each is alone)."""
     x = features(pdf["feature"])
+    codes = None if group is None else pd.factorize(pdf[group], use_na_sentinel=False)[0]
+    if codes is not None and np.any(np.diff(codes) < 0):  # groups one after the other
+        order = np.argsort(codes, kind="stable")
+        x, pdf, codes = x[order], pdf.iloc[order], codes[order]
     cross = kernel.matrix(x, u)
     half = prior_root @ cross.T
-    y = pdf["target"].to_numpy(float) - mean(x)
     noise = pdf["target_variance"].to_numpy(float) + nugget
-    if each_alone:
+    out = np.column_stack([cross, pdf["target"].to_numpy(float) - mean(x)])
+    if codes is None:
         root = np.sqrt(kernel.diagonal(x, measured=True) + noise - (half**2).sum(0))
-        b, c = cross / root[:, None], y / root
-        log_det = 2 * np.log(root).sum()
+        out, log_det = out / root[:, None], 2 * np.log(root).sum()
     else:
-        a = cholesky(kernel.measured(x, x) + np.diag(noise) - half.T @ half)
-        both = inverse_lower(a) @ np.column_stack([cross, y])
-        b, c, log_det = both[:, :-1], both[:, -1], 2 * np.log(np.diag(a)).sum()
-    return np.column_stack([b, c]), float(log_det), float(c @ c)
+        log_det, ends = 0.0, np.append(np.flatnonzero(np.diff(codes)) + 1, len(codes))
+        for lo, hi in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
+            if hi - lo > max_rows:
+                raise ValueError(f"group {pdf[group].iloc[lo]} has {hi - lo} rows; at most {max_rows} depend on each other")
+            own, part = x[lo:hi], half[:, lo:hi]
+            k = kernel.measured(own, own) - part.T @ part
+            k.flat[:: hi - lo + 1] += noise[lo:hi]
+            a = cholesky(k)
+            out[lo:hi] = inverse_lower(a) @ out[lo:hi]
+            log_det += 2 * np.log(np.diag(a)).sum()
+    return out, float(log_det), float(out[:, -1] @ out[:, -1])
 
 
 class _Total:
@@ -204,14 +215,10 @@ def _folder(kernel: Kernel, mean: Mean, nugget: float, keys: list[str], group: s
             return out
 
         for pdf in whole_groups(batches, [*keys, group], max_rows) if group else batches:
-            by = [*keys, *([group] if group else [])]
-            for name, own in pdf.groupby(by, sort=False, dropna=False) if by else [((), pdf)]:
+            for name, own in pdf.groupby(keys, sort=False, dropna=False) if keys else [((), pdf)]:
                 k = _plain(name[0]) if keys else None
-                if not len(own) or (at := points(k)) is None:
-                    continue
-                if group and len(own) > max_rows:
-                    raise ValueError(f"group {own[group].iloc[0]} has {len(own)} rows; at most {max_rows} depend on each other")
-                totals.setdefault(k, _Total()).add(_block(kernel, *at, own, mean, nugget, group is None), len(own))
+                if len(own) and (at := points(k)) is not None:
+                    totals.setdefault(k, _Total()).add(_block(kernel, *at, own, mean, nugget, group, max_rows), len(own))
             if sum(t.held * t.waiting[0].shape[1] * 8 for t in totals.values()) > _FLUSH_BYTES:
                 yield flush()
         if totals:
@@ -243,8 +250,17 @@ def fit_sparse_gp(
     if group:
         rows = spread(rows, group).sortWithinPartitions(group)
     blocks = materialise(rows.mapInPandas(lambda batches: run(lambda _: at, batches), BLOCKS), "sparse-blocks")
+    return start.plus(*_reduced(blocks, m + 1))
+
+
+def _reduced(blocks: DataFrame, width: int, few: int = 16) -> tuple[np.ndarray, float, float, int]:
+    """(triangle, log determinant, sum of squares, rows) of all of a materialised table of blocks."""
+    found = blocks.select("r", "log_det", "squares", "n").limit(few + 1).collect()
+    if len(found) <= few:
+        parts = [np.frombuffer(bytes(b.r)).reshape(width, width) for b in found]
+        return triangle(np.vstack([np.zeros((0, width)), *parts])), sum(b.log_det for b in found), sum(b.squares for b in found), sum(b.n for b in found)
     sums = blocks.agg(F.sum("log_det").alias("d"), F.sum("squares").alias("s"), F.sum("n").alias("n")).first()
-    return start.plus(reduce_triangles(blocks, m + 1), sums.d or 0.0, sums.s or 0.0, sums.n or 0)
+    return reduce_triangles(blocks, width), sums.d, sums.s, sums.n
 
 
 # ---- one fit a key
@@ -381,8 +397,7 @@ def fold_fits(df: DataFrame, kernel: Kernel, u: np.ndarray, fold: str, group: st
     if group:
         rows = spread(rows, fold, group).sortWithinPartitions(fold, group)
     blocks = merged_by_key(materialise(rows.mapInPandas(lambda batches: run(lambda _: at, batches), f"{fold} {kind}, {BLOCKS}"), "fold-blocks"), fold)
-    sums = blocks.agg(F.sum("log_det").alias("d"), F.sum("squares").alias("s"), F.sum("n").alias("n")).first()
-    whole = start.plus(reduce_triangles(blocks, len(start.u) + 1), sums.d or 0.0, sums.s or 0.0, sums.n or 0)
+    whole = start.plus(*_reduced(blocks, len(start.u) + 1))
     sent = spark.sparkContext.broadcast(whole)
 
     def leave_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -29,7 +29,7 @@ def plain_fit(rows, u, group):
     fit = SG.SparseFit.prior(K, u)
     pdf = pd.DataFrame(rows, columns=[c.split(" ")[0] for c in SCHEMA.split(", ")])
     parts = [pdf] if group is None else [p for _, p in pdf.groupby(group, dropna=False)]
-    blocks = [SG._block(K, u, fit.prior_root, p, SG.zero, 1e-12, group is None) for p in parts]
+    blocks = [SG._block(K, u, fit.prior_root, p, SG.zero, 1e-12, group) for p in parts]
     return fit.plus(SG.triangle(np.vstack([b for b, _, _ in blocks])), sum(d for _, d, _ in blocks), sum(q for _, _, q in blocks), len(pdf))
 
 
