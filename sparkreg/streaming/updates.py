@@ -100,11 +100,11 @@ def filter_steps(t: np.ndarray, y: np.ndarray, noise: float, k: Callable[[float]
     return means, variances
 
 
-def kalman_filter(rows: DataFrame, k: Callable[[float], float], noise: float, key: str = "key", exact: bool = False, chunk_rows: int = 50_000) -> DataFrame:
-    """(key, row_id, mean, variance) of every series, in the order of feature. Series of at most chunk_rows rows are filtered in
-    a task each; longer ones by a scan over chunks (``scan.scan_filter``)."""
+def kalman_filter(rows: DataFrame, k: Callable[[float], float], noise: float, key: str = "key", exact: bool = False, chunk_rows: int = 50_000, long_rows: int = 1_000_000) -> DataFrame:
+    """(key, row_id, mean, variance) of every series, in the order of feature. Series of at most long_rows rows are filtered in a
+    task each, some five seconds for a million; longer ones by a scan over chunks (``scan.scan_filter``)."""
     rows = rows.select(key, "row_id", "feature", "target")
-    long = materialise(rows.groupBy(F.col(key).alias("__k")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk_rows).select("__k"), "long-series")
+    long = materialise(rows.groupBy(F.col(key).alias("__k")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > long_rows).select("__k"), "long-series")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["feature", "row_id"])

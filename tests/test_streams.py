@@ -43,7 +43,7 @@ def test_scan_equals_the_serial_filter(spark, exact):
 
 def test_long_and_short_series_in_one_call(spark):
     data, df = series(spark, {1: 300, 2: 20, None: 120})
-    a = U.kalman_filter(df, decay, 0.5, chunk_rows=50).toPandas()
+    a = U.kalman_filter(df, decay, 0.5, chunk_rows=50, long_rows=50).toPandas()
     b = U.kalman_filter(df, decay, 0.5).toPandas()
     for x in (a, b):
         x["key"] = x["key"].fillna(-1)
