@@ -112,7 +112,7 @@ def fold_of(value):
     return None if value is None or value is pd.NA or value is pd.NaT or value != value else value
 
 
-def cv_predict_additive(df: DataFrame, sums: Callable[[pd.DataFrame], np.ndarray], solve: Callable[[np.ndarray], object], predict: Callable[[object, pd.DataFrame], pd.DataFrame], schema: str, key: str = "key", max_folds: int = 5000) -> DataFrame:
+def cv_predict_additive(df: DataFrame, sums: Callable[[pd.DataFrame], np.ndarray], solve: Callable[[np.ndarray], object], predict: Callable[[object, pd.DataFrame], pd.DataFrame], schema: str, key: str = "key", max_folds: int = 5000, max_bytes: int = MAX_MODEL_BYTES) -> DataFrame:
     """Predictions of a model whose training data enter by sums (moments, gram matrices, counts): sums(pdf) of the rows of a
     batch, which add up; solve(total) is a model. A fold is left out by subtraction, so no row is copied or shuffled, and
     tasks send one array a fold."""
@@ -129,9 +129,11 @@ def cv_predict_additive(df: DataFrame, sums: Callable[[pd.DataFrame], np.ndarray
     parts = df.mapInPandas(part, f"{key} {kind}, s array<double>, shape array<int>")
     added = parts.select(key, "shape", F.posexplode("s").alias("at", "v")).groupBy(key, "at").agg(F.sum("v").alias("v"), F.first("shape").alias("shape"))
     added = added.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("s"), F.first("shape").alias("shape"))
-    found = added.limit(max_folds + 1).collect()  # one array a fold
-    if len(found) > max_folds:
-        raise ValueError(f"over {max_folds} folds")
+    added = materialise(added, "fold-sums")
+    held = added.agg(F.count(F.lit(1)).alias("n"), F.coalesce(8 * F.sum(F.size("s")), F.lit(0)).alias("b")).first()
+    if held.n > max_folds or held.b > max_bytes:
+        raise ValueError(f"{held.n} folds with sums of {held.b} bytes; at most {max_folds} and {max_bytes} are sent to the tasks")
+    found = added.collect()  # one array a fold
     folds = {r[key]: np.array(r.s).reshape(r["shape"]) for r in found}
     total = sum(folds.values())
     known = df.sparkSession.sparkContext.broadcast({k: cloudpickle.dumps(solve(total - v)) for k, v in folds.items()})

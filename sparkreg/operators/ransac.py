@@ -156,9 +156,10 @@ def _unpickled(name: str, states: dict[int, bytes]) -> dict:
     return _states[1]
 
 
-def fit_model(df: DataFrame, s: Settings, model: Model, key: str = "key", max_rows: int = 200_000) -> tuple[str, DataFrame, DataFrame | None]:
+def fit_model(df: DataFrame, s: Settings, model: Model, key: str = "key", max_rows: int = 200_000, max_state_bytes: int = 256 << 20) -> tuple[str, DataFrame, DataFrame | None]:
     """(code, judged, rows): judged is (iteration, key, role, metric, n); rows are those of the best consensus, to which the
-    caller fits the model, or None without one. max_rows bounds the rows of a group, and of an iteration's candidates."""
+    caller fits the model, or None without one. max_rows bounds the rows of a group, and of an iteration's candidates;
+    max_state_bytes the fitted states of all iterations, which every task gets."""
     spark, kind = df.sparkSession, dict(df.dtypes)[key]
     keys = materialise(df.select(F.col(key).alias("key")).distinct(), "ransac-keys")
     groups = keys.count()
@@ -180,6 +181,9 @@ def fit_model(df: DataFrame, s: Settings, model: Model, key: str = "key", max_ro
 
     fits = materialise(spread(rows, "iteration").groupBy("iteration").applyInPandas(train, "iteration int, valid boolean, state binary"), "ransac-fits")
     used, failed = counted(fits.select("iteration", "valid"), s)
+    held = fits.agg(F.coalesce(F.sum(F.octet_length("state")), F.lit(0)).alias("b")).first().b
+    if held > max_state_bytes:
+        raise ValueError(f"the states of all iterations have {held} bytes; at most {max_state_bytes} are sent to the tasks")
     states = {r.iteration: bytes(r.state) for r in fits.where(F.col("iteration").isin(used)).collect()}  # one an iteration
     sent, name = spark.sparkContext.broadcast(states), uuid.uuid4().hex
 
