@@ -24,7 +24,7 @@ from sparkreg.functions.kernels import Kernel
 from sparkreg.functions.order import spread
 from sparkreg.functions.storage import bounded_broadcast, materialise
 from sparkreg.operators.crossval import differential_entropy
-from sparkreg.operators.gp import MAX_ROWS, Mean, arrays, condition, zero
+from sparkreg.operators.gp import MAX_ROWS, Mean, arrays, root_of, zero
 from sparkreg.operators.linear import SUMS, fit_line, line, power_sums
 
 
@@ -215,6 +215,14 @@ def chi_squared(m: np.ndarray, c: np.ndarray, y: np.ndarray, v: np.ndarray) -> f
     return float(chi_squared_cdf_values(r @ np.linalg.solve(c + np.diag(v), r), len(y)))
 
 
+def _chi_squared_of_stack(m: np.ndarray, c: np.ndarray, y: np.ndarray, v: np.ndarray) -> np.ndarray:
+    r, n = y - m, y.shape[1]
+    return chi_squared_cdf_values((r * np.linalg.solve(c + v[:, None, :] * np.eye(n), r[:, :, None])[:, :, 0]).sum(1), n)
+
+
+chi_squared.of_stack = _chi_squared_of_stack  # of groups of one size at once; a strategy without it is called for each
+
+
 def feature_count(m: np.ndarray, c: np.ndarray, y: np.ndarray, v: np.ndarray) -> float:
     """Least for the largest consensus."""
     return -float(len(y))
@@ -239,6 +247,19 @@ def drawn_groups(names: list, s: Settings, key: object, draw: int) -> list:
     return [names[k] for k in rng.choice(len(names), s.sample, replace=False)]
 
 
+def _held_out(prior: np.ndarray, cov: np.ndarray, y: np.ndarray, var: np.ndarray, known: np.ndarray, members: dict[int, np.ndarray], metric: Strategy) -> np.ndarray:
+    """The metric of each group's joint prediction by the known rows, whose factor is made once. members: the rows of the groups
+    of each size, a row a group."""
+    root, out = root_of(cov[np.ix_(known, known)] + np.diag(var[known])), []
+    half = root @ cov[known]
+    mean, many = prior + half.T @ (root @ (y[known] - prior[known])), getattr(metric, "of_stack", None)
+    for at in members.values():
+        own = half[:, at].transpose(1, 0, 2)
+        stack = mean[at], cov[at[:, :, None], at[:, None, :]] - own.transpose(0, 2, 1) @ own, y[at], var[at]
+        out.append(many(*stack) if many else np.array([metric(*one) for one in zip(*stack, strict=True)], float))
+    return np.concatenate(out)
+
+
 def consensus_gp(
     df: DataFrame, kernel: Kernel, group: str, s: Settings, key: str = "key", mean: Mean = zero, *, inlier_metric: Strategy = chi_squared, consensus_metric: Strategy = feature_count,
     is_valid: Callable[..., bool] = chi_squared_valid(), max_rows: int = MAX_ROWS,
@@ -270,18 +291,23 @@ def consensus_gp(
             def of(strategy: Callable, at: np.ndarray):
                 return strategy(prior[at], cov[np.ix_(at, at)], y[at], var[at])
 
+            rows_of = [np.flatnonzero(codes == g) for g in names]
+            sizes = np.array([len(at) for at in rows_of])
+            done = failed = 0
             for draw in range(int(pdf["__part"].iloc[0]), draws, parts):
+                if done == s.iterations or failed and failed >= s.max_failed:
+                    break  # what is left of the draws decides nothing
                 chosen = drawn_groups(names, s, own, draw)
                 known = np.flatnonzero(np.isin(codes, chosen))
                 if not of(is_valid, known):
+                    failed += 1
                     out.append((draw, False, 0, 0, np.nan))
                     continue
-                agreed = list(chosen)
-                for g in names:
-                    if g not in chosen:
-                        at = np.flatnonzero(codes == g)
-                        if inlier_metric(*condition(prior, cov, known, y[known], var[known], at), y[at], var[at]) <= s.threshold:
-                            agreed.append(g)
+                done += 1
+                others = np.setdiff1d(names, chosen)
+                by_size = {int(n): others[sizes[others] == n] for n in np.unique(sizes[others])}
+                found = _held_out(prior, cov, y, var, known, {n: np.stack([rows_of[g] for g in own_size]) for n, own_size in by_size.items()}, inlier_metric)
+                agreed = [*chosen, *np.concatenate(list(by_size.values()))[found <= s.threshold]]
                 inside = np.flatnonzero(np.isin(codes, agreed))
                 out.append((draw, True, len(agreed), len(inside), of(consensus_metric, inside) if len(agreed) >= s.consensus else np.nan))
         else:

@@ -200,3 +200,16 @@ def test_samples_of_any_size(spark, n):
 def test_samples_beyond_the_table_are_an_error(spark):
     with pytest.raises(ValueError, match="more rows"):
         D.sample_without_replacement(spark.range(10).select(F.col("id").alias("row_id")), 11, 7)
+
+
+def test_groups_of_several_sizes_are_judged_as_one_by_one(spark):
+    """Stacked metrics, a factor a draw, and no draws after the last that counts: as a strategy that is called for each group."""
+    rng, rows = np.random.default_rng(8), []
+    for k in range(6):
+        for i in range(23):  # a group of three rows at the end
+            rows.append((k, i, 0.4 * i, float(np.sin(i) + (9 if i // 4 == k else 0) + 0.3 * rng.standard_normal()), 0.1, i // 4))
+    df = spark.createDataFrame(rows, "key long, row_id long, feature double, target double, target_variance double, g long")
+    kernel, settings = KF.exponential(3.0, 2.0) + KF.independent_noise(1.0), RS.Settings(threshold=0.9, sample=2, consensus=3, iterations=6, seed=5, max_failed=4)
+    got = RS.consensus_gp(df, kernel, "g", settings).fillna({"metric": -1.0}).orderBy("key").collect()
+    each = RS.consensus_gp(df, kernel, "g", settings, inlier_metric=lambda m, c, y, v: RS.chi_squared(m, c, y, v)).fillna({"metric": -1.0}).orderBy("key").collect()
+    assert got == each and len(got) == 6 and RS.chi_squared.of_stack(*(np.stack([a, a]) for a in (np.zeros(2), np.eye(2), np.ones(2), np.ones(2)))).tolist() == [RS.chi_squared(np.zeros(2), np.eye(2), np.ones(2), np.ones(2))] * 2
