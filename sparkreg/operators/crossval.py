@@ -123,7 +123,8 @@ def cv_predict_additive(df: DataFrame, sums: Callable[[pd.DataFrame], np.ndarray
             for fold, own in pdf.groupby(key, sort=False, dropna=False):
                 fold = fold_of(fold)
                 total[fold] = total.get(fold, 0) + np.asarray(sums(own), float)
-        yield pd.DataFrame({key: list(total), "s": [t.reshape(-1) for t in total.values()], "shape": [list(t.shape) for t in total.values()]})
+        if total:  # a task may have no rows
+            yield pd.DataFrame({key: list(total), "s": [t.reshape(-1) for t in total.values()], "shape": [list(t.shape) for t in total.values()]})
 
     kind = dict(df.dtypes)[key]
     parts = df.mapInPandas(part, f"{key} {kind}, s array<double>, shape array<int>")

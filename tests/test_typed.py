@@ -281,3 +281,13 @@ def test_noise_in_blocks_and_bounds(spark):
         P.noise(df, 2.0, max_equal=2)
     with pytest.raises(ValueError, match="put into one"):
         G.indexers(df, "x", "i", max_rows=2)
+
+
+def test_additive_sums_where_tasks_have_no_rows(spark):
+    df = spark.range(0, 40, 1, 8).where("id < 12").select((F.col("id") % 3).cast("int").alias("fold"), F.col("id").alias("row_id"), F.col("id").cast("double").alias("y"))
+
+    def predict(model, pdf):
+        return pd.DataFrame({"fold": pdf["fold"], "row_id": pdf["row_id"], "mean": model})
+
+    got = CV.cv_predict_additive(df, lambda pdf: np.array([len(pdf), pdf["y"].sum()]), lambda s: s[1] / s[0], predict, "fold int, row_id long, mean double", "fold").collect()
+    assert {r.row_id: r.mean for r in got} == {i: np.mean([j for j in range(12) if j % 3 != i % 3]) for i in range(12)}
