@@ -58,8 +58,8 @@ _NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean"
 MAX_ROWS, MAX_BYTES = 200_000, 64 << 20  # of a table that is broadcast
 
 
-def is_small(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> bool:
-    """Whether df has at most max_rows rows and, as Spark sizes the rows it holds, about max_bytes.
+def size_of(df: DataFrame) -> tuple[int, int]:
+    """Rows of df and about their bytes, summed where the rows are: a limit before the sum would move them to one task.
 
     df should be a materialised or aggregated table: it is counted here. Strings, arrays, structs and maps are measured, not
     guessed: arrays of numbers by their sizes, what nests by the bytes of its JSON.
@@ -74,8 +74,14 @@ def is_small(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES
 
     wide = [F.coalesce(bytes_of(F.col(f"`{c}`"), t), F.lit(0)) for c, t in df.dtypes if t not in _NUMBERS and "decimal" not in t[:7]]
     own = sum(wide, F.lit(16 * len(df.columns)))
-    found = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(own).alias("b")).first()
-    return found.n <= max_rows and (found.b or 0) <= max_bytes
+    found = df.select(own.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
+    return found.n, found.b
+
+
+def is_small(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> bool:
+    """Whether df has at most max_rows rows and, as Spark sizes the rows it holds, about max_bytes (``size_of``)."""
+    n, b = size_of(df)
+    return n <= max_rows and b <= max_bytes
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from sparkreg.functions.joins import is_small
 from sparkreg.functions.kernels import Flags, Kernel
 from sparkreg.functions.order import spread
-from sparkreg.functions.storage import materialise
+from sparkreg.functions.storage import materialise, size_of
 from sparkreg.functions.typed import Terms, features, joined
 
 Mean = Callable[[np.ndarray], np.ndarray]
@@ -203,9 +203,10 @@ def update_gp(fits: DataFrame, df: DataFrame, kernel: Kernel, key: str = "key",
     return spread(fits, key).groupBy(key).cogroup(spread(training(df, key), key).groupBy(key)).applyInPandas(update, fit_schema(key, dict(df.dtypes)[key]))
 
 
-def with_fits(fits: DataFrame, rows: DataFrame, f: Callable[[Fit, pd.DataFrame], pd.DataFrame], schema: str, key: str, part_rows: int, together: str | None = None, unpack: Callable = Fit.unpack) -> DataFrame:
+def with_fits(fits: DataFrame, rows: DataFrame, f: Callable[[Fit, pd.DataFrame], pd.DataFrame], schema: str, key: str, part_rows: int, together: str | None = None, unpack: Callable = Fit.unpack, tasks: int = 0) -> DataFrame:
     """f(fit, rows) where fits and rows meet by key. Keys of over part_rows rows are dealt out in parts of about that many,
-    each of which gets the fit; rows that agree in the column ``together`` stay in one part. Rows without a fit are left out."""
+    each of which gets the fit; rows that agree in the column ``together`` stay in one part. Rows without a fit are left out.
+    tasks: at least so many."""
     large = materialise(rows.groupBy(F.col(key).alias("__k")).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > part_rows), "large-keys")
     side = F.broadcast(large) if is_small(large) else large
     parts = F.coalesce(F.ceil(F.col("__n") / part_rows), F.lit(1)).cast("int")
@@ -216,14 +217,16 @@ def with_fits(fits: DataFrame, rows: DataFrame, f: Callable[[Fit, pd.DataFrame],
 
     def run(fit: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(fit) or not len(own):
-            return pd.DataFrame({c: [] for c in names})
+            return pd.DataFrame({c: [] for c in names}, dtype=object)  # of any type in Arrow
         return f(unpack(fit.iloc[0]), own.sort_values("row_id"))
 
-    fits, rows = (spread(t, key, "__part").groupBy(key, "__part") for t in (fits, rows))
+    tasks = max(tasks, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    fits, rows = (spread(t, key, "__part", tasks=tasks).groupBy(key, "__part") for t in (fits, rows))
     return fits.cogroup(rows).applyInPandas(run, schema)
 
 
 _HELD_BYTES = 64 << 20  # of unpacked fits that a worker keeps
+_TASK_BYTES = 64 << 20  # of fits that a task reads
 
 
 class _Held:
@@ -265,7 +268,9 @@ def _mapped(fits: DataFrame, rows: DataFrame, f: Callable[[Fit, pd.DataFrame], p
 def meet(fits: DataFrame, rows: DataFrame, f: Callable[[Fit, pd.DataFrame], pd.DataFrame], schema: str, key: str, part_rows: int, unpack: Callable = Fit.unpack) -> DataFrame:
     """f(fit, rows): fits that are small together go to the rows; else both meet by key. Rows without a fit are left out."""
     fits = materialise(fits, "fits")
-    return _mapped(fits, rows, f, schema, key, unpack) if is_small(fits) else with_fits(fits, rows, f, schema, key, part_rows, None, unpack)
+    if is_small(fits):
+        return _mapped(fits, rows, f, schema, key, unpack)
+    return with_fits(fits, rows, f, schema, key, part_rows, None, unpack, -(-size_of(fits)[1] // _TASK_BYTES))
 
 
 def predict_gp(fits: DataFrame, rows: DataFrame, kernel: Kernel, key: str = "key", mean: Mean = zero, measured: bool = False, part_rows: int = 100_000) -> DataFrame:

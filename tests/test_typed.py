@@ -291,3 +291,16 @@ def test_additive_sums_where_tasks_have_no_rows(spark):
 
     got = CV.cv_predict_additive(df, lambda pdf: np.array([len(pdf), pdf["y"].sum()]), lambda s: s[1] / s[0], predict, "fold int, row_id long, mean double", "fold").collect()
     assert {r.row_id: r.mean for r in got} == {i: np.mean([j for j in range(12) if j % 3 != i % 3]) for i in range(12)}
+
+
+def test_the_size_of_a_table_is_summed_where_its_rows_are(spark):
+    """A limit before the sum would send every row, with all its arrays, to one task."""
+    df = spark.range(0, 4000, 1, 8).select("id", F.array_repeat(F.rand(1), 500).alias("a"))
+    before, tracker = storage.size_of(df), spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("size", "size")
+    assert storage.size_of(df) == before and before[0] == 4000 and before[1] >= 4000 * 500 * 8
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = [s for j in tracker.getJobIdsForGroup("size") for s in tracker.getJobInfo(j).stageIds]
+    written = sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages if tracker.getStageInfo(s) and tracker.getStageInfo(s).numCompletedTasks)
+    assert written < 10_000
