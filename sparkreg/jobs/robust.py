@@ -211,7 +211,7 @@ def _(spark, d):
 def _log(spark, d):
     """A sampler log made of the events: ten walkers an iteration."""
     e = events(spark, d)
-    return e.select(F.expr("int(row_id div 10)").alias("iteration"), (F.col("row_id") % 10).cast("int").alias("ensemble_index"), (-F.col("target")).alias("log_probability"), F.round("feature", 4).alias("p"), F.col("target").alias("q"))
+    return e.select(F.expr("int(row_id div 10)").alias("iteration"), (F.col("row_id") % 10).cast("int").alias("ensemble_index"), (-F.col("target")).alias("log_probability"), S.rounded(F.col("feature"), 4).alias("p"), F.col("target").alias("q"))
 
 
 _LOG = "lg AS (SELECT CAST(row_id // 10 AS INTEGER) AS iteration, CAST(row_id % 10 AS INTEGER) AS ensemble_index, -target AS log_probability, round(feature, 4) AS p, target AS q FROM ev)"
@@ -353,14 +353,14 @@ def _csv(spark, d, name: str, rows):
 
 @add("write_dataset_csv", f"WITH {EV} SELECT printf('%.6f', round(feature, 4)) AS feature, printf('%.6f', target) AS target, printf('%.6f', target_variance) AS target_variance, CASE WHEN row_id % 2 = 0 THEN printf('%.6f', target + 1) END AS prediction, CASE WHEN row_id % 2 = 0 THEN '2.000000' END AS prediction_variance, CASE WHEN row_id % 2 = 0 THEN 'later' ELSE key END AS note FROM ev")
 def _(spark, d):
-    e = events(spark, d).withColumnRenamed("key", "note").drop("user_id").withColumn("feature", F.round("feature", 4))
+    e = events(spark, d).withColumnRenamed("key", "note").drop("user_id").withColumn("feature", S.rounded(F.col("feature"), 4))
     p = e.where("row_id % 2 = 0").select("row_id", (F.col("target") + 1).alias("mean"), F.lit(2.0).alias("variance"), F.lit("later").alias("note"))
     return _csv(spark, d, "dataset", S.csv_rows(e, p, ["note"]))
 
 
 @add("write_dataset_only_csv", f"WITH {EV} SELECT printf('%.6f', round(feature, 4)) AS feature, printf('%.6f', target) AS target, printf('%.6f', target_variance) AS target_variance, '0.000000' AS prediction, '0.000000' AS prediction_variance FROM ev")
 def _(spark, d):
-    return _csv(spark, d, "dataset", S.csv_rows(events(spark, d).drop("key", "user_id").withColumn("feature", F.round("feature", 4)), None))
+    return _csv(spark, d, "dataset", S.csv_rows(events(spark, d).drop("key", "user_id").withColumn("feature", S.rounded(F.col("feature"), 4)), None))
 
 
 @add("write_many_datasets_csv", "SELECT s_name AS note, printf('%.6f', s_acctbal) AS target FROM supplier UNION ALL SELECT NULL, printf('%.6f', c_acctbal) FROM customer")

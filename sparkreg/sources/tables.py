@@ -103,9 +103,24 @@ def flatten(df: DataFrame, feature: str = "feature", custom: dict[str, Column] |
     return df.select(*rest, *(F.col(p).alias(n) for p, n in leaves if n not in custom), *(c.alias(n) for n, c in custom.items()))
 
 
+def rounded(c: Column, places: int) -> Column:
+    """round() of SQL engines on binary numbers: c times 10^places to the nearest integer, halves away from zero, and back.
+    Spark's round goes by the shortest decimal form of c, which may be a half where the product is not."""
+    v = F.abs(c) * 10.0**places
+    part = v % 1
+    nearest = F.signum(c) * (v - part + F.when(part >= 0.5, 1.0).otherwise(0.0)) / 10.0**places
+    return F.when(v < 2.0**52, nearest).otherwise(c)
+
+
 def fixed(c: Column) -> Column:
-    """A number with six decimals; null stays empty."""
-    return F.when(c.isNotNull(), F.format_string("%.6f", c.cast("double")))
+    """A number with six decimals, as printf writes it: by its exact binary value, exact halves to even (Java's formatter rounds
+    the shortest decimal form up). Null stays empty."""
+
+    @F.pandas_udf("string")
+    def six(values: pd.Series) -> pd.Series:
+        return pd.Series([f"{v:.6f}" for v in values.tolist()], dtype=object)
+
+    return F.when(c.isNotNull(), six(c.cast("double")))
 
 
 def csv_rows(dataset: DataFrame, predictions: DataFrame | None, metadata: list[str] = (), row_id: str = "row_id") -> DataFrame:
@@ -137,7 +152,7 @@ def write_csv(rows: DataFrame, path: str, header: bool = True) -> None:
 
 def matrix_lines(matrix: DataFrame) -> DataFrame:
     """(i, line): a row of a long matrix (i, j, v) as comma-separated text."""
-    cells = matrix.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", fixed(F.col("v")).alias("t")))).alias("c"))
+    cells = matrix.select("i", "j", fixed(F.col("v")).alias("t")).groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "t"))).alias("c"))
     return cells.select("i", F.array_join(F.transform("c", lambda x: x["t"]), ",").alias("line"))
 
 

@@ -213,3 +213,18 @@ def test_groups_of_several_sizes_are_judged_as_one_by_one(spark):
     got = RS.consensus_gp(df, kernel, "g", settings).fillna({"metric": -1.0}).orderBy("key").collect()
     each = RS.consensus_gp(df, kernel, "g", settings, inlier_metric=lambda m, c, y, v: RS.chi_squared(m, c, y, v)).fillna({"metric": -1.0}).orderBy("key").collect()
     assert got == each and len(got) == 6 and RS.chi_squared.of_stack(*(np.stack([a, a]) for a in (np.zeros(2), np.eye(2), np.ones(2), np.ones(2)))).tolist() == [RS.chi_squared(np.zeros(2), np.eye(2), np.ones(2), np.ones(2))] * 2
+
+
+def test_printed_halves_and_rounded_halves_are_those_of_binary_numbers(spark):
+    """Exact halves go to even, and a product just below a half goes down, as in SQL; Java formats both up."""
+    values = [0.0078125, 0.0234375, -0.0078125, 1234567.0, 0.1234565, -1e-9, 1e22, float("nan"), float("inf"), None]
+    values += np.random.default_rng(1).normal(0, 50, 200).tolist()
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k long, v double")
+    got = {r.k: r.t for r in df.select("k", S.fixed(F.col("v")).alias("t")).collect()}
+    assert got == {k: None if v is None else f"{v:.6f}" for k, v in enumerate(values)}
+    halves = [(2 * k + 1) * 0.00005 for k in range(0, 200_000, 7)] + [-0.00015, -7.00005, 0.0, 3.0, 1e17, 123.45675]
+    import duckdb
+
+    want = [r[0] for r in duckdb.connect().execute("select round(v, 4) from (select unnest(?::double[]) as v)", [halves]).fetchall()]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(halves)], "k long, v double").select("k", S.rounded(F.col("v"), 4).alias("r")).orderBy("k").collect()
+    assert [r.r for r in rows] == want
