@@ -148,18 +148,78 @@ def _block(kernel: Kernel, u: np.ndarray, prior_root: np.ndarray, pdf: pd.DataFr
     if codes is None:
         root = np.sqrt(kernel.diagonal(x, measured=True) + noise - (half**2).sum(0))
         out, log_det = out / root[:, None], 2 * np.log(root).sum()
-    else:
-        log_det, ends = 0.0, np.append(np.flatnonzero(np.diff(codes)) + 1, len(codes))
-        for lo, hi in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
+        return out, float(log_det), float(out[:, -1] @ out[:, -1])
+    log_det, squares, parts, ends = 0.0, 0.0, [out[:0]], np.append(np.flatnonzero(np.diff(codes)) + 1, len(codes))
+    for lo, hi in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
+        own, part = x[lo:hi], half[:, lo:hi]
+        found = _large_group(kernel, own, part, out[lo:hi], noise[lo:hi]) if hi - lo > _DENSE_ROWS else None
+        if found is None:
             if hi - lo > max_rows:
                 raise ValueError(f"group {pdf[group].iloc[lo]} has {hi - lo} rows; at most {max_rows} depend on each other")
-            own, part = x[lo:hi], half[:, lo:hi]
             k = kernel.measured(own, own) - part.T @ part
             k.flat[:: hi - lo + 1] += noise[lo:hi]
             a = cholesky(k)
-            out[lo:hi] = inverse_lower(a) @ out[lo:hi]
-            log_det += 2 * np.log(np.diag(a)).sum()
-    return out, float(log_det), float(out[:, -1] @ out[:, -1])
+            rows = inverse_lower(a) @ out[lo:hi]
+            found = rows, 2 * np.log(np.diag(a)).sum(), rows[:, -1] @ rows[:, -1]
+        parts.append(found[0])
+        log_det, squares = log_det + found[1], squares + found[2]
+    return np.vstack(parts), float(log_det), float(squares)
+
+
+_DENSE_ROWS = 1_000  # of a group that is factored as a whole in any case
+_HELD_ROWS = 2_000_000  # of a group that a task holds
+_MAX_RANK = 1_500
+
+
+def _large_group(kernel: Kernel, x: np.ndarray, half: np.ndarray, b: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, float, float] | None:
+    """(triangle, log determinant, sum of squares) of a group of many rows, without its covariance, in memory that is linear in
+    the rows. Rows of equal features become one, their weighted mean; what the points leave unexplained of the process is G G' by
+    a pivoted Cholesky factorisation, to 1e-12 of the noise, and triangle'triangle = b' (G G' + D)^-1 b by one QR.
+
+    None where the covariance has no such form: features of several kinds, noise that is not a row's own, no low rank.
+    """
+    if not isinstance(x, np.ndarray):
+        return None
+    _, first, at = np.unique(x, axis=0, return_index=True, return_inverse=True)
+    at, x, half = at.reshape(-1), x[first], half[:, first]
+    weight = np.bincount(at, 1 / noise)
+    y = np.bincount(at, b[:, -1] / noise) / weight
+    log_det, squares = np.log(noise).sum() + np.log(weight).sum(), (((b[:, -1] - y[at]) ** 2) / noise).sum()
+    prior = kernel.diagonal(x)
+    d = prior - (half**2).sum(0)
+    own = kernel.diagonal(x, measured=True) - prior + 1 / weight
+    if own.min() <= 0 or not all(_own_noise(kernel, x[lo : lo + 64], np.arange(len(x[lo : lo + 64])), x[lo : lo + 64]) for lo in range(0, len(x), 32)):
+        return None
+    tolerance, g, most = max(1e-12 * own.min(), 64 * np.finfo(float).eps * prior.max()), np.empty((len(x), 16)), max(min(_MAX_RANK, len(x) // 4), min(_DENSE_ROWS, len(x)))
+    k, pivots = 0, []
+    while d.max() > tolerance:
+        if k == most:
+            return None
+        if k == g.shape[1]:
+            g = np.hstack([g, np.empty_like(g)])
+        p = int(d.argmax())
+        g[:, k] = (kernel.matrix(x, x[[p]])[:, 0] - half.T @ half[:, p] - g[:, :k] @ g[p, :k]) / np.sqrt(d[p])
+        d -= g[:, k] ** 2
+        d[p], k = 0.0, k + 1
+        pivots.append(p)
+    if not _own_noise(kernel, x, np.array(pivots, int), x[pivots]):
+        return None
+    spread_, g = np.sqrt(own + np.maximum(d, 0)), g[:, :k]
+    stack = np.zeros((len(x) + k, k + b.shape[1]))
+    stack[: len(x)] = np.column_stack([g, b[first, :-1], y]) / spread_[:, None]
+    stack[len(x) :, :k] = np.eye(k)
+    r = np.linalg.qr(stack, mode="r")
+    log_det += 2 * np.log(spread_).sum() + 2 * np.log(np.abs(np.diag(r)[:k])).sum()
+    rows = np.vstack([r[k:, k:], np.zeros(b.shape[1])])
+    rows[-1, -1] = np.sqrt(squares)  # of rows of equal features around their mean
+    return rows, log_det, rows[:, -1] @ rows[:, -1]
+
+
+def _own_noise(kernel: Kernel, x: np.ndarray, at: np.ndarray, y: np.ndarray) -> bool:
+    """Whether measurements of x and y, which are the features x[at], share no more than the process does but with themselves."""
+    extra = kernel.measured(x, y) - kernel.matrix(x, y)
+    extra[at, np.arange(len(at))] = 0
+    return not extra.any()
 
 
 class _Total:
@@ -214,7 +274,7 @@ def _folder(kernel: Kernel, mean: Mean, nugget: float, keys: list[str], group: s
             totals.clear()
             return out
 
-        for pdf in whole_groups(batches, [*keys, group], max_rows) if group else batches:
+        for pdf in whole_groups(batches, [*keys, group], max(max_rows, _HELD_ROWS)) if group else batches:
             for name, own in pdf.groupby(keys, sort=False, dropna=False) if keys else [((), pdf)]:
                 k = _plain(name[0]) if keys else None
                 if len(own) and (at := points(k)) is not None:
@@ -417,15 +477,80 @@ def logo_sparse_gp(df: DataFrame, kernel: Kernel, u: np.ndarray, fold: str, grou
 
 
 def logo_sparse_gp_joint(df: DataFrame, kernel: Kernel, u: np.ndarray, fold: str, group: str | None = None, mean: Mean = zero, measured: bool = False, max_rows: int = MAX_ROWS, **settings) -> DataFrame:
-    """(fold, i, j, mean, cov): the joint prediction of each fold by all others, i and j being row_ids."""
-    fits, kind = fold_fits(df, kernel, u, fold, group, mean, max_rows=max_rows, **settings)[1], dict(df.dtypes)[fold]
+    """(fold, i, j, mean, cov): the joint prediction of each fold by all others, i and j being row_ids.
+
+    Without groups the fit to all rows is sent, and a fold is left out in closed form from its own rows, however many folds there
+    are (``_left_out``). With groups a fold is one triangle, as in ``fold_fits``.
+    """
+    kind = dict(df.dtypes)[fold]
+    schema = f"{fold} {kind}, i long, j long, mean double, cov double"
+
+    def guard(name, n: int) -> None:
+        if n > max_rows:
+            raise ValueError(f"fold {name} has {n} rows; at most {max_rows} are predicted together")
 
     def joint(fit: SparseFit, own: pd.DataFrame) -> pd.DataFrame:
-        if len(own) > max_rows:
-            raise ValueError(f"fold {own[fold].iloc[0]} has {len(own)} rows; at most {max_rows} are predicted together")
+        guard(own[fold].iloc[0], len(own))
         return joint_rows({fold: own[fold].iloc[0]}, own["row_id"].to_numpy(), *fit.joint(kernel, features(own["feature"]), mean, measured))
 
-    return with_fits(fits, df.select(fold, "row_id", "feature"), joint, f"{fold} {kind}, i long, j long, mean double, cov double", fold, 10**9, None, SparseFit.from_row)
+    if group:
+        fits = fold_fits(df, kernel, u, fold, group, mean, max_rows=max_rows, **settings)[1]
+        return with_fits(fits, df.select(fold, "row_id", "feature"), joint, schema, fold, 10**9, None, SparseFit.from_row)
+    nugget = settings.get("nugget", 1e-12)
+    sent = df.sparkSession.sparkContext.broadcast(fit_sparse_gp(df, kernel, u, None, mean, **settings))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        full = sent.value
+        for pdf in whole_groups(batches, [fold], max_rows):
+            codes = pd.factorize(pdf[fold], use_na_sentinel=False)[0]
+            begins = np.append(0, np.flatnonzero(np.diff(codes)) + 1)
+            sizes = np.diff(np.append(begins, len(pdf)))
+            guard(pdf[fold].iloc[begins[sizes.argmax()]], int(sizes.max()))
+            for n in np.unique(sizes).tolist():
+                at = begins[sizes == n][:, None] + np.arange(n)
+                step = max(1, 1_000_000 // (n * n))
+                for lo in range(0, len(at), step):
+                    yield _left_out(full, kernel, pdf, at[lo : lo + step], fold, mean, measured, nugget)
+
+    rows = spread(df.select(fold, "row_id", "feature", "target", "target_variance"), fold).sortWithinPartitions(fold, "row_id")
+    return rows.mapInPandas(run, schema)
+
+
+def _left_out(full: SparseFit, kernel: Kernel, pdf: pd.DataFrame, at: np.ndarray, fold: str, mean: Mean, measured: bool, nugget: float) -> pd.DataFrame:
+    """Joint predictions, in long form, of folds of n rows (at: a row a fold) by the fit without them.
+
+    With A = D^-1 K_fu and b = D^-1 (y - mean) the rows of a fold, S = A R^-1, and C = I - S S': the fit without them has
+    R'R - A'A, hence mean + D C^-1 (S z - (I - C) b) and K_ff - Q_ff + D C^-1 (I - C) D. A fold of more rows than there are points
+    is a triangle first, whose factor is downdated.
+    """
+    own = pdf.iloc[at.reshape(-1)]
+    (c, n), x = at.shape, features(own["feature"])
+    if n > len(full.u):
+        parts = []
+        for k in range(c):
+            part = own.iloc[k * n : k * n + n]
+            block = _block(kernel, full.u, full.prior_root, part, mean, nugget)
+            without, xs = full.minus(triangle(block[0]), block[1], block[2], n), x[k * n : k * n + n]
+            parts.append(joint_rows({fold: part[fold].iloc[0]}, part["row_id"].to_numpy(), *without.joint(kernel, xs, mean, measured)))
+        return pd.concat(parts)
+    cross, prior = kernel.matrix(x, full.u), mean(x)
+    half = full.prior_root @ cross.T
+    spread_ = np.sqrt(kernel.diagonal(x, measured=True) + own["target_variance"].to_numpy(float) + nugget - (half**2).sum(0))
+    s = (full.post_root @ (cross / spread_[:, None]).T).T.reshape(c, n, -1)
+    b, d = ((own["target"].to_numpy(float) - prior) / spread_).reshape(c, n), spread_.reshape(c, n)
+    shared = s @ s.transpose(0, 2, 1)
+    h = s @ full.r[:-1, -1] - (shared @ b[:, :, None])[:, :, 0]
+    solved = np.linalg.solve(np.eye(n) - shared, np.concatenate([h[:, :, None], shared], 2))
+    means = prior.reshape(c, n) + d * solved[:, :, 0]
+    part = half.T.reshape(c, n, -1)
+    if n == 1:
+        k = kernel.diagonal(x, measured).reshape(c, 1, 1)
+    else:
+        k = np.stack([kernel.between(x[lo : lo + n], x[lo : lo + n], measured, measured) for lo in range(0, c * n, n)])
+    covs = k - part @ part.transpose(0, 2, 1) + d[:, :, None] * solved[:, :, 1:] * d[:, None, :]
+    ids, shape = own["row_id"].to_numpy().reshape(c, n), (c, n, n)
+    names = own[fold].to_numpy()[::n]
+    return pd.DataFrame({fold: np.repeat(names, n * n), "i": np.broadcast_to(ids[:, :, None], shape).reshape(-1), "j": np.broadcast_to(ids[:, None, :], shape).reshape(-1), "mean": np.repeat(means.reshape(-1), n), "cov": covs.reshape(-1)})
 
 
 def predict_sparse_gp(rows: DataFrame, kernel: Kernel, fit: SparseFit, mean: Mean = zero) -> DataFrame:

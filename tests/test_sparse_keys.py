@@ -133,3 +133,24 @@ def test_empty_tables(spark):
     assert [r.n for r in fits.collect()] == [0]
     assert SG.predict_sparse_gps(fits, none, K).count() == 0
     assert SG.logo_sparse_gp(none, K, U, "fold").count() == 0
+
+
+def test_small_folds_left_out_in_closed_form_equal_refits(spark):
+    """Folds of one to nine rows, a null one among them, some larger than there are points."""
+    data, fold, left = [], None, 3
+    for i, r in enumerate(data_of(1, 90)):
+        data.append((0, i, *r[2:6], fold))
+        left -= 1
+        if left == 0:
+            fold, left = (0 if fold is None else fold + 1), 1 + i % 9
+    df = spark.createDataFrame(data, SCHEMA).repartition(4)
+    joint = SG.logo_sparse_gp_joint(df, K, U, "fold").toPandas()
+    assert len(joint) == sum(sum(r[6] == f for r in data) ** 2 for f in {r[6] for r in data})
+    for f in {r[6] for r in data}:
+        refit = plain_fit([r for r in data if r[6] != f], U, None)
+        own = joint[joint.fold.isna() if f is None else joint.fold == f].sort_values(["i", "j"])
+        ids = sorted(r[1] for r in data if r[6] == f)
+        m, c = refit.joint(K, np.array([data[i][2] for i in ids]))
+        assert own["i"].tolist() == np.repeat(ids, len(ids)).tolist() and own["j"].tolist() == ids * len(ids)
+        np.testing.assert_allclose(own["mean"].to_numpy().reshape(len(ids), -1)[:, 0], m, atol=1e-6)
+        np.testing.assert_allclose(own["cov"].to_numpy().reshape(len(ids), -1), c, atol=1e-6)
