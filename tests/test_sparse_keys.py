@@ -154,3 +154,25 @@ def test_small_folds_left_out_in_closed_form_equal_refits(spark):
         assert own["i"].tolist() == np.repeat(ids, len(ids)).tolist() and own["j"].tolist() == ids * len(ids)
         np.testing.assert_allclose(own["mean"].to_numpy().reshape(len(ids), -1)[:, 0], m, atol=1e-6)
         np.testing.assert_allclose(own["cov"].to_numpy().reshape(len(ids), -1), c, atol=1e-6)
+
+
+@pytest.mark.parametrize("places", [None, 1])
+def test_large_groups_without_their_covariance_equal_dense_ones(monkeypatch, places):
+    """Also where rows share their features (and with them the noise of measurements), and beyond max_rows."""
+    rng = np.random.default_rng(3)
+    x = rng.random(700) * 4
+    x = x if places is None else x.round(places)
+    pdf = pd.DataFrame({"feature": x, "target": np.sin(3 * x) + rng.standard_normal(700), "target_variance": 0.1 * (1 + np.arange(700) % 5), "g": np.arange(700) // 400})
+    root = SG.SparseFit.prior(K, U).prior_root
+    dense = SG._block(K, U, root, pdf, SG.zero, 1e-12, "g")
+    monkeypatch.setattr(SG, "_DENSE_ROWS", 100)
+    large = SG._block(K, U, root, pdf, SG.zero, 1e-12, "g", 50)
+    assert len(large[0]) == 2 * (len(U) + 2)  # a triangle a group and a row
+    np.testing.assert_allclose(large[0].T @ large[0], dense[0].T @ dense[0], rtol=1e-8, atol=1e-7)
+    np.testing.assert_allclose(large[1:], dense[1:], rtol=1e-9)
+    rough = KF.exponential(0.01, 3.0) + KF.measurement_noise(0.3)  # no low rank
+    if places is None:
+        with pytest.raises(ValueError, match="at most 50"):
+            SG._block(rough, U, SG.SparseFit.prior(rough, U).prior_root, pdf, SG.zero, 1e-12, "g", 50)
+    shared = KF.squared_exponential(2.0, 3.0) + KF.measurements_of(KF.squared_exponential(0.5, 1.0))  # measurements share more than the process
+    assert SG._large_group(shared, x, root @ shared.matrix(x, U).T, np.column_stack([shared.matrix(x, U), x]), np.full(700, 0.1)) is None
