@@ -361,7 +361,7 @@ def _(spark, d):
         return pd.DataFrame({"fold": pdf["fold"], "row_id": pdf["row_id"], "mean": model})
 
     rows = events(spark, d).select("key", "row_id", "target")
-    found = CV.cv_predict(rows, lambda pdf: float(pdf["target"].median()), predict, "fold string, row_id long, mean double")
+    found = CV.predict_folds(rows, CV.fold_medians(rows, "target"), predict, "fold string, row_id long, mean double")
     return found.select("fold", "row_id", r6("mean").alias("mean"))
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkreg.functions.order import spread
@@ -68,7 +68,7 @@ def cv_predict(df: DataFrame, fit: Callable[[pd.DataFrame], object], predict: Ca
 
     A model that needs its rows together is trained in one task a fold, on rows that are copied once a fold: more than
     max_train of them are an error before any row is moved (additive models: ``cv_predict_additive``; processes:
-    ``gp.logo_gp``). Test rows stay where they are: fold models are sent to the tasks that hold rows. With ``together`` predict
+    ``gp.logo_gp``; models that Spark fits: ``predict_folds``). Test rows stay where they are: fold models are sent to the tasks that hold rows. With ``together`` predict
     gets all rows of a fold at once, for joint predictions; folds of more than max_test rows are an error then.
     """
     folds = create_folds(df, key, max_folds).where("role = 'train'")
@@ -92,6 +92,50 @@ def cv_predict(df: DataFrame, fit: Callable[[pd.DataFrame], object], predict: Ca
     return df.mapInPandas(_by_fold(known, predict, key), schema)
 
 
+def predict_folds(df: DataFrame, models: DataFrame, predict: Callable[[object, pd.DataFrame], pd.DataFrame], schema: str, key: str = "key", max_folds: int = MAX_FOLDS) -> DataFrame:
+    """Predictions of models that Spark fitted without their folds (fold, model): what ``cv_predict`` does where the rows of a
+    training set are too many for one task. models go to the rows, which stay where they are."""
+    found = models.select("fold", "model").limit(max_folds + 1).collect()
+    if len(found) > max_folds:
+        raise ValueError(f"over {max_folds} folds")
+    known = df.sparkSession.sparkContext.broadcast({r.fold: cloudpickle.dumps(r.model) for r in found})
+    return df.mapInPandas(_by_fold(known, predict, key), schema)
+
+
+def fold_medians(df: DataFrame, value: str, key: str = "key", max_folds: int = MAX_FOLDS) -> DataFrame:
+    """(fold, model): the median of the values of all rows but the fold's; nulls and NaN are left out, a null fold is a fold.
+
+    No row is copied a fold. Counts of distinct values are sorted by range; counts of the ranges tell in which of them the middle
+    of each training set lies, and running counts inside those ranges alone where.
+    """
+    spark, kind = df.sparkSession, dict(df.dtypes)[key]
+    folds = [r[0] for r in df.select(key).distinct().limit(max_folds + 1).collect()]
+    if len(folds) > max_folds:
+        raise ValueError(f"over {max_folds} folds: medians are found for few folds only")
+    v = F.col(value).cast("double")
+    counts = df.select(v.alias("v"), F.col(key).alias("f")).where("v is not null and not isnan(v)").groupBy("v", "f").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(counts.repartitionByRange("v").withColumn("pid", F.spark_partition_id()), "value-counts")
+    sums: dict = {}
+    for r in counts.groupBy("pid", "f").agg(F.sum("n").alias("n")).collect():  # ranges times folds
+        sums.setdefault(r.pid, {})[r.f] = r.n
+    wanted = []
+    for fold in folds:
+        inside = {pid: sum(own.values()) - own.get(fold, 0) for pid, own in sorted(sums.items())}
+        n = sum(inside.values())
+        for rank in sorted({(n - 1) // 2, n // 2}) if n else []:
+            before = 0
+            for pid, own in inside.items():
+                if rank < before + own:
+                    wanted.append((fold, pid, rank - before))
+                    break
+                before += own
+    marks = F.broadcast(spark.createDataFrame(wanted, f"fold {kind}, pid int, rank long"))  # two a fold
+    rows = counts.join(marks, "pid").where(~F.col("f").eqNullSafe(F.col("fold"))).groupBy("fold", "pid", "rank", "v").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("fold", "pid", "rank").orderBy("v"))
+    middle = rows.withColumn("upto", upto).where("rank < upto and rank >= upto - n")
+    return middle.groupBy("fold").agg(F.avg("v").alias("model"))
+
+
 def _by_fold(known, predict: Callable[[object, pd.DataFrame], pd.DataFrame], key: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """predict(model, rows) of each fold of a batch; a null fold is a fold."""
 

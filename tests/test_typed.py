@@ -304,3 +304,24 @@ def test_the_size_of_a_table_is_summed_where_its_rows_are(spark):
     stages = [s for j in tracker.getJobIdsForGroup("size") for s in tracker.getJobInfo(j).stageIds]
     written = sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages if tracker.getStageInfo(s) and tracker.getStageInfo(s).numCompletedTasks)
     assert written < 10_000
+
+
+@pytest.mark.parametrize("n", [9, 10, 400])
+def test_medians_without_a_fold(spark, n):
+    """Even and odd numbers, repeated values, nulls, NaN and a null fold; more rows than a task would train on."""
+    values = [None, float("nan"), *np.random.default_rng(n).integers(0, 30, n).astype(float).tolist()]
+    data = [(i, [None, "a", "b"][i % 3], v) for i, v in enumerate(values)]
+    df = spark.createDataFrame(data, "row_id long, key string, y double").repartition(4)
+
+    def predict(model, pdf):
+        return pd.DataFrame({"fold": pdf["fold"], "row_id": pdf["row_id"], "mean": model})
+
+    got = CV.predict_folds(df, CV.fold_medians(df, "y"), predict, "fold string, row_id long, mean double").collect()
+    assert {r.row_id: r.mean for r in got} == {i: pd.Series([v for _, g, v in data if g != f], dtype=float).median() for i, f, _ in data}
+
+
+def test_any_model_query_has_no_bound_on_its_training_rows(spark, small, monkeypatch):
+    from sparkreg.jobs import registry
+
+    monkeypatch.setattr(CV.cv_predict, "__defaults__", ("key", CV.MAX_FOLDS, 5, CV.MAX_MODEL_BYTES, False, CV.MAX_TEST))
+    assert registry.queries()["cv_predict_any_model"](spark, small).count() == spark.read.parquet(f"{small}/events.parquet").count()
