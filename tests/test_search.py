@@ -228,3 +228,14 @@ def test_printed_halves_and_rounded_halves_are_those_of_binary_numbers(spark):
     want = [r[0] for r in duckdb.connect().execute("select round(v, 4) from (select unnest(?::double[]) as v)", [halves]).fetchall()]
     rows = spark.createDataFrame([(k, v) for k, v in enumerate(halves)], "k long, v double").select("k", S.rounded(F.col("v"), 4).alias("r")).orderBy("k").collect()
     assert [r.r for r in rows] == want
+
+
+def test_points_of_one_cell_are_dealt_out_by_their_pairs(spark):
+    """Few left rows and many right ones in one cell: the pairs, not the left rows, decide how many tasks there are."""
+    left = spark.range(40).select(F.col("id").alias("row_id"), F.lit(0.5).alias("x"), (F.col("id") / 100).alias("y"))
+    right = spark.range(500).select(F.col("id").alias("row_id"), F.lit(0.25).alias("x"), (F.col("id") / 1000).alias("y"))
+    pairs = D.align_points(left, right, ["x", "y"], 1.0, hot_rows=1)
+    counts = [r.n for r in pairs.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(counts) == 40 * 500 and len(counts) > 4 and max(counts) < 10_000
+    found = pairs.select("row_id", "r_row_id").distinct().count()
+    assert found == 40 * 500
