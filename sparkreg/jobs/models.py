@@ -373,12 +373,12 @@ def _(spark, d):
     """Suppliers of a nation by those of all others: a common mean, whose error they share, and a spread of their own."""
     rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("row_id"), F.col("s_nationkey").alias("key"), (F.col("s_acctbal") / 1000).alias("y"))
 
-    def predict(model, pdf: pd.DataFrame) -> pd.DataFrame:
+    def predict(model, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         n, m, v = model
-        cov = np.full((len(pdf), len(pdf)), v / n) + v * np.eye(len(pdf))
-        return GP.joint_rows({"fold": pdf["fold"].iloc[0]}, pdf["row_id"].to_numpy(), np.full(len(pdf), m), cov)
+        i, j = np.repeat(a["row_id"].to_numpy(), len(b)), np.tile(b["row_id"].to_numpy(), len(a))
+        return pd.DataFrame({"fold": a["fold"].iloc[0], "i": i, "j": j, "mean": m, "cov": v / n + v * (i == j)})
 
-    found = CV.cv_predict(rows, lambda pdf: (len(pdf), float(pdf["y"].mean()), float(pdf["y"].var())), predict, "fold int, i long, j long, mean double, cov double", together=True)
+    found = CV.cv_predict_pairs(rows, lambda pdf: (len(pdf), float(pdf["y"].mean()), float(pdf["y"].var())), predict, "fold int, i long, j long, mean double, cov double")
     return found.select("fold", "i", "j", r6("mean").alias("mean"), r6("cov").alias("cov"))
 
 

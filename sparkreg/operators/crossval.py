@@ -71,6 +71,17 @@ def cv_predict(df: DataFrame, fit: Callable[[pd.DataFrame], object], predict: Ca
     ``gp.logo_gp``; models that Spark fits: ``predict_folds``). Test rows stay where they are: fold models are sent to the tasks that hold rows. With ``together`` predict
     gets all rows of a fold at once, for joint predictions; folds of more than max_test rows are an error then.
     """
+    known, sizes = _fold_models(df, fit, key, max_folds, max_train, max_model_bytes)
+    if together:
+        if (sizes.agg(F.max("n").alias("m")).first().m or 0) > max_test:
+            raise ValueError(f"a fold has more than {max_test} rows, which are predicted together")
+        whole = _by_fold(known, predict, key)
+        return spread(df, key).groupBy(key).applyInPandas(lambda pdf: pd.concat(list(whole(iter([pdf.sort_values("row_id")])))), schema)
+    return df.mapInPandas(_by_fold(known, predict, key), schema)
+
+
+def _fold_models(df: DataFrame, fit: Callable[[pd.DataFrame], object], key: str, max_folds: int, max_train: int, max_model_bytes: int):
+    """(the pickled models of all folds as a broadcast, rows of each fold as (k, n))."""
     folds = create_folds(df, key, max_folds).where("role = 'train'")
     sizes = df.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
     most = sizes.agg((F.sum("n") - F.min("n")).alias("m")).first().m or 0
@@ -83,13 +94,30 @@ def cv_predict(df: DataFrame, fit: Callable[[pd.DataFrame], object], predict: Ca
     if held > max_model_bytes:
         raise ValueError(f"the models of the folds have {held} bytes; at most {max_model_bytes} are sent to the tasks")
     known = df.sparkSession.sparkContext.broadcast({r.fold: bytes(r.model) for r in models.collect()})  # max_folds models
-
-    if together:
-        if (sizes.agg(F.max("n").alias("m")).first().m or 0) > max_test:
-            raise ValueError(f"a fold has more than {max_test} rows, which are predicted together")
-        whole = _by_fold(known, predict, key)
-        return spread(df, key).groupBy(key).applyInPandas(lambda pdf: pd.concat(list(whole(iter([pdf.sort_values("row_id")])))), schema)
-    return df.mapInPandas(_by_fold(known, predict, key), schema)
+    return known, sizes
+
+
+def cv_predict_pairs(df: DataFrame, fit: Callable[[pd.DataFrame], object], predict: Callable[[object, pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, key: str = "key", max_folds: int = MAX_FOLDS, max_train: int = MAX_TRAIN, max_model_bytes: int = MAX_MODEL_BYTES, block_rows: int = 1_000) -> DataFrame:
+    """Joint predictions of folds of any size: predict(model, rows, other rows) of each pair of blocks of about block_rows rows of
+    a fold, so a task holds one block of a covariance at a time. The result has the square of a fold's rows; see ``cv_predict``."""
+    known, sizes = _fold_models(df, fit, key, max_folds, max_train, max_model_bytes)
+    parts = F.broadcast(materialise(sizes.select(F.col("k").alias("__k"), F.ceil(F.col("n") / block_rows).cast("int").alias("__n")), "fold-parts"))  # max_folds rows
+    rows = df.join(parts, F.col(key).eqNullSafe(F.col("__k"))).withColumn("__p", F.pmod(F.xxhash64(*df.columns), F.col("__n")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("__n") - 1))
+    left, right = rows.withColumn("__q", every), rows.withColumnRenamed("__p", "__q").withColumn("__p", every)
+    names, columns = [x.strip().split(" ")[0] for x in schema.split(", ")], df.columns
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({c: [] for c in names}, dtype=object)
+        model = pickle.loads(known.value[fold_of(a[key].iloc[0])])
+        b = b.set_axis([*columns, "__p", "__q"], axis=1)
+        return predict(model, *(t[columns].sort_values("row_id").assign(fold=t[key].iloc[0]) for t in (a, b)))
+
+    left = left.select(*columns, "__p", "__q")
+    right = right.select(*(F.col(c).alias(f"__r_{c}") for c in left.columns))  # both are of one table, so names must tell them apart
+    a, b = (spread(t, *by).groupBy(*by) for t, by in ((left, (key, "__p", "__q")), (right, (f"__r_{key}", "__r___p", "__r___q"))))
+    return a.cogroup(b).applyInPandas(run, schema)
 
 
 def predict_folds(df: DataFrame, models: DataFrame, predict: Callable[[object, pd.DataFrame], pd.DataFrame], schema: str, key: str = "key", max_folds: int = MAX_FOLDS) -> DataFrame:

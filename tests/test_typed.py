@@ -325,3 +325,19 @@ def test_any_model_query_has_no_bound_on_its_training_rows(spark, small, monkeyp
 
     monkeypatch.setattr(CV.cv_predict, "__defaults__", ("key", CV.MAX_FOLDS, 5, CV.MAX_MODEL_BYTES, False, CV.MAX_TEST))
     assert registry.queries()["cv_predict_any_model"](spark, small).count() == spark.read.parquet(f"{small}/events.parquet").count()
+
+
+def test_joint_predictions_of_folds_by_pairs_of_blocks(spark):
+    """A fold of more rows than a block has, a null fold, and a fold of one row."""
+    data = [(i, None if i < 7 else 1 if i < 30 else 2, float(i * i % 11)) for i in range(31)]
+    df = spark.createDataFrame(data, "row_id long, fold int, y double").repartition(3)
+
+    def predict(model, a, b):
+        i, j = np.repeat(a["row_id"].to_numpy(), len(b)), np.tile(b["row_id"].to_numpy(), len(a))
+        return pd.DataFrame({"fold": a["fold"].iloc[0], "i": i, "j": j, "mean": model, "cov": 1.0 * (i == j)})
+
+    got = CV.cv_predict_pairs(df, lambda pdf: float(pdf["y"].mean()), predict, "fold int, i long, j long, mean double, cov double", "fold", block_rows=4).collect()
+    means = {f: np.mean([y for _, g, y in data if g != f]) for f in (None, 1, 2)}
+    want = {(f, i, j): (means[f], float(i == j)) for i, f, _ in data for j, g, _ in data if f == g}
+    assert len(got) == len(want)
+    assert all(abs(want[r.fold, r.i, r.j][0] - r.mean) < 1e-12 and want[r.fold, r.i, r.j][1] == r.cov for r in got)
