@@ -125,7 +125,7 @@ class Fit:
         flags = flags or np.concatenate([np.broadcast_to(m, len(t)) for m, t in ((self.measured, self.x), (measured, x))])
         return Fit(joined(self.x, x), root, v, np.concatenate([self.w, new]), flags)
 
-    def pack(self, key: dict) -> pd.DataFrame:
+    def packed(self, key: dict) -> dict:
         x = self.x
         row = {**key, "n": len(x), "root": self.root[np.tril_indices(len(self.root))], "information": self.v, "whitened": self.w}
         row["latent"] = np.flatnonzero(~np.broadcast_to(self.measured, len(x))).astype(np.int32) if self.measured is not True else None
@@ -134,7 +134,10 @@ class Fit:
         else:
             x = np.asarray(x, float)
             row |= {"d": 0 if x.ndim == 1 else x.shape[1], "x": x.reshape(-1), "kinds": None, "widths": None, "coefs": None, "starts": None}
-        return pd.DataFrame([row])
+        return row
+
+    def pack(self, key: dict) -> pd.DataFrame:
+        return pd.DataFrame([self.packed(key)])
 
     @classmethod
     def unpack(cls, row) -> Fit:
@@ -162,9 +165,14 @@ def _guard(pdf: pd.DataFrame, key: str, most: int) -> None:
         raise ValueError(f"group {pdf[key].iloc[0]} has {len(pdf)} rows; at most {most} make an exact process")
 
 
+def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The rows in the order of row_id, which they mostly are in."""
+    return pdf if pdf["row_id"].is_monotonic_increasing else pdf.sort_values("row_id")
+
+
 def arrays(pdf: pd.DataFrame) -> tuple[np.ndarray | Terms, np.ndarray, np.ndarray]:
     """Features, targets and variances in the order of row_id."""
-    pdf = pdf.sort_values("row_id")
+    pdf = in_order(pdf)
     return features(pdf["feature"]), pdf["target"].to_numpy(float), pdf["target_variance"].to_numpy(float)
 
 
@@ -172,7 +180,7 @@ def flags(pdf: pd.DataFrame) -> Flags:
     """Which rows are measurements, in the order of row_id."""
     if "measured" not in pdf:
         return True
-    own = pdf.sort_values("row_id")["measured"].fillna(True).to_numpy(bool)
+    own = in_order(pdf)["measured"].fillna(True).to_numpy(bool)
     return True if own.all() else own
 
 
@@ -180,14 +188,81 @@ def training(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, "row_id", "feature", "target", "target_variance", *(["measured"] if "measured" in df.columns else []))
 
 
+def whole_groups(batches: Iterator[pd.DataFrame], names: list[str], max_rows: int) -> Iterator[pd.DataFrame]:
+    """The same rows, sorted by names, cut so that no group of equal names is divided: the last of a batch waits for the next."""
+    rest = None
+    for pdf in batches:
+        pdf = pdf if rest is None else pd.concat([rest, pdf])
+        codes = [pd.factorize(pdf[c], use_na_sentinel=False)[0] for c in names]
+        changes = np.flatnonzero(np.any([np.diff(c) != 0 for c in codes], axis=0)) if len(pdf) else np.empty(0, int)
+        lo = int(changes[-1]) + 1 if len(changes) else 0
+        if lo:
+            yield pdf.iloc[:lo]
+        rest = pdf.iloc[lo:]
+        if len(rest) > max_rows:
+            raise ValueError(f"group {rest[names[-1]].iloc[0]} has more than {max_rows} rows, which depend on each other")
+    if rest is not None and len(rest):
+        yield rest
+
+
+HELD_ROWS = 2_000_000  # of a group that a task holds, which a guard then counts
+_OUT_BYTES = 32 << 20  # of what a task gives out at a time
+
+
+def _groups(batches: Iterator[pd.DataFrame], names: list[str]) -> Iterator[pd.DataFrame]:
+    """One frame a group, of rows sorted by names."""
+    for pdf in whole_groups(batches, names, HELD_ROWS):
+        codes = np.array([pd.factorize(pdf[c], use_na_sentinel=False)[0] for c in names])
+        ends = np.append(np.flatnonzero((np.diff(codes) != 0).any(axis=0)) + 1, len(pdf)).tolist()
+        for lo, hi in zip([0, *ends[:-1]], ends, strict=True):
+            yield pdf.iloc[lo:hi]
+
+
+def _together(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same rows in fewer frames."""
+    held, size = [], 0
+    for frame in frames:
+        if len(frame):
+            held.append(frame)
+            size += 8 * frame.size + sum(v.nbytes for c in frame for v in (frame[c] if frame[c].dtype == object else ()) if isinstance(v, np.ndarray))
+        if size > _OUT_BYTES:
+            yield pd.concat(held)
+            held, size = [], 0
+    if held:
+        yield pd.concat(held)
+
+
+def per_group(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str = "key", max_rows: int = MAX_ROWS) -> DataFrame:
+    """f over the rows of each key, sorted by row_id, guarded by max_rows. Groups stream by, sorted, many in a batch: handing each to
+    a worker by itself costs more than most groups do."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def each() -> Iterator[pd.DataFrame]:
+            for pdf in _groups(batches, [key]):
+                _guard(pdf, key, max_rows)
+                yield f(pdf)
+
+        yield from _together(each())
+
+    return spread(df, key).sortWithinPartitions(key, "row_id").mapInPandas(run, schema)
+
+
 def fit_gp(df: DataFrame, kernel: Kernel, key: str = "key", mean: Mean = zero, max_rows: int = MAX_ROWS) -> DataFrame:
     """One fit a key from rows (key, row_id, feature, target, target_variance)."""
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        _guard(pdf, key, max_rows)
-        return Fit.of(kernel, *arrays(pdf), mean, flags(pdf)).pack({key: pdf[key].iloc[0]})
+    def fits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for pdf in _groups(batches, [key]):
+            _guard(pdf, key, max_rows)
+            held.append(Fit.of(kernel, *arrays(pdf), mean, flags(pdf)).packed({key: pdf[key].iloc[0]}))
+            size += held[-1]["root"].nbytes
+            if size > _OUT_BYTES:
+                yield pd.DataFrame(held)
+                held, size = [], 0
+        if held:
+            yield pd.DataFrame(held)
 
-    return spread(training(df, key), key).groupBy(key).applyInPandas(fit, fit_schema(key, dict(df.dtypes)[key]))
+    return spread(training(df, key), key).sortWithinPartitions(key, "row_id").mapInPandas(fits, fit_schema(key, dict(df.dtypes)[key]))
 
 
 def update_gp(fits: DataFrame, df: DataFrame, kernel: Kernel, key: str = "key", mean: Mean = zero) -> DataFrame:
@@ -320,16 +395,6 @@ def predict_gp_joint(fits: DataFrame, rows: DataFrame, kernel: Kernel, block: st
     return with_fits(fits, rows.select(key, "row_id", block, "feature"), joint, schema, key, part_rows, block)
 
 
-def per_group(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str = "key", max_rows: int = MAX_ROWS) -> DataFrame:
-    """f over the sorted rows of each key, guarded by max_rows."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        _guard(pdf, key, max_rows)
-        return f(pdf.sort_values("row_id"))
-
-    return spread(df, key).groupBy(key).applyInPandas(run, schema)
-
-
 def _marginal_schema(df: DataFrame, key: str) -> str:
     return f"{key} {dict(df.dtypes)[key]}, row_id long, mean double, variance double"
 

@@ -23,7 +23,7 @@ from sparkreg.functions.kernels import Kernel
 from sparkreg.functions.order import spread
 from sparkreg.functions.storage import is_small, materialise
 from sparkreg.functions.typed import features
-from sparkreg.operators.gp import MAX_ROWS, Mean, cholesky, inverse_lower, joint_rows, meet, per_group, with_fits, zero
+from sparkreg.operators.gp import HELD_ROWS, MAX_ROWS, Mean, cholesky, inverse_lower, joint_rows, meet, whole_groups, with_fits, zero
 from sparkreg.operators.linear import reduce_triangles, triangle
 
 
@@ -167,7 +167,6 @@ def _block(kernel: Kernel, u: np.ndarray, prior_root: np.ndarray, pdf: pd.DataFr
 
 
 _DENSE_ROWS = 1_000  # of a group that is factored as a whole in any case
-_HELD_ROWS = 2_000_000  # of a group that a task holds
 _MAX_RANK = 1_500
 
 
@@ -243,23 +242,6 @@ class _Total:
         return self.waiting[0]
 
 
-def whole_groups(batches: Iterator[pd.DataFrame], names: list[str], max_rows: int) -> Iterator[pd.DataFrame]:
-    """The same rows, sorted by names, cut so that no group of equal names is divided: the last of a batch waits for the next."""
-    rest = None
-    for pdf in batches:
-        pdf = pdf if rest is None else pd.concat([rest, pdf])
-        codes = [pd.factorize(pdf[c], use_na_sentinel=False)[0] for c in names]
-        changes = np.flatnonzero(np.any([np.diff(c) != 0 for c in codes], axis=0)) if len(pdf) else np.empty(0, int)
-        lo = int(changes[-1]) + 1 if len(changes) else 0
-        if lo:
-            yield pdf.iloc[:lo]
-        rest = pdf.iloc[lo:]
-        if len(rest) > max_rows:
-            raise ValueError(f"group {rest[names[-1]].iloc[0]} has more than {max_rows} rows, which depend on each other")
-    if rest is not None and len(rest):
-        yield rest
-
-
 Points = Callable[[object], tuple[np.ndarray, np.ndarray] | None]  # a key's inducing points and the inverse root of their prior
 
 
@@ -274,7 +256,7 @@ def _folder(kernel: Kernel, mean: Mean, nugget: float, keys: list[str], group: s
             totals.clear()
             return out
 
-        for pdf in whole_groups(batches, [*keys, group], max(max_rows, _HELD_ROWS)) if group else batches:
+        for pdf in whole_groups(batches, [*keys, group], max(max_rows, HELD_ROWS)) if group else batches:
             for name, own in pdf.groupby(keys, sort=False, dropna=False) if keys else [((), pdf)]:
                 k = _plain(name[0]) if keys else None
                 if len(own) and (at := points(k)) is not None:
@@ -501,16 +483,8 @@ def logo_sparse_gp_joint(df: DataFrame, kernel: Kernel, u: np.ndarray, fold: str
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         full = sent.value
-        for pdf in whole_groups(batches, [fold], max_rows):
-            codes = pd.factorize(pdf[fold], use_na_sentinel=False)[0]
-            begins = np.append(0, np.flatnonzero(np.diff(codes)) + 1)
-            sizes = np.diff(np.append(begins, len(pdf)))
-            guard(pdf[fold].iloc[begins[sizes.argmax()]], int(sizes.max()))
-            for n in np.unique(sizes).tolist():
-                at = begins[sizes == n][:, None] + np.arange(n)
-                step = max(1, 1_000_000 // (n * n))
-                for lo in range(0, len(at), step):
-                    yield _left_out(full, kernel, pdf, at[lo : lo + step], fold, mean, measured, nugget)
+        for pdf, at in _equal_blocks(batches, fold, max_rows, "fold", "are predicted together"):
+            yield _left_out(full, kernel, pdf, at, fold, mean, measured, nugget)
 
     rows = spread(df.select(fold, "row_id", "feature", "target", "target_variance"), fold).sortWithinPartitions(fold, "row_id")
     return rows.mapInPandas(run, schema)
@@ -543,14 +517,8 @@ def _left_out(full: SparseFit, kernel: Kernel, pdf: pd.DataFrame, at: np.ndarray
     solved = np.linalg.solve(np.eye(n) - shared, np.concatenate([h[:, :, None], shared], 2))
     means = prior.reshape(c, n) + d * solved[:, :, 0]
     part = half.T.reshape(c, n, -1)
-    if n == 1:
-        k = kernel.diagonal(x, measured).reshape(c, 1, 1)
-    else:
-        k = np.stack([kernel.between(x[lo : lo + n], x[lo : lo + n], measured, measured) for lo in range(0, c * n, n)])
-    covs = k - part @ part.transpose(0, 2, 1) + d[:, :, None] * solved[:, :, 1:] * d[:, None, :]
-    ids, shape = own["row_id"].to_numpy().reshape(c, n), (c, n, n)
-    names = own[fold].to_numpy()[::n]
-    return pd.DataFrame({fold: np.repeat(names, n * n), "i": np.broadcast_to(ids[:, :, None], shape).reshape(-1), "j": np.broadcast_to(ids[:, None, :], shape).reshape(-1), "mean": np.repeat(means.reshape(-1), n), "cov": covs.reshape(-1)})
+    covs = _own_blocks(kernel, x, c, n, measured) - part @ part.transpose(0, 2, 1) + d[:, :, None] * solved[:, :, 1:] * d[:, None, :]
+    return _joint_blocks(fold, own, n, means, covs)
 
 
 def predict_sparse_gp(rows: DataFrame, kernel: Kernel, fit: SparseFit, mean: Mean = zero) -> DataFrame:
@@ -565,9 +533,55 @@ def predict_sparse_gp(rows: DataFrame, kernel: Kernel, fit: SparseFit, mean: Mea
 
 
 def predict_sparse_gp_joint(rows: DataFrame, kernel: Kernel, fit: SparseFit, block: str, mean: Mean = zero, max_rows: int = MAX_ROWS) -> DataFrame:
-    """(block, i, j, mean, cov): joint predictions of the rows of each block, i and j being row_ids."""
-
-    def predict(pdf: pd.DataFrame) -> pd.DataFrame:
-        return joint_rows({block: pdf[block].iloc[0]}, pdf["row_id"].to_numpy(), *fit.joint(kernel, features(pdf["feature"]), mean))
+    """(block, i, j, mean, cov): joint predictions of the rows of each block, i and j being row_ids. The blocks of a batch that have
+    as many rows are predicted together: most blocks are small, and a call for each would cost more than its numbers."""
+    sent = rows.sparkSession.sparkContext.broadcast(fit)
 
-    return per_group(rows.select(block, "row_id", "feature"), predict, f"{block} {dict(rows.dtypes)[block]}, i long, j long, mean double, cov double", block, max_rows)
+    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        full = sent.value
+        for pdf, at in _equal_blocks(batches, block, max_rows, "block", "are predicted together"):
+            (c, n), own = at.shape, pdf.iloc[at.reshape(-1)]
+            x = features(own["feature"])
+            cross = kernel.matrix(x, full.u)
+            q, s = ((root @ cross.T).T.reshape(c, n, -1) for root in (full.prior_root, full.post_root))
+            covs = _own_blocks(kernel, x, c, n) - q @ q.transpose(0, 2, 1) + s @ s.transpose(0, 2, 1)
+            yield _joint_blocks(block, own, n, cross @ full.v + mean(x), covs)
+
+    rows = spread(rows.select(block, "row_id", "feature"), block).sortWithinPartitions(block, "row_id")
+    return rows.mapInPandas(predict, f"{block} {dict(rows.dtypes)[block]}, i long, j long, mean double, cov double")
+
+
+_JOINT_CELLS = 1_000_000  # of covariances that are made at a time
+
+
+def _equal_blocks(batches: Iterator[pd.DataFrame], name: str, max_rows: int, what: str, why: str) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """(rows, positions of whole blocks of n rows, a row a block) of rows sorted by block, for every n."""
+    for pdf in whole_groups(batches, [name], max(max_rows, HELD_ROWS)):
+        codes = pd.factorize(pdf[name], use_na_sentinel=False)[0]
+        begins = np.append(0, np.flatnonzero(np.diff(codes)) + 1)
+        sizes = np.diff(np.append(begins, len(pdf)))
+        if sizes.max() > max_rows:
+            raise ValueError(f"{what} {pdf[name].iloc[begins[sizes.argmax()]]} has {sizes.max()} rows; at most {max_rows} {why}")
+        for n in np.unique(sizes).tolist():
+            at = begins[sizes == n][:, None] + np.arange(n)
+            step = max(1, _JOINT_CELLS // (n * n))
+            for lo in range(0, len(at), step):
+                yield pdf, at[lo : lo + step]
+
+
+def _own_blocks(kernel: Kernel, x, c: int, n: int, measured: bool = False, rows: int = 64) -> np.ndarray:
+    """The covariances within each of c blocks of n rows: those of small blocks are cut out of matrices of several blocks."""
+    if n == 1:
+        return kernel.diagonal(x, measured).reshape(c, 1, 1)
+    out, few = np.empty((c, n, n)), max(1, rows // n)
+    for lo in range(0, c, few):
+        hi = min(lo + few, c)
+        part, k = x[lo * n : hi * n], np.arange(hi - lo)
+        out[lo:hi] = kernel.between(part, part, measured, measured).reshape(hi - lo, n, hi - lo, n)[k, :, k]
+    return out
+
+
+def _joint_blocks(name: str, own: pd.DataFrame, n: int, means: np.ndarray, covs: np.ndarray) -> pd.DataFrame:
+    """Long form of the joint distributions of blocks of n rows."""
+    ids = own["row_id"].to_numpy().reshape(-1, n)
+    return pd.DataFrame({name: np.repeat(own[name].to_numpy()[::n], n * n), "i": np.broadcast_to(ids[:, :, None], covs.shape).reshape(-1), "j": np.broadcast_to(ids[:, None, :], covs.shape).reshape(-1), "mean": np.repeat(means.reshape(-1), n), "cov": covs.reshape(-1)})
