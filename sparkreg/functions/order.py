@@ -29,5 +29,10 @@ def global_row_number(df: DataFrame, *keys, name: str = "row_number") -> DataFra
 
 def spread(df: DataFrame, *keys: str, tasks: int | None = None) -> DataFrame:
     """df dealt out by keys to ``tasks`` (spark.sql.shuffle.partitions) tasks, for groups that cost more than their bytes tell:
-    adaptive execution would merge small partitions, and so run all groups of a narrow table in one task."""
-    return df.repartition(tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    adaptive execution would merge small partitions, and so run all groups of a narrow table in one task.
+
+    One task more where that is the number Spark itself shuffles to: it would take a table that a window or an aggregate has
+    shuffled by the same keys for dealt out already, and drop this step, but still merge that shuffle's partitions.
+    """
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(usual + 1 if tasks in (None, usual) else tasks, *keys)

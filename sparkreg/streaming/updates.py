@@ -19,7 +19,7 @@ from sparkreg.functions.kernels import Kernel
 from sparkreg.functions.order import spread
 from sparkreg.functions.storage import bounded_broadcast, materialise
 from sparkreg.functions.versions import Versions
-from sparkreg.operators.gp import Mean, arrays, zero
+from sparkreg.operators.gp import Mean, arrays, inverse_lower, per_group, zero
 from sparkreg.operators.linear import SUMS, line, power_sums
 from sparkreg.operators.sparse_gp import SparseFit, fit_sparse_gp
 from sparkreg.streaming.scan import scan_filter
@@ -144,7 +144,27 @@ def stream_kalman_filter(rows: DataFrame, k: Callable[[float], float], noise: fl
 
 
 def grow(kernel: Kernel, x: np.ndarray, y: np.ndarray, variance: np.ndarray, mean: Mean = zero) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and variance at each row given the rows up to it. The inverse factor grows by a row in place: two products with it a step."""
+    """Mean and variance at each row given the rows up to it.
+
+    The leading blocks of the inverse factor of all rows are those of the rows up to each, so one factorisation does, and what a
+    row sees is a column of the upper triangle of its product with the covariances. Rows that are not finite, or nearly leave no
+    variance of their own, are taken step by step.
+    """
+    residual, k = y - mean(x), kernel.measured(x, x) + np.diag(variance)
+    if np.isfinite(k).all() and np.isfinite(residual).all():
+        try:
+            low = np.linalg.cholesky(k)
+        except np.linalg.LinAlgError:
+            return grow_by_row(kernel, x, y, variance, mean)
+        if (np.diag(low) ** 2 > 1e-9 * np.diag(k)).all():
+            root = inverse_lower(low)
+            half = np.triu(root @ kernel.matrix(x, x))
+            return mean(x) + (root @ residual) @ half, kernel.diagonal(x) - (half**2).sum(0)
+    return grow_by_row(kernel, x, y, variance, mean)
+
+
+def grow_by_row(kernel: Kernel, x: np.ndarray, y: np.ndarray, variance: np.ndarray, mean: Mean = zero) -> tuple[np.ndarray, np.ndarray]:
+    """The same; the inverse factor grows by a row in place: two products with it a step."""
     n, residual = len(x), y - mean(x)
     root, w, means, variances = np.zeros((n, n)), np.zeros(n), np.empty(n), np.empty(n)
     prior = kernel.diagonal(x)
@@ -162,14 +182,10 @@ def grow(kernel: Kernel, x: np.ndarray, y: np.ndarray, variance: np.ndarray, mea
 
 
 def iterative_gp(rows: DataFrame, kernel: Kernel, key: str = "key", mean: Mean = zero, max_rows: int = 2000) -> DataFrame:
-    """(key, row_id, mean, variance): the estimate at each row from the rows up to it; the factor grows a row a step."""
+    """(key, row_id, mean, variance): the estimate at each row from the rows up to it (``grow``)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > max_rows:
-            raise ValueError(f"group {pdf[key].iloc[0]} has {len(pdf)} rows; at most {max_rows}")
-        pdf = pdf.sort_values("row_id")
-        x, y, var = arrays(pdf)
-        m, v = grow(kernel, x, y, var, mean)
+        m, v = grow(kernel, *arrays(pdf), mean)
         return pd.DataFrame({key: pdf[key], "row_id": pdf["row_id"], "mean": m, "variance": v})
 
-    return spread(rows, key).groupBy(key).applyInPandas(run, f"{key} {dict(rows.dtypes)[key]}, row_id long, mean double, variance double")
+    return per_group(rows.select(key, "row_id", "feature", "target", "target_variance"), run, f"{key} {dict(rows.dtypes)[key]}, row_id long, mean double, variance double", key, max_rows)
