@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkreg.functions import kernels as KF
 from sparkreg.functions.order import spread
 from sparkreg.operators import gp as GP
+from sparkreg.operators import graph as GR
 from sparkreg.operators import sparse_gp as SG
 from sparkreg.streaming import updates as U
 
@@ -69,3 +70,23 @@ def test_growth_of_odd_rows():
 def test_spread_is_kept_after_a_window(spark):
     rows = spark.range(1000).withColumn("key", F.col("id") % 40).groupBy("key").agg(F.max("id").alias("row_id"))
     assert spread(rows, "key").rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_forests_of_parts_leave_few_edges(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"a": rng.integers(0, 60, 6000), "b": rng.integers(60, 120, 6000), "cost": rng.integers(0, 50, 6000).astype(float), "id": np.arange(6000)})
+    df = spark.createDataFrame(pdf).withColumn("w", F.col("cost"))
+    left = GR._parts(df, 2).toPandas()
+    assert len(left) < 1500  # all edges went into every round
+    want = GR.kept_edges(pdf.assign(w=pdf["cost"]))
+    assert len(want) == 119 and set(want["id"]) <= set(left["id"])
+    assert {r.id for r in GR.spanning_forest(df.drop("w")).collect()} == set(want["id"])
+    monkeypatch.setattr(GR, "_HELD_EDGES", 100)  # more is left than a task may hold: rounds of joins
+    assert {r.id for r in GR.spanning_forest(df.drop("w")).collect()} == set(want["id"])
+
+
+def test_forest_of_edges_without_cost(spark):
+    rows = [(1, 2, None, 1), (1, 2, 3.0, 2), (2, 3, float("nan"), 3), (2, 3, 1.0, 4), (3, 4, 2.0, None), (3, 4, 2.0, 5)]
+    df = spark.createDataFrame(rows, "a int, b int, cost double, id int")
+    assert sorted((r.a, r.b, r.cost, r.id or 0) for r in GR.spanning_forest(df).where("cost is not null").collect()) == [(2, 3, 1.0, 4), (3, 4, 2.0, 0)]
+    assert [(r.a, r.b, r.id) for r in GR.spanning_forest(df).where("cost is null").collect()] == [(1, 2, 1)]
