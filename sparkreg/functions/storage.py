@@ -58,12 +58,9 @@ _NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean"
 MAX_ROWS, MAX_BYTES = 200_000, 64 << 20  # of a table that is broadcast
 
 
-def size_of(df: DataFrame) -> tuple[int, int]:
-    """Rows of df and about their bytes, summed where the rows are: a limit before the sum would move them to one task.
-
-    df should be a materialised or aggregated table: it is counted here. Strings, arrays, structs and maps are measured, not
-    guessed: arrays of numbers by their sizes, what nests by the bytes of its JSON.
-    """
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row. Strings, arrays, structs and maps are measured, not guessed: arrays of numbers by their sizes, what
+    nests by the bytes of its JSON."""
 
     def bytes_of(c: Column, kind: str) -> Column:
         if kind in ("string", "binary"):
@@ -73,8 +70,13 @@ def size_of(df: DataFrame) -> tuple[int, int]:
         return F.octet_length(F.to_json(F.struct(c.alias("c"))))
 
     wide = [F.coalesce(bytes_of(F.col(f"`{c}`"), t), F.lit(0)) for c, t in df.dtypes if t not in _NUMBERS and "decimal" not in t[:7]]
-    own = sum(wide, F.lit(16 * len(df.columns)))
-    found = df.select(own.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
+    return sum(wide, F.lit(16 * len(df.columns)))
+
+
+def size_of(df: DataFrame) -> tuple[int, int]:
+    """Rows of df and about their bytes (``row_bytes``), summed where the rows are: a limit before the sum would move them to one
+    task. df should be a materialised or aggregated table: it is counted here."""
+    found = df.select(row_bytes(df).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
     return found.n, found.b
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from sparkreg.functions.joins import is_small
 from sparkreg.functions.kernels import Flags, Kernel
 from sparkreg.functions.order import spread
-from sparkreg.functions.storage import materialise, size_of
+from sparkreg.functions.storage import materialise, row_bytes, size_of
 from sparkreg.functions.typed import Terms, features, joined
 
 Mean = Callable[[np.ndarray], np.ndarray]
@@ -224,7 +224,7 @@ def _together(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         if len(frame):
             held.append(frame)
-            size += 8 * frame.size + sum(v.nbytes for c in frame for v in (frame[c] if frame[c].dtype == object else ()) if isinstance(v, np.ndarray))
+            size += 8 * frame.size + sum(v.nbytes if isinstance(v, np.ndarray) else len(v) for c in frame for v in (frame[c] if frame[c].dtype == object else ()) if isinstance(v, np.ndarray | bytes))
         if size > _OUT_BYTES:
             yield pd.concat(held)
             held, size = [], 0
@@ -268,36 +268,76 @@ def fit_gp(df: DataFrame, kernel: Kernel, key: str = "key", mean: Mean = zero, m
 def update_gp(fits: DataFrame, df: DataFrame, kernel: Kernel, key: str = "key", mean: Mean = zero) -> DataFrame:
     """Fits conditioned on new rows, of other kinds too; keys without new rows keep their fit, keys without a fit get one."""
 
-    def update(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+    def update(old: dict | None, new: pd.DataFrame) -> pd.DataFrame:
         if not len(new):
-            return old
-        if not len(old):
+            return pd.DataFrame([old])
+        if old is None:
             return Fit.of(kernel, *arrays(new), mean, flags(new)).pack({key: new[key].iloc[0]})
-        return Fit.unpack(old.iloc[0]).update(kernel, *arrays(new), mean, flags(new)).pack({key: new[key].iloc[0]})
+        return Fit.unpack(old).update(kernel, *arrays(new), mean, flags(new)).pack({key: new[key].iloc[0]})
 
-    return spread(fits, key).groupBy(key).cogroup(spread(training(df, key), key).groupBy(key)).applyInPandas(update, fit_schema(key, dict(df.dtypes)[key]))
+    return by_key(materialise(fits, "fits"), training(df, key), update, fit_schema(key, dict(df.dtypes)[key]), [key])
 
 
 def with_fits(fits: DataFrame, rows: DataFrame, f: Callable[[Fit, pd.DataFrame], pd.DataFrame], schema: str, key: str, part_rows: int, together: str | None = None, unpack: Callable = Fit.unpack, tasks: int = 0) -> DataFrame:
     """f(fit, rows) where fits and rows meet by key. Keys of over part_rows rows are dealt out in parts of about that many,
     each of which gets the fit; rows that agree in the column ``together`` stay in one part. Rows without a fit are left out.
-    tasks: at least so many."""
+    fits should be materialised. tasks: at least so many."""
     large = materialise(rows.groupBy(F.col(key).alias("__k")).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > part_rows), "large-keys")
     side = F.broadcast(large) if is_small(large) else large
     parts = F.coalesce(F.ceil(F.col("__n") / part_rows), F.lit(1)).cast("int")
     part = F.pmod(F.xxhash64(F.col(together or "row_id")), parts).cast("int")
     rows = rows.join(side, F.col(key) == F.col("__k"), "left").withColumn("__part", part).drop("__k", "__n")
     fits = fits.join(side, F.col(key) == F.col("__k"), "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__k", "__n")
-    names = [x.strip().split(" ")[0] for x in schema.split(", ")]
 
-    def run(fit: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        if not len(fit) or not len(own):
-            return pd.DataFrame({c: [] for c in names}, dtype=object)  # of any type in Arrow
-        return f(unpack(fit.iloc[0]), own.sort_values("row_id"))
+    def own(fit: dict | None, part: pd.DataFrame) -> pd.DataFrame | None:
+        return f(unpack(fit), part) if fit is not None and len(part) else None
 
     tasks = max(tasks, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    fits, rows = (spread(t, key, "__part", tasks=tasks).groupBy(key, "__part") for t in (fits, rows))
-    return fits.cogroup(rows).applyInPandas(run, schema)
+    return by_key(fits, rows, own, schema, [key, "__part"], tasks)
+
+
+_WIDE_BYTES = 128 << 10  # of a row that is handed to a worker by itself
+
+
+def by_key(left: DataFrame, right: DataFrame, f: Callable[[dict | None, pd.DataFrame], pd.DataFrame | None], schema: str, keys: list[str], tasks: int | None = None) -> DataFrame:
+    """f(row of left or None, rows of right in the order of row_id, if they have one) for every value of keys; left has one row
+    each and should be materialised.
+
+    Both sides stream by as one table, sorted, many keys in a batch: a cogroup hands over each key by itself, which costs more
+    than most keys do. Left rows of over _WIDE_BYTES would make batches too large, so with any of those it is a cogroup.
+    """
+    mine, own = ([c for c in t.columns if c not in keys] for t in (left, right))
+    order = ["row_id"] if "row_id" in own else []
+    names = [x.strip().split(" ")[0] for x in schema.split(", ")]
+
+    def joined_(row: dict | None, rows: pd.DataFrame) -> pd.DataFrame:
+        out = f(row, in_order(rows) if order else rows)
+        return pd.DataFrame({c: [] for c in names}, dtype=object) if out is None else out  # of any type in Arrow
+
+    if (left.agg(F.max(row_bytes(left)).alias("b")).first().b or 0) > _WIDE_BYTES:
+        a, b = (spread(t, *keys, tasks=tasks).groupBy(*keys) for t in (left, right))
+        return a.cogroup(b).applyInPandas(lambda a, b: joined_(a.iloc[0].to_dict() if len(a) else None, b), schema)
+
+    def blank(name: str, kind: str, alias: str) -> Column:
+        """Zero where a null would turn whole numbers into doubles in a worker."""
+        return F.lit(0 if kind in ("tinyint", "smallint", "int", "bigint") else None).cast(kind).alias(alias)
+
+    kinds = {"l": dict(left.dtypes), "r": dict(right.dtypes)}
+    first = left.select(*keys, F.lit(0).alias("__side"), *[F.col(c).alias(f"__l_{c}") for c in mine], *[blank(c, kinds["r"][c], f"__r_{c}") for c in own])
+    second = right.select(*keys, F.lit(1).alias("__side"), *[blank(c, kinds["l"][c], f"__l_{c}") for c in mine], *[F.col(c).alias(f"__r_{c}") for c in own])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def each() -> Iterator[pd.DataFrame]:
+            for pdf in _groups(batches, keys):
+                n = int((pdf["__side"] == 0).sum())
+                row = {**{c: pdf[c].iat[0] for c in keys}, **{c: pdf[f"__l_{c}"].iat[0] for c in mine}} if n else None
+                rows = pdf[[*keys, *(f"__r_{c}" for c in own)]].iloc[n:]
+                yield joined_(row, rows.set_axis([*keys, *own], axis=1))
+
+        yield from _together(each())
+
+    both = spread(first.union(second), *keys, tasks=tasks)
+    return both.sortWithinPartitions(*keys, "__side", *(f"__r_{c}" for c in order)).mapInPandas(run, schema)
 
 
 _HELD_BYTES = 64 << 20  # of unpacked fits that a worker keeps
@@ -392,7 +432,7 @@ def predict_gp_joint(fits: DataFrame, rows: DataFrame, kernel: Kernel, block: st
         return pd.DataFrame({key: part[key].iloc[0], block: blocks[at], "i": ids[i], "j": ids[j], "mean": np.concatenate(means), "cov": np.concatenate(covs)})
 
     schema = f"{key} {kind[key]}, {block} {kind[block]}, i long, j long, mean double, cov double"
-    return with_fits(fits, rows.select(key, "row_id", block, "feature"), joint, schema, key, part_rows, block)
+    return with_fits(materialise(fits, "fits"), rows.select(key, "row_id", block, "feature"), joint, schema, key, part_rows, block)
 
 
 def _marginal_schema(df: DataFrame, key: str) -> str:
@@ -499,25 +539,20 @@ def predict_from_prediction(fits: DataFrame, anchors: DataFrame, rows: DataFrame
 
     fit_kernel: the kernel of fits where it is another; kernel is that of the new fits.
     """
-    fits = with_fits(fits, anchors.select(key, "row_id", "feature"), lambda fit, own: _summary(fit, own, kernel, fit_kernel or kernel, key, mean), f"{key} {dict(rows.dtypes)[key]}, n long, d int, x array<double>, explained array<double>, information array<double>", key, 10**9)
-
-    def predict(packed: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        if not len(packed) or not len(own):
-            return pd.DataFrame({key: [], "row_id": [], "mean": [], "variance": []})
-        row, own = packed.iloc[0], own.sort_values("row_id")
-        n, d = int(row["n"]), int(row["d"])
-        x = np.asarray(row["x"], float)
-        xs, x = features(own["feature"]), x.reshape(n, d) if d else x
-        cross, e = kernel.matrix(xs, x), np.asarray(row["explained"], float).reshape(n, n)
-        return pd.DataFrame({key: own[key], "row_id": own["row_id"], "mean": cross @ np.asarray(row["information"], float) + mean(xs), "variance": kernel.diagonal(xs) - ((cross @ e) * cross).sum(1)})
-
-    return spread(fits, key).groupBy(key).cogroup(spread(rows.select(key, "row_id", "feature"), key).groupBy(key)).applyInPandas(predict, _marginal_schema(rows, key))
+    # anchors and rows meet the fit together, so that what is kept of it never leaves the task
+    both = rows.select(key, "row_id", "feature", F.lit(False).alias("__anchor")).union(anchors.select(key, "row_id", "feature", F.lit(True)))
 
+    def predict(fit: Fit, own: pd.DataFrame) -> pd.DataFrame | None:
+        anchor = own["__anchor"].to_numpy(bool)
+        own, at = own[~anchor], own[anchor]
+        if not len(own) or not len(at):
+            return None
+        x, xs = features(at["feature"]), features(own["feature"])
+        information, e = fit_from_prediction(kernel, x, *fit.joint(fit_kernel or kernel, x, mean), mean)
+        cross = kernel.matrix(xs, x)
+        return pd.DataFrame({key: own[key], "row_id": own["row_id"], "mean": cross @ information + mean(xs), "variance": kernel.diagonal(xs) - ((cross @ e) * cross).sum(1)})
 
-def _summary(fit: Fit, own: pd.DataFrame, kernel: Kernel, fit_kernel: Kernel, key: str, mean: Mean) -> pd.DataFrame:
-    x = features(own["feature"])
-    v, e = fit_from_prediction(kernel, x, *fit.joint(fit_kernel, x, mean), mean)
-    return pd.DataFrame([{key: own[key].iloc[0], "n": len(x), "d": 0 if x.ndim == 1 else x.shape[1], "x": x.reshape(-1), "explained": e.reshape(-1), "information": v}])
+    return with_fits(materialise(fits, "fits"), both, predict, _marginal_schema(rows, key), key, 10**9)
 
 
 def condition(mean: np.ndarray, cov: np.ndarray, known: np.ndarray, y: np.ndarray, variance: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ from sparkreg.functions.kernels import Kernel
 from sparkreg.functions.order import spread
 from sparkreg.functions.storage import is_small, materialise
 from sparkreg.functions.typed import features
-from sparkreg.operators.gp import HELD_ROWS, MAX_ROWS, Mean, cholesky, inverse_lower, joint_rows, meet, whole_groups, with_fits, zero
+from sparkreg.operators.gp import HELD_ROWS, MAX_ROWS, Mean, by_key, cholesky, inverse_lower, joint_rows, meet, whole_groups, with_fits, zero
 from sparkreg.operators.linear import reduce_triangles, triangle
 
 
@@ -331,21 +331,21 @@ def _points_of(u) -> np.ndarray:
 def update_sparse_gps(fits: DataFrame, df: DataFrame, kernel: Kernel, key: str = "key", group: str | None = None, mean: Mean = zero, *, nugget: float = 1e-12, max_rows: int = MAX_ROWS, part_rows: int = 100_000) -> DataFrame:
     """Fits of every key with the rows of df added; keys without rows keep theirs, rows of keys without a fit are left out.
 
-    Fits that are small together go to the rows: a task folds its rows into one triangle a key (FITC without a shuffle; groups
-    sorted by key and group). Else fits and rows meet by key, large keys in parts. A key's triangles are merged 16 to 1.
+    Fits that are small together go to the rows: a task folds its rows into one triangle a key (FITC: many keys without a hot
+    one are dealt out first, else rows stay where they are; groups are sorted by key and group). Else fits and rows meet by key, large keys in parts. A key's triangles are merged 16 to 1.
     """
     kind, fits = dict(df.dtypes)[key], materialise(fits, "sparse-fits")
     blocks = materialise(_key_blocks(fits, df, kernel, key, group, mean, nugget, max_rows, part_rows), "sparse-blocks")
     blocks = merged_by_key(blocks, key)
 
-    def add(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        if not len(old) or not len(new):
-            return old
-        fit, row = SparseFit.from_row(old.iloc[0]), new.iloc[0]
+    def add(old: dict | None, new: pd.DataFrame) -> pd.DataFrame | None:
+        if old is None or not len(new):
+            return None if old is None else pd.DataFrame([old])
+        fit, row = SparseFit.from_row(old), new.iloc[0]
         width = len(fit.u) + 1
-        return pd.DataFrame([{key: old[key].iloc[0], **fit.plus(np.frombuffer(row["r"]).reshape(width, width), row["log_det"], row["squares"], row["n"]).packed()}])
+        return pd.DataFrame([{key: old[key], **fit.plus(np.frombuffer(row["r"]).reshape(width, width), row["log_det"], row["squares"], row["n"]).packed()}])
 
-    return spread(fits, key).groupBy(key).cogroup(spread(blocks, key).groupBy(key)).applyInPandas(add, fits_schema(key, kind))
+    return by_key(fits, blocks, add, fits_schema(key, kind), [key])
 
 
 def _key_blocks(fits: DataFrame, df: DataFrame, kernel: Kernel, key: str, group: str | None, mean: Mean, nugget: float, max_rows: int, part_rows: int) -> DataFrame:
@@ -355,6 +355,10 @@ def _key_blocks(fits: DataFrame, df: DataFrame, kernel: Kernel, key: str, group:
         rows = _needed(df, key, group)
         if group:
             rows = spread(rows, key, group).sortWithinPartitions(key, group)
+        else:
+            sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("c")).agg(F.count(F.lit(1)).alias("n"), F.max("c").alias("c")).first()
+            if sizes.n > 16 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) and sizes.c <= part_rows:
+                rows = spread(rows, key)  # a narrow table may lie in a task or two; few or hot keys would not be dealt out evenly
         sent = df.sparkSession.sparkContext.broadcast(fits.select(key, "m", "d", "u", "low").toArrow())
 
         def folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -418,12 +422,12 @@ def predict_sparse_gps(fits: DataFrame, rows: DataFrame, kernel: Kernel, key: st
 def rebase_sparse_gps(fits: DataFrame, points: DataFrame, kernel: Kernel, key: str = "key", nugget: float = 1e-8) -> DataFrame:
     """Fits on new inducing points (key, u) of their keys; keys without new points keep their fit."""
 
-    def move(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        if not len(old) or not len(new):
-            return old
-        return pd.DataFrame([{key: old[key].iloc[0], **SparseFit.from_row(old.iloc[0]).rebase(kernel, _points_of(new["u"].iloc[0]), nugget).packed()}])
+    def move(old: dict | None, new: pd.DataFrame) -> pd.DataFrame | None:
+        if old is None or not len(new):
+            return None if old is None else pd.DataFrame([old])
+        return pd.DataFrame([{key: old[key], **SparseFit.from_row(old).rebase(kernel, _points_of(new["u"].iloc[0]), nugget).packed()}])
 
-    return spread(fits, key).groupBy(key).cogroup(spread(points.select(key, "u"), key).groupBy(key)).applyInPandas(move, fits_schema(key, dict(fits.dtypes)[key]))
+    return by_key(materialise(fits, "sparse-fits"), points.select(key, "u"), move, fits_schema(key, dict(fits.dtypes)[key]), [key])
 
 
 # ---- leave-one-group-out

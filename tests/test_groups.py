@@ -90,3 +90,22 @@ def test_forest_of_edges_without_cost(spark):
     df = spark.createDataFrame(rows, "a int, b int, cost double, id int")
     assert sorted((r.a, r.b, r.cost, r.id or 0) for r in GR.spanning_forest(df).where("cost is not null").collect()) == [(2, 3, 1.0, 4), (3, 4, 2.0, 0)]
     assert [(r.a, r.b, r.id) for r in GR.spanning_forest(df).where("cost is null").collect()] == [(1, 2, 1)]
+
+
+def test_sides_meet_in_batches(spark):
+    left = spark.createDataFrame([(1, 5, [1.0]), (2, 6, [2.0]), (None, 7, [3.0]), (4, 8, [4.0])], "key long, n long, x array<double>")
+    right = spark.createDataFrame([(1, 2**60 + 2, 2.0), (1, 2**60 + 1, 1.0), (None, 2**60 + 3, 3.0), (9, 2**60 + 4, 4.0)], "key long, row_id long, feature double")
+
+    def f(row, own):
+        return pd.DataFrame({"n": [-1 if row is None else row["n"]], "x": [0.0 if row is None else row["x"][0]], "ids": [own["row_id"].to_numpy()]})
+
+    schema = "n long, x double, ids array<long>"
+    for width in (GP._WIDE_BYTES, 0):  # as one table, and as a cogroup
+        before, GP._WIDE_BYTES = GP._WIDE_BYTES, width
+        try:
+            df = GP.by_key(left, right, f, schema, ["key"])
+            got = sorted((r.n, r.x, list(r.ids)) for r in df.collect())
+        finally:
+            GP._WIDE_BYTES = before
+        assert got == [(-1, 0.0, [2**60 + 4]), (5, 1.0, [2**60 + 1, 2**60 + 2]), (6, 2.0, []), (7, 3.0, [2**60 + 3]), (8, 4.0, [])]
+        assert ("CoGroup" in df._jdf.queryExecution().toString()) == (width == 0)
