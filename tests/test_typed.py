@@ -283,6 +283,20 @@ def test_noise_in_blocks_and_bounds(spark):
         G.indexers(df, "x", "i", max_rows=2)
 
 
+def test_noise_is_dealt_out_by_pairs_of_blocks_and_whole(spark, monkeypatch):
+    """One file of few features was one task, and 20,000 rows of a feature were a limit."""
+    assert P.noise(spark.range(0, 20_001, 1, 1).select(F.col("id").alias("i"), F.lit(1.5).alias("x")), 1.0).where("i = 7").count() == 20_001
+    monkeypatch.setattr(P, "_BLOCK", 100)
+    df = spark.range(0, 1000, 1, 1).select(F.when(F.col("id") > 0, F.col("id")).alias("i"), F.when(F.col("id") < 900, F.lit(0.0)).when(F.col("id") < 990, F.lit(float("nan"))).alias("x"))
+    got = P.noise(df, 2.0).select("*", F.spark_partition_id().alias("task")).toPandas()
+    ids = [None, *range(1, 900)], list(range(900, 990))
+    want = {(a, b) for own in ids for a in own for b in own}
+    pairs = [(None if np.isnan(i) else int(i), None if np.isnan(j) else int(j)) for i, j in zip(got.i, got.j, strict=True)]
+    assert len(pairs) == len(want) and set(pairs) == want and set(got["cov"]) == {4.0}
+    assert got.groupby("task").size().max() < len(got) / 2
+    assert P.noise(df.where("i < 0"), 2.0).count() == 0
+
+
 def test_additive_sums_where_tasks_have_no_rows(spark):
     df = spark.range(0, 40, 1, 8).where("id < 12").select((F.col("id") % 3).cast("int").alias("fold"), F.col("id").alias("row_id"), F.col("id").cast("double").alias("y"))
 
