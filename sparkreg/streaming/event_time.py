@@ -1,10 +1,14 @@
 """A filter in event time: rows may come in any order within the watermark, and state ends with the series.
 
-A row waits in its key's buffer until the watermark has passed it; then it and all earlier ones are filtered in order, so the
-result is that of the batch filter whatever the order of arrival. A key has one timer: at its next waiting row; then, when
-nothing waits, at the end of an outage, whose prediction is given out; then at the end of the key, which is forgotten. Rows
+A row waits until the watermark has passed it; then it and all earlier ones of its key are filtered in order, so the result is
+that of the batch filter whatever the order of arrival. A key has one time at which it is due: that of its next waiting row; then,
+when nothing waits, the end of an outage, whose prediction is given out; then the end of the key, which is forgotten. Rows
 behind the watermark are dropped by Spark, which counts them in the progress of the query (numRowsDroppedByWatermark).
 
+Keys share buckets by a hash: a bucket has one state, an Arrow table of its series and chunks of waiting rows, and one timer at the
+first time at which a key of it is due. Every call of a processor, read of a state and timer is a round trip of a millisecond or so
+between Spark and Python; a key of its own took about ten of them a batch, a bucket takes them for all its keys.
+
 Rows without an id are heartbeats: they move the watermark and leave no state.
 """
 
@@ -14,15 +18,29 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from sparkreg.streaming.updates import filter_steps
+from sparkreg.streaming.updates import filter_rows
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"  # the store of operators with timers
-_STATE = "x double, p double, last double, at long, phase int, timer long"  # at: microseconds of the last filtered row
-_BUFFER = "us long, feature double, row_id long, target double"
+_STATE = "series binary, timer long"  # series: key, x, p, last, at (microseconds of the last filtered row), phase, due (milliseconds)
+_BUFFER = "rows binary"  # key, us, row_id, feature, target
 _ROWS, _OUTAGE, _EXPIRY = 0, 1, 2
+_NO_KEY, _HEARTBEAT = -1, -2  # buckets of their own
+
+
+def _packed(df: pd.DataFrame) -> bytes:
+    table, sink = pa.Table.from_pandas(df, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(packed: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(packed)).read_pandas()
 
 
 class FilterProcessor(StatefulProcessor):
@@ -32,62 +50,81 @@ class FilterProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("filter", _STATE)
+        self.state = handle.getValueState("series", _STATE)
         self.buffer = handle.getListState("waiting", _BUFFER)
 
-    def _now(self) -> tuple:
-        return tuple(self.state.get()) if self.state.exists() else (0.0, float(self.k(0.0)), None, None, _ROWS, None)
+    def _now(self) -> tuple[pd.DataFrame | None, int | None]:
+        """The series of the bucket and its timer."""
+        if not self.state.exists():
+            return None, None
+        packed, timer = self.state.get()
+        return _unpacked(packed), timer
 
-    def _arm(self, state: tuple, us: int, phase: int) -> None:
-        """The key's one timer, at the first millisecond that is not before us."""
-        ms, old = -(-us // 1000), state[5]
+    def _keep(self, series: pd.DataFrame, old: int | None) -> None:
+        """Writes the series; the bucket's one timer is that of the key that is due first."""
+        ms = int(series["due"].min())
         if old != ms:
             if old is not None:
                 self.handle.deleteTimer(old)
             self.handle.registerTimer(ms)
-        self.state.update((*state[:4], phase, ms))
+        self.state.update((_packed(series), ms))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows))
-        pdf = pdf[pdf["row_id"].notna()]
-        if len(pdf):
-            us = pdf["ts"].astype("datetime64[us]").astype(np.int64)
-            self.buffer.appendList([(int(u), float(f), int(i), float(y)) for u, f, i, y in zip(us, pdf["feature"], pdf["row_id"], pdf["target"], strict=True)])
-            state = self._now()
-            first = int(us.min())
-            waits = state[5] is not None and state[4] == _ROWS and state[5] * 1000 < first
-            if not waits:
-                self._arm(state, first, _ROWS)
+        if key[0] != _HEARTBEAT:
+            pdf = pd.concat(list(rows), ignore_index=True)[["key", "us", "row_id", "feature", "target"]]
+            self.buffer.appendValue((_packed(pdf),))
+            series, timer = self._now()
+            first = pdf.groupby("key", sort=False, dropna=False)["us"].min().reset_index()
+            n = 0 if series is None else len(series)
+            keys = first["key"] if series is None else pd.concat([series["key"], first["key"]], ignore_index=True)
+            code = pd.factorize(keys, use_na_sentinel=False)[0][n:]
+            us, fresh = first["us"].to_numpy(np.int64), code >= n
+            if fresh.any():
+                new = pd.DataFrame({"key": first["key"][fresh], "x": 0.0, "p": float(self.k(0.0)), "last": np.nan, "at": 0, "phase": _ROWS, "due": -(-us[fresh] // 1000)})
+                series = new if series is None else pd.concat([series, new], ignore_index=True)
+            at, us = code[~fresh], us[~fresh]
+            phase, due = series["phase"].to_numpy(copy=True), series["due"].to_numpy(copy=True)
+            later = ~((phase[at] == _ROWS) & (due[at] * 1000 < us))  # an earlier row waits already where this is false
+            phase[at[later]], due[at[later]] = _ROWS, -(-us[later] // 1000)
+            self._keep(series.assign(phase=phase, due=due), timer)
         yield from ()
 
-    def _out(self, key: tuple, ids, us, features, means, variances, outage: bool) -> pd.DataFrame:
-        return pd.DataFrame({self.key: key[0], "row_id": pd.array(ids, "Int64"), "ts": pd.to_datetime(np.asarray(us), unit="us"), "feature": features, "mean": means, "variance": variances, "outage": outage})
+    def _out(self, bucket: int, keys: pd.Series, ids, us, features, means, variances, outage: bool) -> pd.DataFrame:
+        return pd.DataFrame({self.key: None if bucket == _NO_KEY else keys.to_numpy(), "row_id": pd.array(ids, "Int64"), "us": us, "feature": features, "mean": means, "variance": variances, "outage": outage})
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        x, p, last, at, phase, timer = self._now()
+        series, _ = self._now()  # the timer has gone
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        state = (x, p, last, at, phase, None)  # the timer has gone
-        if phase == _ROWS:
-            waiting = sorted(tuple(r) for r in self.buffer.get())
-            ready = [r for r in waiting if r[0] <= passed]
-            if ready:
-                ready.sort(key=lambda r: (r[1], r[2]))
-                us, t, ids, y = zip(*ready, strict=True)
-                m, v = filter_steps(np.array(t), np.array(y), self.noise, self.k, x, p, last, self.exact)
-                state = (float(m[-1]), float(v[-1]), float(t[-1]), int(max(us)), _ROWS, None)
-                yield self._out(key, list(ids), us, t, m, v, False)
-            rest = waiting[len(ready) :]
-            if rest:
-                self.buffer.put(rest)
-                self._arm(state, rest[0][0], _ROWS)
+        x, p, last, at, phase, due = (series[c].to_numpy(copy=True) for c in ("x", "p", "last", "at", "phase", "due"))
+        now, was = due * 1000 <= passed, phase.copy()  # one step of a key a batch
+        if (now & (was == _ROWS)).any():
+            waiting = pd.concat([_unpacked(r[0]) for r in self.buffer.get()], ignore_index=True)
+            code = pd.factorize(pd.concat([series["key"], waiting["key"]], ignore_index=True), use_na_sentinel=False)[0][len(series) :]
+            ready = (waiting["us"] <= passed).to_numpy() & now[code]
+            rest, left = waiting[~ready], np.full(len(series), np.iinfo(np.int64).max)
+            np.minimum.at(left, code[~ready], rest["us"].to_numpy(np.int64))
+            rows = waiting[ready].assign(code=code[ready]).sort_values(["code", "feature", "row_id"])
+            m, v = filter_rows(rows["code"].to_numpy(), rows["feature"].to_numpy(float), rows["target"].to_numpy(float), self.noise, self.k, x, p, last, self.exact)
+            done = np.unique(rows["code"])
+            at[done] = np.iinfo(np.int64).min
+            np.maximum.at(at, rows["code"].to_numpy(), rows["us"].to_numpy(np.int64))
+            over = left[done] == np.iinfo(np.int64).max
+            due[done] = -(-np.where(over, at[done] + self.outage_us, left[done]) // 1000)
+            phase[done] = np.where(over, _OUTAGE, _ROWS)
+            if len(rest):
+                self.buffer.put([(_packed(rest),)])
             else:
                 self.buffer.clear()
-                self._arm(state, state[3] + self.outage_us, _OUTAGE)
-        elif phase == _OUTAGE:
-            t = last + self.outage_us / self.unit_us
-            m, v = filter_steps(np.array([t]), np.array([np.nan]), self.noise, self.k, x, p, last, self.exact)
-            yield self._out(key, [None], [at + self.outage_us], [t], m, v, True)
-            self._arm(state, at + self.expire_us, _EXPIRY)
+            yield self._out(key[0], rows["key"], rows["row_id"], rows["us"], rows["feature"].to_numpy(), m, v, False)
+        ends = np.flatnonzero(now & (was == _OUTAGE))
+        if len(ends):
+            t = last[ends] + self.outage_us / self.unit_us
+            m, v = filter_rows(ends, t, np.full(len(ends), np.nan), self.noise, self.k, x.copy(), p.copy(), last.copy(), self.exact)
+            phase[ends], due[ends] = _EXPIRY, -(-(at[ends] + self.expire_us) // 1000)
+            yield self._out(key[0], series["key"].iloc[ends], [None] * len(ends), at[ends] + self.outage_us, t, m, v, True)
+        kept = ~(now & (was == _EXPIRY))
+        if kept.any():
+            self._keep(series.assign(x=x, p=p, last=last, at=at, phase=phase, due=due)[kept], None)
         else:
             self.state.clear()
             self.buffer.clear()
@@ -97,17 +134,23 @@ class FilterProcessor(StatefulProcessor):
 
 
 def event_time_filter(
-    rows: DataFrame, k: Callable[[float], float], noise: float, *, delay: str, unit_us: float, outage_us: int, expire_us: int, key: str = "key", exact: bool = False,
+    rows: DataFrame, k: Callable[[float], float], noise: float, *, delay: str, unit_us: float, outage_us: int, expire_us: int, key: str = "key", exact: bool = False, buckets: int = 256,
 ) -> DataFrame:
     """(key, row_id, ts, feature, mean, variance, outage) of a stream (key, row_id, ts, feature, target); NaN targets are predicted only.
 
     ts is the time of the event and feature the same in units of unit_us microseconds. delay: how late rows may come. outage_us
     after its last row a key without rows gets one predicted row (outage true, no id); expire_us after it the key is forgotten
-    and begins anew should rows come. expire_us is more than outage_us.
+    and begins anew should rows come. expire_us is more than outage_us. Keys share ``buckets`` states, each in the memory of one task;
+    the number belongs to the progress of a query and stays as it is when the query goes on.
     """
     if expire_us <= outage_us:
         raise ValueError("a key is forgotten after its outage has ended")
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    schema = f"{key} {dict(rows.dtypes)[key]}, row_id long, ts timestamp, feature double, mean double, variance double, outage boolean"
-    own = rows.select(key, "row_id", "ts", "feature", "target").withWatermark("ts", delay)
-    return own.groupBy(key).transformWithStateInPandas(FilterProcessor(k, noise, key, exact, unit_us, outage_us, expire_us), schema, "Append", "EventTime")
+    kind = dict(rows.dtypes)[key]
+    schema = f"{key} {kind}, row_id long, us long, feature double, mean double, variance double, outage boolean"
+    bucket = F.when(F.col("row_id").isNull(), _HEARTBEAT).when(F.col(key).isNull(), _NO_KEY).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    # whole numbers without nulls: pandas would make doubles of all that share a batch with one, and lose ids beyond 2^53
+    known = F.coalesce(F.col(key), F.lit(0).cast(kind)) if kind in ("tinyint", "smallint", "int", "bigint") else F.col(key)
+    own = rows.select(bucket.alias("bucket"), known.alias("key"), F.coalesce("row_id", F.lit(0)).alias("row_id"), "ts", F.coalesce(F.unix_micros("ts"), F.lit(0)).alias("us"), "feature", "target").withWatermark("ts", delay)
+    found = own.groupBy("bucket").transformWithStateInPandas(FilterProcessor(k, noise, key, exact, unit_us, outage_us, expire_us), schema, "Append", "EventTime")
+    return found.select(key, "row_id", F.timestamp_micros("us").alias("ts"), "feature", "mean", "variance", "outage")

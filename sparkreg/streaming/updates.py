@@ -100,6 +100,26 @@ def filter_steps(t: np.ndarray, y: np.ndarray, noise: float, k: Callable[[float]
     return means, variances
 
 
+def filter_rows(code: np.ndarray, t: np.ndarray, y: np.ndarray, noise: float, k: Callable[[float], float], x: np.ndarray, p: np.ndarray, last: np.ndarray, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """``filter_steps`` of many series at once: rows of series ``code``, each series in order. x, p and last (NaN: none yet) have an
+    entry a series and are left as they are after its last row."""
+    k0, xs, ps, lasts, means, variances = k(0.0), x.tolist(), p.tolist(), last.tolist(), [], []
+    for c, now, value in zip(code.tolist(), t.tolist(), y.tolist(), strict=True):
+        a, b, before = xs[c], ps[c], lasts[c]
+        if before == before:
+            known = k(now - before)
+            f, q = known / k0, k0 - known**2 / k0
+            a, b = f * a, (f * f * b if exact else b) + q
+        if value == value:
+            gain = b / (b + noise)
+            a, b = a + gain * (value - a), (1 - gain) * b
+        xs[c], ps[c], lasts[c] = a, b, now
+        means.append(a)
+        variances.append(b)
+    x[:], p[:], last[:] = xs, ps, lasts
+    return np.array(means), np.array(variances)
+
+
 def kalman_filter(rows: DataFrame, k: Callable[[float], float], noise: float, key: str = "key", exact: bool = False, chunk_rows: int = 50_000, long_rows: int = 1_000_000) -> DataFrame:
     """(key, row_id, mean, variance) of every series, in the order of feature. Series of at most long_rows rows are filtered in a
     task each, some five seconds for a million; longer ones by a scan over chunks (``scan.scan_filter``)."""

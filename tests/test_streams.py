@@ -112,6 +112,28 @@ def test_disorder_restart_late_rows_outages_and_the_end_of_state(spark, tmp_path
     assert steps[-1]["stateOperators"][0]["numRowsTotal"] == 0
 
 
+def test_keys_share_states_and_timers(spark, tmp_path):
+    """A state and a timer a key were ten round trips between Spark and Python a key and batch."""
+    path, out, progress = (f"file://{tmp_path}/{x}" for x in ("in", "out", "progress"))
+    rng = np.random.default_rng(4)
+    keys = [None, *(2**53 + 1 + k for k in range(1200))]
+    rows = [(k, 10 * n + i, float(i + rng.random() * 7), float("nan") if rng.random() < 0.2 else float(rng.standard_normal())) for n, k in enumerate(keys) for i in range(3)]
+    write(spark, path, rows[1::2])
+    write(spark, path, rows[0::2])
+    first = run(spark, path, out, progress)
+    assert max(s["stateOperators"][0]["numRowsTotal"] for s in first) < len(keys)
+    write(spark, path, [(None, None, 40.0, 0.0)])
+    run(spark, path, out, progress)  # goes on from the states
+    got = {r.row_id: r for r in spark.read.option("basePath", out).parquet(f"{out}/batch=*").where("not outage").withColumn("us", F.unix_micros("ts")).collect()}
+    assert len(got) == len(rows)
+    for n, k in enumerate(keys):
+        own = sorted(rows[3 * n : 3 * n + 3], key=lambda r: r[2])
+        m, v = U.filter_steps(np.array([r[2] for r in own]), np.array([r[3] for r in own]), 0.5, decay)
+        mine = [got[r[1]] for r in own]
+        assert [(r.key, r.feature) for r in mine] == [(k, r[2]) for r in own] and all(abs(r.us - 1e6 * r.feature) < 2 for r in mine)
+        np.testing.assert_allclose([(r["mean"], r["variance"]) for r in mine], np.column_stack([m, v]), atol=1e-12)
+
+
 # ---- running totals
 
 
