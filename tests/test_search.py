@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkreg.functions import kernels as KF
 from sparkreg.functions.versions import Versions
+from sparkreg.jobs.common import gap6
 from sparkreg.operators import dataset as D
 from sparkreg.operators import gp as GP
 from sparkreg.operators import ransac as RS
@@ -239,3 +240,63 @@ def test_points_of_one_cell_are_dealt_out_by_their_pairs(spark):
     assert sum(counts) == 40 * 500 and len(counts) > 4 and max(counts) < 10_000
     found = pairs.select("row_id", "r_row_id").distinct().count()
     assert found == 40 * 500
+
+
+@pytest.mark.parametrize("sizes", [(40, 900), (900, 40)])
+def test_points_of_the_larger_side_are_not_copied_to_neighbours(spark, monkeypatch, sizes):
+    """What is shuffled: each row of the larger side once, each of the smaller for the 27 cells about it at most."""
+    (x, names, left), (y, _, right) = points(spark, sizes[0], 3, 1), points(spark, sizes[1], 3, 2)
+    dealt, deal = [], type(left).repartition
+
+    def seen(df, *args):
+        dealt.append(df.agg(F.sum(F.size("__run")) if "__run" in df.columns else F.count(F.lit(1))).first()[0])
+        return deal(df, *args)
+
+    monkeypatch.setattr(type(left), "repartition", seen)
+    got = {tuple(r) for r in D.align_points(left, right, names, 0.5).select("row_id", "r_row_id").collect()}
+    assert got == set(zip(*(v.tolist() for v in np.nonzero(np.sqrt(((x[:, None] - y[None]) ** 2).sum(-1)) <= 0.5)), strict=True))
+    assert 0 < sum(dealt) <= 900 + 27 * 40
+
+
+@pytest.mark.parametrize("d", [1, 2, 3])
+@pytest.mark.parametrize("sizes", [(150, 400), (400, 150)])
+def test_points_in_small_runs_and_many_parts(spark, monkeypatch, d, sizes):
+    """Either side larger, points on the edges of cells and at equal places: every pair once, with its columns in order."""
+    for name, small in (("_RUN", 4), ("_GROUP", 12), ("_PARTS", 40), ("_CARRIED", 50), ("MAX_ROWS", sizes[0] - 150)):  # 0: too many cells to know all
+        monkeypatch.setattr(D, name, small)
+    rng, names = np.random.default_rng(d), ["a", "b", "c"][:d]
+
+    def table(n, extra):
+        x = np.round(rng.random((n, d)) * 3 - 1.5, 1)
+        x[: n // 3] = 0.25 * rng.integers(-2, 3, (n // 3, d))
+        return x, spark.createDataFrame([(i, *v, f"{extra}{i}") for i, v in enumerate(x.tolist())], "row_id long, " + ", ".join(f"{c} double" for c in names) + f", {extra} string")
+
+    (x, left), (y, right) = table(sizes[0], "one"), table(sizes[1], "two")
+    pairs = D.align_points(left, right, names, 0.25, hot_rows=1)
+    assert pairs.columns == ["row_id", *names, "one", "r_row_id", *(f"r_{c}" for c in names), "r_two"]
+    rows = [(r.row_id, r.r_row_id) for r in pairs.collect() if r.one == f"one{r.row_id}" and r.r_two == f"two{r.r_row_id}" and r.r_a == y[r.r_row_id, 0]]
+    gap = np.abs(x[:, None, 0] - y[None, :, 0]) if d == 1 else np.sqrt(sum((x[:, None, k] - y[None, :, k]) ** 2 for k in range(d)))
+    want = set(zip(*(v.tolist() for v in np.nonzero(gap <= 0.25)), strict=True))
+    assert set(rows) == want and len(rows) == len(want) == pairs.count()
+
+
+@pytest.mark.parametrize("names", [["a"], ["a", "b"]])
+def test_points_two_cells_apart_by_their_last_digit(spark, names):
+    """1.0 - 0.49999999999999994 and 0.5 + 1e-17 are 0.5 in binary numbers, though a whole cell of 0.5 lies between them."""
+    left = spark.createDataFrame([(0, 0.49999999999999994, 0.0), (1, -1e-17, 0.0)], "row_id long, a double, b double")
+    right = spark.createDataFrame([(0, 1.0, 0.0), (1, 0.5, 0.0)], "row_id long, a double, b double")
+    for one, two in ((left, right), (right, left), (left, right.union(right.select(F.col("row_id") + 2, "a", "b")))):
+        got = D.align_points(one, two, names, 0.5).select(F.least("row_id", F.col("r_row_id") % 2), F.greatest("row_id", F.col("r_row_id") % 2)).collect()
+        near = one.alias("l").join(two.alias("r"), F.abs(F.col("l.a") - F.col("r.a")) <= 0.5)
+        assert len(got) == near.count() >= 3
+
+
+def test_distances_are_rounded_as_sql_does(spark):
+    """Halves of the millionfold go up, what is just below a half does not, whatever the shortest decimal form says."""
+    values = [0.0, 1.0000005, 0.0000005, 0.4999995, 2.5e-6, 1.5e-6, 1.2345, 123.4567895, *np.random.default_rng(3).random(300).tolist()]
+    values += [(2 * k + 1) * 5e-7 for k in range(0, 3_000_000, 9_973)]
+    import duckdb
+
+    want = [r[0] for r in duckdb.connect().execute("select round(v, 6) from (select unnest(?::double[]) as v)", [values]).fetchall()]
+    df = spark.createDataFrame(list(enumerate(values)), "k long, v double")
+    assert [r.g for r in df.select("k", gap6(F.col("v")).alias("g")).orderBy("k").collect()] == want
